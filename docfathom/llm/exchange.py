@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
+from .hashing import mix
 
 SENT = "r int, block int, n long, hashes binary, twice binary"
 BACK = "block int, hashes binary"
@@ -30,8 +31,8 @@ def blocks(df: DataFrame, name: str) -> tuple[DataFrame, int]:
 
 
 def sent_rows(block: int, hashes: np.ndarray, ranges: int) -> pa.RecordBatch:
-    """Rows of SENT for all hashes (one entry per occurrence) of a block."""
-    hashes, counts = np.unique(hashes, return_counts=True)
+    """Rows of SENT for all hashes (one entry per occurrence) of a block. They are mixed once more: least hashes crowd near zero."""
+    hashes, counts = np.unique(mix(hashes.copy()), return_counts=True)
     cuts = np.searchsorted(((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32), np.arange(ranges + 1))
     rows = [(r, a, b) for r, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a]
     return pa.record_batch(
@@ -70,7 +71,9 @@ def _within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     return ordered[at] == values
 
 
-within = _within
+def found(hashes: np.ndarray, answers: np.ndarray) -> np.ndarray:
+    """Which hashes are among a block's answers."""
+    return _within(mix(hashes.copy()), answers)
 
 
 def repeated(sent: DataFrame, name: str) -> DataFrame:
@@ -80,7 +83,7 @@ def repeated(sent: DataFrame, name: str) -> DataFrame:
 
 
 class Answers:
-    """Reads, in a worker, the answers for a block; keeps the last block's."""
+    """Reads, in a worker, the answers for a block, for found(); keeps the last block's."""
 
     def __init__(self, path: str):
         self.path, self.block, self.hashes = path, None, np.zeros(0, np.uint64)

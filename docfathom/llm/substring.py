@@ -27,11 +27,11 @@ def lengths(window: int) -> list[int]:
 
 
 def _runs_within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    """within(), for values with long runs of equal entries."""
+    """exchange.found(), for values with long runs of equal entries."""
     if not len(values):
         return np.zeros(0, bool)
     begins = np.concatenate([[0], np.flatnonzero(values[1:] != values[:-1]) + 1])
-    return np.repeat(exchange.within(values[begins], ordered), np.diff(np.append(begins, len(values))))
+    return np.repeat(exchange.found(values[begins], ordered), np.diff(np.append(begins, len(values))))
 
 
 class _Levels:
