@@ -95,25 +95,24 @@ def _tokenise(path: str, capacity: int, end_id: int):
     def run(batches):
         from pyspark import TaskContext
 
-        from .tokens import WordEncoder
+        from .tokens import encoder
 
-        encoder, block = WordEncoder(path), TaskContext.get().partitionId()
-        seen = np.zeros(capacity + 1, np.int64)
+        encode, block = encoder(path).encode, TaskContext.get().partitionId()
+        seen, end = np.zeros(capacity + 1, np.int64), end_id.to_bytes(4, "little")
         for batch in batches:
             for part in shared.slices(batch, "text"):
                 row, piece, start, length, rank, ids = [], [], [], [], [], []
                 for i, text in enumerate(part.column("text").to_pylist()):
-                    own = encoder.encode(text or "")
-                    own.append(end_id)
-                    for k, at in enumerate(range(0, len(own), capacity)):
-                        n = min(capacity, len(own) - at)
+                    own = encode(text or "") + end
+                    for k, at in enumerate(range(0, len(own) // 4, capacity)):
+                        n = min(capacity, len(own) // 4 - at)
                         row.append(i)
                         piece.append(k)
                         start.append(at)
                         length.append(n)
                         rank.append(int(seen[n]))
                         seen[n] += 1
-                        ids.append(own[at : at + n].tobytes())
+                        ids.append(own[4 * at : 4 * (at + n)])
                 yield pa.record_batch(
                     [pa.array([block] * len(row), pa.int32()), part.column("id").take(pa.array(row, pa.int32())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(rank, pa.int64()), pa.array(ids, pa.binary())],
                     names=["block", "id", "piece", "start", "length", "rank", "ids"],
