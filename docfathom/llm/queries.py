@@ -24,6 +24,13 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontam import contaminated
+
+    out = contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return out.withColumn("best_similarity", F.round("best_similarity", 6))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -40,6 +47,7 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op4_substring_dedup": op4_substring_dedup,
+    "op5_decontamination": op5_decontamination,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
@@ -68,5 +76,20 @@ r AS (SELECT doc_id AS v, doc_id AS l FROM d UNION SELECT e.y, r.l FROM r JOIN e
 m AS (SELECT v, min(l) AS component_id FROM r GROUP BY v)
 SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM d JOIN m ON m.v = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+""",
+    "op5_decontamination": r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
+ds AS (SELECT doc_id, w, i, md5(array_to_string(w[i + 1:i + 5], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS i FROM d WHERE len(w) >= 5)),
+bs AS (SELECT item_id, len(w) AS n, i, md5(array_to_string(w[i + 1:i + 5], ' ')) AS h FROM (SELECT item_id, w, unnest(range(0, len(w) - 4)) AS i FROM b WHERE len(w) >= 5)),
+win AS (SELECT DISTINCT doc_id, n, greatest(0, least(ds.i - bs.i, len(w) - n)) AS st, w[greatest(0, least(ds.i - bs.i, len(w) - n)) + 1:greatest(0, least(ds.i - bs.i, len(w) - n)) + n] AS w FROM ds JOIN bs USING (h)),
+ws AS (SELECT doc_id, n, st, md5(array_to_string(w[i + 1:i + 5], ' ')) AS h, count(*) AS c FROM (SELECT doc_id, n, st, w, unnest(range(0, len(w) - 4)) AS i FROM win) GROUP BY ALL),
+wm AS (SELECT doc_id, n, st, sum(c) AS m FROM ws GROUP BY ALL),
+bc AS (SELECT item_id, n, h, count(*) AS c FROM bs GROUP BY ALL),
+bm AS (SELECT item_id, sum(c) AS m FROM bc GROUP BY ALL),
+x AS (SELECT doc_id, st, ws.n, item_id, sum(least(ws.c, bc.c)) AS k FROM ws JOIN bc ON ws.h = bc.h AND ws.n = bc.n GROUP BY ALL),
+y AS (SELECT x.doc_id, x.st, x.item_id, k::DOUBLE / (wm.m + bm.m - k) AS s FROM x JOIN wm ON x.doc_id = wm.doc_id AND x.st = wm.st AND x.n = wm.n JOIN bm ON bm.item_id = x.item_id),
+r AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, count(DISTINCT (st, item_id)) AS n_windows, max(s) AS best FROM y WHERE s >= 0.8 GROUP BY 1)
+SELECT d.doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(n_windows, 0)::BIGINT AS n_windows, round(coalesce(best, 0), 6) AS best_similarity FROM d LEFT JOIN r ON d.doc_id = r.doc_id
 """,
 }
