@@ -209,18 +209,12 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, size: int = 5) -> DataFrame:
-    """Components of texts whose sets of distinct `size`-word shingles have 100 * intersection >= percent * union.
-
-    Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a text with fewer words is one shingle; one without words, or null, has an
-    empty set and is linked with nothing. Texts take part whole, other columns are not read. Equal rows are linked like any copies.
-    A row with a null id is a text like any other; it names no component.
-
-    Returns id_col, n_shingles, component_id (the smallest id in the component) and kept (id = component_id, or the component has no id).
-    """
+def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, size: int, carry: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The staged rows (block, uid, ...), and for each row uid, id, n, component_id and the least uid of its component."""
     spark = docs.sparkSession
     shared.small_batches(spark)
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    through, _ = shared.carried(docs, carry)
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), *through)
     base, _ = exchange.blocks(rows, "neardup")
     kind = base.schema["id"].dataType.simpleString()
     known = shared.stage(base.select("uid", "id", "text").mapInArrow(_describe(size), f"uid long, id {kind}, n long, key binary, bands array<long>"), "sketches")
@@ -238,7 +232,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = members.select("uid").distinct().withColumn("block", F.shiftright("uid", 33).cast("int"))
     wanted = shared.stage(wanted.repartition(F.col("block")), "wanted", "block")
     sets = shared.stage(base.select("block", "uid", "text").mapInArrow(_sets(size, shared.path_of(wanted)), "uid long, shingles binary"), "sets")
-    shared.discard(base)
 
     pairs = members.filter("uid != center").select("uid", "center").distinct().withColumn("part", F.shiftright("uid", 33))
     side = pairs.join(sets, "uid").select("center", "part", "uid", F.lit(0).alias("role"), "shingles")
@@ -274,14 +267,57 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = classes.join(label, F.col("rep") == F.col("v"), "left").select("key", "least", "copies", F.coalesce("label", "rep").alias("label"))
     placed = shared.stage(placed, "placed")
     least = placed.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("weight"))
-    placed = shared.split_join(placed, least, "label", "weight", total).select("key", "copies", "component_id")
+    placed = shared.split_join(placed, least, "label", "weight", total).select("key", "copies", "component_id", "label")
     placed = shared.stage(placed, "components")
-    out = shared.split_join(known.select("id", "n", "key"), placed, "key", "copies", total, "left")
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id"))
-    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), own.alias("component_id"))
+    out = shared.split_join(known.select("uid", "id", "n", "key"), placed, "key", "copies", total, "left")
+    alone = F.col("n") == 0
+    return base, out.select("uid", "id", "n", F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.col("uid")).otherwise(F.col("label")).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, size: int = 5) -> DataFrame:
+    """Components of texts whose sets of distinct `size`-word shingles have 100 * intersection >= percent * union.
+
+    Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a text with fewer words is one shingle; one without words, or null, has an
+    empty set and is linked with nothing. Texts take part whole, other columns are not read. Equal rows are linked like any copies.
+    A row with a null id is a text like any other; it names no component.
+
+    Returns id_col, n_shingles, component_id (the smallest id in the component) and kept (id = component_id, or the component has no id).
+    """
+    base, out = _solve(docs, id_col, text_col, percent, size)
+    shared.discard(base)
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.col("component_id").isNull()))
 
 
+def _without(path: str):
+    def run(batches):
+        block, gone = None, np.zeros(0, np.int64)
+        for batch in batches:
+            for b, rows in exchange.by_block(batch):
+                if b != block:
+                    gone, block = np.array(exchange.read_block(path, b, ["uid"])["uid"], np.int64), b
+                rows = rows.take(pa.array(np.flatnonzero(~np.isin(rows.column("uid").to_numpy(), gone))))
+                yield rows.select([c for c in rows.schema.names if c.startswith("carry")])
+
+    return run
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, size: int = 5) -> DataFrame:
+    """The rows of docs without near duplicates: of each component of near_duplicates() the first row in the order of the input.
+
+    Of equal rows one stays; texts without words all stay. All columns are returned.
+    """
+    columns = tuple(docs.columns)
+    base, out = _solve(docs, id_col, text_col, percent, size, columns)
+    gone = out.filter("uid != first").select("uid", F.shiftright("uid", 33).cast("int").alias("block"))
+    gone = shared.stage(gone.repartition(F.col("block")), "gone", "block")
+    schema = shared.carried(docs, columns)[1]
+    from pyspark.sql import types as T
+
+    left = base.select("block", "uid", *[f.name for f in schema]).mapInArrow(_without(shared.path_of(gone)), T.StructType(schema))
+    return left.select(*shared.uncarried(left, columns))
+
+
 def _guard(f):
     """f, for groups that have both roles."""
 

@@ -91,3 +91,15 @@ def filesystem(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri(uri)
+
+
+def carried(docs: DataFrame, columns) -> tuple[list, list]:
+    """Columns under names that clash with none (for a pass through Python), and the fields of the result."""
+    from pyspark.sql import types as T
+
+    fields = [T.StructField(f"carry{i}", docs.schema[c].dataType) for i, c in enumerate(columns)]
+    return [F.col(f"`{c}`").alias(f"carry{i}") for i, c in enumerate(columns)], fields
+
+
+def uncarried(df: DataFrame, columns) -> list:
+    return [F.col(f"carry{i}").alias(c) for i, c in enumerate(columns)]

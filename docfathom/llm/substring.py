@@ -14,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import exchange, shared
 from .hashing import Words, covered, sliding, starts_within, sums, window_hash
@@ -119,7 +121,7 @@ def _cut(levels: _Levels, block: int, part: pa.RecordBatch, schema: pa.Schema) -
         removed.append(k)
     return pa.record_batch(
         [
-            part.column("id"),
+            *[part.column(c) for c in schema.names[:-4]],
             pa.array(np.diff(words.first), pa.int64()),
             pa.array(removed, pa.int64()),
             pa.array(text, pa.binary()).cast(pa.string()),
@@ -129,26 +131,26 @@ def _cut(levels: _Levels, block: int, part: pa.RecordBatch, schema: pa.Schema) -
     )
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 35, carry: tuple[str, ...] = ()) -> DataFrame:
     """Remove every word of every text that a repeated window covers.
 
     A window is `window` consecutive words `[^\\x20\\x09-\\x0D]+` of one text, unchanged; it is repeated if its words also start anywhere
     else, in the same text too. Windows are judged on the input. All texts take part whole; a null text is empty, a null id is one more
     row, equal rows count as two texts, other columns are not read. Windows are compared by 64-bit hashes of three lengths.
 
-    Returns id_col, n_words, n_removed, kept (the words left, joined by one space) and spans (removed runs as word positions).
+    Returns id_col, n_words, n_removed, kept (the words left, joined by one space) and spans (removed runs as word positions); with
+    carry, instead of id_col the columns named there, unchanged, and columns __removed and __kept.
     """
     spark = docs.sparkSession
     shared.small_batches(spark)
-    base, n = exchange.blocks(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "substring")
+    through, fields = shared.carried(docs, carry)
+    base, n = exchange.blocks(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *through), "substring")
     answers: list[str] = []
     for step in lengths(window):
         sent = base.select("block", "text").mapInArrow(_send(window, answers, n), exchange.SENT)
         answers.append(shared.path_of(exchange.repeated(sent, f"substring-{step}")))
-    kind = base.schema["id"].dataType.simpleString()
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    out_schema = f"id {kind}, n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>"
-    arrow = to_arrow_schema(spark.createDataFrame([], out_schema).schema)
-    out = base.select("block", "id", "text").mapInArrow(_apply(window, answers, arrow), out_schema)
+    schema = T.StructType([base.schema["id"], *fields, *T._parse_datatype_string("n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>").fields])
+    out = base.mapInArrow(_apply(window, answers, to_arrow_schema(schema)), schema)
+    if carry:
+        return out.select(*shared.uncarried(out, carry), F.col("n_removed").alias("__removed"), F.col("kept").alias("__kept"))
     return out.withColumnRenamed("id", id_col)
