@@ -37,6 +37,15 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("best_similarity", F.round("best_similarity", 6))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import shared, warc
+
+    folder = shared.new_path(spark, "warc")
+    directory = warc.write_archives(_read(spark, sf_dir, "pages"), folder)
+    out = warc.read_archives(spark, folder, directory)
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -55,6 +64,7 @@ QUERIES = {
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_decontamination": op5_decontamination,
+    "op6_warc": op6_warc,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
 }
@@ -98,5 +108,13 @@ x AS (SELECT doc_id, st, ws.n, item_id, sum(least(ws.c, bc.c)) AS k FROM ws JOIN
 y AS (SELECT x.doc_id, x.st, x.item_id, k::DOUBLE / (wm.m + bm.m - k) AS s FROM x JOIN wm ON x.doc_id = wm.doc_id AND x.st = wm.st AND x.n = wm.n JOIN bm ON bm.item_id = x.item_id),
 r AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, count(DISTINCT (st, item_id)) AS n_windows, max(s) AS best FROM y WHERE s >= 0.8 GROUP BY 1)
 SELECT d.doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(n_windows, 0)::BIGINT AS n_windows, round(coalesce(best, 0), 6) AS best_similarity FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+""",
+    "op6_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+d AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS payload_digest FROM p),
+g AS (SELECT payload_digest, payload_bytes, max(page_id) AS first FROM d WHERE payload_bytes >= 1000 GROUP BY 1, 2)
+SELECT d.page_id, d.payload_bytes, d.payload_digest, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+CASE WHEN first <> page_id THEN first END AS refers_to
+FROM d LEFT JOIN g ON d.payload_digest = g.payload_digest AND d.payload_bytes = g.payload_bytes
 """,
 }

@@ -1,0 +1,62 @@
+import gzip
+import hashlib
+import random
+
+from docfathom.llm import shared, warc
+
+
+def test_ids_and_keys():
+    for n in (0, 1, 2**31, 2**32 + 5, 2**63 - 1, -1, -(2**63), None):
+        assert warc.page_of(f"<{warc.record_id(n)}>") == n
+    assert warc.sort_key("http://www.Example.com:80/a?b=1#x") == "com,example,www:80)/a?b=1"
+    assert warc.sort_key("https://a.b") == "b,a)/" and warc.sort_key(None) == "-" and warc.sort_key("x\ty") == "-x\ty"
+
+
+def test_round_trip(spark):
+    rng = random.Random(2)
+    big = ["é<p>" + "x" * 997, "b" * 5000, "c" * 999]
+    rows = [(i, f"https://h{rng.randint(0, 5)}.example.org/p{rng.randint(0, 300)}?q={i % 3}", rng.choice([*big, f"page {i}", "u" * 1500 + str(i)])) for i in range(1500)]
+    rows += [(None, "http://n/", big[1]), (5000, None, big[0]), (5000, None, big[0]), (5001, "no url\n\tat all", None), (5002, "", ""), (-7, "http://x", "\r\n\r\nodd" * 400), (5003, "http://l/", "long" * 300_000)]
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, size int").repartition(4)
+    folder = shared.new_path(spark, "warc")
+    directory = warc.write_archives(pages, folder)
+    got = warc.read_archives(spark, folder, directory).collect()
+    first = {}
+    for i, _, h in rows:
+        if h and len(h.encode()) >= 1000 and i is not None:
+            first[h] = max(first.get(h, i), i)
+    count = {}
+    for _, _, h in rows:
+        count[h] = count.get(h, 0) + 1
+
+    def want(i, h):
+        b = (h or "").encode()
+        ref = first[h] if len(b) >= 1000 and count[h] > 1 and first[h] != i else None
+        return (i, len(b), hashlib.sha1(b).hexdigest(), "revisit" if ref is not None else "response", ref, b if ref is None else None)
+
+    order = lambda x: repr(x)[:200]
+    assert sorted([want(i, h) for i, _, h in rows], key=order) == sorted([(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, None if r.payload is None else bytes(r.payload)) for r in got], key=order)
+
+    index = warc.CaptureIndex(folder, directory)
+    for i, u, h in rng.sample(rows[:1500], 20):
+        found = index.lookup(u)
+        assert {r["page_id"] for r in found} == {j for j, v, _ in rows if v is not None and warc.sort_key(v) == warc.sort_key(u)}
+        assert all(r["payload_digest"] for r in found)
+    assert index.lookup("http://absent.example/") == []
+    system, root = shared.filesystem(folder)
+    name = directory.first().archive
+    with system.open_input_file(f"{root}/{name}") as f:
+        assert gzip.decompress(f.read()).startswith(b"WARC/1.1\r\nWARC-Type: ")
+
+
+def test_keys_agree(spark):
+    urls = ["http://www.Example.com:80/a?b=1#x", "https://a.b", None, "", "x\ty", "ftp://u@h.c/", "http:///p", "HTTP://A.B.C?x"]
+    pages = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)], "page_id long, url string, html string")
+    folder = shared.new_path(spark, "warc")
+    directory = warc.write_archives(pages, folder)
+    index = warc.CaptureIndex(folder, directory)
+    for i, u in enumerate(urls):
+        if u:
+            assert i in {r["page_id"] for r in index.lookup(u)}, u
+    empty = warc.write_archives(pages.limit(0), shared.new_path(spark, "warc"))
+    assert empty.count() == 0
