@@ -40,12 +40,15 @@ def _bags(df: DataFrame, array: str, size: int, key: str) -> DataFrame:
 
 
 def simhash(bags: DataFrame, key: str) -> DataFrame:
-    """(key, fp, mass): 64-bit SimHash and total weight of each bag (key, h, weight)."""
-    sums = [F.sum(F.when(F.shiftright("h", b).bitwiseAND(1) == 1, F.col("weight")).otherwise(-F.col("weight"))).alias(f"b{b}") for b in range(BITS)]
-    fp = F.lit(0).cast("long")
-    for b in range(BITS):
-        fp = fp.bitwiseOR(F.when(F.col(f"b{b}") > 0, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-    return bags.groupBy(key).agg(F.sum("weight").alias("mass"), *sums).select(key, "mass", fp.alias("fp"))
+    """(key, mass, fp): total weight and 64-bit SimHash of each bag (key, h, weight); masses stay under 65536.
+
+    A sum holds the counts of four bits in lanes of 16 bits, so 16 sums count all bits.
+    """
+    lanes = [F.expr(f"sum(weight * (((h >> {b}) & 1) | (((h >> {b + 1}) & 1) << 16) | (((h >> {b + 2}) & 1) << 32) | (((h >> {b + 3}) & 1) << 48)))") for b in range(0, BITS, 4)]
+    sums = bags.groupBy(key).agg(F.sum("weight").alias("mass"), *[x.alias(f"s{i}") for i, x in enumerate(lanes)])
+    sums = sums.select(key, "mass", F.array(*[f"s{i}" for i in range(len(lanes))]).alias("s"))
+    bit = "((s[b div 4] >>> ((b % 4) * 16)) & 65535) * 2 > mass"
+    return sums.select(key, "mass", F.expr(f"aggregate(sequence(0, {BITS - 1}), 0L, (fp, b) -> fp | if({bit}, 1L << b, 0L))").alias("fp"))
 
 
 def _block(fp: Column, i: Column) -> Column:
