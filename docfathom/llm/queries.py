@@ -10,6 +10,15 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import materialise, shared
+
+    folder = shared.new_path(spark, "shards")
+    index = materialise.materialise(_read(spark, sf_dir, "documents"), folder, size=1024)
+    out = materialise.read_shards(spark, folder, index, size=1024)
+    return out.select("slot", "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -66,6 +75,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_shards": op1_token_shards,
     "op2_toxicity": op2_toxicity,
     "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_substring_dedup": op4_substring_dedup,
