@@ -55,6 +55,13 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op7_lpf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lpf import drop_repeated_bytes
+
+    out = drop_repeated_bytes(_read(spark, sf_dir, "documents"), window=200)
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -81,6 +88,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_decontamination": op5_decontamination,
     "op6_warc": op6_warc,
+    "op7_lpf_dedup": op7_lpf_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_html_extraction": op10_html_extraction,
