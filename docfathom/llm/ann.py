@@ -19,8 +19,8 @@ from . import shared
 
 SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 64 << 20
 BRANCHES, LEAF_ROWS, CALIBRATION = 16, 200, 64
-#: Vectors and queries that one task compares at once.
-BLOCK_ROWS, BLOCK_QUERIES = 2000, 1000
+#: Vectors (and bytes of them) that a task compares with a block of queries: whole leaves, or parts of a large one.
+BLOCK_ROWS, BLOCK_BYTES, BLOCK_QUERIES = 20_000, 32 << 20, 1000
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -105,20 +105,22 @@ def _matrix(column, d: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, d)
 
 
-def best(q: np.ndarray, own, x: np.ndarray, ids: np.ndarray, k: int):
-    """For each query the k rows of x with the largest inner products, ties to smaller ids, without its own: (query row, id, score)."""
-    scores = q @ x.T
-    for i in range(len(q)):
-        s = scores[i]
-        if len(s) > 2 * (k + 1):
-            cut = np.partition(s, len(s) - k - 1)[len(s) - k - 1]
-            take = np.flatnonzero(s >= cut - 1e-9 * (1 + abs(cut)))
-        else:
-            take = np.arange(len(s))
-        take = take[ids[take] != own[i]]
-        exact = (x[take] * q[i]).sum(axis=1)  # the same order of additions for each row, so that equal vectors tie
-        for j in np.lexsort((ids[take], -exact))[:k]:
-            yield i, int(ids[take[j]]), float(exact[j])
+def best(q: np.ndarray, own, x: np.ndarray, ids: np.ndarray, k: int, seen=None):
+    """For each query the k rows of x with the largest inner products, ties to smaller ids, without its own: (query row, id, score).
+
+    seen: for each query which rows count.
+    """
+    for at in range(0, len(q), 100):
+        scores = q[at : at + 100] @ x.T
+        if seen is not None:
+            scores[~seen[at : at + 100]] = -np.inf
+        for i, s in enumerate(scores, at):
+            cut = np.partition(s, len(s) - k - 1)[len(s) - k - 1] if len(s) > k + 1 else -np.inf
+            take = np.flatnonzero(s >= cut - 1e-9 * (1 + abs(cut)) if np.isfinite(cut) else s > -np.inf)
+            take = take[ids[take] != own[i]]
+            exact = (x[take] * q[i]).sum(axis=1)  # the same order of additions for each row, so that equal vectors tie
+            for j in np.lexsort((ids[take], -exact))[:k]:
+                yield i, int(ids[take[j]]), float(exact[j])
 
 
 _FOUND = pa.schema([("qid", pa.int64()), ("id", pa.int64()), ("score", pa.float64())])
@@ -134,6 +136,8 @@ def _brute(q: np.ndarray, own: np.ndarray, d: int, k: int):
     def run(batches):
         for batch in batches:
             x, ids = _matrix(batch.column("vec"), d), batch.column("id").to_numpy()
+            ids, first = np.unique(ids, return_index=True)
+            x = x[first]
             yield from _found((int(own[i]), j, s) for i, j, s in best(q, own, x, ids, k)).to_batches()
 
     return run
@@ -159,28 +163,45 @@ def _visits(tree: Tree, q: np.ndarray, visits: int, rows: np.ndarray, k: int) ->
     return out
 
 
-def _walk(tree: Tree, d: int, visits: int, rows: np.ndarray, k: int):
+def _walk(tree: Tree, d: int, visits: int, rows: np.ndarray, k: int, bin_of: np.ndarray):
+    """For each query a row for each bin that holds leaves it visits."""
+
     def run(batches):
         for batch in batches:
             q = _matrix(batch.column("vec"), d)
-            row, leaf = [], []
+            row, bins, leaves = [], [], []
             for i in range(len(q)):
-                own = _visits(tree, q[i], visits, rows, k)
+                own: dict[int, list[int]] = {}
+                for leaf in _visits(tree, q[i], visits, rows, k):
+                    own.setdefault(int(bin_of[leaf]), []).append(leaf)
                 row += [i] * len(own)
-                leaf += own
+                bins += own
+                leaves += own.values()
             at = pa.array(row, pa.int32())
-            yield pa.record_batch([pa.array(leaf, pa.int32()), batch.column("id").take(at), batch.column("vec").take(at)], names=["leaf", "id", "vec"])
+            yield pa.record_batch(
+                [pa.array(bins, pa.int32()), batch.column("id").take(at), batch.column("vec").take(at), pa.array(leaves, pa.list_(pa.int32()))],
+                names=["bin", "id", "vec", "leaves"],
+            )
 
     return run
 
 
 def _compare(d: int, k: int):
     def run(table: pa.Table) -> pa.Table:
-        role, ids = table.column("role").to_numpy(), table.column("id").to_numpy()
+        ids, leaves = table.column("id").to_numpy(), table.column("leaves").to_pylist()
         x = _matrix(table.column("vec"), d)
-        q, v = role == 1, role == 0
-        own = ids[q]
-        return _found((int(own[i]), j, s) for i, j, s in best(x[q], own, x[v], ids[v], k))
+        role = table.column("role").to_numpy()
+        q, v = np.flatnonzero(role == 1), np.flatnonzero(role == 0)
+        v = v[np.unique(ids[v], return_index=True)[1]]
+        if not len(q) or not len(v):
+            return _FOUND.empty_table()
+        held, leaf = np.unique([leaves[i][0] for i in v], return_inverse=True)
+        visited = np.array([np.isin(held, leaves[i]) for i in q])
+        found = []
+        for at in range(0, len(q), 100):  # bounds the masks
+            part = q[at : at + 100]
+            found += [(int(ids[part[i]]), j, s) for i, j, s in best(x[part], ids[part], x[v], ids[v], k, visited[at : at + 100][:, leaf])]
+        return _found(found)
 
     return run
 
@@ -191,7 +212,7 @@ def usable(vec) -> F.Column:
     return vec.isNotNull() & ~F.coalesce(odd, F.lit(True)) & F.exists(vec, lambda x: x != 0)
 
 
-def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, recall: float = 0.97) -> DataFrame:
+def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 20, k: int = 20, recall: float = 0.95) -> DataFrame:
     """For each row whose id is divisible by `every`, the k other rows of largest inner product that the tree finds.
 
     Ties go to smaller ids; fewer rows come only if there are no more candidates. Vectors that are null, zero, of another length than
@@ -235,16 +256,26 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
             break
         visits = min(tree.leaves, visits + max(1, visits // 4))
 
-    walked = shared.stage(queries.repartition(F.col("id")).mapInArrow(_walk(tree, d, visits, held, k), "leaf int, id long, vec array<float>"), "walked")
-    asked = np.zeros(tree.leaves, np.int64)
-    for r in walked.groupBy("leaf").count().collect():
-        asked[r["leaf"]] = r["count"]
-    parts = lambda n, size: np.maximum(1, -(-n // size)).tolist()
-    n_rows, n_asked = F.array(*map(F.lit, parts(held, BLOCK_ROWS))), F.array(*map(F.lit, parts(asked, BLOCK_QUERIES)))
-    mine = lambda n: F.pmod(F.xxhash64("id"), n[F.col("leaf")])
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), (n[F.col("leaf")] - 1).cast("long")))
-    side_v = filed.select("leaf", mine(n_rows).alias("a"), each(n_asked).alias("b"), "id", "vec", F.lit(0).alias("role"))
-    side_q = walked.select("leaf", each(n_rows).alias("a"), mine(n_asked).alias("b"), "id", "vec", F.lit(1).alias("role"))
-    found = side_v.unionByName(side_q).groupBy("leaf", "a", "b").applyInArrow(_compare(d, k), _FOUND_SQL).distinct()
+    # bins of whole leaves with about as many rows as a task compares at once
+    block = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * d)))
+    bin_of, in_bin = np.zeros(tree.leaves, np.int64), [0]
+    for leaf, n in enumerate(held.tolist()):
+        if in_bin[-1] and in_bin[-1] + n > block:
+            in_bin.append(0)
+        bin_of[leaf] = len(in_bin) - 1
+        in_bin[-1] += n
+    walked = queries.repartition(F.col("id")).mapInArrow(_walk(tree, d, visits, held, k, bin_of), "bin int, id long, vec array<float>, leaves array<int>")
+    walked = shared.stage(walked, "walked")
+    asked = np.zeros(len(in_bin), np.int64)
+    for r in walked.groupBy("bin").count().collect():
+        asked[r["bin"]] = r["count"]
+    parts = lambda n, size: F.array(*map(F.lit, np.maximum(1, -(-np.array(n) // size)).tolist()))
+    n_rows, n_asked = parts(in_bin, block), parts(asked, BLOCK_QUERIES)
+    mine = lambda n: F.pmod(F.xxhash64("id"), n[F.col("bin")])
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), (n[F.col("bin")] - 1).cast("long")))
+    side_v = filed.withColumn("bin", F.array(*map(F.lit, bin_of.tolist()))[F.col("leaf")].cast("int"))
+    side_v = side_v.select("bin", mine(n_rows).alias("a"), each(n_asked).alias("b"), "id", "vec", F.array("leaf").alias("leaves"), F.lit(0).alias("role"))
+    side_q = walked.select("bin", each(n_rows).alias("a"), mine(n_asked).alias("b"), "id", "vec", "leaves", F.lit(1).alias("role"))
+    found = side_v.unionByName(side_q).groupBy("bin", "a", "b").applyInArrow(_compare(d, k), _FOUND_SQL).groupBy("qid", "id").agg(F.max("score").alias("score"))
     ranked = found.withColumn("rank", F.row_number().over(first)).filter(F.col("rank") <= k)
     return ranked.select(F.col("qid").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score", F.lit(int(visits)).alias("visits"))
