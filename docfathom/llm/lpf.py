@@ -320,25 +320,32 @@ def _bucket(window: int):
         order = np.lexsort((cols["start"], cols["uid"]))
         cols = {c: v[order] for c, v in cols.items()}
         texts = [table.column("text")[int(i)].as_py() for i in order]
-        begin = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        text = np.frombuffer(b"".join(texts), np.uint8)
-        n = cols["starts"].astype(np.int64)
-        of = np.repeat(np.arange(len(texts)), n)
-        starts = np.arange(len(of)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n) + begin[of]
-        length, source = longest_previous_factors(text, starts)
+        # equal pieces are sorted once, for the first of them
+        first_of: dict[bytes, int] = {}
+        rep = np.array([first_of.setdefault(t, i) for i, t in enumerate(texts)])
+        own = np.unique(rep)
+        copies = np.bincount(rep, cols["n"], len(texts))
+        begin = np.concatenate([[0], np.cumsum([len(texts[i]) for i in own])])
+        n = cols["starts"][own].astype(np.int64)
+        of = np.repeat(np.arange(len(own)), n)
+        inside = np.arange(len(of)) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+        starts = inside + begin[of]
+        length, source = longest_previous_factors(np.frombuffer(b"".join(texts[i] for i in own), np.uint8), starts)
         later = length >= window
-        repeated = later | (cols["n"][of] > 1)
+        repeated = later | (copies[own][of] > 1)
         repeated[np.searchsorted(starts, source[later])] = True
-        shift = cols["shift"].astype(np.int64)
-        out = []
-        for mask in (repeated, later):
-            at = starts[mask] - begin[of[mask]] + shift[of[mask]]
-            out.append(np.split(at.astype(np.int32), np.searchsorted(of[mask], np.arange(1, len(texts)))))
-        hit = [i for i in range(len(texts)) if len(out[0][i])]
-        return pa.table(
-            [pa.array(cols["block"][hit], pa.int32()), pa.array(cols["piece"][hit], pa.int64()), pa.array([_pack(out[0][i]) for i in hit], pa.binary()), pa.array([_pack(out[1][i]) for i in hit], pa.binary())],
-            schema=_RESULT,
-        )
+        ends = np.searchsorted(of, np.arange(len(own) + 1))
+        place = np.searchsorted(own, rep)
+        block, piece, again, old = [], [], [], []
+        for i in range(len(texts)):
+            a, z, shift = ends[place[i]], ends[place[i] + 1], int(cols["shift"][i])
+            at = inside[a:z][repeated[a:z]] + shift
+            if len(at):
+                block.append(int(cols["block"][i]))
+                piece.append(int(cols["piece"][i]))
+                again.append(_pack(at))
+                old.append(_pack(inside[a:z][later[a:z]] + shift) if rep[i] == i else again[-1])
+        return pa.table([pa.array(block, pa.int32()), pa.array(piece, pa.int64()), pa.array(again, pa.binary()), pa.array(old, pa.binary())], schema=_RESULT)
 
     return run
 
