@@ -223,10 +223,14 @@ def embed_query(text: str) -> np.ndarray:
     return get_provider().embed_query(text)
 
 
-def embed_frame(rows: DataFrame, make: Callable[[], EmbeddingProvider] = get_provider, text_col: str = "content", batch: int = VOYAGE_BATCH) -> DataFrame:
-    """rows with a column embedding. Each worker makes one provider and sends it up to `batch` texts at a time; no row, no call."""
+def embed_frame(rows: DataFrame, make: Callable[[], EmbeddingProvider] | None = None, text_col: str = "content", batch: int = VOYAGE_BATCH) -> DataFrame:
+    """rows with a column embedding. Each worker makes one provider, or gets a copy of the process's, and sends it up to `batch` texts at a time; no row, no call."""
     from pyspark.sql import types as T
 
+    if make is None:
+        held = get_provider()
+        make = lambda: held
+
     schema = T.StructType([*rows.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
 
     def run(frames):

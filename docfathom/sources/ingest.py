@@ -53,7 +53,7 @@ def format_result(r: IngestResult) -> str:
     return f"  {r.total} chunks: {r.embedded} embedded, {r.skipped} skipped, {r.deleted} deleted ({format_duration(r.duration_ms)})"
 
 
-def merge_chunks(store: IndexStore, name: str, parsed: list[dict], api: dict, make: Callable = embed.get_provider) -> IngestResult:
+def merge_chunks(store: IndexStore, name: str, parsed: list[dict], api: dict, make: Callable | None = None) -> IngestResult:
     """Compare with what is stored by content hash, embed what changed, and commit source and chunks together.
 
     Embedding comes before any write, so a provider that fails leaves the store as it was. Of chunks with one id the last is kept; all
@@ -81,7 +81,7 @@ def merge_chunks(store: IndexStore, name: str, parsed: list[dict], api: dict, ma
     return IngestResult(name, len(parsed), changed, len(parsed) - changed, deleted, False, 1000 * (time.perf_counter() - begin))
 
 
-def ingest_api(store: IndexStore, name: str, spec: str, docs: str | None = None, force: bool = False, make: Callable = embed.get_provider) -> IngestResult:
+def ingest_api(store: IndexStore, name: str, spec: str, docs: str | None = None, force: bool = False, make: Callable | None = None) -> IngestResult:
     """Ingest a specification, with markdown files if docs names their folder."""
     ident, digest = source_id(name), source_hash(spec, docs)
     if not force and store.source_hash(ident) == digest:
@@ -95,7 +95,7 @@ def ingest_api(store: IndexStore, name: str, spec: str, docs: str | None = None,
     return merge_chunks(store, name, chunks, api, make)
 
 
-def ingest_docs(store: IndexStore, name: str, docs: str, force: bool = False, make: Callable = embed.get_provider) -> IngestResult:
+def ingest_docs(store: IndexStore, name: str, docs: str, force: bool = False, make: Callable | None = None) -> IngestResult:
     """Ingest a folder of markdown files."""
     if not os.path.exists(docs):
         raise ValueError(f"docs path does not exist: {docs}")

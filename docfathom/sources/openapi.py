@@ -46,6 +46,11 @@ def entries(mapping) -> list[tuple[str, object]]:
     return sorted(number, key=lambda x: int(x[0])) + [x for x in items if x not in number]
 
 
+def there(value) -> bool:
+    """Whether a value counts as given: empty mappings and lists do."""
+    return value is not None and value is not False and value != 0 and value != ""
+
+
 def shown(value) -> str:
     """A value in a text: lists by commas, absent ones by name."""
     if isinstance(value, list):
@@ -94,7 +99,7 @@ class Resolver:
 
 def _schema_lines(schema: dict) -> str:
     kind = schema.get("type")
-    if kind == "object" and schema.get("properties"):
+    if kind == "object" and there(schema.get("properties")):
         out = ["- type: object", "  properties:"]
         for name, p in entries(schema["properties"]):
             out.append(f"    - {name} ({shown(p['type']) if p.get('type') is not None else 'unknown'})" + (f" - {p['description']}" if p.get("description") else ""))
@@ -108,7 +113,7 @@ def _schema_lines(schema: dict) -> str:
 def _media(content, lead: str) -> Iterator[str]:
     for kind, media in entries(content):
         yield f"{lead}Content-Type: {kind}"
-        if (media or {}).get("schema"):
+        if there((media or {}).get("schema")):
             yield _schema_lines(media["schema"])
 
 
@@ -131,13 +136,13 @@ def _endpoint(method: str, path: str, op: dict) -> list[str]:
         for p in op["parameters"]:
             kind = (p.get("schema") or {}).get("type")
             lines.append(f"- **{shown(p.get('name'))}** [{shown(p.get('in'))}]" + (f" : {shown(kind)}" if kind else "") + (" (required)" if p.get("required") else ""))
-    if (op.get("requestBody") or {}).get("content"):
+    if there((op.get("requestBody") or {}).get("content")):
         lines += ["\n## Request Body\n", *_media(op["requestBody"]["content"], "")]
-    if op.get("responses"):
+    if there(op.get("responses")):
         lines.append("\n## Responses\n")
         for status, r in entries(op["responses"]):
             lines.append(f"### {status}: {shown((r or {}).get('description'))}")
-            if (r or {}).get("content"):
+            if there((r or {}).get("content")):
                 lines += _media(r["content"], "\n")
     return lines
 
@@ -180,7 +185,7 @@ def parse_openapi_text(text: str, api_id: str, path: str, read: Callable[[str],
     for route, item in entries(raw.get("paths")):
         for method in METHODS:
             op = (item or {}).get(method)
-            if op:
+            if there(op):
                 meta = {"path": route, "method": method, "tags": op["tags"] if op.get("tags") is not None else [], "operationId": op.get("operationId")}
                 out.append(chunk(f"{api_id}:endpoint:{method}:{route}", api_id, "endpoint", f"{method.upper()} {route}", "\n".join(_endpoint(method, route, op)), meta))
     for name, s in entries((raw.get("components") or {}).get("schemas")):

@@ -12,10 +12,10 @@ from ..sources import embed, markdown
 from ..sources.store import IndexStore
 
 
-def watch_markdown(store: IndexStore, folder: str, api: dict, checkpoint: str, make: Callable = embed.get_provider, once: bool = True) -> StreamingQuery:
+def watch_markdown(store: IndexStore, folder: str, api: dict, checkpoint: str, make: Callable | None = None, once: bool = True) -> StreamingQuery:
     """Each batch's chunks are inserted or replaced by id; a batch that runs again gives the same store."""
     store.upsert_api(api)
-    files = store.spark.readStream.option("pathGlobFilter", "*.md").option("wholetext", True).text(folder)
+    files = store.spark.readStream.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     files = files.select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"), F.lit(api["id"]).alias("api_id"))
 
     def merge_batch(batch, _epoch: int) -> None:
