@@ -23,7 +23,7 @@ from .hashing import byte_values, mix, sliding, starts_within, sums, text_buffer
 from .substring import _runs_within
 
 #: Bytes of pieces in a bucket, about, and pieces with one representative beyond which it counts as hot.
-BUCKET_BYTES, HOT_PIECES = 2 << 20, 4000
+BUCKET_BYTES, HOT_PIECES = 1 << 20, 2000
 
 
 class SuffixOrder:
@@ -404,7 +404,7 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = docs.sparkSession
     shared.small_batches(spark)
     small, large = window // 5, window // 2
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.coalesce(F.encode(F.col(text_col), "UTF-8"), F.lit(b"")).alias("text"))
+    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     base, ranges = exchange.blocks(rows, "lpf")
 
     # equal texts: only the first takes part, for all

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker works on at once.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 _local: dict[str, str] = {}
 
 
