@@ -193,7 +193,8 @@ def _blocks(percent: int):
 
 def components(links: DataFrame) -> DataFrame:
     """The least vertex of each component: (v, label) for every vertex of links (a, b)."""
-    both = shared.stage(links.union(links.select("b", "a")).distinct(), "links").toDF("src", "dst")
+    links_both = shared.stage(links.union(links.select("b", "a")).distinct(), "links")
+    both = links_both.toDF("src", "dst")
     labels = shared.stage(both.groupBy(F.col("src").alias("v")).agg(F.min(F.least("src", "dst")).alias("label")), "labels")
     while True:
         near = both.join(labels, F.col("src") == F.col("v")).groupBy("dst").agg(F.min("label").alias("near"))
@@ -206,6 +207,7 @@ def components(links: DataFrame) -> DataFrame:
         labels = jumped.select("v", "label")
         labels._docfathom_path = path
         if not changed:
+            shared.discard(links_both)
             return labels
 
 
@@ -239,17 +241,20 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, size: int,
     side = side.unionByName(hubs.select("center", "part", F.col("center").alias("uid"), F.lit(1).alias("role"), "shingles"))
     links = shared.stage(side.groupBy("center", "part").applyInArrow(_star(percent), _LINKS_SQL), "star")
     labels = components(links)
+    shared.discard(links, wanted)
 
     # buckets whose members are still in different components
     lab = labels.withColumnRenamed("v", "uid")
     told = members.join(lab, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     told = shared.stage(told.select("h", "uid", "label", "c", "sig", "center", "last", (F.col("uid") == F.col("center")).alias("first")), "told")
+    shared.discard(members, buckets)
     # a bucket's hub is the component of its first member; equal buckets (the same members) are looked at once
     per = told.groupBy("h", "c", "sig", "center", "last").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.max(F.when(F.col("first"), F.col("label"))).alias("hub"))
     per = per.filter("lo < hi").groupBy("c", "sig", "center", "last", "hub").agg(F.min("h").alias("h"))
     open_ = shared.stage(per.select("h", F.col("c").alias("weight"), "hub"), "open")
     mixed = shared.split_join(told.select("h", "uid", "label", "c"), open_, "h", "weight", total).withColumn("minor", F.col("label") != F.col("hub"))
-    mixed = shared.stage(mixed, "mixed")
+    mixed = mixed_table = shared.stage(mixed, "mixed")
+    shared.discard(told, open_)
     minors = mixed.filter("minor").groupBy("h").agg(F.count("*").alias("m"), F.max("c").alias("weight"))
     mixed = shared.split_join(mixed.drop("weight"), minors, "h", "weight", total)
     slots = lambda n: F.ceil(n / F.lit(CHUNK)).cast("int")
@@ -259,10 +264,12 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, size: int,
     as_minor = mixed.filter("minor").select("h", F.col("mine_minor").alias("x"), F.explode(F.sequence(F.lit(0), F.col("s_all") - 1)).alias("y"), "uid", "label", F.lit(1).alias("role"))
     work = as_all.unionByName(as_minor).join(sets, "uid")
     more = shared.stage(work.groupBy("h", "x", "y").applyInArrow(_guard(_blocks(percent)), _LINKS_SQL), "more")
+    shared.discard(sets, mixed_table)
     top = components(more)
     label = labels.join(top.select(F.col("v").alias("label"), F.col("label").alias("top")), "label", "left").select("v", F.coalesce("top", "label").alias("label"))
     lone = top.join(labels.select("v"), "v", "left_anti")
     label = shared.stage(label.unionByName(lone), "label")
+    shared.discard(labels, top, more)
 
     placed = classes.join(label, F.col("rep") == F.col("v"), "left").select("key", "least", "copies", F.coalesce("label", "rep").alias("label"))
     placed = shared.stage(placed, "placed")
