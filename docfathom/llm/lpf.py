@@ -23,7 +23,7 @@ from .hashing import byte_values, mix, sliding, starts_within, sums, text_buffer
 from .substring import _runs_within
 
 #: Bytes of pieces in a bucket, about, and pieces with one representative beyond which it counts as hot.
-BUCKET_BYTES, HOT_PIECES = 1 << 20, 2000
+BUCKET_BYTES, HOT_PIECES = 1 << 20, 4000
 
 
 class SuffixOrder:
@@ -436,7 +436,10 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         pieces = pieces.join(known, "anchor", "left_anti").unionByName(single)
     buckets = max(1, -(-size // BUCKET_BYTES))
     filed = pieces.withColumn("r", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
-    told = shared.stage(filed.groupBy("r").applyInArrow(_bucket(window), RESULT), "factors")
+    told = filed.groupBy("r").applyInArrow(_bucket(window), RESULT)
+    # a hot piece has a row for each of its windows; together they are one row again
+    joined = lambda c: F.aggregate(F.collect_list(c), F.lit(b""), lambda a, x: F.concat(a, x)).alias(c)
+    told = shared.stage(told.groupBy("block", "piece").agg(joined("repeated"), joined("later")), "factors")
 
     places = parts.select("block", "piece", "uid", "start", F.col("text").isNotNull().alias("first"))
     cuts = places.join(told, ["block", "piece"])
