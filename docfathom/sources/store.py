@@ -1,8 +1,9 @@
 """The index store: parquet snapshots behind one pointer file.
 
 A store is a folder with CURRENT (JSON) and immutable folders of parquet. Chunks are kept per source, so a commit writes the sources that
-changed, and the table of sources, and then replaces CURRENT at once. Readers hold the snapshot that they opened. A chunk is one row with
-its vector and its index terms, so these cannot get out of step.
+changed, and the table of sources, and then replaces CURRENT at once. Readers hold the snapshot that they opened. A chunk and its vector
+are one row; the inverted index of a source is written with its chunks, sorted by term, and becomes current in the same step, as do the
+numbers of chunks and terms that ranking needs. A search reads the row groups of its terms, not the chunks.
 """
 
 from __future__ import annotations
@@ -14,11 +15,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import CHUNK_TYPES
+from ..functions.text import CHUNK_TYPES, sanitize_query, token_list
 from ..operators import fts, hybrid, merge
 
 APIS = "id string, name string, version string, spec_path string, docs_path string, source_hash string, spec_content string, created_at string, updated_at string"
 CHUNKS = "id string, api_id string, type string, title string, content string, content_hash string, metadata string, created_at string, embedding array<float>"
+POSTINGS = "term string, id string, api_id string, type string, dl int, tf int, positions array<struct<col:int,pos:int>>"
 DEFAULT_DIMENSION = 1024
 #: Environment variable with the store's folder.
 PATH_VARIABLE, DEFAULT_PATH = "DOCFATHOM_DB_PATH", "docfathom-index"
@@ -42,7 +44,7 @@ class IndexStore:
         self._fs = self._jvm.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
         self.state = self._load()
         if self.state is None:
-            self.state = {"embedding_dimension": dimension, "apis": None, "chunks": {}}
+            self.state = {"embedding_dimension": dimension, "apis": None, "chunks": {}, "postings": {}, "stats": {}}
             self._point()
         self.require(dimension)
 
@@ -105,14 +107,18 @@ class IndexStore:
 
     def commit(self, apis: DataFrame | None = None, chunks: dict[str, DataFrame | None] | None = None) -> None:
         """Write new contents of the sources table, and of the chunks of some sources (None: no chunks), and make them current together."""
-        state = {**self.state, "chunks": dict(self.state["chunks"])}
+        state = {**self.state, **{k: dict(self.state[k]) for k in ("chunks", "postings", "stats")}}
         if apis is not None:
             state["apis"] = self._write(apis.coalesce(1), "apis")
         for api, rows in (chunks or {}).items():
-            if rows is None:
-                state["chunks"].pop(api, None)
-            else:
-                state["chunks"][api] = self._write(rows, "chunks")
+            for part in ("chunks", "postings", "stats"):
+                state[part].pop(api, None)
+            if rows is not None:
+                place = state["chunks"][api] = self._write(rows, "chunks")
+                toks = fts.tokenised(self.spark.read.schema(CHUNKS).parquet(place))
+                sizes = toks.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
+                state["stats"][api] = [sizes["n"], sizes["dl"]]
+                state["postings"][api] = self._write(fts.postings(toks).sortWithinPartitions("term", "id"), "postings")
         self.state = state
         self._point()
 
@@ -145,14 +151,19 @@ class IndexStore:
         rows = self.chunks([api_id]).filter(F.col("api_id") == api_id)
         return (rows.filter(F.col("type") == kind) if kind else rows).orderBy("id")
 
+    def _sources_of(self, *ids: str) -> list[str] | None:
+        """The sources that hold chunks of these ids, if the ids begin with the sources' own, as ingested ones do."""
+        known = {i.split(":", 1)[0] for i in ids}
+        return sorted(known) if known <= self.state["chunks"].keys() else None
+
     def chunk_by_id(self, ident: str) -> dict | None:
-        row = self.chunks().filter(F.col("id") == ident).first()
+        row = self.chunks(self._sources_of(ident)).filter(F.col("id") == ident).first()
         return read_chunk(row) if row else None
 
     def chunks_by_ids(self, ids: list[str]) -> list[dict]:
         if not ids:
             return []
-        return [read_chunk(r) for r in self.chunks().filter(F.col("id").isin(*ids)).collect()]
+        return [read_chunk(r) for r in self.chunks(self._sources_of(*ids)).filter(F.col("id").isin(*ids)).collect()]
 
     # --- writing
     def upsert_api(self, api: dict) -> None:
@@ -193,12 +204,23 @@ class IndexStore:
         self.commit(self._with_api(api), {api["id"]: chunks})
 
     # --- search
+    def index(self, query: str | None = None) -> DataFrame:
+        """The inverted index; with a query, its terms only, so that the reader skips other row groups."""
+        places = list(self.state["postings"].values())
+        rows = self.spark.read.schema(POSTINGS).parquet(*places) if places else self.spark.createDataFrame([], POSTINGS)
+        if query is None:
+            return rows
+        terms = sorted({t for w in sanitize_query(query) for t in token_list(w)})
+        return rows.filter(F.col("term").isin(*terms)) if terms else rows.limit(0)
+
+    def stats(self) -> DataFrame:
+        n, dl = (sum(x[i] for x in self.state["stats"].values()) for i in (0, 1))
+        return self.spark.createDataFrame([(n, dl / n if n else 0.0)], "n long, avgdl double")
+
     def search(self, query: str, vector, options: hybrid.SearchOptions = hybrid.SearchOptions(), mode: str = "post") -> list[dict]:
         """Chunks with their scores, best first."""
         rows = self.chunks()
-        toks = fts.tokenised(rows)
-        index = fts.postings(toks)
-        found = hybrid.search(query, vector, rows.select("id", "api_id", "type"), rows.select("id", "embedding"), index, fts.corpus_stats(toks), options, mode)
+        found = hybrid.search(query, vector, rows.select("id", "api_id", "type"), rows.select("id", "embedding"), self.index(query), self.stats(), options, mode)
         hits = [r.asDict() for r in found.orderBy("position").collect()]  # at most options.limit
         by_id = {c["id"]: c for c in self.chunks_by_ids([h["id"] for h in hits])}
         return [{"chunk": by_id[h["id"]], "score": h["score"]} for h in hits if h["id"] in by_id]
