@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 64 << 20
+SAMPLE_ROWS, SAMPLE_BYTES = 20_000, 16 << 20
 BRANCHES, LEAF_ROWS, CALIBRATION = 16, 200, 64
 #: Vectors (and bytes of them) that a task compares with a block of queries: whole leaves, or parts of a large one.
 BLOCK_ROWS, BLOCK_BYTES, BLOCK_QUERIES = 20_000, 32 << 20, 1000
