@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import merge
@@ -53,32 +54,44 @@ def format_result(r: IngestResult) -> str:
     return f"  {r.total} chunks: {r.embedded} embedded, {r.skipped} skipped, {r.deleted} deleted ({format_duration(r.duration_ms)})"
 
 
-def merge_chunks(store: IndexStore, name: str, parsed: list[dict], api: dict, make: Callable | None = None) -> IngestResult:
+def chunk_rows(store: IndexStore, parsed: list[dict]) -> DataFrame:
+    fields = [f.split()[0] for f in openapi.CHUNK_FIELDS.split(", ")]
+    return store.spark.createDataFrame([tuple(c[f] for f in fields) for c in parsed], openapi.CHUNK_FIELDS)
+
+
+def merge_chunks(store: IndexStore, name: str, parsed: list[dict] | DataFrame, api: dict, make: Callable | None = None) -> IngestResult:
     """Compare with what is stored by content hash, embed what changed, and commit source and chunks together.
 
-    Embedding comes before any write, so a provider that fails leaves the store as it was. Of chunks with one id the last is kept; all
-    of them count.
+    parsed: chunks on the driver, or a frame of them (CHUNK_FIELDS), however large. A frame is parsed once, into the store's folder, and
+    each changed chunk is embedded once, while the new snapshot is written; a provider that fails leaves the store as it was. Of chunks
+    with one id the last is kept; all of them count.
     """
     begin = time.perf_counter()
-    spark = store.spark
-    held = store.chunks([api["id"]]) if api["id"] in store.state["chunks"] else spark.createDataFrame([], CHUNKS)
-    before = {r["id"]: r["content_hash"] for r in held.select("id", "content_hash").toLocalIterator()}
-    changed = sum(before.get(c["id"]) != c["content_hash"] for c in parsed)
-    ids = {c["id"] for c in parsed}
-    deleted = sum(i not in ids for i in before)
-    rows = spark.createDataFrame([tuple(c[f.split()[0]] for f in openapi.CHUNK_FIELDS.split(", ")) for c in parsed], openapi.CHUNK_FIELDS)
-    new = merge.last_of_each(rows)
-    told = merge.classify(new, held)
-    fresh = new.join(told.filter("action IN ('insert', 'update')").select("id"), "id", "left_semi").drop("seq")
-    if changed:
-        fresh = embed.embed_frame(fresh, make)
-    else:
-        fresh = fresh.withColumn("embedding", F.lit(None).cast("array<float>"))
+    scratch = None if isinstance(parsed, list) else store.scratch(parsed)
+    rows = chunk_rows(store, parsed) if scratch is None else store.spark.read.schema(openapi.CHUNK_FIELDS).parquet(scratch)
+    held = store.chunks([api["id"]]) if api["id"] in store.state["chunks"] else store.spark.createDataFrame([], CHUNKS)
+    old = held.select("id", F.col("content_hash").alias("old_hash"), F.col("created_at").alias("old_created"))
+    told = rows.join(old, "id", "left").agg(F.count("*").alias("total"), F.coalesce(F.sum((F.col("old_hash") == F.col("content_hash")).cast("long")), F.lit(0)).alias("skipped")).first()
+    deleted = merge.orphans(rows, held).count()
+
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
-    fresh = fresh.withColumn("created_at", now).select(*held.columns)
-    kept = held.join(told.filter("action != 'delete'").select("id"), "id", "left_semi")
-    store.replace(api, merge.upsert(kept, fresh))
-    return IngestResult(name, len(parsed), changed, len(parsed) - changed, deleted, False, 1000 * (time.perf_counter() - begin))
+    new = merge.last_of_each(rows).join(old, "id", "left").withColumn("created_at", F.coalesce("old_created", now))
+    same = F.coalesce(F.col("old_hash") == F.col("content_hash"), F.lit(False))
+    changed = new.filter(~same).drop("seq", "old_hash", "old_created")
+    embedded = told["total"] - told["skipped"]
+    fresh = embed.embed_frame(changed, make) if embedded else changed.withColumn("embedding", F.lit(None).cast("array<float>"))
+    kept = held.join(new.filter(same).select("id"), "id", "left_semi")
+    store.replace(api, kept.unionByName(fresh.select(*held.columns)))
+    if scratch:
+        store.drop(scratch)
+    return IngestResult(name, told["total"], embedded, told["skipped"], deleted, False, 1000 * (time.perf_counter() - begin))
+
+
+def ingest_files(store: IndexStore, name: str, files: DataFrame, make: Callable | None = None) -> IngestResult:
+    """Ingest markdown texts from a frame (path, content): read, split and embedded on the executors. The source is always compared."""
+    ident = source_id(name)
+    chunks = markdown.split_frame(files.select("path", "content", F.lit(ident).alias("api_id")))
+    return merge_chunks(store, name, chunks, {"id": ident, "name": name}, make)
 
 
 def ingest_api(store: IndexStore, name: str, spec: str, docs: str | None = None, force: bool = False, make: Callable | None = None) -> IngestResult:

@@ -105,6 +105,13 @@ class IndexStore:
         df.write.parquet(place)
         return place
 
+    def scratch(self, df: DataFrame) -> str:
+        """A folder beside the snapshots with the rows of df, for drop()."""
+        return self._write(df, "_scratch")
+
+    def drop(self, place: str) -> None:
+        self._fs.delete(self._jvm.Path(place), True)
+
     def commit(self, apis: DataFrame | None = None, chunks: dict[str, DataFrame | None] | None = None) -> None:
         """Write new contents of the sources table, and of the chunks of some sources (None: no chunks), and make them current together."""
         state = {**self.state, **{k: dict(self.state[k]) for k in ("chunks", "postings", "stats")}}

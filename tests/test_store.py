@@ -176,6 +176,19 @@ def test_incremental_ingest(spark, hashing, tmp_path):
     assert told(ingest.ingest_docs(store, "d", str(docs))) == (4, 4, 0, 0, False)
     assert store.chunks_by_api(ingest.source_id("d")).filter("id LIKE '%/s'").first().content == "2"
 
+    files = spark.createDataFrame([("/x/one.md", "# One\n\na\n\n## Two\n\nb"), ("/x/two.md", "# Three\n\nc")], "path string, content string")
+    assert told(ingest.ingest_files(store, "frame", files)) == (3, 3, 0, 0, False)
+    assert told(ingest.ingest_files(store, "frame", files.limit(1))) == (2, 0, 2, 1, False)
+
+    class Counting(embed.HashingProvider):
+        def embed_documents(self, texts):
+            with open(tmp_path / "calls", "a") as f:
+                f.write("x" * len(texts))
+            return super().embed_documents(texts)
+
+    ingest.ingest_files(store, "counted", files, lambda: Counting(16))
+    assert (tmp_path / "calls").read_text() == "xxx"  # each chunk once
+
     class Broken:
         dimension = 16
 
