@@ -40,10 +40,11 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .decontam import contaminated
+    """The leaks: documents that are not listed are clean."""
+    from .decontam import leaks
 
-    out = contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
-    return out.withColumn("best_similarity", F.round("best_similarity", 6))
+    out = leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", F.col("item").alias("item_id"), F.col("start").cast("long").alias("start"), F.round("similarity", 6).alias("similarity"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,9 +131,8 @@ wm AS (SELECT doc_id, n, st, sum(c) AS m FROM ws GROUP BY ALL),
 bc AS (SELECT item_id, n, h, count(*) AS c FROM bs GROUP BY ALL),
 bm AS (SELECT item_id, sum(c) AS m FROM bc GROUP BY ALL),
 x AS (SELECT doc_id, st, ws.n, item_id, sum(least(ws.c, bc.c)) AS k FROM ws JOIN bc ON ws.h = bc.h AND ws.n = bc.n GROUP BY ALL),
-y AS (SELECT x.doc_id, x.st, x.item_id, k::DOUBLE / (wm.m + bm.m - k) AS s FROM x JOIN wm ON x.doc_id = wm.doc_id AND x.st = wm.st AND x.n = wm.n JOIN bm ON bm.item_id = x.item_id),
-r AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, count(DISTINCT (st, item_id)) AS n_windows, max(s) AS best FROM y WHERE s >= 0.8 GROUP BY 1)
-SELECT d.doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(n_windows, 0)::BIGINT AS n_windows, round(coalesce(best, 0), 6) AS best_similarity FROM d LEFT JOIN r ON d.doc_id = r.doc_id
+y AS (SELECT x.doc_id, x.st, x.item_id, k::DOUBLE / (wm.m + bm.m - k) AS s FROM x JOIN wm ON x.doc_id = wm.doc_id AND x.st = wm.st AND x.n = wm.n JOIN bm ON bm.item_id = x.item_id)
+SELECT doc_id, item_id, st::BIGINT AS start, round(s, 6) AS similarity FROM y WHERE s >= 0.8
 """,
     "op6_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
