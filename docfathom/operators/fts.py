@@ -16,6 +16,8 @@ from ..functions.text import sanitized, tokens
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 #: Query terms that are broadcast, at most; more are joined by a shuffle.
 BROADCAST_TERMS = 200_000
+#: Terms that a filter of the index lists, at most.
+PUSHED_TERMS = 500
 
 
 def tokenised(chunks: DataFrame) -> DataFrame:
@@ -74,6 +76,9 @@ def bm25_scores(queries: DataFrame, index: DataFrame, stats: DataFrame, api_ids:
     Corpus statistics do not depend on the filters. A phrase of several terms has to stand in one column without a gap.
     """
     terms = query_terms(queries)
+    known = [r[0] for r in terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
+    if len(known) <= PUSHED_TERMS:  # reaches the scan of a stored index, and goes below the grouping of one that is made on the way
+        index = index.filter(F.col("term").isin(*known)) if known else index.limit(0)
     if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         terms = F.broadcast(terms)
     hits = index.join(terms, "term")
