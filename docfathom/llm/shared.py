@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,7 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = _local.setdefault("dir", "")
         if not base:
-            base = _local["dir"] = "file://" + tempfile.mkdtemp(prefix="docfathom-")
+            base = _local["dir"] = "file://" + (made := tempfile.mkdtemp(prefix="docfathom-"))
+            atexit.register(shutil.rmtree, made, ignore_errors=True)
     if "://" not in base:
         base = "file://" + base
     return base.rstrip("/")

@@ -55,10 +55,7 @@ def test_against_brute_force(spark):
     got = decontam.leaks(df, bench).collect()
     want = brute(docs, items)
     mine = {(r.doc_id, r.item) for r in got}
-    assert mine <= want
-    # windows lie where shingles align; an insertion can hide a window that only another start would show
-    missing = want - mine
-    assert len(missing) <= 0.05 * len(want), missing
+    assert mine == want
     rows = decontam.contaminated(df, bench).collect()
     assert len(rows) == len(docs)
     by = {r.doc_id: r for r in rows}
