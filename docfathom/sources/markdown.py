@@ -158,7 +158,7 @@ def pack(content: str, size: int = MAX_CHUNK) -> list[str]:
             out.append(part)
         else:
             units = part.encode("utf-16-le", "surrogatepass")
-            out += [units[i : i + 2 * size].decode("utf-16-le", "surrogatepass") for i in range(0, len(units), 2 * size)]
+            out += [units[i : i + 2 * size].decode("utf-16-le", "replace") for i in range(0, len(units), 2 * size)]  # a character cut in two is U+FFFD twice
     return out
 
 
