@@ -37,6 +37,9 @@ BOILERPLATE = frozenset(
     "nav navbar navigation menu submenu breadcrumb breadcrumbs crumbs sidebar side aside rail footer foot header masthead topbar banner cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup promo promotion ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors social share sharing sharebar related recommended recommendations comment comments commentlist disqus respond reply replies responses discussion pagination pager widget widgets toolbar login search searchbox skip hidden copyright legal tags tagcloud toc".split()
 )
 ARTICLE_WORDS = frozenset("article post entry story content articlebody postcontent entrycontent maincontent main".split())
+#: Words of classes that outweigh ARTICLE_WORDS, and those of article elements that are no article.
+NEVER_ARTICLE = frozenset("comment comments reply replies related sidebar footer ad ads promo".split())
+OTHER_ARTICLES = frozenset("comment comments reply replies related teaser promo sponsored ad".split())
 CLOSES = {
     "p": BLOCK - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "thead", "tfoot"}, "td": {"td", "th", "tr", "tbody"}, "th": {"td", "th", "tr", "tbody"},
     "option": {"option"}, "thead": {"tbody", "tfoot"}, "tbody": {"tbody", "tfoot"}, "head": {"body"},
@@ -119,11 +122,14 @@ def parse(page: str) -> Node:
 
 def dropped(node: Node, inside: bool) -> bool:
     """Whether a node is no part of an article; inside: it stands in one."""
-    if node.tag in DROPPED or "hidden" in node.words:
+    words = node.words
+    if node.tag in DROPPED or "hidden" in words or node.tag == "header" and not inside:
         return True
-    if node.tag == "header" and not inside:
-        return True
-    return node.tag not in ("html", "body", "article", "main") and bool(node.words & BOILERPLATE) and not (node.words & ARTICLE_WORDS and not node.words & {"comment", "comments", "reply", "replies", "related", "sidebar", "footer", "ad", "ads", "promo"}) or node.tag == "article" and bool(node.words & {"comment", "comments", "reply", "replies", "related", "teaser", "promo", "sponsored", "ad"})
+    if node.tag == "article":
+        return bool(words & OTHER_ARTICLES)
+    if node.tag in ("html", "body", "main") or not words & BOILERPLATE:
+        return False
+    return not words & ARTICLE_WORDS or bool(words & NEVER_ARTICLE)
 
 
 def text_size(node: Node, inside: bool = False) -> tuple[int, int]:
