@@ -83,6 +83,7 @@ def _send(bases: dict[int, int], n: int, key: int, size: int, per_shard: int):
         from zlib import crc32
 
         held: list[tuple[np.ndarray, bytes]] = []
+        codec = pa.Codec("zstd", compression_level=6)
 
         def flush():
             slots = np.concatenate([s for s, _ in held])
@@ -91,7 +92,7 @@ def _send(bases: dict[int, int], n: int, key: int, size: int, per_shard: int):
             slots, records = slots[order], records[order]
             shards = slots // per_shard
             cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(slots)]
-            rows = [(int(shards[a]), slots[a:b].tobytes(), pa.compress(records[a:b].tobytes(), "zstd", asbytes=True)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+            rows = [(int(shards[a]), slots[a:b].tobytes(), codec.compress(records[a:b].tobytes(), asbytes=True)) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
             held.clear()
             return pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["shard", "slots", "records"])
 
