@@ -46,6 +46,8 @@ MARKED = re.compile(
     rf"(?<=[A-Za-z]){_SIGN}+(?=[A-Za-z])|{_SIGN}[A-Za-z]{_SIGN}|(?<![^\s]){_SIGN}{{1,3}}(?=[A-Za-z]{{2}})|(?<=[A-Za-z]{{2}})[0-9@$|+€£]{{1,2}}(?![^\s])"
     r"|([A-Za-z])\1(?:\1|[A-Za-z]*([A-Za-z])\2[A-Za-z]*([A-Za-z])\3)|(?<=[A-Za-z])[.\-_~](?=[A-Za-z])"
 )
+#: Addresses are no words.
+ADDRESS = re.compile(r"[^\s@]{2,}@\w[^\s@]*\.[^\s@]{2,}")
 #: What separates words for the features.
 _PUNCTUATION = {ord(c): " " for c in ".,;:!?\"'()[]{}<>|/\\*_-=+"}
 
@@ -93,22 +95,24 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 
 
 class Decoder:
-    """Viterbi decoding of suspicious stretches."""
+    """Viterbi decoding of suspicious stretches of any length."""
 
     def __init__(self, costs: np.ndarray):
         self.costs = costs
+        self.flat = costs.reshape(-1, SYMBOLS).astype(float)
         self.decode = lru_cache(50_000)(self._decode)
 
-    def edges(self, raw: str, i: int, apart: bool):
-        """(what is written, next place, cost) for each edge that leaves place i of the lattice."""
+    def edges(self, raw: str, i: int, apart: bool, run: int | None = None):
+        """(what is written, next place, cost) for each edge that leaves place i of the lattice; run: where the run of equal signs ends."""
         c = raw[i]
         if c in " .-_~" or apart and c == "*":
             yield "", i + 1, JOINED
             yield " ", i + 1, SPLIT
             return
-        run = i
-        while run < len(raw) and raw[run] == c:
-            run += 1
+        if run is None:
+            run = i
+            while run < len(raw) and raw[run] == c:
+                run += 1
         if c.isalpha():
             yield c, i + 1, 0.0
             if run - i > 1:
@@ -127,28 +131,36 @@ class Decoder:
 
     def _decode(self, raw: str) -> str:
         apart = bool(re.search(r"^[^\s][ .\-_*~]{1,2}[^\s][ .\-_*~]", raw))
-        costs = self.costs
-        # best[i]: by the last three symbols, (cost, text)
-        best: list[dict[tuple[int, int, int], tuple[float, str]]] = [{} for _ in range(len(raw) + 1)]
-        best[0][0, 0, 0] = (0.0, "")
+        ends = [len(raw)] * len(raw)  # of runs of equal signs
+        for i in range(len(raw) - 2, -1, -1):
+            ends[i] = ends[i + 1] if raw[i] == raw[i + 1] else i + 1
+        # best[i]: by the last three symbols, (cost, what was written before and last); paths share what they have in common
+        best: dict[int, dict[int, tuple[float, tuple | None]]] = {0: {0: (0.0, None)}}
+        flat = self.flat
         for i in range(len(raw)):
-            here = best[i]
+            here = best.pop(i, None)
             if not here:
                 continue
             if len(here) > 64:  # the lattice is narrow; this only bounds odd inputs
-                here = dict(sorted(here.items(), key=lambda x: x[1])[:64])
-            steps = list(self.edges(raw, i, apart))
-            for (a, b, c), (cost, text) in here.items():
-                for out, to, price in steps:
-                    x, y, z, total = a, b, c, cost + price
-                    for ch in out:
-                        s = symbol(ch) if ch != " " else 0
-                        total += float(costs[x, y, z, s])
-                        x, y, z = (y, z, s) if s else (0, 0, 0)
-                    old = best[to].get((x, y, z))
+                here = dict(sorted(here.items(), key=lambda x: x[1][0])[:64])
+            steps = list(self.edges(raw, i, apart, ends[i]))
+            for out, to, price in steps:
+                there = best.setdefault(to, {})
+                symbols = [symbol(ch) if ch != " " else 0 for ch in out]
+                for z, (cost, path) in here.items():
+                    total = cost + price
+                    for s in symbols:
+                        total += flat.item(z, s)
+                        z = z % SYMBOLS**2 * SYMBOLS + s if s else 0
+                    old = there.get(z)
                     if old is None or total < old[0]:
-                        best[to][x, y, z] = (total, text + out)
-        return min((cost + float(costs[x, y, z, 0]), text) for (x, y, z), (cost, text) in best[-1].items())[1]
+                        there[z] = (total, (path, out))
+        _, path = min(((cost + flat.item(z, 0), path) for z, (cost, path) in best[len(raw)].items()), key=lambda x: x[0]) if raw else (0.0, None)
+        out = []
+        while path:
+            path, last = path
+            out.append(last)
+        return "".join(reversed(out))
 
     def restore(self, text: str) -> list[tuple[str, str]]:
         """(stretch, restored) for each suspicious stretch of text that decodes to something else."""
@@ -169,8 +181,8 @@ class Decoder:
         out = []
         for start, end in spans:
             core = text[start:end].lower().strip(".,;:?\"'")
-            if core and len(core) <= 80 and not ("@" in core[2:-3] and "." in core):  # longer ones and addresses are no words
-                got = self.decode(core).strip()
+            if core and not ADDRESS.fullmatch(core):
+                got = (self.decode if len(core) <= 80 else self._decode)(core).strip()  # long ones are not kept: they hardly come again
                 if got != core:
                     out.append((text[start:end], got))
         return out

@@ -29,6 +29,26 @@ def test_restores(decoder, raw, want):
         assert got.get(raw) == want
 
 
+@pytest.mark.parametrize(
+    ("raw", "found"),
+    [
+        (" ".join("youareastupidpatheticidiotandamoronandaloserandnobodylikesyou"), ["stupid", "pathetic"]),
+        ("stu" + "u" * 500 + "pid", ["stupid"]),
+        ("-".join(["never"] * 20 + ["1d10t"]), ["idiot"]),
+        (".".join("always" * 20 + "stupid"), ["stupid"]),
+    ],
+)
+def test_restores_long_stretches(decoder, raw, found):
+    assert len(raw) > 80
+    got = "".join(dict(decoder.restore(f"well {raw} .")).get(raw, "").split())
+    assert all(w in got for w in found)
+
+
+def test_addresses_are_no_words(decoder):
+    assert decoder.restore("write to st00pid@river.green.org please") == []
+    assert dict(decoder.restore("s.t.@.t.u.p.i.d")) != {}
+
+
 def test_leaves_plain_text(decoder):
     for text in ("the river is green.", "", "A tall house, never 1999 or 42!", "all good feelings", "b"):
         assert decoder.restore(text) == []
