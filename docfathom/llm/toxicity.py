@@ -95,12 +95,15 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 
 
 class Decoder:
-    """Viterbi decoding of suspicious stretches of any length."""
+    """Viterbi decoding of suspicious stretches: the cheapest path of all, whatever a stretch's length."""
 
     def __init__(self, costs: np.ndarray):
         self.costs = costs
         self.flat = costs.reshape(-1, SYMBOLS).astype(float)
         self.decode = lru_cache(50_000)(self._decode)
+        # a path that reads so many stars of a run one by one costs more than one that squeezes the run into its last letter: a star costs
+        # SUBSTITUTED at least, and another past changes the costs of four symbols, that letter and three after it
+        self.stars = int((SQUEEZED + 4 * float(costs.max())) / SUBSTITUTED) + 2
 
     def edges(self, raw: str, i: int, apart: bool, run: int | None = None):
         """(what is written, next place, cost) for each edge that leaves place i of the lattice; run: where the run of equal signs ends."""
@@ -129,6 +132,30 @@ class Decoder:
             if (letter := LOOKALIKE_PAIRS.get(raw[i : i + k])) and len(raw) >= i + k:
                 yield letter, i + k, SUBSTITUTED * k
 
+    def _many(self, here: dict, steps: list, best: dict) -> None:
+        """A step from many states at once: over all states for each edge."""
+        cost = np.full(SYMBOLS**3, np.inf)
+        cost[np.fromiter(here.keys(), np.int64, len(here))] = np.fromiter((x[0] for x in here.values()), float, len(here))
+        for out, to, price in steps:
+            code, total, source = np.arange(SYMBOLS**3), cost + price, np.arange(SYMBOLS**3)
+            for ch in out:
+                s = symbol(ch) if ch != " " else 0
+                total = total + self.flat[code, s]
+                if len(code) == SYMBOLS**3 and s:  # states that differ in their first symbol only meet
+                    total = total.reshape(SYMBOLS, -1)
+                    source, tail = total.argmin(0), np.arange(SYMBOLS**2)
+                    total, source, code = total[source, tail], source * SYMBOLS**2 + tail, tail * SYMBOLS + s
+                elif s:
+                    code = code % SYMBOLS**2 * SYMBOLS + s
+                else:
+                    k = total.argmin()
+                    total, source, code = total[k : k + 1], source[k : k + 1], np.zeros(1, np.int64)
+            there, known = best.setdefault(to, {}), np.isfinite(total)
+            for z, t, k in zip(code[known].tolist(), total[known].tolist(), source[known].tolist(), strict=True):
+                old = there.get(z)
+                if old is None or t < old[0]:
+                    there[z] = (t, (here[k][1], out))
+
     def _decode(self, raw: str) -> str:
         apart = bool(re.search(r"^[^\s][ .\-_*~]{1,2}[^\s][ .\-_*~]", raw))
         ends = [len(raw)] * len(raw)  # of runs of equal signs
@@ -136,14 +163,19 @@ class Decoder:
             ends[i] = ends[i + 1] if raw[i] == raw[i + 1] else i + 1
         # best[i]: by the last three symbols, (cost, what was written before and last); paths share what they have in common
         best: dict[int, dict[int, tuple[float, tuple | None]]] = {0: {0: (0.0, None)}}
-        flat = self.flat
+        flat, begun = self.flat, 0
         for i in range(len(raw)):
+            if i and raw[i] != raw[i - 1]:
+                begun = i
             here = best.pop(i, None)
             if not here:
                 continue
-            if len(here) > 64:  # the lattice is narrow; this only bounds odd inputs
-                here = dict(sorted(here.items(), key=lambda x: x[1][0])[:64])
             steps = list(self.edges(raw, i, apart, ends[i]))
+            if raw[i] == "*" and not apart and i - begun >= self.stars and ends[i] > i + 1:
+                steps = [x for x in steps if x[1] == ends[i]]
+            if len(here) * len(steps) > 3000:
+                self._many(here, steps, best)
+                continue
             for out, to, price in steps:
                 there = best.setdefault(to, {})
                 symbols = [symbol(ch) if ch != " " else 0 for ch in out]

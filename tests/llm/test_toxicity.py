@@ -78,6 +78,38 @@ def test_viterbi_is_the_cheapest_path(decoder):
         assert decoder._decode(raw) == text
 
 
+def test_viterbi_keeps_all_states(decoder):
+    """Masks of two and three stars under costs without a pattern: the cheapest path is any of them."""
+
+    def cheapest(d, raw):
+        best = []
+
+        def walk(i, z, cost, out):
+            if i == len(raw):
+                best.append((cost + d.flat.item(z, 0), out))
+                return
+            for text, to, price in d.edges(raw, i, False):
+                total, y = cost + price, z
+                for ch in text:
+                    s = tox.symbol(ch) if ch != " " else 0
+                    total, y = total + d.flat.item(y, s), y % 784 * 28 + s if s else 0
+                walk(to, y, total, out + text)
+
+        walk(0, 0, 0.0, "")
+        return min(best)[1]
+
+    rough = tox.Decoder(np.random.default_rng(3).uniform(0.1, 9.0, (28,) * 4).astype(np.float32))
+    for d in (decoder, rough):
+        for raw in ("s**t", "st**id", "m**0n", "b**ch", "i1**t", "st***d"):
+            assert d._decode(raw) == cheapest(d, raw)
+
+
+def test_long_runs_of_stars(decoder):
+    assert decoder.stars < 200
+    long = "st" + "*" * 3000 + "d"
+    assert len(decoder._decode(long)) < 20
+
+
 def test_counts():
     got = tox.gram_counts(pa.array(["ab", "é c"]))
     s = tox.SYMBOLS
