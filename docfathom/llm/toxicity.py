@@ -38,8 +38,11 @@ LOOKALIKE_PAIRS = {"|_|": "u", "()": "o", "[]": "o", "\\/": "v", "/\\": "a", "|<
 SUBSTITUTED, JOINED, SPLIT, SQUEEZED, LITERAL = 1.0, 0.4, 2.5, 0.6, 6.0
 
 _SIGN = r"[0-9@$!|+(<€£¢*#%]"
-#: Letters spelled apart.
-APART = re.compile(r"(?<![^\s])(?:[A-Za-z0-9@$!|+€£*][ .\-_*~]{1,2}){2,}[A-Za-z0-9@$!|+€£*](?![^\s.,;:!?])")
+_ONE = r"(?:[A-Za-z0-9@$!|+€£]|(?<![^\s.\-_~])\*(?![^\s.\-_~]))"
+#: Letters spelled apart. A star is one of them only where it stands between separators; next to letters it is a separator.
+APART = re.compile(rf"(?<![^\s])(?:{_ONE}[ .\-_*~]{{1,2}}){{2,}}{_ONE}(?![^\s.,;:!?])")
+#: A stretch whose letters are spelled apart: separators, among them stars, and others take turns from its start on.
+_TURNS = re.compile(r"\**[^\s*][ .\-_*~]{1,2}[^\s*][ .\-_*~]")
 #: Places that make the word around them suspicious: signs among letters, before or after them, a letter three times, three double letters,
 #: a separator between letters.
 MARKED = re.compile(
@@ -101,17 +104,17 @@ class Decoder:
         self.costs = costs
         self.flat = costs.reshape(-1, SYMBOLS).astype(float)
         self.decode = lru_cache(50_000)(self._decode)
-        # a path that reads so many stars of a run one by one costs more than one that squeezes the run into its last letter: a star costs
-        # SUBSTITUTED at least, and another past changes the costs of four symbols, that letter and three after it
-        self.stars = int((SQUEEZED + 4 * float(costs.max())) / SUBSTITUTED) + 2
+        # what paths that go on alike from two states of a place can differ by: the costs of three symbols
+        self.gap = 3 * float(costs.max())
 
     def edges(self, raw: str, i: int, apart: bool, run: int | None = None):
         """(what is written, next place, cost) for each edge that leaves place i of the lattice; run: where the run of equal signs ends."""
         c = raw[i]
-        if c in " .-_~" or apart and c == "*":
+        if c in " .-_~" or apart and c == "*" and {*raw[max(i - 1, 0) : i], *raw[i + 1 : i + 2]} - set(" .-_~"):
             yield "", i + 1, JOINED
             yield " ", i + 1, SPLIT
-            return
+            if c != "*":
+                return
         if run is None:
             run = i
             while run < len(raw) and raw[run] == c:
@@ -157,22 +160,21 @@ class Decoder:
                     there[z] = (t, (here[k][1], out))
 
     def _decode(self, raw: str) -> str:
-        apart = bool(re.search(r"^[^\s][ .\-_*~]{1,2}[^\s][ .\-_*~]", raw))
+        apart = "***" not in raw and bool(_TURNS.match(raw))  # in longer runs stars mask letters
         ends = [len(raw)] * len(raw)  # of runs of equal signs
         for i in range(len(raw) - 2, -1, -1):
             ends[i] = ends[i + 1] if raw[i] == raw[i + 1] else i + 1
         # best[i]: by the last three symbols, (cost, what was written before and last); paths share what they have in common
         best: dict[int, dict[int, tuple[float, tuple | None]]] = {0: {0: (0.0, None)}}
-        flat, begun = self.flat, 0
+        flat = self.flat
         for i in range(len(raw)):
-            if i and raw[i] != raw[i - 1]:
-                begun = i
             here = best.pop(i, None)
             if not here:
                 continue
             steps = list(self.edges(raw, i, apart, ends[i]))
-            if raw[i] == "*" and not apart and i - begun >= self.stars and ends[i] > i + 1:
-                steps = [x for x in steps if x[1] == ends[i]]
+            if raw[i] == "*" and not apart and len(here) > 64 and ends[i] in best:  # all paths go through the run's end: some are too dear already
+                most = min(x[0] for x in best[ends[i]].values()) + self.gap
+                here = {z: x for z, x in here.items() if x[0] <= most}
             if len(here) * len(steps) > 3000:
                 self._many(here, steps, best)
                 continue
