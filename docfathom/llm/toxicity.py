@@ -43,12 +43,14 @@ _ONE = r"(?:[A-Za-z0-9@$!|+€£]|(?<![^\s.\-_~])\*(?![^\s.\-_~]))"
 APART = re.compile(rf"(?<![^\s])(?:{_ONE}[ .\-_*~]{{1,2}}){{2,}}{_ONE}(?![^\s.,;:!?])")
 #: A stretch whose letters are spelled apart: separators, among them stars, and others take turns from its start on.
 _TURNS = re.compile(r"\**[^\s*][ .\-_*~]{1,2}[^\s*][ .\-_*~]")
-#: Places that make the word around them suspicious: signs among letters, before or after them, a letter three times, three double letters,
-#: a separator between letters.
+#: Places that make the word around them suspicious: signs among letters, before or after them (closing punctuation may follow), a letter
+#: twice, a separator between letters.
 MARKED = re.compile(
-    rf"(?<=[A-Za-z]){_SIGN}+(?=[A-Za-z])|{_SIGN}[A-Za-z]{_SIGN}|(?<![^\s]){_SIGN}{{1,3}}(?=[A-Za-z]{{2}})|(?<=[A-Za-z]{{2}})[0-9@$|+€£]{{1,2}}(?![^\s])"
-    r"|([A-Za-z])\1(?:\1|[A-Za-z]*([A-Za-z])\2[A-Za-z]*([A-Za-z])\3)|(?<=[A-Za-z])[.\-_~](?=[A-Za-z])"
+    rf"(?<=[A-Za-z]){_SIGN}+(?=[A-Za-z])|{_SIGN}[A-Za-z]{_SIGN}|(?<![^\s]){_SIGN}+(?=[A-Za-z]{{2}})|(?<=[A-Za-z])(?!!+[.,;:?\"')\]]*(?![^\s])){_SIGN}+(?=[.,;:!?\"')\]]*(?![^\s]))"
+    r"|([A-Za-z])(?i:\1)|(?<=[A-Za-z])[.\-_~](?=[A-Za-z])"
 )
+#: A letter three times, three double letters: such words are restored to whatever is cheapest, those with fewer doubles to likely words only.
+REPEATED = re.compile(r"([a-z])\1(?:\1|[a-z]*([a-z])\2[a-z]*([a-z])\3)")
 #: Addresses are no words.
 ADDRESS = re.compile(r"[^\s@]{2,}@\w[^\s@]*\.[^\s@]{2,}")
 #: What separates words for the features.
@@ -106,6 +108,8 @@ class Decoder:
         self.decode = lru_cache(50_000)(self._decode)
         # what paths that go on alike from two states of a place can differ by: the costs of three symbols
         self.gap = 3 * float(costs.max())
+        # by the number of stars that end a stretch, for each state before them: the cheapest cost up to the end, and the edge it takes
+        self.ends: list[tuple[np.ndarray, np.ndarray | None]] = [(self.flat[:, 0], None)]
 
     def edges(self, raw: str, i: int, apart: bool, run: int | None = None):
         """(what is written, next place, cost) for each edge that leaves place i of the lattice; run: where the run of equal signs ends."""
@@ -135,6 +139,18 @@ class Decoder:
             if (letter := LOOKALIKE_PAIRS.get(raw[i : i + k])) and len(raw) >= i + k:
                 yield letter, i + k, SUBSTITUTED * k
 
+    def _end(self, stars: int) -> tuple[np.ndarray, np.ndarray | None]:
+        """What so many stars at a stretch's end cost; edges 0 to 25 read one star, 26 to 51 all of them, 52 is a star that is no letter."""
+        while len(self.ends) <= stars:
+            code = np.arange(SYMBOLS**3)
+            after = (code % SYMBOLS**2 * SYMBOLS)[:, None] + np.arange(1, 27)
+            one = SUBSTITUTED + self.flat[:, 1:27] + self.ends[-1][0][after]
+            run = (SUBSTITUTED + SQUEEZED if len(self.ends) > 1 else np.inf) + self.flat[:, 1:27] + self.ends[0][0][after]
+            every = np.concatenate([one, run, (LITERAL + self.flat[:, 0] + self.ends[-1][0][0])[:, None]], 1)
+            edge = every.argmin(1)
+            self.ends.append((every[code, edge], edge.astype(np.int8)))
+        return self.ends[stars]
+
     def _many(self, here: dict, steps: list, best: dict) -> None:
         """A step from many states at once: over all states for each edge."""
         cost = np.full(SYMBOLS**3, np.inf)
@@ -167,7 +183,10 @@ class Decoder:
         # best[i]: by the last three symbols, (cost, what was written before and last); paths share what they have in common
         best: dict[int, dict[int, tuple[float, tuple | None]]] = {0: {0: (0.0, None)}}
         flat = self.flat
-        for i in range(len(raw)):
+        last = len(raw) if apart else len(raw.rstrip("*"))
+        if len(raw) - last > 64:
+            last = len(raw)
+        for i in range(last):
             here = best.pop(i, None)
             if not here:
                 continue
@@ -189,13 +208,29 @@ class Decoder:
                     old = there.get(z)
                     if old is None or total < old[0]:
                         there[z] = (total, (path, out))
-        _, path = min(((cost + flat.item(z, 0), path) for z, (cost, path) in best[len(raw)].items()), key=lambda x: x[0]) if raw else (0.0, None)
+        stars = len(raw) - last
+        after = self._end(stars)[0]
+        _, z, path = min(((cost + after.item(z), z, path) for z, (cost, path) in best[last].items()), key=lambda x: x[0])
+        while stars:
+            edge = self._end(stars)[1].item(z)
+            path, z = (path, " " if edge == 52 else chr(97 + edge % 26)), 0 if edge == 52 else z % SYMBOLS**2 * SYMBOLS + edge % 26 + 1
+            stars = 0 if 26 <= edge < 52 else stars - 1
         out = []
         while path:
-            path, last = path
-            out.append(last)
+            path, written = path
+            out.append(written)
         return "".join(reversed(out))
 
+    def likely(self, text: str) -> bool:
+        """Whether no symbol of a text is dearer than a sign that is read as nothing."""
+        z = 0
+        for ch in text + " ":
+            s = symbol(ch) if ch != " " else 0
+            if self.flat.item(z, s) > LITERAL:
+                return False
+            z = z % SYMBOLS**2 * SYMBOLS + s if s else 0
+        return True
+
     def restore(self, text: str) -> list[tuple[str, str]]:
         """(stretch, restored) for each suspicious stretch of text that decodes to something else."""
         spans = [m.span() for m in APART.finditer(text)]
@@ -217,7 +252,7 @@ class Decoder:
             core = text[start:end].lower().strip(".,;:?\"'")
             if core and not ADDRESS.fullmatch(core):
                 got = (self.decode if len(core) <= 80 else self._decode)(core).strip()  # long ones are not kept: they hardly come again
-                if got != core:
+                if got != core and got != core.rstrip("!") and (not core.isalpha() or REPEATED.search(core) or self.likely(got)):
                     out.append((text[start:end], got))
         return out
 

@@ -52,6 +52,19 @@ def test_restores_masks(decoder, raw, want):
     assert dict(decoder.restore(f"you are an {raw} and more")).get(raw) == want
 
 
+@pytest.mark.parametrize(
+    ("raw", "want"),
+    [("idio7,", "idiot"), ("1dio7.", "idiot"), ("idio7)", None), ("mor0n!", "moron"), ("idio*", "idiot"), ("stup**", "stupid"), ("lo$er", "loser"), ("o+", None), ("stuupid", "stupid"), ("IdiOooT", "idiot"), ("STuUpid", "stupid"), ("h0r$3333", None), ("$$$$tupid", None)],
+)
+def test_gate(decoder, raw, want):
+    got = dict(decoder.restore(f"you are an {raw} and more"))
+    assert raw in got and (want is None or got[raw].strip(" !") == want)
+
+
+def test_gate_leaves_exclamations(decoder):
+    assert decoder.restore("the horse! never!! a moron!") == []
+
+
 def test_addresses_are_no_words(decoder):
     assert decoder.restore("write to st00pid@river.green.org please") == []
     assert dict(decoder.restore("s.t.@.t.u.p.i.d")) != {}
@@ -108,7 +121,7 @@ def test_viterbi_keeps_all_states(decoder):
 
     rough = tox.Decoder(np.random.default_rng(3).uniform(0.1, 9.0, (28,) * 4).astype(np.float32))
     for d in (decoder, rough):
-        for raw in ("s**t", "st**id", "m**0n", "b**ch", "i1**t", "st***d", "a***e"):
+        for raw in ("s**t", "st**id", "m**0n", "b**ch", "i1**t", "st***d", "a***e", "st**", "mo***", "lo**r*"):
             assert d._decode(raw) == cheapest(d, raw)
 
 
