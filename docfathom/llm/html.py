@@ -7,7 +7,8 @@ differs becomes a slot, elements that only one side has become optional. Partial
 is spread however many pages a host has.
 
 The article is the page's own article element if it has one, else the part of the wrapper where the slots hold most text. In it, parts
-that say by element or class what they are (menus, forms, adverts, comments ...) go, and so do texts that are the same on all pages.
+that say by element or class what they are (menus, forms, adverts, comments ...) go, unless they hold the article or over half of the
+page's text; ids of headings and sections say nothing. Texts that are the same on all pages of a host go too, where it has five pages or more.
 """
 
 from __future__ import annotations
@@ -27,8 +28,11 @@ from . import shared
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template xmp".split())
 DROPPED = frozenset(
-    "script style noscript template textarea title head nav footer aside form button select option datalist input label fieldset iframe svg canvas object embed audio video map dialog menu math".split()
+    "script style noscript template textarea title head nav footer aside form button select option datalist input label fieldset iframe svg canvas object embed audio video map dialog menu".split()
 )
+#: Of those, the ones that may hold a whole page.
+CONTAINERS = frozenset("form fieldset".split())
+NEVER = DROPPED - CONTAINERS
 BLOCK = frozenset(
     "html body p div section article main header footer nav aside h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption hr address details summary form fieldset center hgroup".split()
 )
@@ -46,28 +50,28 @@ CLOSES = {
 }
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-_MARK = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)|(?=[\s/>]|\Z))", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s>]+))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    """An element of a page: key (element and class without digits), words of its class and id, children (nodes and texts)."""
+    """An element of a page: key (element and class without digits), words of its class and id, children (nodes and texts), and whether it holds the article or most of the page's text."""
 
-    __slots__ = ("children", "key", "tag", "words")
+    __slots__ = ("children", "key", "kept", "tag", "words")
 
     def __init__(self, tag: str, key: str, words: frozenset[str]):
-        self.tag, self.key, self.words, self.children = tag, key, words, []
+        self.tag, self.key, self.words, self.children, self.kept = tag, key, words, [], False
 
 
 def _marks(tag: str, attributes: str) -> tuple[str, frozenset[str]]:
     if not attributes or attributes.isspace():
         return tag, frozenset()
     words, key = set(), tag
-    for name, value in _MARK.findall(attributes):
+    for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             words.add("hidden")
-        elif name in ("class", "id", "role", "itemprop"):
+        elif name in ("class", "role", "itemprop") or name == "id" and tag != "section" and tag not in HEADINGS:  # theirs are made from headings
             words.update(w.lower() for w in _WORD.findall(value))
             words.update(w.lower().replace("-", "").replace("_", "") for w in value.split())
             if name == "class" and key == tag:
@@ -117,16 +121,42 @@ def parse(page: str) -> Node:
             stack.append(node)
         elif tag in BLOCK:  # HTML knows no self-closing elements of these kinds
             stack.append(node)
+    _hold(root)
     return root
 
 
+def _hold(root: Node) -> None:
+    """Mark the elements that hold the article (the largest article or main element, if it has a quarter of the text) or over half of the text."""
+    order, todo = [], [(root, -1)]
+    while todo:
+        node, parent = todo.pop()
+        at = len(order)
+        order.append((node, parent))
+        if not (node.tag in NEVER or "hidden" in node.words):
+            todo.extend((c, at) for c in node.children if not isinstance(c, str))
+    sizes = [0 if n.tag in NEVER or "hidden" in n.words else sum(len(c.strip()) for c in n.children if isinstance(c, str)) for n, _ in order]
+    for i in range(len(order) - 1, 0, -1):
+        sizes[order[i][1]] += sizes[i]
+    own = [i for i, (n, _) in enumerate(order) if n.tag == "main" or n.tag == "article" and not n.words & OTHER_ARTICLES]
+    top = max(own, key=lambda i: sizes[i], default=0)
+    at = order[top][1] if 4 * sizes[top] >= sizes[0] else -1
+    while at > 0:
+        order[at][0].kept, at = True, order[at][1]
+    for (node, _), n in zip(order, sizes, strict=True):
+        node.kept = node.kept or 2 * n > sizes[0]
+
+
 def dropped(node: Node, inside: bool) -> bool:
     """Whether a node is no part of an article; inside: it stands in one."""
     words = node.words
-    if node.tag in DROPPED or "hidden" in words or node.tag == "header" and not inside:
+    if node.tag in NEVER or "hidden" in words:
         return True
     if node.tag == "article":
         return bool(words & OTHER_ARTICLES)
+    if node.kept:
+        return False
+    if node.tag in CONTAINERS or node.tag == "header" and not inside:
+        return True
     if node.tag in ("html", "body", "main") or not words & BOILERPLATE:
         return False
     return not words & ARTICLE_WORDS or bool(words & NEVER_ARTICLE)

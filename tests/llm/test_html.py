@@ -42,6 +42,23 @@ def test_odd_pages(page, want):
     assert text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<article><p>Intro.</p><section id="discussion"><h2 id="related-work">Related</h2><p>Said.</p></section></article>', "Intro.\n\nRelated\n\nSaid."),
+        ('<body><div class="layout with-sidebar"><article><p>The text.</p></article><div class=sidebar>Side</div></div></body>', "The text."),
+        ('<body><div class="page has-sidebar"><h1>Title</h1><p>A long enough text.</p><div class=sidebar>Side</div></div><p>Low</p></body>', "Title\n\nA long enough text."),
+        ('<body><form action=x><h1>Title</h1><p>A long enough text.</p><select><option>one</select></form></body>', "Title\n\nA long enough text."),
+        ('<article><p>See <a title="a hidden gem" href=x>this</a> one.</p><div data-id="comment-4"><p>Kept.</p></div></article>', "See this one.\n\nKept."),
+        ('<article><p>So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>', "So x=2 holds."),
+        ('<article><p>Here is the text itself.</p><div id="comments"><p>First!</p></div><p hidden>no</p></article>', "Here is the text itself."),
+        ('<article><p>Here.</p><p data-x=1 class=ad id=q>Buy</p><p class = "share" >Share</p></article>', "Here."),
+    ],
+)
+def test_article_parts_stay(page, want):
+    assert text(page) == want
+
+
 def test_folding_and_alignment():
     one = html.fold(html.parse("<div><h1>A</h1><p>1</p><p>2</p><p>3</p></div>"))
     two = html.fold(html.parse("<div><h1>B</h1><h2>new</h2><p>4</p></div>"))
