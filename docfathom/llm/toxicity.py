@@ -397,7 +397,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     The language model counts all texts. Precisions are learned from at most fit_rows labelled rows that are not held out (those with
     the least hash of the id; equal texts count once); a word or word beginning has a weight if toxic rows hold it more often than chance
-    over all words explains, and most rows that hold it are surely toxic. Only the text is an input of a score. A null or empty text scores 0; so does every text where no label
+    over all words explains, and most rows that hold it are surely toxic. The calibration is fitted however few labels there are; only where
+    no labelled row holds what the other fold has learned is there nothing to fit, and a score is the noisy-or of the precisions. Only the text is an input of a score. A null or empty text scores 0; so does every text where no label
     is known or all labels are equal. A null id is scored and never learned from; equal rows score equally; null labels are left out, of
     several labels for an id the largest counts; other columns are not read.
 
@@ -430,7 +431,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         # calibrated on each fold with what the other has learned
         told = rows.mapInArrow(_observe(costs, by_fold), "label int, x array<double>").collect()  # at most fit_rows
         x, y = np.array([r["x"] for r in told]), np.array([float(r["label"] > 0) for r in told])
-        if y.sum() >= 20 and len(y) - y.sum() >= 20 and x[:, 1].any():
+        if 0 < y.sum() < len(y) and x[:, 1].any():
             beta = fit_logistic(x, y)
         shared.discard(seen)
     shared.discard(rows)

@@ -164,6 +164,19 @@ def test_scores(spark):
     assert tox.toxicity(docs.limit(0), known).count() == 0
 
 
+def test_few_labels_are_calibrated(spark, monkeypatch):
+    """With 15 toxic labelled rows the calibration is fitted, too."""
+    fitted = []
+    monkeypatch.setattr(tox, "fit_logistic", lambda x, y, fit=tox.fit_logistic: fitted.append((len(y), y.sum())) or fit(x, y))
+    rng = random.Random(7)
+    ids = [r.id for r in spark.range(2000).filter(~tox.held_out("id")).limit(300).collect()]
+    rows = [(i, " ".join(rng.choice(["river", "green", "tall", "house", "people"]) for _ in range(12)) + (" idiot" if k < 15 else "") + f" {'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}") for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(i, int(k < 15)) for k, i in enumerate(ids)], "doc_id long, toxic int")
+    got = {r.doc_id: r.score for r in tox.toxicity(docs, known).collect()}
+    assert fitted == [(300, 15.0)] and min(got[i] for i in ids[:15]) > max(got[i] for i in ids[15:])
+
+
 def test_held_out_accuracy(spark):
     from docfathom.llm.queries import QUERIES
 
