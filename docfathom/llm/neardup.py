@@ -225,7 +225,7 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, size: int,
 
     reps = known.join(classes.select(F.col("rep").alias("uid")), "uid", "left_semi")
     entries = shared.stage(reps.select("uid", "n", F.explode("bands").alias("h")), "entries")
-    found = entries.groupBy("h").agg(F.count("*").alias("c"), F.min("uid").alias("center"), F.sum(F.xxhash64("uid") % 1000003).alias("sig"), F.max("uid").alias("last"))
+    found = entries.groupBy("h").agg(F.count("*").alias("c"), F.min("uid").alias("center"), signature("uid").alias("sig"), F.max("uid").alias("last"))
     buckets = shared.stage(found.filter("c > 1"), "buckets")
     total = entries.count()
     members = shared.stage(shared.split_join(entries, buckets, "h", "c", total), "members")
@@ -281,6 +281,11 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, size: int,
     return base, out.select("uid", "id", "n", F.when(alone, F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.col("uid")).otherwise(F.col("label")).alias("first"))
 
 
+def signature(uid: str) -> F.Column:
+    """128 bits that tell sets of ids apart."""
+    return F.struct(F.bit_xor(F.xxhash64(uid)).alias("a"), F.bit_xor(F.xxhash64(uid, F.lit(1))).alias("b"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, size: int = 5) -> DataFrame:
     """Components of texts whose sets of distinct `size`-word shingles have 100 * intersection >= percent * union.
 

@@ -101,3 +101,16 @@ def test_sets_do_not_depend_on_the_batch():
     for i, t in enumerate(texts):
         alone, own = nd.shingle_sets(pa.array([t]))
         assert alone.tolist() == value[bounds[i] : bounds[i + 1]].tolist() and own[-1] == len(shingles(t))
+
+
+def test_signature_tells_buckets_apart(spark):
+    """Buckets of three with the same ends whose middle members agree in a short hash."""
+    from pyspark.sql import functions as F
+
+    from docfathom.llm import neardup
+
+    short = spark.range(1, 5000).groupBy((F.xxhash64("id") % 1000003).alias("short")).agg(F.collect_list("id").alias("ids")).filter("size(ids) > 1").collect()
+    assert short
+    rows = [(2 * k + j, uid) for k, r in enumerate(short) for j in (0, 1) for uid in (0, r.ids[j], 9999)]
+    got = spark.createDataFrame(rows, "h long, uid long").groupBy("h").agg(neardup.signature("uid").alias("sig")).collect()
+    assert len({r.sig for r in got}) == len({(r.ids[j]) for r in short for j in (0, 1)})
