@@ -44,7 +44,8 @@ _LATIN_CUT = rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[{_NUMBERS}]|[^\s{_LETTERS}{
 class WordEncoder(dict):
     """Encodes texts with a byte-level tokenizer that drops white space, so that each piece of a word is encoded by itself, once.
 
-    Texts of Latin letters and signs are cut with the file's own pattern; words of other texts are normalised and cut by the tokenizer.
+    Texts that in lower case are of Latin letters and signs below U+0250 are cut with the file's own pattern; words of other texts are
+    normalised and cut by the tokenizer.
     Texts that hold an added token, or one of the separators 0x1C to 0x1F (white space to Python only), are encoded whole.
     """
 
@@ -83,8 +84,9 @@ class WordEncoder(dict):
 
     def encode(self, text: str) -> bytes:
         """The ids as native (little-endian) unsigned 32-bit integers."""
-        if self.latin(text) and not ("<|" in text and self.whole(text)):
-            return b"".join(map(self.__getitem__, self.cut(text.lower())))
+        low = text.lower()
+        if self.latin(low) and not ("<|" in text and self.whole(text)):
+            return b"".join(map(self.__getitem__, self.cut(low)))
         if self.whole(text):
             return self.entire(text)
         return b"".join(map(self.word, text.split()))

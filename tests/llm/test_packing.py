@@ -86,3 +86,11 @@ def test_pack(spark):
         assert zlib.crc32(ids) == zlib.crc32(e.encode(t) + (1).to_bytes(4, "little"))
     assert len(seqs) == len(one_by_one([n for r in [r.length for r in got] for n in [r]], 64))
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_every_sign_below_3000_alone_and_in_words():
+    """Capitals may have lower-case letters beyond the range that the fast path knows (U+0181, U+023A ...)."""
+    e = tokens.WordEncoder(tokens.default_path())
+    for c in range(1, 0x3000):
+        for text in (chr(c), f"ab{chr(c)}cd", f"A{chr(c)} '{chr(c)}S 1{chr(c)}", f"x{chr(c)}"):
+            assert e.encode(text) == e.entire(text), hex(c)
