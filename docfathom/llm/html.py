@@ -1,22 +1,26 @@
 """Main text of web pages by wrappers inferred for each host.
 
 A wrapper is a union-free regular expression over a page's tokens, kept as a tree: elements in order, each perhaps optional, each
-perhaps repeated (a group of up to four elements that follows itself becomes one repeated group), with texts that are constant or slots.
-A page is first folded onto itself, then aligned with the wrapper of the pages before it: elements that match are merged, a text that
-differs becomes a slot, elements that only one side has become optional. Partial wrappers of a host merge in the same way, so the work
-is spread however many pages a host has.
-
-The article is the page's own article element if it has one, else the part of the wrapper where the slots hold most text. In it, parts
-that say by element or class what they are (menus, forms, adverts, comments ...) go, unless they hold the article or over half of the
-page's text; ids of headings and sections say nothing. Texts that are the same on all pages of a host go too, where it has five pages or more.
+perhaps repeated, with texts that are constant or slots. The pages of a host are aligned one after the other with the wrapper of those
+before: elements that match are merged, a text that differs becomes a slot, a mismatch that repeats what stands before or after it makes
+that a repeated group, other elements that one side lacks become optional. Wrappers merge in the same way, so the work is spread
+however many pages a host has.
+
+The wrapper decides where the article is: at the part that holds the text in slots, where elements that pages themselves call article or
+main count first. A page is aligned with its host's wrapper, and the article is what falls on that part; a page that has none of it is
+its own wrapper. Texts that the wrapper has at the article's edges, the same on all of five or more pages, are not the article's, headings
+aside. Parts that say by element or class what they are (menus, forms, adverts, comments ...) go, unless they hold the article or over
+half of the page's text; ids of headings and sections say nothing.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import html as entities
 import json
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -162,146 +166,365 @@ def dropped(node: Node, inside: bool) -> bool:
     return not words & ARTICLE_WORDS or bool(words & NEVER_ARTICLE)
 
 
-def text_size(node: Node, inside: bool = False) -> tuple[int, int]:
-    """(characters, those in links) of what an article would keep."""
-    total = linked = 0
-    for c in node.children:
-        if isinstance(c, str):
-            total += len(c.strip())
-        elif not dropped(c, inside):
-            t, k = text_size(c, inside)
-            total += t
-            linked += t if c.tag == "a" else k
-    return total, linked
-
-
-# --- wrappers: [key, optional, repeated, pages, characters, text, children]; a text is its hash, None for a slot, 0 for none
-def fold(node: Node, inside: bool = False) -> list:
-    """The wrapper of one page: dropped parts are left out, repeated elements are folded."""
-    kids, texts, size = [], [], 0
-    for c in node.children:
-        if isinstance(c, str):
-            if t := " ".join(entities.unescape(c).split()):
-                texts.append(int.from_bytes(hashlib.blake2b(t.encode(errors="replace"), digest_size=6).digest(), "big"))
-                size += len(t)
-        elif c.tag not in VOID and not dropped(c, inside or node.tag == "article"):
-            kids.append(fold(c, inside or node.tag == "article"))
-    linked = node.tag == "a"
-    return [node.key, False, False, 1, 0 if linked else size, texts[0] if len(texts) == 1 else (None if texts else 0), _collapse(kids)]
-
-
-def _collapse(kids: list) -> list:
-    """Groups of one to four elements that follow themselves become one repeated group."""
-    for period in (1, 2, 3, 4):
-        out, i = [], 0
-        while i < len(kids):
-            if len(out) >= period and [k[0] for k in out[-period:]] == [k[0] for k in kids[i : i + period]]:
-                for j in range(period):
-                    out[j - period] = merge(out[j - period], kids[i + j], same_page=True)
-                    out[j - period][2] = True
-                i += period
+def text_size(node: Node, inside: bool = False) -> int:
+    """Characters that an article would keep of a node."""
+    total, todo = 0, [node]
+    while todo:
+        for c in todo.pop().children:
+            if isinstance(c, str):
+                total += len(c.strip())
+            elif not dropped(c, inside):
+                todo.append(c)
+    return total
+
+
+def text_hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode(errors="replace"), digest_size=6).digest(), "big")
+
+
+def own_text(node: Node) -> str:
+    """The text that stands directly in an element, white space folded."""
+    return " ".join(" ".join(entities.unescape(c) for c in node.children if isinstance(c, str)).split())
+
+
+def elements(node: Node, inside: bool) -> list[Node]:
+    """The elements in a node that take part in wrappers."""
+    return [c for c in node.children if not isinstance(c, str) and c.tag not in VOID and not dropped(c, inside)]
+
+
+def kind_of(node: Node) -> int:
+    """What a page says of an element itself: 0 an article, 1 the main part, 2 a part with an article's name, 3 nothing."""
+    if node.tag == "article":
+        return 0
+    if node.tag == "main" or "main" in node.words and node.tag in ("div", "section"):
+        return 1
+    return 2 if node.tag in ("div", "section", "td") and node.words & ARTICLE_WORDS else 3
+
+
+class Part:
+    """An element of a wrapper: on how many pages it is, characters of its own text outside links, that text (its hash, None for a
+    slot, 0 for none), its kind, and what it is made of (src: parts of other wrappers, or a page's nodes).
+    """
+
+    __slots__ = ("chars", "key", "kids", "kind", "n", "optional", "repeated", "src", "text")
+
+    def __init__(self, key, n=1, chars=0, text=0, kind=3, optional=False, repeated=False, src=()):
+        self.key, self.n, self.chars, self.text, self.kind, self.optional, self.repeated = key, n, chars, text, kind, optional, repeated
+        self.kids, self.src = [], list(src)
+
+    def copy(self) -> Part:
+        return Part(self.key, self.n, self.chars, self.text, self.kind, self.optional, self.repeated, [self])
+
+    def take(self, other: Part, n: int) -> Part:
+        """Become what stands for both; n: pages that have one of them."""
+        self.n, self.chars, self.kind = n, self.chars + other.chars, min(self.kind, other.kind)
+        self.text = self.text if self.text == other.text else None
+        self.optional, self.repeated = self.optional or other.optional, self.repeated or other.repeated
+        self.src += other.src
+        return self
+
+
+def fold(root: Node) -> Part:
+    """The wrapper of one page: its elements without dropped parts, and their texts."""
+    top = Part("#root")
+    todo = [(root, top, False, False)]
+    while todo:
+        node, part, inside, linked = todo.pop()
+        if t := own_text(node):
+            part.text, part.chars = text_hash(t), 0 if linked else len(t)
+        for c in elements(node, inside):
+            part.kids.append(Part(c.key, kind=kind_of(c)))
+            todo.append((c, part.kids[-1], inside or c.tag == "article", linked or c.tag == "a"))
+    return top
+
+
+#: Bits of the table of a longest common subsequence; beyond, elements are matched greedily from the left, in linear time and space.
+TABLE_BITS = 1 << 28
+
+
+def matches(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence as ascending pairs of places: equal ends first, then a table with a row of bits for each entry."""
+    n, m, a = len(x), len(y), 0
+    while a < n and a < m and x[a] == y[a]:
+        a += 1
+    z = 0
+    while z < n - a and z < m - a and x[n - 1 - z] == y[m - 1 - z]:
+        z += 1
+    out = [(i, i) for i in range(a)]
+    u, v = x[a : n - z], y[a : m - z]
+    if u and v:
+        places: dict[str, list[int]] = {}
+        for j, k in enumerate(v):
+            places.setdefault(k, []).append(j)
+        if len(u) * len(v) > TABLE_BITS:
+            at = -1
+            for i, k in enumerate(u):
+                own = places.get(k, ())
+                if (p := bisect.bisect_right(own, at)) < len(own):
+                    at = own[p]
+                    out.append((a + i, a + at))
+        else:
+            has = {k: sum(1 << j for j in js) if len(js) < 64 else int("".join("1" if c == k else "0" for c in reversed(v)), 2) for k, js in places.items()}
+            full = (1 << len(v)) - 1
+            row, rows = full, [full]  # a zero bit: the length of the common subsequence grows at that place
+            for k in u:
+                hit = row & has.get(k, 0)
+                row = (row + hit | row - hit) & full
+                rows.append(row)
+            i, j, got = len(u), len(v), []
+            while i and j:
+                if u[i - 1] == v[j - 1]:
+                    i, j = i - 1, j - 1
+                    got.append((a + i, a + j))
+                elif rows[i] >> (j - 1) & 1:  # no growth at j
+                    j -= 1
+                else:
+                    i -= 1
+            out += reversed(got)
+    return out + [(n - k, m - k) for k in range(z, 0, -1)]
+
+
+def _iterates(gap: list[Part], group: list[Part]) -> bool:
+    """Whether the elements of a gap repeat a group."""
+    return bool(group) and len(gap) % len(group) == 0 and all(g.key == group[i % len(group)].key for i, g in enumerate(gap))
+
+
+def align(x: list[Part], y: list[Part], total: int) -> list[Part]:
+    """Two sequences of elements as one; total: pages that the sequences stand for.
+
+    Elements in common are merged. A mismatch that repeats the one to four elements before or after it makes them a repeated group;
+    other elements that one side lacks are optional. Among neighbours that are all optional or repeated, a key that comes again makes
+    what stands from its first to its last place one repeated group, with each key in it once.
+    """
+    if len(x) == len(y) and all(a.key == b.key for a, b in zip(x, y, strict=True)):
+        return [a.take(b, a.n + b.n) for a, b in zip(x, y, strict=True)]
+    pairs = [*matches([a.key for a in x], [b.key for b in y]), (len(x), len(y))]
+    out: list[Part] = []
+    i = j = 0
+    for p, (a, b) in enumerate(pairs):
+        ahead = [x[q] for t, (q, r) in enumerate(pairs[p : p + 4]) if q < len(x) and (q, r) == (a + t, b + t)]
+        for gap in (x[i:a], y[j:b]):
+            if not gap:
+                continue
+            for size in (1, 2, 3, 4):
+                behind = out[-size:] if len(out) >= size else []
+                group = behind if _iterates(gap, behind) else ahead[:size] if len(ahead) >= size and _iterates(gap, ahead[:size]) else None
+                if group:
+                    for k, g in enumerate(gap):
+                        g.optional = False
+                        own = group[k % size]
+                        own.take(g, max(own.n, g.n)).repeated = True
+                    break
             else:
-                out.append(kids[i])
-                i += 1
-        kids = out
-    return kids
-
-
-def merge(a: list, b: list, same_page: bool = False) -> list:
-    """Align two wrappers with the same key."""
-    pages = max(a[3], b[3]) if same_page else a[3] + b[3]
-    return [a[0], a[1] or b[1], a[2] or b[2], pages, a[4] + b[4], a[5] if a[5] == b[5] else None, align(a[6], b[6])]
-
-
-def align(x: list, y: list) -> list:
-    """Two sequences of elements: the longest common subsequence of keys is merged, the others become optional."""
-    if [k[0] for k in x] == [k[0] for k in y]:
-        return [merge(a, b) for a, b in zip(x, y, strict=True)]
-    n, m = len(x), len(y)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if x[i][0] == y[j][0] else max(best[i + 1][j], best[i][j + 1])
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and x[i][0] == y[j][0]:
-            out.append(merge(x[i], y[j]))
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([x[i][0], True, *x[i][2:]])
-            i += 1
+                for g in gap:
+                    g.optional = True
+                out += gap
+        if a < len(x):
+            out.append(x[a].take(y[b], x[a].n + y[b].n))
+        i, j = a + 1, b + 1
+    return _regroup(out, total)
+
+
+def _regroup(parts: list[Part], total: int) -> list[Part]:
+    out: list[Part] = []
+    i = 0
+    while i < len(parts):
+        z = i
+        while z < len(parts) and (parts[z].optional or parts[z].repeated):
+            z += 1
+        last = {parts[j].key: j for j in range(i, z)}
+        while i < z:
+            end, j = last[parts[i].key], i
+            while j < end:
+                j += 1
+                end = max(end, last[parts[j].key])
+            if end == i:
+                out.append(parts[i])
+            else:
+                own: dict[str, Part] = {}
+                for k in parts[i : end + 1]:
+                    own[k.key] = own[k.key].take(k, min(total, own[k.key].n + k.n)) if k.key in own else k
+                for k in own.values():
+                    k.optional = k.repeated = True
+                out += own.values()
+            i = end + 1
+        if z < len(parts):
+            out.append(parts[z])
+        i = z + 1
+    return out
+
+
+def merge(wrappers: list[Part]) -> Part:
+    """One wrapper for all: each in turn is aligned with those before it, level by level."""
+    top = wrappers[0].copy()
+    for w in wrappers[1:]:
+        top.take(w.copy(), top.n + w.n)
+    todo = [top]
+    while todo:
+        part = todo.pop()
+        if len(part.src) == 1:
+            part.kids, part.src = part.src[0].kids, []
+            continue
+        kids = [k.copy() for k in part.src[0].kids]
+        total = part.src[0].n
+        for other in part.src[1:]:
+            total += other.n
+            kids = align(kids, [k.copy() for k in other.kids], total)
+        part.kids, part.src = kids, []
+        todo += kids
+    return top
+
+
+def dump(top: Part, mark=lambda part: 0) -> str:
+    """A wrapper as text, its elements in page order; no nesting, so that deep pages are fine."""
+    rows, todo = [], [top]
+    while todo:
+        k = todo.pop()
+        rows.append([k.key, k.n, k.chars, k.text, k.kind, 2 * k.optional + k.repeated, len(k.kids), mark(k)])
+        todo += reversed(k.kids)
+    return json.dumps(rows, separators=(",", ":"), ensure_ascii=False)
+
+
+def load(text: str) -> tuple[Part, dict[int, int]]:
+    """What dump() wrote, and the marks by the identity of the part."""
+    top, marks, open_ = None, {}, []
+    for key, n, chars, own, kind, flags, kids, mark in json.loads(text):
+        part = Part(key, n, chars, own, kind, flags >= 2, flags % 2 == 1)
+        if mark:
+            marks[id(part)] = mark
+        if open_:
+            open_[-1][0].kids.append(part)
+            open_[-1][1] -= 1
+            if not open_[-1][1]:
+                open_.pop()
         else:
-            out.append([y[j][0], True, *y[j][2:]])
-            j += 1
-    return _collapse(out) if len(out) > 60 else out
+            top = part
+        if kids:
+            open_.append([part, kids])
+    return top, marks
 
 
-def mass(w: list) -> int:
-    return w[4] + sum(mass(c) for c in w[6])
+def _order(top: Part) -> tuple[list[Part], list[int]]:
+    """Parts in page order, and the place of each one's parent."""
+    order, above, todo = [], [], [(top, -1)]
+    while todo:
+        k, p = todo.pop()
+        todo += [(c, len(order)) for c in reversed(k.kids)]
+        order.append(k)
+        above.append(p)
+    return order, above
 
 
-def region(w: list) -> list[str]:
-    """Keys from the root to the part that holds most text: down as long as one element has most of it and is not a paragraph."""
-    path = []
-    while w[6]:
-        total = mass(w)
-        child = max(w[6], key=mass)
-        tag = child[0].split(".")[0]
-        if not total or mass(child) < 0.6 * total or child[2] or tag not in BLOCK or tag in HEADINGS or tag in ("p", "li", "td", "blockquote", "pre"):
-            break
-        path.append(child[0])
-        w = child
-    return path
+def _tag(part: Part) -> str:
+    return part.key.split(".")[0]
 
 
-def constants(w: list, least: int = 5) -> list[int]:
-    """Hashes of texts that all of at least `least` pages have in one place that is neither optional nor repeated, while other texts differ."""
-    found, slots = [], 0
+def regions(top: Part) -> list[Part]:
+    """The parts that may be the article, the likeliest first.
 
-    def walk(node: list, fixed: bool) -> None:
-        nonlocal slots
-        fixed = fixed and not node[1] and not node[2]
-        if node[5] is None:
-            slots += node[4]
-        elif node[5] and fixed and node[3] == w[3]:
-            found.append(node[5])
-        for c in node[6]:
-            walk(c, fixed)
+    What counts is text in slots (all text, if nothing differs). Parts that pages call articles, main parts or contents themselves come
+    first if they have a quarter of what a page has; last comes the part reached from the root by going down as long as one element that
+    is no paragraph has most of it.
+    """
+    order, above = _order(top)
+    slots = any(k.text is None and k.chars for k in order)
+    mass = {id(k): k.chars if not slots or k.text is None else 0 for k in order}
+    for k, p in zip(order[:0:-1], above[:0:-1], strict=True):
+        mass[id(order[p])] += mass[id(k)]
+    called: list[list[Part]] = [[], [], []]
+    in_article = [False] * len(order)
+    for i, (k, p) in enumerate(zip(order, above, strict=True)):
+        in_article[i] = p >= 0 and (in_article[p] or order[p].kind == 0)
+        if k.kind < 3 and not in_article[i] and 4 * mass[id(k)] * top.n >= mass[id(top)] * k.n and mass[id(k)]:
+            called[k.kind].append(k)
+    out = [k for own in called for k in sorted(own, key=lambda k: -mass[id(k)])]
+    k = top
+    while k.kids:
+        child = max(k.kids, key=lambda c: mass[id(c)])
+        tag = _tag(child)
+        if not mass[id(k)] or mass[id(child)] < 0.6 * mass[id(k)] or child.repeated or tag not in BLOCK or tag in HEADINGS or tag in ("p", "li", "td", "blockquote", "pre"):
+            break
+        k = child
+    if k is not top and k not in out:
+        out.append(k)
+    return out
 
-    walk(w, True)
-    return found if w[3] >= least and slots else []
 
+def template(region: Part, least: int = 5) -> list[Part]:
+    """Parts whose text belongs to the wrapper, not to the article: the same on all of at least `least` pages, in one place, before the
+    first or after the last text that differs. Headings, and words within a line, are the article's."""
+    order, above = _order(region)
+    slots = [i for i, k in enumerate(order) if k.text is None]
+    if region.n < least or not slots:
+        return []
+    fixed, out = [True] * len(order), []
+    for i, k in enumerate(order):
+        p = above[i]
+        if i:
+            fixed[i] = fixed[p] and not k.optional and not k.repeated and k.n == region.n and _tag(k) not in HEADINGS
+        alone = _tag(k) in BLOCK or i and order[p].text == 0 and all(_tag(c) in BLOCK or c.text is not None for c in order[p].kids)
+        if k.text and fixed[i] and alone and (i < slots[0] or i > slots[-1]):
+            out.append(k)
+    return out
 
-def find_article(root: Node, path: list[str]) -> Node:
-    """The element that holds the article."""
-    groups: list[list[Node]] = [[], [], []]
 
-    def walk(node: Node) -> None:
-        for c in node.children:
-            if isinstance(c, str) or dropped(c, False):
-                continue
-            if c.tag == "article":
-                groups[0].append(c)
-            elif c.tag == "main" or "main" in c.words and c.tag in ("div", "section"):
-                groups[1].append(c)
-            elif c.tag in ("div", "section", "td") and c.words & ARTICLE_WORDS:
-                groups[2].append(c)
-            if c.tag != "article":
-                walk(c)
-
-    walk(root)
-    whole = text_size(root)[0]
-    for own in groups:
-        top = max(own, key=lambda x: text_size(x, True)[0], default=None)
-        if top is not None and 4 * text_size(top, True)[0] >= whole:
-            return top
-    node = root
-    for key in path or region(fold(root)):
-        kids = [c for c in node.children if not isinstance(c, str) and c.key == key]
-        if not kids:
-            return node if node is not root else _body(root)
-        node = max(kids, key=lambda c: text_size(c)[0])
-    return node
+#: Marks of a wrapper that extraction reads: the rank of a region (from 1), TEMPLATE for a text of the wrapper's own, WAY on the way there.
+WAY, TEMPLATE = -1, -2
+
+
+def told(top: Part) -> str:
+    """What extraction needs of a wrapper: the regions, their templates, and beside the way to them the keys of their neighbours."""
+    order, above = _order(top)
+    place = {id(k): i for i, k in enumerate(order)}
+    marks = {}
+    for rank, k in enumerate(regions(top), 1):
+        marks[id(k)] = rank
+        for t in template(k):
+            if t is not k:
+                marks.setdefault(id(t), TEMPLATE)
+    for i in [place[x] for x in marks]:
+        while (i := above[i]) >= 0 and id(order[i]) not in marks:
+            marks[id(order[i])] = WAY
+    if not marks:
+        return ""
+    needed = set(marks)
+    slim: dict[int, Part] = {}
+    for k, p in zip(order, above, strict=True):
+        if p < 0 or id(order[p]) in needed:
+            own = slim[id(k)] = k.copy()
+            own.src, own.chars, own.text = [id(k)], 0, k.text if marks.get(id(k)) == TEMPLATE else 0
+            if p >= 0:
+                slim[id(order[p])].kids.append(own)
+    return dump(slim[id(top)], lambda k: marks.get(k.src[0], 0))
+
+
+def place(root: Node, wrapper: tuple[Part, dict[int, int]]) -> tuple[Node | None, dict[int, int]]:
+    """Align a page with its host's wrapper: the node of the best region that the page has, and the nodes of the wrapper's own texts (hash by identity)."""
+    top, marks = wrapper
+    found: dict[int, list[Node]] = {}
+    own_texts: dict[int, int] = {}
+    todo = [(top, root, False)]
+    while todo:
+        part, node, inside = todo.pop()
+        if not part.kids:
+            continue
+        ours = [k.copy() for k in part.kids]
+        theirs = [Part(c.key, src=[c]) for c in elements(node, inside)]
+        for k in align(ours, theirs, part.n + 1):
+            nodes = [c for c in k.src if isinstance(c, Node)]
+            for known in [c for c in k.src if not isinstance(c, Node) and id(c) in marks] if nodes else ():
+                mark = marks[id(known)]
+                for c in nodes:
+                    if mark > 0:
+                        found.setdefault(mark, []).append(c)
+                    elif mark == TEMPLATE and known.text:
+                        own_texts[id(c)] = known.text
+                    todo.append((known, c, inside or c.tag == "article"))
+    for mark in sorted(found):
+        size, _, node = max(((text_size(c, True), -i, c) for i, c in enumerate(found[mark])), key=lambda x: x[:2])
+        if size:
+            return node, own_texts
+    return None, own_texts
 
 
 def _body(root: Node) -> Node:
@@ -311,113 +534,151 @@ def _body(root: Node) -> Node:
     return root
 
 
-def blocks(article: Node, constant: frozenset[int]) -> list[str]:
-    """The article's blocks in page order, white space folded."""
+def article_of(root: Node, wrapper: tuple[Part, dict[int, int]] | None) -> tuple[Node, dict[int, int]]:
+    """The element that holds the article by the host's wrapper, or, where the page has none of its regions, by the page's own."""
+    if wrapper:
+        node, own_texts = place(root, wrapper)
+        if node is not None:
+            return node, own_texts
+    alone = told(fold(root))
+    node = place(root, load(alone))[0] if alone else None
+    return node or _body(root), {}
+
+
+def blocks(article: Node, own_texts: dict[int, int]) -> list[str]:
+    """The article's blocks in page order, white space folded, without texts of the wrapper's own."""
     out, line = [], []
 
     def close() -> None:
-        t = " ".join("".join(line).split())
-        line.clear()
-        if t and not (constant and int.from_bytes(hashlib.blake2b(t.encode(errors="replace"), digest_size=6).digest(), "big") in constant):
+        if t := " ".join("".join(line).split()):
             out.append(t)
+        line.clear()
 
-    def walk(node: Node, heading_only: bool) -> None:
-        for c in node.children:
+    todo = [(article, False, iter(article.children), False)]
+    while todo:
+        node, heading_only, children, skip = todo[-1]
+        for c in children:
             if isinstance(c, str):
-                if not heading_only:
+                if not heading_only and not skip:
                     line.append(entities.unescape(c))
                 continue
             if dropped(c, True):
                 if c.tag in BLOCK:
                     close()
                 continue
-            only = (heading_only or c.tag == "header") and c.tag not in HEADINGS
+            if c.tag == "br":
+                line.append(" ")
+                continue
             if c.tag in BLOCK:
                 close()
-                walk(c, only)
+            only = (heading_only or c.tag == "header") and c.tag not in HEADINGS
+            skip_own = id(c) in own_texts and text_hash(own_text(c)) == own_texts[id(c)]
+            todo.append((c, only, iter(c.children), skip_own))
+            break
+        else:
+            todo.pop()
+            if node.tag in BLOCK and node is not article:
                 close()
-            elif c.tag == "br":
-                line.append(" ")
-            else:
-                walk(c, only)
-
-    walk(article, False)
     close()
     return out
 
 
-def extract(page: str | None, path: list[str], constant: frozenset[int]) -> str:
+def extract(page: str | None, wrapper: tuple[Part, dict[int, int]] | None = None) -> str:
+    """The main text of a page, by its host's wrapper (load(told(...))) or by its own."""
     if not page:
         return ""
-    return "\n\n".join(blocks(find_article(parse(page), path), constant))
+    return "\n\n".join(blocks(*article_of(parse(page), wrapper)))
 
 
-#: Hosts whose partial wrappers a task holds at once.
-HOSTS_HELD = 2000
+#: Pages (or, later, wrappers) that are merged in one go.
+PAGES_AT_ONCE, WRAPPERS_AT_ONCE = 500, 64
 
 
-def _infer(batches):
-    held: dict[str, list] = {}
+def _skeletons(batches):
+    for batch in batches:
+        for part in shared.slices(batch, "html"):
+            host, out = [], []
+            for h, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist(), strict=True):
+                if page:
+                    host.append(h)
+                    out.append(zlib.compress(dump(fold(parse(page))).encode(errors="replace"), 1))
+            yield pa.record_batch([pa.array(host, pa.string()), pa.array(out, pa.binary())], names=["host", "wrapper"])
 
-    def flush():
-        rows = [(h, w[3], json.dumps(w)) for h, w in held.items()]
-        held.clear()
-        return pa.record_batch([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.string())], names=["host", "pages", "wrapper"])
 
-    for batch in batches:
-        for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            if page:
-                w = fold(parse(page))
-                held[host] = merge(held[host], w) if host in held else w
-        if len(held) >= HOSTS_HELD:
-            yield flush()
-    if held:
-        yield flush()
+def _times(w: Part, n: int) -> Part:
+    """A page's wrapper for n equal pages."""
+    todo = [w] if n > 1 else []
+    while todo:
+        k = todo.pop()
+        k.n, k.chars = k.n * n, k.chars * n
+        todo += k.kids
+    return w
 
 
-def _join(final: bool):
-    """Merge a group's wrappers; final: into what extraction needs."""
+def _merge(table: pa.Table) -> pa.Table:
+    """Merge a group's wrappers, in an order that depends on the wrappers alone."""
+    rows = sorted(zip(table.column("wrapper").to_pylist(), table.column("n").to_pylist(), strict=True))
+    out = merge([_times(load(zlib.decompress(w).decode())[0], n) for w, n in rows])
+    host, bucket = table.column("host")[0].as_py(), table.column("bucket")[0].as_py()
+    kinds = [pa.string(), pa.int64(), pa.binary(), pa.int64()]
+    return pa.table([pa.array([x], k) for x, k in zip((host, bucket, zlib.compress(dump(out).encode(), 1), 1), kinds, strict=True)], names=["host", "bucket", "wrapper", "n"])
 
-    def run(table: pa.Table) -> pa.Table:
-        host, out = table.column("host")[0].as_py(), None
-        for row in sorted(table.column("wrapper").to_pylist()):
-            w = json.loads(row)
-            out = merge(out, w) if out is not None else w
-        told = json.dumps({"path": region(out), "constant": constants(out)} if final else out)
-        return pa.table({"host": pa.array([host], pa.string()), "pages": pa.array([out[3]], pa.int64()), "wrapper": pa.array([told], pa.string())})
 
-    return run
+def _tell(batches):
+    for batch in batches:
+        tops = [load(zlib.decompress(w).decode())[0] for w in batch.column("wrapper").to_pylist()]
+        yield pa.record_batch([batch.column("host"), pa.array([w.n for w in tops], pa.int64()), pa.array([told(w) for w in tops], pa.string())], names=["host", "pages", "wrapper"])
 
 
 def _extract(batches):
-    last, path, constant = None, [], frozenset()
+    last, known = None, None
     for batch in batches:
         for part in shared.slices(batch, "html"):
             out = []
             for page, wrapper in zip(part.column("html").to_pylist(), part.column("wrapper").to_pylist(), strict=True):
                 if wrapper != last:
-                    known = json.loads(wrapper) if wrapper else {"path": [], "constant": []}
-                    last, path, constant = wrapper, known["path"], frozenset(known["constant"])
-                out.append(extract(page, path, constant))
+                    last, known = wrapper, load(wrapper) if wrapper else None
+                out.append(extract(page, known))
             yield pa.record_batch([part.column("page_id"), part.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 
 
+def infer(rows: DataFrame) -> DataFrame:
+    """The wrapper of each host, staged: (host, pages, wrapper as told()), from rows (host, html).
+
+    Equal pages are counted first. A host's pages are dealt by hash to buckets of about PAGES_AT_ONCE, which are merged on their own;
+    WRAPPERS_AT_ONCE of those at a time are merged until one is left. Within a bucket, order is by content, so the layout of the input
+    plays no part.
+    """
+    skeletons = rows.mapInArrow(_skeletons, "host string, wrapper binary").groupBy("host", "wrapper").agg(F.count("*").alias("n"))
+    skeletons = shared.stage(skeletons, "skeletons")
+    hosts = shared.stage(skeletons.groupBy("host").agg(F.count("*").alias("distinct"), F.ceil(F.count("*") / F.lit(PAGES_AT_ONCE)).alias("buckets")), "hosts")
+    size = hosts.agg(F.sum("distinct").alias("rows"), F.max("buckets").alias("buckets")).first()
+    known = shared.split_join(skeletons, hosts, "host", "distinct", size["rows"] or 1).withColumn("bucket", F.pmod(F.xxhash64("wrapper"), F.col("buckets")))
+    schema, left, spent = "host string, bucket long, wrapper binary, n long", size["buckets"] or 1, [skeletons, hosts]
+    known = shared.stage(known.groupBy("host", "bucket").applyInArrow(_merge, schema), "wrappers")
+    while left > 1:
+        spent.append(known)
+        known = known.withColumn("bucket", F.floor(F.col("bucket") / WRAPPERS_AT_ONCE))
+        known = shared.stage(known.groupBy("host", "bucket").applyInArrow(_merge, schema), "wrappers")
+        left = -(-left // WRAPPERS_AT_ONCE)
+    out = shared.stage(known.select("host", "wrapper").mapInArrow(_tell, "host string, pages long, wrapper string"), "told")
+    shared.discard(known, *spent)
+    return out
+
+
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """The main text of every page: (id_col, url_col, text).
 
     Blocks are joined by two line feeds; character references are decoded, white space inside a block is one space. A null or empty
     page, or one without an article, has an empty text. Pages with a null URL or one without a host share one wrapper; equal rows have
-    equal texts; other columns are not read. Every page takes part in its host's wrapper.
+    equal texts; elements may be nested to any depth; other columns are not read. Every page takes part in its host's wrapper.
     """
     spark = pages.sparkSession
     shared.small_batches(spark, 500)
     host = F.coalesce(F.lower(F.regexp_extract(F.col(url_col), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
     kind = {c: rows.schema[c].dataType.simpleString() for c in ("page_id", "url")}
-    schema = "host string, pages long, wrapper string"
-    partial = rows.select("host", "html").mapInArrow(_infer, schema).withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
-    partial = partial.groupBy("host", "salt").applyInArrow(_join(False), schema)
-    known = shared.stage(partial.groupBy("host").applyInArrow(_join(True), schema), "wrappers")
+    known = infer(rows.select("host", "html"))
     total = max(1, known.agg(F.sum("pages")).first()[0] or 0)
     joined = shared.split_join(rows, known, "host", "pages", total, "left")
     out = joined.select("page_id", "url", "html", "wrapper").mapInArrow(_extract, f"page_id {kind['page_id']}, url {kind['url']}, text string")

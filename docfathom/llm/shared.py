@@ -63,16 +63,24 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 
 
 def split_join(big: DataFrame, unique: DataFrame, key: str, weight: str, total: int, how: str = "inner") -> DataFrame:
-    """Join big with unique (one row per key; weight: that key's rows in big) on key.
+    """Join big with unique (staged; one row per key; weight: that key's rows in big) on key.
 
-    Keys with more than a thousandth of all rows (so fewer than 1000 of them) are broadcast; the others are shuffled.
-    Null keys of big match nothing: a left join keeps them.
+    Keys with more than a thousandth of all rows (so fewer than 1000 of them) are broadcast; the others are shuffled. Null keys of big
+    match nothing: a left join keeps them, without a shuffle. If all keys are of one sort, big is read once.
     """
-    limit = max(1, total // 1000)
-    hot = F.broadcast(unique.filter(F.col(weight) > limit))
-    is_hot = big.join(hot.select(key), key, "left_semi")
-    rest = big.join(hot.select(key), key, "left_anti")
-    return is_hot.join(hot, key).unionByName(rest.join(unique.filter(F.col(weight) <= limit), key, how))
+    hot = F.col(weight) > max(1, total // 1000)
+    n = unique.agg(F.count_if(hot).alias("hot"), F.count_if(~hot).alias("cold")).first()
+    small = F.broadcast(unique.filter(hot))
+    if not n["cold"]:
+        return big.join(small, key, how)
+    rest = big.filter(F.col(key).isNotNull())
+    if n["hot"]:
+        rest = rest.join(small.select(key), key, "left_anti")
+    out = rest.join(unique.filter(~hot), key, how)
+    if how == "left":
+        known = big.join(small, key, how).filter(F.col(key).isNull() | F.col(weight).isNotNull())
+        return known.unionByName(out)
+    return big.join(small, key).unionByName(out) if n["hot"] else out
 
 
 def slices(batch, column: str, size: int = SLICE_BYTES):

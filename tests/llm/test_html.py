@@ -6,7 +6,7 @@ from docfathom.llm import html
 
 
 def text(page):
-    return html.extract(page, [], frozenset())
+    return html.extract(page)
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="<p>no</p>";</script></head><body class="has-sidebar">
@@ -59,14 +59,131 @@ def test_article_parts_stay(page, want):
     assert text(page) == want
 
 
+def wrapper(*pages):
+    return html.merge([html.fold(html.parse(p)) for p in pages])
+
+
+def shown(part):
+    return [(k.key, k.optional, k.repeated) for k in part.kids]
+
+
 def test_folding_and_alignment():
-    one = html.fold(html.parse("<div><h1>A</h1><p>1</p><p>2</p><p>3</p></div>"))
-    two = html.fold(html.parse("<div><h1>B</h1><h2>new</h2><p>4</p></div>"))
-    div = html.merge(one, two)[6][0]
-    assert [(k[0], k[1], k[2]) for k in div[6]] == [("h1", False, False), ("h2", True, False), ("p", False, True)]
-    assert div[6][0][5] is None and div[3] == 2
-    pairs = html.fold(html.parse("<dl><dt>a</dt><dd>b</dd><dt>c</dt><dd>d</dd><dt>e</dt><dd>f</dd></dl>"))
-    assert [(k[0], k[2]) for k in pairs[6][0][6]] == [("dt", True), ("dd", True)]
+    div = wrapper("<div><h1>A</h1><p>1</p></div>", "<div><h1>B</h1><h2>new</h2><p>4</p></div>").kids[0]
+    assert shown(div) == [("h1", False, False), ("h2", True, False), ("p", False, False)]
+    assert div.kids[0].text is None and div.n == 2 and div.kids[1].text
+    more = wrapper("<div><h1>A</h1><p>1</p><b>x</b></div>", "<div><h1>A</h1><p>1</p><p>2</p><p>3</p><b>x</b></div>").kids[0]
+    assert shown(more) == [("h1", False, False), ("p", False, True), ("b", False, False)] and more.kids[0].text
+    pairs = wrapper("<dl><dt>a<dd>b</dl>", "<dl><dt>a<dd>b<dt>c<dd>d<dt>e<dd>f</dl>").kids[0]
+    assert shown(pairs) == [("dt", False, True), ("dd", False, True)]
+    before = wrapper("<ul><p>1</p><i>0</i></ul>", "<ul><b>q</b><p>1</p><i>0</i></ul>", "<ul><i>0</i></ul>").kids[0]
+    assert shown(before) == [("b", True, False), ("p", True, False), ("i", False, False)]
+    assert [k.n for k in before.kids] == [1, 2, 3]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_matches_are_a_longest_common_subsequence(seed, monkeypatch):
+    rng = random.Random(seed)
+    x, y = ([rng.choice("abcd") for _ in range(rng.randint(0, 12))] for _ in range(2))
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x)):
+        for j in range(len(y)):
+            best[i + 1][j + 1] = best[i][j] + 1 if x[i] == y[j] else max(best[i][j + 1], best[i + 1][j])
+    for bits in (1 << 28, 0):
+        monkeypatch.setattr(html, "TABLE_BITS", bits)
+        got = html.matches(x, y)
+        assert all(x[i] == y[j] for i, j in got) and all(a < c and b < d for (a, b), (c, d) in zip(got[:-1], got[1:], strict=True))
+        assert not bits or len(got) == best[-1][-1]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_every_page_fits_its_wrapper(seed):
+    """Brute force: each page's elements, in order, are a word of the wrapper read as a regular expression."""
+    import re
+
+    rng = random.Random(seed)
+    pages = ["".join(rng.choice("abiqs") for _ in range(rng.randint(1, 7))) for _ in range(rng.randint(1, 6))]
+    top = html.merge([html.fold(html.parse("".join(f"<{c}>{i}</{c}>" for c in p))) for i, p in enumerate(pages)])
+    regex, run = "", ""
+    for k in top.kids:  # neighbours that repeat are one group
+        if k.repeated:
+            run += f"{k.key}|"
+        else:
+            regex, run = regex + (f"(?:{run[:-1]})*" if run else "") + k.key + "?" * k.optional, ""
+    regex += f"(?:{run[:-1]})*" if run else ""
+    for p in pages:
+        assert re.fullmatch(regex, p), (regex, p)
+
+
+def test_many_varied_siblings_are_fast():
+    import time
+
+    rng = random.Random(5)
+    pages = ["<div>" + "".join(f"<{t}>x</{t}>" for t in (rng.choice(["p", "h2", "ul", "pre", "table", "i", "b"]) for _ in range(4000))) + "</div>" for _ in range(3)]
+    begin = time.perf_counter()
+    parts = [html.fold(html.parse(p)) for p in pages]
+    html.merge(parts)
+    assert time.perf_counter() - begin < 5
+
+
+@pytest.mark.parametrize("page", ["<div>" * 5000 + "deep &amp; down", "<p>a" + "<b>" * 5000 + "deep", "<ul><li>" * 5000 + "x", "<article>" + "<section><p>t" * 3000])
+def test_deep_pages(page):
+    got = text(page)
+    assert got.split()[-1] in ("down", "deep", "adeep", "x", "t")
+    top = wrapper(page, page.replace("x", "y"))
+    known = html.told(top)
+    assert html.extract(page, html.load(known) if known else None) == got
+    assert html.dump(html.load(html.dump(top))[0]) == html.dump(top)
+
+
+def told(pages):
+    return html.load(html.told(wrapper(*pages)))
+
+
+def test_the_wrapper_decides():
+    """Long texts that all pages share are the wrapper's; the article is where pages differ. A page alone cannot tell."""
+    rng = random.Random(3)
+    words = lambda n: " ".join(rng.choice("river stone green old walk sing".split()) for _ in range(n))
+    legal = words(300)
+    bodies = [words(40 + i) for i in range(6)]
+    pages = [f"<body><div><a href=/>Home</a></div><div><p>{b}</p></div><div><p>{legal}</p></div></body>" for b in bodies]
+    known = told(pages)
+    for b, p in zip(bodies, pages, strict=True):
+        assert html.extract(p, known) == b and html.extract(p) != b
+
+
+def test_headings_that_pages_share_stay():
+    pages = [f"<article><h1>T{i}</h1><h2>Summary</h2><p>Text {i} of it.</p><h2>Sources</h2></article>" for i in range(8)]
+    for i, p in enumerate(pages):
+        assert html.extract(p, told(pages)) == f"T{i}\n\nSummary\n\nText {i} of it.\n\nSources"
+    lead = [f"<article><p><b>LONDON</b> news {i}</p><p>Same in all.</p><p>And {i}</p></article>" for i in range(8)]
+    for i, p in enumerate(lead):
+        assert html.extract(p, told(lead)) == f"LONDON news {i}\n\nSame in all.\n\nAnd {i}"
+
+
+def test_texts_of_the_wrapper_go_by_place():
+    pages = [f"<article><p>Subscribe now</p><h1>T{i}</h1><p>Subscribe now</p><p>Text {i}.</p><div>All rights reserved</div></article>" for i in range(8)]
+    for i, p in enumerate(pages):
+        assert html.extract(p, told(pages)) == f"T{i}\n\nSubscribe now\n\nText {i}."
+        assert "All rights" in html.extract(p, told(pages[:4]))  # four pages are too few to tell
+
+
+def test_a_page_of_another_kind_is_its_own_wrapper():
+    known = told([f"<main><p>Text {i} of some length.</p></main>" for i in range(6)])
+    assert html.extract("<body><div class=post><p>Other words.</p></div></body>", known) == "Other words."
+
+
+def test_layout_of_the_input_plays_no_part(spark, monkeypatch):
+    rng = random.Random(8)
+    part = lambda: rng.choice(["<p>{0}</p>", "<ul><li>{0}</ul>", "<h2>{0}</h2>", "<div class=x>{0}</div>"]).format(rng.randint(0, 3))
+    rows = [(i, f"http://{'ab'[i % 7 == 0]}.example/{i}", "<div>" + "".join(part() for _ in range(rng.randint(1, 6))) + "</div>") for i in range(120)]
+    monkeypatch.setattr(html, "PAGES_AT_ONCE", 4)
+    monkeypatch.setattr(html, "WRAPPERS_AT_ONCE", 3)
+    got = []
+    for n in (1, 5):
+        rng.shuffle(rows)
+        pages = spark.createDataFrame(rows, "page_id long, host string, html string").repartition(n).withColumn("host", html.F.substring("host", 8, 9))
+        got.append(sorted((r.host, r.pages, r.wrapper) for r in html.infer(pages.select("host", "html")).collect()))
+    assert got[0] == got[1] and sum(r[1] for r in got[0]) == 120
 
 
 def test_wrapper_of_a_host(spark):
