@@ -17,6 +17,8 @@ from . import exchange, shared
 from .hashing import mix
 
 ROUNDS = 6
+#: Bytes of shards that a task reads back.
+READ_BYTES = 16 << 20
 #: What a record's header holds where the document's id is null.
 NO_ID = -(2**63)
 HEADER = np.dtype([("doc", "<i8"), ("start", "<i8"), ("length", "<u4"), ("check", "<u4")])
@@ -53,7 +55,7 @@ def _cut(path: str, size: int, end_id: int):
             for part in shared.slices(batch, "text"):
                 rows = []
                 for doc, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    ids, at = np.frombuffer(encode(text or "") + end, np.uint32).astype("<u2").tobytes(), 0
+                    ids, at = np.frombuffer(encode(text or "") + end, np.uint32).astype("<u2").tobytes(), 0  # materialise() has made sure that they fit
                     doc = NO_ID if doc is None else doc
                     if not held:
                         first, begin = doc, 0
@@ -143,12 +145,14 @@ def _write(folder: str, size: int, per_shard: int):
 def materialise(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, size: int = 1024, key: int = 20240229, per_shard: int = 4096, end_id: int = 1) -> DataFrame:
     """Write all texts as shards in folder (a shared one); returns the index of shards (INDEX), staged.
 
-    A text's tokens are its ids by the tokenizers file (at most 65,536 ids), and end_id. The streams of one input partition follow each
+    A text's tokens are its ids by the tokenizers file, and end_id; a file with ids over 65,535 is refused, as is such an end_id. The streams of one input partition follow each
     other in sequences of `size` tokens, the partition's last may be shorter (its record is filled with zeros). Null texts are empty,
     null ids are NO_ID, equal rows are written each, other columns are not read; an empty table writes nothing.
     """
-    from .tokens import default_path
+    from .tokens import default_path, largest_id
 
+    if max(largest_id(tokenizer or default_path()), end_id) > 0xFFFF:
+        raise ValueError("shards hold ids of 16 bits: the tokenizer or end_id has larger ones")
     spark = docs.sparkSession
     shared.small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -221,5 +225,8 @@ def _read(folder: str, size: int):
 
 
 def read_shards(spark: SparkSession, folder: str, index: DataFrame, size: int = 1024) -> DataFrame:
-    """All sequences (ROWS), shard by shard."""
-    return index.repartition(F.col("shard")).select("file", "first_slot", "sequences").mapInArrow(_read(folder, size), ROWS)
+    """All sequences (ROWS), shard by shard. index is staged; a task reads about READ_BYTES, by the sequences that the index names."""
+    held = index.agg(F.count("*").alias("shards"), F.sum("sequences").alias("sequences")).first()
+    stride = HEADER.itemsize + 2 * size
+    tasks = max(1, min(held["shards"], -(-(held["sequences"] or 0) * stride // READ_BYTES)))
+    return index.repartition(tasks, F.col("shard")).select("file", "first_slot", "sequences").mapInArrow(_read(folder, size), ROWS)

@@ -35,6 +35,12 @@ def default_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def largest_id(path: str) -> int:
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values(), default=0)
+
+
 # The pattern of word_bpe_49k.json, and what it amounts to below U+0250 after lower-casing, for the faster module re.
 _CUT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LETTERS, _NUMBERS = "a-zªµºß-öø-ÿĀ-ɏ", "0-9²³¹¼-¾"
