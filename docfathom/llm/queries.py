@@ -51,8 +51,9 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import shared, warc
 
     folder = shared.new_path(spark, "warc")
-    directory = warc.write_archives(_read(spark, sf_dir, "pages"), folder)
-    out = warc.read_archives(spark, folder, directory)
+    pages = _read(spark, sf_dir, "pages")
+    directory = warc.write_archives(pages, folder)
+    out = warc.lookup(pages, folder, directory)
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

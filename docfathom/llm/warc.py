@@ -2,8 +2,9 @@
 
 Captures are sorted by key (host reversed, then path and query; then page id) and written in that order, one archive per range of keys, one
 gzip member per record. Beside each archive lies its part of the index: lines of key, page id, place and length, in compressed blocks
-of BLOCK_LINES lines. The block directory has one row per block (its first key, and where it is) and is all that a lookup reads first:
-it is searched by bisection, then one block is read and searched by bisection, then one range of the archive.
+of BLOCK_LINES lines. The block directory has one line per block (its first key, and where it is) and lies beside the archive as well. A
+lookup finds the archives by bisection over their first keys, the blocks by bisection over the archive's part of the directory, the
+lines by bisection in the block, and reads one range of the archive.
 """
 
 from __future__ import annotations
@@ -16,12 +17,14 @@ import uuid
 import zlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import shared
+from . import exchange, shared
 
 BLOCK_LINES = 500
+#: Blocks that a task reads in a lookup of many URLs, about, and bytes of an archive read at once.
+BLOCKS_AT_ONCE, RANGE_BYTES = 8, 4 << 20
 #: Payloads of at least this many bytes are stored once.
 REVISIT_BYTES = 1000
 # Fixed values of the format.
@@ -108,6 +111,24 @@ def _escape(key: str) -> str:
     return key.replace("\\", "\\\\").replace("\n", "\\n").replace("\t", "\\t")
 
 
+def _records(revisits: str):
+    """(key, page_id, uid, data): each page's record, given the pages that revisits (by block) refers to others."""
+
+    def run(batches):
+        block, refers = None, {}
+        for batch in batches:
+            for b, rows in exchange.by_block(batch):
+                if b != block:
+                    got, block = exchange.read_block(revisits, b, ["uid", "refers_to"]), b
+                    refers = dict(zip(got["uid"], got["refers_to"], strict=True))
+                for part in shared.slices(rows, "payload"):
+                    uid, page, url, payload = (part.column(c).to_pylist() for c in ("uid", "page_id", "url", "payload"))
+                    data = [record(p, u, x, hashlib.sha1(x).hexdigest(), refers.get(i)) for i, p, u, x in zip(uid, page, url, payload, strict=True)]
+                    yield pa.record_batch([pa.array(map(sort_key, url), pa.string()), part.column("page_id"), part.column("uid"), pa.array(data, pa.binary())], names=["key", "page_id", "uid", "data"])
+
+    return run
+
+
 def _write(folder: str):
     def run(batches):
         from pyspark import TaskContext
@@ -129,17 +150,18 @@ def _write(folder: str):
                 lines.clear()
 
             for batch in batches:
-                for part in shared.slices(batch, "payload"):
-                    for r in part.to_pylist():
-                        data = record(r["page_id"], r["url"], r["payload"], r["digest"], r["refers_to"])
+                for part in shared.slices(batch, "data"):
+                    for key, page, data in zip(*(part.column(c).to_pylist() for c in ("key", "page_id", "data")), strict=True):
                         archive.write(data)
-                        lines.append((r["key"], r["page_id"], f"{_escape(r['key'])}\t{'' if r['page_id'] is None else r['page_id']}\t{at}\t{len(data)}\n"))
+                        lines.append((key, page, f"{_escape(key)}\t{'' if page is None else page}\t{at}\t{len(data)}\n"))
                         at += len(data)
                         if len(lines) == BLOCK_LINES:
                             close()
             if lines:
                 close()
-        for end in ("warc.gz", "idx"):  # a task that runs again replaces its files by equal ones
+        with system.open_output_stream(f"{attempt}.dir", compression=None) as directory:
+            directory.write("".join(f"{_escape(r[1])}\t{r[3]}\t{r[4]}\n" for r in rows).encode())
+        for end in ("warc.gz", "idx", "dir"):  # a task that runs again replaces its files by equal ones
             if rows:
                 system.move(f"{attempt}.{end}", f"{root}/{name}.{end}")
             else:
@@ -159,84 +181,156 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
     The payload is the text in UTF-8 (null: empty). Of payloads of at least REVISIT_BYTES that are equal, the page with the largest id
     is the response and the others refer to it; rows with that same id are responses too, and so are all if no id is known. A null URL
-    sorts first and is left out of the record; a null id is kept as such. Equal rows are records of their own.
+    sorts first and is left out of the record; a null id is kept as such. Equal rows are records of their own. Only digests and ids are
+    joined; payloads move once, as compressed records, to the archive of their key.
     """
     spark = pages.sparkSession
     shared.small_batches(spark, 500)
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    key = F.expr(
-        r"""CASE WHEN regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1) <> '' THEN concat(
-        array_join(reverse(split(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '[.]', -1)), ','),
-        regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#:]*(:[0-9]+)?', 1), ')',
-        coalesce(nullif(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?[^/?#:]*(?::[0-9]+)?([^#]*)', 1), ''), '/'))
-        ELSE concat('-', coalesce(url, '')) END"""
-    )
-    rows = rows.withColumn("key", key)
-    large = rows.filter(F.col("size") >= REVISIT_BYTES).select(F.concat("digest", F.lit(":"), "size").alias("same"), "page_id")
-    kept = shared.stage(large.groupBy("same").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "payloads")
-    big = rows.withColumn("same", F.when(F.col("size") >= REVISIT_BYTES, F.concat("digest", F.lit(":"), "size")))
-    # only ids go through the join; a hot payload's pages are found by broadcast
+    rows = pages.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col).cast("binary"), F.lit(b"")).alias("payload"))
+    base, _ = exchange.blocks(rows, "pages")
+    same = F.concat(F.sha1("payload"), F.lit(":"), F.octet_length("payload")).alias("same")
+    large = shared.stage(base.filter(F.octet_length("payload") >= REVISIT_BYTES).select("uid", "block", "page_id", same), "digests")
+    kept = large.groupBy("same").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL")
+    kept = shared.stage(kept, "payloads")
     total = max(1, kept.agg(F.sum("n")).first()[0] or 0)
-    joined = shared.split_join(big, kept, "same", "n", total, "left")
-    joined = joined.withColumn("refers_to", F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")))
-    ready = joined.select("key", "page_id", "url", "payload", "digest", "refers_to")
-    ranged = ready.repartitionByRange(F.col("key"), F.col("page_id")).sortWithinPartitions("key", "page_id")
-    return shared.stage(ranged.mapInArrow(_write(folder), DIRECTORY), "directory")
+    revisits = shared.split_join(large, kept, "same", "n", total).filter(~F.col("page_id").eqNullSafe(F.col("first")))
+    revisits = shared.stage(revisits.select("uid", "block", F.col("first").alias("refers_to")).repartition(F.col("block")), "revisits", "block")
+    records = shared.stage(base.mapInArrow(_records(shared.path_of(revisits)), "key string, page_id long, uid long, data binary"), "records")
+    shared.discard(base, large, kept, revisits)
+    order = ("key", "page_id", "uid")
+    ranged = records.repartitionByRange(*map(F.col, order)).sortWithinPartitions(*order).select("key", "page_id", "data")
+    directory = shared.stage(ranged.mapInArrow(_write(folder), DIRECTORY), "directory")
+    shared.discard(records)
+    return directory
+
 
+_ESCAPED = re.compile(r"\\(.)")
 
-def _block(system, root: str, row: dict) -> list[tuple[str, int | None, int, int]]:
-    with system.open_input_file(f"{root}/{row['index']}") as f:
-        text = zlib.decompress(f.read_at(row["length"], row["offset"])).decode()
-    out = []
-    for line in text.split("\n")[:-1]:
-        key, page, at, n = line.split("\t")
-        out.append((re.sub(r"\\(.)", lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), key), int(page) if page else None, int(at), int(n)))
-    return out
+
+def _unescape(key: str) -> str:
+    return _ESCAPED.sub(lambda m: {"n": "\n", "t": "\t"}.get(m[1], m[1]), key) if "\\" in key else key
+
+
+class Captures:
+    """The archives of a folder, for lookups: the first key of each archive is held, its part of the directory and the block searched
+    last are read when they are needed.
+    """
+
+    def __init__(self, folder: str, archives: list[tuple[str, str]]):
+        self.system, self.root = shared.filesystem(folder)
+        self.archives = sorted((key.encode(), name) for key, name in archives)
+        self.firsts = [key for key, _ in self.archives]
+        self.directory: tuple[str, list] = ("", [])
+        self.block: tuple[tuple[str, int] | None, list] = (None, [])
+
+    def _blocks(self, name: str) -> list[tuple[bytes, int, int]]:
+        """First key, place and length of each block of an archive."""
+        if self.directory[0] != name:
+            with self.system.open_input_file(f"{self.root}/{name.removesuffix('.warc.gz')}.dir") as f:
+                lines = [x.split("\t") for x in f.read().decode().split("\n")[:-1]]
+            self.directory = (name, [(_unescape(key).encode(), int(at), int(n)) for key, at, n in lines])
+        return self.directory[1]
+
+    @staticmethod
+    def _span(firsts, want: bytes) -> range:
+        """Where a key may be, by first keys: it may begin in the part before the first that is not less."""
+        return range(max(0, bisect.bisect_left(firsts, want) - 1), bisect.bisect_right(firsts, want))
+
+    def places(self, key: str):
+        """(archive, block) of each block that may hold a key."""
+        want = key.encode()
+        for a in self._span(self.firsts, want):
+            name = self.archives[a][1]
+            for b in self._span([x[0] for x in self._blocks(name)], want):
+                yield name, b
+
+    def lines(self, name: str, block: int, key: str) -> list[tuple[int, int]]:
+        """Place and length in the archive of a block's records with a key."""
+        if self.block[0] != (name, block):
+            _, at, n = self._blocks(name)[block]
+            with self.system.open_input_file(f"{self.root}/{name.removesuffix('.warc.gz')}.idx") as f:
+                rows = [x.split("\t") for x in zlib.decompress(f.read_at(n, at)).decode().split("\n")[:-1]]
+            self.block = ((name, block), [(_unescape(k).encode(), int(at), int(n)) for k, _, at, n in rows])
+        want, rows = key.encode(), self.block[1]
+        lo = bisect.bisect_left(rows, want, key=lambda x: x[0])
+        return [x[1:] for x in rows[lo : bisect.bisect_right(rows, want, lo, key=lambda x: x[0])]]
+
+    def read(self, name: str, spans: list[tuple[int, int]]):
+        """The records at ascending places of an archive; neighbours are read as one range of about RANGE_BYTES."""
+        with self.system.open_input_file(f"{self.root}/{name}") as f:
+            i = 0
+            while i < len(spans):
+                z = i + 1
+                while z < len(spans) and spans[z][0] == sum(spans[z - 1]) and sum(spans[z]) - spans[i][0] <= RANGE_BYTES:
+                    z += 1
+                lo = spans[i][0]
+                data = f.read_at(sum(spans[z - 1]) - lo, lo)
+                yield from (parse(data[at - lo : at - lo + n]) for at, n in spans[i:z])
+                i = z
 
 
 _PAGE_ARROW = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
 
-def _read(folder: str):
+def _keys(batches):
+    for batch in batches:
+        yield pa.record_batch([pa.array(map(sort_key, batch.column("url").to_pylist()), pa.string())], names=["key"])
+
+
+def _find(folder: str, archives: list[tuple[str, str]]):
     def run(batches):
-        system, root = shared.filesystem(folder)
+        captures = Captures(folder, archives)
         for batch in batches:
-            for row in batch.to_pylist():
-                lines = _block(system, root, row)
-                with system.open_input_file(f"{root}/{row['archive']}") as f:
-                    lo = lines[0][2]
-                    data = f.read_at(lines[-1][2] + lines[-1][3] - lo, lo)
-                for k in range(0, len(lines), 100):
-                    yield pa.RecordBatch.from_pylist([parse(data[at - lo : at - lo + n]) for _, _, at, n in lines[k : k + 100]], schema=_PAGE_ARROW)
+            rows = [(name, block, key) for key in batch.column("key").to_pylist() for name, block in captures.places(key)]
+            for k in range(0, len(rows), 10_000):
+                yield pa.record_batch([pa.array([r[i] for r in rows[k : k + 10_000]], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))], names=["archive", "block", "key"])
 
     return run
 
 
-def read_archives(spark: SparkSession, folder: str, directory: DataFrame) -> DataFrame:
-    """All pages (PAGE), read block by block: a block's records lie side by side in its archive, so each is one range. payload is null for revisits."""
-    spread = directory.select("archive", "index", "block", "offset", "length").repartition(F.col("archive"), F.col("block"))
-    return spread.mapInArrow(_read(folder), PAGE)
+def _fetch(folder: str):
+    def run(batches):
+        captures = Captures(folder, [])
+        for batch in batches:
+            asked: dict[tuple[str, int], list[tuple[int, int]]] = {}
+            for name, block, key in zip(*(batch.column(c).to_pylist() for c in ("archive", "block", "key")), strict=True):
+                asked.setdefault((name, block), []).extend(captures.lines(name, block, key))
+            for (name, _), spans in asked.items():
+                held, size = [], 0
+                for row in captures.read(name, spans):
+                    held.append(row)
+                    size += len(row["payload"] or b"")
+                    if size > shared.SLICE_BYTES:
+                        yield pa.RecordBatch.from_pylist(held, schema=_PAGE_ARROW)
+                        held, size = [], 0
+                yield pa.RecordBatch.from_pylist(held, schema=_PAGE_ARROW)
+
+    return run
+
+
+def _archives(directory: DataFrame) -> list[tuple[str, str]]:
+    """First key and name of each archive: as many as there are partitions in the write."""
+    return [(r["first_key"], r["archive"]) for r in directory.filter("block = 0").select("first_key", "archive").collect()]
+
+
+def lookup(urls: DataFrame, folder: str, directory: DataFrame, url_col: str = "url") -> DataFrame:
+    """All captures (PAGE) of the URLs in a column, each once; payload is null for revisits. A null URL asks for those without one.
+
+    Keys are sorted, so that a task walks along a stretch of the directory; what is found there goes to one of many tasks by block, so
+    that a URL with very many captures is spread.
+    """
+    keys = urls.select(F.col(url_col).alias("url")).mapInArrow(_keys, "key string").distinct()
+    places = keys.repartitionByRange(F.col("key")).sortWithinPartitions("key").mapInArrow(_find(folder, _archives(directory)), "archive string, block int, key string")
+    tasks = max(1, -(-directory.count() // BLOCKS_AT_ONCE))
+    return places.repartition(tasks, F.col("archive"), F.col("block")).sortWithinPartitions("archive", "block", "key").mapInArrow(_fetch(folder), PAGE)
 
 
 class CaptureIndex:
-    """Looks up single URLs. The directory is read once, a row per BLOCK_LINES captures; a block and a record are read when asked for."""
+    """Looks up single URLs."""
 
     def __init__(self, folder: str, directory: DataFrame):
-        self.system, self.root = shared.filesystem(folder)
-        self.rows = [r.asDict() for r in directory.orderBy("first_key", F.asc_nulls_first("first_id"), "archive", "block").toLocalIterator()]
-        self.keys = [r["first_key"].encode() for r in self.rows]
+        self.captures = Captures(folder, _archives(directory))
 
-    def lookup(self, url: str) -> list[dict]:
-        key, out = sort_key(url), []
-        want = key.encode()
-        i = max(0, bisect.bisect_left(self.keys, want) - 1)
-        while i < len(self.rows) and self.keys[i] <= want:
-            lines = _block(self.system, self.root, self.rows[i])
-            at = bisect.bisect_left(lines, want, key=lambda x: x[0].encode())
-            while at < len(lines) and lines[at][0] == key:
-                with self.system.open_input_file(f"{self.root}/{self.rows[i]['archive']}") as f:
-                    out.append(parse(f.read_at(lines[at][3], lines[at][2])))
-                at += 1
-            i += 1
-        return out
+    def lookup(self, url: str | None) -> list[dict]:
+        key = sort_key(url)
+        return [row for name, block in self.captures.places(key) for row in self.captures.read(name, self.captures.lines(name, block, key))]

@@ -20,7 +20,7 @@ def test_round_trip(spark):
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, size int").repartition(4)
     folder = shared.new_path(spark, "warc")
     directory = warc.write_archives(pages, folder)
-    got = warc.read_archives(spark, folder, directory).collect()
+    got = warc.lookup(pages, folder, directory).collect()
     first = {}
     for i, _, h in rows:
         if h and len(h.encode()) >= 1000 and i is not None:
@@ -44,6 +44,8 @@ def test_round_trip(spark):
         assert all(r["payload_digest"] for r in found)
     assert index.lookup("http://absent.example/") == []
     system, root = shared.filesystem(folder)
+    one = warc.lookup(pages.limit(0).unionByName(spark.createDataFrame([(0, "http://n/", "", 1)], pages.schema)), folder, directory).collect()
+    assert [(r.url, r.page_id) for r in one] == [("http://n/", None)]
     name = directory.first().archive
     with system.open_input_file(f"{root}/{name}") as f:
         assert gzip.decompress(f.read()).startswith(b"WARC/1.1\r\nWARC-Type: ")
@@ -60,3 +62,30 @@ def test_keys_agree(spark):
             assert i in {r["page_id"] for r in index.lookup(u)}, u
     empty = warc.write_archives(pages.limit(0), shared.new_path(spark, "warc"))
     assert empty.count() == 0
+
+
+def test_lookups_bisect(spark, monkeypatch):
+    """One URL of many takes few reads: a part of the directory, one block, one range."""
+    monkeypatch.setattr(warc, "BLOCK_LINES", 10)
+    pages = spark.range(3000).selectExpr("id AS page_id", "concat('http://h', id % 40, '.example/', id) AS url", "'z' AS html").repartition(4)
+    folder = shared.new_path(spark, "warc")
+    index = warc.CaptureIndex(folder, warc.write_archives(pages, folder))
+    opened = []
+    system, root = index.captures.system, index.captures.root
+
+    class Counted:
+        def open_input_file(self, path):
+            opened.append(path)
+            return system.open_input_file(path)
+
+    index.captures.system = Counted()
+    assert [r["page_id"] for r in index.lookup("http://h7.example/2007")] == [2007]
+    assert len(opened) <= 6 and all(p.startswith(root) for p in opened)
+
+
+def test_a_url_with_many_captures(spark):
+    pages = spark.range(4000).selectExpr("id AS page_id", "IF(id % 4 = 0, concat('http://x/', id), NULL) AS url", "repeat('x', 1200) AS html").repartition(5)
+    folder = shared.new_path(spark, "warc")
+    got = warc.lookup(pages, folder, warc.write_archives(pages, folder)).collect()
+    assert sorted(r.page_id for r in got) == list(range(4000))
+    assert {(r.record_type, r.refers_to) for r in got if r.page_id != 3999} == {("revisit", 3999)}
