@@ -591,7 +591,7 @@ def extract(page: str | None, wrapper: tuple[Part, dict[int, int]] | None = None
 
 
 #: Pages (or, later, wrappers) that are merged in one go.
-PAGES_AT_ONCE, WRAPPERS_AT_ONCE = 500, 64
+PAGES_AT_ONCE, WRAPPERS_AT_ONCE = 100, 64
 
 
 def _skeletons(batches):
