@@ -9,10 +9,10 @@ A stretch that is not suspicious has a lattice of one path, itself.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +24,8 @@ from .hashing import text_buffer
 
 #: Symbols of the model: 0 ends a word, 1 to 26 are a to z, 27 is any other letter.
 SYMBOLS = 28
+#: A state's code modulo this is the state without its oldest symbol.
+FORGET = SYMBOLS**2
 #: Labelled rows used for fitting, at most.
 FIT_ROWS = 30_000
 #: Lengths of word beginnings; rows that a word counts for in its beginnings, at most; least precision, surely reached, of what has a weight.
@@ -99,13 +101,32 @@ def language_model(counts: np.ndarray) -> np.ndarray:
     return -np.log(p).astype(np.float32)
 
 
+#: Words remembered by a worker's decoder; beyond that it starts anew, which costs time and changes no result.
+MEMO_WORDS = 800_000
+_decoders: dict[bytes, Decoder] = {}
+
+
+def decoder_of(costs: np.ndarray) -> Decoder:
+    """This worker's decoder for a model; workers live on from task to task."""
+    key = hashlib.sha1(costs.tobytes()).digest()
+    if key not in _decoders:
+        _decoders.clear()
+        _decoders[key] = Decoder(costs)
+    return _decoders[key]
+
+
 class Decoder:
     """Viterbi decoding of suspicious stretches: the cheapest path of all, whatever a stretch's length."""
 
     def __init__(self, costs: np.ndarray):
+        # what stands between white space: tokens that are a word in lower case, the words of others; what suspicious ones are restored to
+        self.plain: set[str] = set()
+        self.words: dict[str, tuple[str, ...]] = {}
+        self.decoded: dict[str, tuple[str, str] | None] = {}
+        self.restored: dict[str, tuple[str, str]] = {}
         self.costs = costs
         self.flat = costs.reshape(-1, SYMBOLS).astype(float)
-        self.decode = lru_cache(50_000)(self._decode)
+        self.prices = self.flat.ravel().tolist()
         # what paths that go on alike from two states of a place can differ by: the costs of three symbols
         self.gap = 3 * float(costs.max())
         # by the number of stars that end a stretch, for each state before them: the cheapest cost up to the end, and the edge it takes
@@ -182,14 +203,33 @@ class Decoder:
             ends[i] = ends[i + 1] if raw[i] == raw[i + 1] else i + 1
         # best[i]: by the last three symbols, (cost, what was written before and last); paths share what they have in common
         best: dict[int, dict[int, tuple[float, tuple | None]]] = {0: {0: (0.0, None)}}
-        flat = self.flat
+        prices = self.prices
         last = len(raw) if apart else len(raw.rstrip("*"))
         if len(raw) - last > 64:
             last = len(raw)
-        for i in range(last):
+        # letters by themselves have one edge each
+        single = [e == i + 1 and "a" <= raw[i] <= "z" and raw[i : i + 2] != "ph" for i, e in enumerate(ends)]
+        i = -1
+        while (i := i + 1) < last:
             here = best.pop(i, None)
             if not here:
                 continue
+            if single[i]:
+                n = i + 1
+                if len(here) == 1:  # one path: on to the place where it may part or meet others
+                    while n < last and single[n] and n not in best:
+                        n += 1
+                there, written = best.setdefault(n, {}), raw[i:n]
+                symbols = [ord(c) - 96 for c in written]
+                for z, (cost, path) in here.items():
+                    for s in symbols:
+                        cost += prices[z * SYMBOLS + s]
+                        z = z % FORGET * SYMBOLS + s
+                    old = there.get(z)
+                    if old is None or cost < old[0]:
+                        there[z] = (cost, (path, written))
+                i = n - 1
+                continue
             steps = list(self.edges(raw, i, apart, ends[i]))
             if raw[i] == "*" and not apart and len(here) > 64 and ends[i] in best:  # all paths go through the run's end: some are too dear already
                 most = min(x[0] for x in best[ends[i]].values()) + self.gap
@@ -203,8 +243,8 @@ class Decoder:
                 for z, (cost, path) in here.items():
                     total = cost + price
                     for s in symbols:
-                        total += flat.item(z, s)
-                        z = z % SYMBOLS**2 * SYMBOLS + s if s else 0
+                        total += prices[z * SYMBOLS + s]
+                        z = z % FORGET * SYMBOLS + s if s else 0
                     old = there.get(z)
                     if old is None or total < old[0]:
                         there[z] = (total, (path, out))
@@ -226,41 +266,86 @@ class Decoder:
         z = 0
         for ch in text + " ":
             s = symbol(ch) if ch != " " else 0
-            if self.flat.item(z, s) > LITERAL:
+            if self.prices[z * SYMBOLS + s] > LITERAL:
                 return False
-            z = z % SYMBOLS**2 * SYMBOLS + s if s else 0
+            z = z % FORGET * SYMBOLS + s if s else 0
         return True
 
-    def restore(self, text: str) -> list[tuple[str, str]]:
-        """(stretch, restored) for each suspicious stretch of text that decodes to something else."""
-        spans = [m.span() for m in APART.finditer(text)]
-        end, k = 0, 0
-        for m in MARKED.finditer(text):
-            at = m.start()
-            while k < len(spans) and spans[k][1] <= at:
-                k += 1
-            if at < end or k < len(spans) and spans[k][0] <= at:
-                continue
-            start, end = at, m.end()
-            while start and not text[start - 1].isspace():
-                start -= 1
-            while end < len(text) and not text[end].isspace():
-                end += 1
-            spans.append((start, end))
+    def _restored(self, stretch: str) -> tuple[str, str] | None:
+        core = stretch.lower().strip(".,;:?\"'")
+        if core and not ADDRESS.fullmatch(core):
+            got = self._decode(core).strip()
+            if got != core and got != core.rstrip("!") and (not core.isalpha() or REPEATED.search(core) or self.likely(got)):
+                return stretch, got
+        return None
+
+    def look(self, token: str) -> None:
+        """Remember a token: its words in lower case, and what it is restored to if it is suspicious."""
+        words = tuple(token.lower().translate(_PUNCTUATION).split())
+        if words == (token,):
+            self.plain.add(token)
+        else:
+            self.words[token] = words
+        if MARKED.search(token):
+            if token not in self.decoded:
+                self.decoded[token] = self._restored(token)
+            if got := self.decoded[token]:
+                self.restored[token] = got
+
+    def read(self, text: str) -> tuple[set[str], list[tuple[str, str]]]:
+        """The lower-case words of a text, and (stretch, restored) for each suspicious stretch that decodes to something else.
+
+        Suspicious are letters spelled apart, and tokens (what stands between white space) with a marked place outside of those. Nothing
+        in a token depends on its neighbours, so each is looked at once.
+        """
+        if len(self.words) + len(self.plain) >= MEMO_WORDS:  # between texts only
+            self.words.clear()
+            self.plain.clear()
+            self.restored.clear()
+        if len(self.decoded) >= MEMO_WORDS:
+            self.decoded.clear()
+        words: set[str] = set()
+        apart = [m.span() for m in APART.finditer(text)]
+        pieces = [text]
         out = []
-        for start, end in spans:
-            core = text[start:end].lower().strip(".,;:?\"'")
-            if core and not ADDRESS.fullmatch(core):
-                got = (self.decode if len(core) <= 80 else self._decode)(core).strip()  # long ones are not kept: they hardly come again
-                if got != core and got != core.rstrip("!") and (not core.isalpha() or REPEATED.search(core) or self.likely(got)):
-                    out.append((text[start:end], got))
-        return out
+        if apart:  # they begin a token, and may end within one, which is looked at too if it has a marked place beyond
+            cuts, tails = [0], []
+            for start, end in apart:
+                if got := self._restored(text[start:end]):
+                    out.append(got)
+                first, inside = end, end
+                while first and not text[first - 1].isspace():
+                    first -= 1
+                while end < len(text) and not text[end].isspace():
+                    end += 1
+                if any(m.start() >= inside - first for m in MARKED.finditer(text[first:end])) and (got := self._restored(text[first:end])):
+                    tails.append(got)
+                cuts += [start, end]
+            cuts.append(len(text))
+            out += tails
+            pieces = [text[a:z] for a, z in zip(cuts[::2], cuts[1::2], strict=True)]
+            for start, end in zip(cuts[1:-1:2], cuts[2::2], strict=True):
+                words.update(text[start:end].lower().translate(_PUNCTUATION).split())
+        for piece in pieces:
+            tokens = piece.split()
+            distinct = {*tokens}
+            for t in distinct - self.plain:
+                if (own := self.words.get(t)) is None:
+                    self.look(t)
+                    own = self.words.get(t, (t,))
+                words.update(own)
+            words |= distinct & self.plain
+            if not self.restored.keys().isdisjoint(tokens):
+                out += [self.restored[t] for t in tokens if t in self.restored]
+        return words, out
+
+    def restore(self, text: str) -> list[tuple[str, str]]:
+        return self.read(text)[1]
 
 
 def features(text: str, decoder: Decoder) -> tuple[set[str], list[tuple[str, str]]]:
     """Lower-case words of the text and of what it restores to."""
-    words = set(text.lower().translate(_PUNCTUATION).split())
-    restored = decoder.restore(text)
+    words, restored = decoder.read(text)
     for _, x in restored:
         words.update(x.split())
     return words, restored
@@ -268,7 +353,7 @@ def features(text: str, decoder: Decoder) -> tuple[set[str], list[tuple[str, str
 
 def _learn(costs: np.ndarray):
     def run(batches):
-        decoder = Decoder(costs)
+        decoder = decoder_of(costs)
         counts = [[Counter(), Counter()], [Counter(), Counter()]]
         for batch in batches:
             for text, label, fold in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "fold")), strict=True):
@@ -333,7 +418,7 @@ def _observe(costs: np.ndarray, by_fold: list[Weights]):
     """Evidence of labelled rows, under the weights of the other fold."""
 
     def run(batches):
-        decoder = Decoder(costs)
+        decoder = decoder_of(costs)
         for batch in batches:
             out = []
             for text, fold in zip(batch.column("text").to_pylist(), batch.column("fold").to_pylist(), strict=True):
@@ -346,7 +431,7 @@ def _observe(costs: np.ndarray, by_fold: list[Weights]):
 
 def _score(costs: np.ndarray, weights: Weights, beta: np.ndarray | None, carry: list[str]):
     def run(batches):
-        decoder = Decoder(costs)
+        decoder = decoder_of(costs)
         for batch in batches:
             score, restored = [], []
             for text in batch.column("text").to_pylist():
@@ -400,7 +485,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     over all words explains, and most rows that hold it are surely toxic. The calibration is fitted however few labels there are; only where
     no labelled row holds what the other fold has learned is there nothing to fit, and a score is the noisy-or of the precisions. Only the text is an input of a score. A null or empty text scores 0; so does every text where no label
     is known or all labels are equal. A null id is scored and never learned from; equal rows score equally; null labels are left out, of
-    several labels for an id the largest counts; other columns are not read.
+    several labels for an id, or for equal texts, the largest counts; other columns are not read.
 
     Returns id_col, held_out, score, predicted (1 if score >= 0.7) and restored (stretches that were decoded); with carry, instead of
     id_col the columns named there, unchanged, and a column __predicted.
@@ -417,7 +502,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id IS NOT NULL AND label IS NOT NULL")
     known = known.filter(~held_out("id")).groupBy("id").agg(F.max("label").alias("label"))
     known = known.orderBy(F.xxhash64("id"), "id").limit(fit_rows)  # a bounded table, so it may be broadcast
-    rows = texts.select("id", "text").join(F.broadcast(known), "id").select("label", "text").dropDuplicates(["text"])
+    rows = texts.select("id", "text").join(F.broadcast(known), "id").groupBy("text").agg(F.max("label").alias("label"))
     rows = shared.stage(rows.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(2)).cast("int")), "fit")
     total = rows.agg(F.sum(F.when(F.col("label") > 0, 1).otherwise(0)).alias("t"), F.count("*").alias("n")).first()
     weights, beta = Weights({}), None

@@ -184,3 +184,28 @@ def test_held_out_accuracy(spark):
     got = QUERIES["op2_toxicity"](spark, d).filter("held_out").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").collect()
     hits = sum(r.predicted == r.toxic for r in got)
     assert len(got) > 500 and hits / len(got) > 0.9
+
+
+def test_a_token_beyond_letters_apart(decoder):
+    """Letters apart may end within a token; what is marked beyond them makes the token one to look at."""
+    assert ("c.m0r0n", "c moron") in decoder.restore("a b c.m0r0n e f") or any("moron" in x for _, x in decoder.restore("a b c.m0r0n e f"))
+    assert [raw for raw, _ in decoder.restore("you a b c.d e") if raw.startswith("c")] in ([], ["c.d"])
+
+
+def test_equal_texts_with_different_labels_count_as_toxic(spark):
+    rows = [(i, f"{'vile' if i % 3 == 0 else 'nice'} words {i % 50} here") for i in range(600)]
+    docs = spark.createDataFrame(rows + [(1000 + i, x) for i, x in rows], "doc_id long, text string")
+    labels = [(i, int("vile" in x)) for i, x in rows] + [(1000 + i, 0) for i, _ in rows]
+    runs = [tox.toxicity(docs.repartition(n), spark.createDataFrame(labels, "doc_id long, toxic int")).select("doc_id", "score") for n in (1, 7)]
+    a, b = ({r.doc_id: r.score for r in x.collect()} for x in runs)
+    assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-9 for k in a)
+
+
+def test_memo_changes_nothing(monkeypatch):
+    costs = tox.language_model(tox.gram_counts(pa.array(["the idiot went home", "a stupid moron sat there", "well hello"] * 20)))
+    texts = ["st*pid id1ot hello", "sstupid  m0r0n id1ot m0r0n", "nice HELLO. st*pid"] * 3
+    whole = tox.Decoder(costs)
+    want = [tox.features(x, whole) for x in texts]
+    monkeypatch.setattr(tox, "MEMO_WORDS", 1)
+    small = tox.Decoder(costs)
+    assert [tox.features(x, small) for x in texts] == want and sum(len(r) for _, r in want) > 9
