@@ -192,19 +192,26 @@ def _blocks(percent: int):
 
 
 def components(links: DataFrame) -> DataFrame:
-    """The least vertex of each component: (v, label) for every vertex of links (a, b)."""
+    """The least vertex of each component, staged: (v, label) for every vertex of links (a, b).
+
+    Each round takes the least label among neighbours, then that label's label. A vertex with very many links, and a label that very many
+    vertices have, are hot keys of these joins: they are split.
+    """
     links_both = shared.stage(links.union(links.select("b", "a")).distinct(), "links")
     both = links_both.toDF("src", "dst")
-    labels = shared.stage(both.groupBy(F.col("src").alias("v")).agg(F.min(F.least("src", "dst")).alias("label")), "labels")
+    labels = shared.stage(both.groupBy(F.col("src").alias("v")).agg(F.min(F.least("src", "dst")).alias("label"), F.count("*").alias("degree")), "labels")
+    total = max(1, labels.agg(F.sum("degree")).first()[0] or 0)
     while True:
-        near = both.join(labels, F.col("src") == F.col("v")).groupBy("dst").agg(F.min("label").alias("near"))
-        step = labels.join(near, F.col("v") == F.col("dst")).select("v", F.least("label", "near").alias("next"), F.col("label").alias("old"))
-        up = labels.select(F.col("v").alias("w"), F.col("label").alias("top"))
-        jumped = shared.stage(step.join(up, F.col("next") == F.col("w")).select("v", F.least("next", "top").alias("label"), "old"), "labels")
+        near = shared.split_join(both, labels.withColumnRenamed("v", "src"), "src", "degree", total).groupBy("dst").agg(F.min("label").alias("near"))
+        step = labels.join(near, F.col("v") == F.col("dst")).select("v", "degree", F.least("label", "near").alias("next"), F.col("label").alias("old"))
+        step = shared.stage(step, "steps")
+        up = labels.select(F.col("v").alias("next"), F.col("label").alias("top")).join(step.groupBy("next").agg(F.count("*").alias("rows")), "next")
+        up = shared.stage(up, "tops")
+        jumped = shared.stage(shared.split_join(step, up, "next", "rows", total).select("v", "degree", F.least("next", "top").alias("label"), "old"), "labels")
         changed = jumped.filter("label < old").limit(1).count()
-        shared.discard(labels)
+        shared.discard(labels, step, up)
         path = shared.path_of(jumped)
-        labels = jumped.select("v", "label")
+        labels = jumped.select("v", "label", "degree")
         labels._docfathom_path = path
         if not changed:
             shared.discard(links_both)
@@ -244,7 +251,7 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, size: int,
     shared.discard(links, wanted)
 
     # buckets whose members are still in different components
-    lab = labels.withColumnRenamed("v", "uid")
+    lab = labels.select(F.col("v").alias("uid"), "label")
     told = members.join(lab, "uid", "left").withColumn("label", F.coalesce("label", "uid"))
     told = shared.stage(told.select("h", "uid", "label", "c", "sig", "center", "last", (F.col("uid") == F.col("center")).alias("first")), "told")
     shared.discard(members, buckets)
@@ -255,7 +262,7 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, size: int,
     mixed = shared.split_join(told.select("h", "uid", "label", "c"), open_, "h", "weight", total).withColumn("minor", F.col("label") != F.col("hub"))
     mixed = mixed_table = shared.stage(mixed, "mixed")
     shared.discard(told, open_)
-    minors = mixed.filter("minor").groupBy("h").agg(F.count("*").alias("m"), F.max("c").alias("weight"))
+    minors = shared.stage(mixed.filter("minor").groupBy("h").agg(F.count("*").alias("m"), F.max("c").alias("weight")), "minors")
     mixed = shared.split_join(mixed.drop("weight"), minors, "h", "weight", total)
     slots = lambda n: F.ceil(n / F.lit(CHUNK)).cast("int")
     slot = lambda n: F.pmod(F.xxhash64("uid"), slots(n)).cast("int")
@@ -264,16 +271,18 @@ def _solve(docs: DataFrame, id_col: str, text_col: str, percent: int, size: int,
     as_minor = mixed.filter("minor").select("h", F.col("mine_minor").alias("x"), F.explode(F.sequence(F.lit(0), F.col("s_all") - 1)).alias("y"), "uid", "label", F.lit(1).alias("role"))
     work = as_all.unionByName(as_minor).join(sets, "uid")
     more = shared.stage(work.groupBy("h", "x", "y").applyInArrow(_guard(_blocks(percent)), _LINKS_SQL), "more")
-    shared.discard(sets, mixed_table)
+    shared.discard(sets, mixed_table, minors)
     top = components(more)
-    label = labels.join(top.select(F.col("v").alias("label"), F.col("label").alias("top")), "label", "left").select("v", F.coalesce("top", "label").alias("label"))
-    lone = top.join(labels.select("v"), "v", "left_anti")
+    over = top.select(F.col("v").alias("label"), F.col("label").alias("top")).join(labels.groupBy("label").agg(F.count("*").alias("rows")), "label")
+    over = shared.stage(over, "over")
+    label = shared.split_join(labels, over, "label", "rows", total, "left").select("v", F.coalesce("top", "label").alias("label"))
+    lone = top.select("v", "label").join(labels.select("v"), "v", "left_anti")
     label = shared.stage(label.unionByName(lone), "label")
-    shared.discard(labels, top, more)
+    shared.discard(labels, top, more, over)
 
     placed = classes.join(label, F.col("rep") == F.col("v"), "left").select("key", "least", "copies", F.coalesce("label", "rep").alias("label"))
     placed = shared.stage(placed, "placed")
-    least = placed.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("weight"))
+    least = shared.stage(placed.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("weight")), "least")
     placed = shared.split_join(placed, least, "label", "weight", total).select("key", "copies", "component_id", "label")
     placed = shared.stage(placed, "components")
     out = shared.split_join(known.select("uid", "id", "n", "key"), placed, "key", "copies", total, "left")

@@ -11,6 +11,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record that op1 wrote, read back from its shards: null texts are end marks alone, null ids stay null, an empty table gives no rows."""
     from . import materialise, shared
 
     folder = shared.new_path(spark, "shards")
@@ -20,6 +21,7 @@ def op1_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for every row of documents: null and empty texts score 0, equal rows score equally; with no labels all scores are 0."""
     from .toxicity import toxicity
 
     out = toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
@@ -27,12 +29,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest of every vector whose id is divisible by 20: unusable vectors and null ids take no part, ties go to smaller ids."""
     from .ann import search
 
     return search(_read(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated windows: null and empty texts have no words, equal rows count as two texts."""
     from .substring import drop_repeats
 
     out = drop_repeats(_read(spark, sf_dir, "documents"), window=35)
@@ -48,6 +52,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its record was looked up in the archives: null html is an empty payload, a null URL or id is kept as such."""
     from . import shared, warc
 
     folder = shared.new_path(spark, "warc")
@@ -58,6 +63,7 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lpf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its repeated bytes: null and empty texts have no bytes, equal rows count as two texts."""
     from .lpf import drop_repeated_bytes
 
     out = drop_repeated_bytes(_read(spark, sf_dir, "documents"), window=200)
@@ -65,6 +71,7 @@ def op7_lpf_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece and its place: null and empty texts are one token, equal rows are packed each."""
     from .packing import pack
 
     out = pack(_read(spark, sf_dir, "documents"), capacity=4096)
@@ -72,12 +79,14 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and its component: null and wordless texts have empty sets and stand alone, equal rows are linked."""
     from .neardup import near_duplicates
 
     return near_duplicates(_read(spark, sf_dir, "documents"), percent=85, size=5)
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page: null and empty pages have empty texts; pages without a host share one wrapper."""
     from .html import main_text
 
     return main_text(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))

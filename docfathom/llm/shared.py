@@ -16,16 +16,23 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests, local runs)."""
+    """The folder all executors share, as a URI: spark.checkpoint.dir on the file system that Hadoop resolves it to.
+
+    Where that is unset, a temporary folder serves a local master (tests); on a cluster it is an error.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        base = _local.setdefault("dir", "")
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: the executors need a shared folder")
+        base = _local.get("dir")
         if not base:
             base = _local["dir"] = "file://" + (made := tempfile.mkdtemp(prefix="docfathom-"))
             atexit.register(shutil.rmtree, made, ignore_errors=True)
-    if "://" not in base:
-        base = "file://" + base
-    return base.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    if full.startswith("file:/") and not full.startswith("file://"):
+        full = "file://" + full[5:]
+    return full.rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -114,3 +114,21 @@ def test_signature_tells_buckets_apart(spark):
     rows = [(2 * k + j, uid) for k, r in enumerate(short) for j in (0, 1) for uid in (0, r.ids[j], 9999)]
     got = spark.createDataFrame(rows, "h long, uid long").groupBy("h").agg(neardup.signature("uid").alias("sig")).collect()
     assert len({r.sig for r in got}) == len({(r.ids[j]) for r in short for j in (0, 1)})
+
+
+def test_components_of_stars_and_chains(spark):
+    """One vertex with nearly all links, a long chain, and pairs, against a plain union."""
+    rng = random.Random(9)
+    links = [(0, i) for i in range(1, 3000)] + [(i + 1, i) for i in range(4000, 4060)] + [(rng.randint(5000, 5400), rng.randint(5000, 5400)) for _ in range(250)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        x, y = root(a), root(b)
+        parent[max(x, y)] = min(x, y)
+    got = nd.components(spark.createDataFrame(links, "a long, b long"))
+    assert {r.v: r.label for r in got.collect()} == {v: root(v) for v in {x for pair in links for x in pair}}
