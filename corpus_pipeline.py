@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docfathom.llm.decontam import leaks
 from docfathom.llm.neardup import one_of_each
 from docfathom.llm.packing import pack
-from docfathom.llm.shared import stage
+from docfathom.llm.shared import discard, stage
 from docfathom.llm.substring import drop_repeats
 from docfathom.llm.toxicity import toxicity
 
@@ -25,7 +25,10 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group with five-word-shingle similarity of 0.8 or more."""
+    """One document of each group with five-word-shingle similarity of 0.8 or more: the first in the order of the input.
+
+    Of equal rows one stays. Null, empty and wordless texts are like nothing and all stay; ids play no part.
+    """
     return one_of_each(docs, percent=80, size=5)
 
 
@@ -39,16 +42,24 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return out.select(*[now[c].alias(c) if c in now else F.col(c) for c in docs.columns])
 
 
+#: Keys of contaminated documents that are broadcast, at most (about 100 bytes each); more are joined by a shuffle.
+BROADCAST_KEYS = 200_000
+
+
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a window that is like a benchmark item. A row is known by its id and text together."""
+    """Documents without a window that is like a benchmark item. A row is known by its id and text together, so equal rows go together.
+
+    Null and short texts have no window and stay. Where the keys found are few, no text is shuffled.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.xxhash64("text").cast("string"))
-    found = leaks(docs.select(key.alias("__key"), "text"), benchmark, id_col="__key").select("__key").distinct()
-    return docs.withColumn("__key", key).join(found, "__key", "left_anti").select(*docs.columns)
+    found = stage(leaks(docs.select(key.alias("__key"), "text"), benchmark, id_col="__key").select("__key").distinct(), "leaks")
+    gone = F.broadcast(found) if found.count() <= BROADCAST_KEYS else found
+    return docs.withColumn("__key", key).join(gone, "__key", "left_anti").select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens."""
+    """Every document's tokens as pieces of sequences of at most 4096 tokens; null and empty texts are an end mark each."""
     return pack(docs, capacity=4096)
 
 
@@ -60,12 +71,18 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Scores, near-duplicate components and packing are beyond SQL; tests compare the stages with brute force.
+#: Scores, near-duplicate components and packing are beyond SQL; tests compare the stages with brute force on small tables.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed sequences of documents. A stage may leave nothing: the next ones then have nothing to do."""
+    docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, step in STAGES[:-1]:
         docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+        if done is not None:
+            discard(done)
+        done = docs
+    out = STAGES[-1][1](spark, docs, sf_dir)  # reads tables of its own from here on
+    discard(docs)
+    return out
