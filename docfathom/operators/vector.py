@@ -43,37 +43,55 @@ def search(vectors: DataFrame, query: Sequence[float], limit: int, chunks: DataF
     return found.withColumn("vec_rank", F.row_number().over(order)).filter(F.col("vec_rank") <= limit)
 
 
+def _matrix(column) -> np.ndarray:
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(column), -1)
+
+
 def _top(queries: np.ndarray, ids: list, k: int):
-    """Partial top-k of each batch of vectors for a block of queries."""
+    """Partial top-k of each batch of vectors for a block of queries: one matrix product tells what may be near, then distances are exact."""
 
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
+            if not batch.num_rows or not len(queries):
                 continue
-            x = np.array(batch.column("embedding").to_pylist(), np.float64)
-            own = np.array(batch.column("id").to_pylist(), object)
+            x, own = _matrix(batch.column("embedding")), np.array(batch.column("id").to_pylist(), object)
+            square, n = (x**2).sum(1), min(k, batch.num_rows)
             rows = []
-            for i, q in enumerate(queries):
-                d = np.round(np.sqrt(((x - q) ** 2).sum(1)), 6)
-                cut = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
-                take = np.flatnonzero(d <= cut)
-                rows += [(ids[i], own[j], float(d[j])) for j in sorted(take, key=lambda j: (d[j], own[j]))[:k]]
+            for at in range(0, len(queries), 100):
+                part = queries[at : at + 100]
+                rough = np.maximum((part**2).sum(1)[:, None] + square - 2 * part @ x.T, 0)
+                for i, r in enumerate(rough, at):
+                    cut = np.sqrt(np.partition(r, n - 1)[n - 1])
+                    near = np.flatnonzero(np.sqrt(r) <= cut + 1e-5 * (1 + cut) + 1e-6 * (1 + np.sqrt(square.max())))
+                    d = np.round(np.sqrt(((x[near] - queries[i]) ** 2).sum(1)), 6)
+                    rows += [(ids[i], own[near[j]], float(d[j])) for j in sorted(range(len(near)), key=lambda j: (d[j], own[near[j]]))[:k]]
             yield pa.record_batch([pa.array([r[c] for r in rows], t) for c, t in enumerate((pa.int64(), pa.string(), pa.float64()))], names=["query_id", "id", "distance"])
 
     return run
 
 
 def search_batch(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, id, distance, vec_rank for a table of queries (query_id long, vector): one pass over the vectors for each block of queries."""
-    asked = queries.select("query_id", "vector").collect() if queries.limit(BLOCK_QUERIES * 50 + 1).count() <= BLOCK_QUERIES * 50 else None
-    if asked is None:
-        raise ValueError(f"more than {BLOCK_QUERIES * 50} queries: split the table")
+    """query_id, id, distance, vec_rank for a table of queries (query_id long, vector): one pass over the vectors for each block of queries.
+
+    Queries come to the driver a partition at a time; every block is a part of the plan, so their number has no limit.
+    """
     rows = vectors.filter("embedding IS NOT NULL").select("id", "embedding")
-    found = None
-    for at in range(0, max(1, len(asked)), BLOCK_QUERIES):
-        block = asked[at : at + BLOCK_QUERIES]
+    found, block = None, []
+
+    def add() -> None:
+        nonlocal found
         q = np.array([r["vector"] for r in block], np.float64)
         part = rows.mapInArrow(_top(q, [r["query_id"] for r in block], k), "query_id long, id string, distance double")
         found = part if found is None else found.unionByName(part)
+        block.clear()
+
+    for r in queries.select("query_id", "vector").toLocalIterator():
+        block.append(r)
+        if len(block) == BLOCK_QUERIES:
+            add()
+    if block or found is None:
+        add()
     order = Window.partitionBy("query_id").orderBy("distance", "id")
     return found.withColumn("vec_rank", F.row_number().over(order)).filter(F.col("vec_rank") <= k)

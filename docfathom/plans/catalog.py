@@ -237,12 +237,12 @@ def delete_by_source(spark, d):
 
 
 def duplicate_names(spark, d):
-    names = table(spark, d, "documents").select(T.slugify(F.substring(F.coalesce("text", F.lit("")), 1, 12)).alias("name"))
+    names = table(spark, d, "documents").select(T.slugify(F.coalesce("text", F.lit(""))).alias("name"))
     return merge.duplicates(names)
 
 
 def last_of_each(spark, d):
-    rows = table(spark, d, "documents").select(T.slugify(F.substring(F.coalesce("text", F.lit("")), 1, 8)).alias("id"), F.col("doc_id").alias("seq"))
+    rows = table(spark, d, "documents").select(T.slugify(F.coalesce("source", F.lit(""))).alias("id"), F.col("doc_id").alias("seq"))
     return merge.last_of_each(rows)
 
 

@@ -104,8 +104,8 @@ FROM (SELECT event_id, props, list_sort(json_keys(props)) AS k FROM events)""",
     "merge_upsert": f"""SELECT * FROM ({_STORED}) WHERE id NOT IN (SELECT id FROM ({_PARSED})) UNION ALL
 SELECT p.id, coalesce(s.api_id, p.api_id), p.content_hash, coalesce(s.created_at, p.created_at) FROM ({_PARSED}) p LEFT JOIN ({_STORED}) s ON p.id = s.id""",
     "delete_by_source": f"SELECT id, api_id FROM ({_STORED}) WHERE api_id <> 'src3'",
-    "duplicate_names": f"SELECT {_slug('substr(coalesce(text, ' + repr('') + '), 1, 12)')} AS name, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
-    "last_of_each": f"SELECT {_slug('substr(coalesce(text, ' + repr('') + '), 1, 8)')} AS id, max(doc_id) AS seq FROM documents GROUP BY 1",
+    "duplicate_names": f"SELECT {_slug('coalesce(text, ' + repr('') + ')')} AS name, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1",
+    "last_of_each": f"SELECT {_slug('coalesce(source, ' + repr('') + ')')} AS id, max(doc_id) AS seq FROM documents GROUP BY 1",
     "api_list_markdown": "SELECT '## Indexed APIs' || chr(10) || chr(10) || string_agg('- **' || name || '**', chr(10) ORDER BY name) AS text FROM (SELECT DISTINCT source AS name FROM documents)",
     "endpoint_listing": """SELECT page_id, CASE WHEN p <> '' THEN '- **GET** `' || p || '` — ' || url ELSE '- ' || url END AS line
 FROM (SELECT page_id, url, regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS p FROM pages)""",

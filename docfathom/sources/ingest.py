@@ -64,7 +64,7 @@ def merge_chunks(store: IndexStore, name: str, parsed: list[dict] | DataFrame, a
 
     parsed: chunks on the driver, or a frame of them (CHUNK_FIELDS), however large. A frame is parsed once, into the store's folder, and
     each changed chunk is embedded once, while the new snapshot is written; a provider that fails leaves the store as it was. Of chunks
-    with one id the last is kept; all of them count.
+    with one id the last is kept; all of them count. Where nothing is new, changed or gone, chunks and index stay as they are.
     """
     begin = time.perf_counter()
     scratch = None if isinstance(parsed, list) else store.scratch(parsed)
@@ -73,6 +73,11 @@ def merge_chunks(store: IndexStore, name: str, parsed: list[dict] | DataFrame, a
     old = held.select("id", F.col("content_hash").alias("old_hash"), F.col("created_at").alias("old_created"))
     told = rows.join(old, "id", "left").agg(F.count("*").alias("total"), F.coalesce(F.sum((F.col("old_hash") == F.col("content_hash")).cast("long")), F.lit(0)).alias("skipped")).first()
     deleted = merge.orphans(rows, held).count()
+    if api["id"] in store.state["chunks"] and told["skipped"] == told["total"] and not deleted:
+        store.upsert_api(api)
+        if scratch:
+            store.drop(scratch)
+        return IngestResult(name, told["total"], 0, told["skipped"], 0, False, 1000 * (time.perf_counter() - begin))
 
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
     new = merge.last_of_each(rows).join(old, "id", "left").withColumn("created_at", F.coalesce("old_created", now))

@@ -6,6 +6,7 @@ import hashlib
 import json
 import os
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame
 
@@ -63,38 +64,52 @@ def shown(value) -> str:
 
 
 class Resolver:
-    """Follows $ref, inside the document and to files beside it; a reference to itself stays as it is."""
+    """Follows $ref, inside a document and to files beside it; a reference to itself is empty.
 
-    def __init__(self, document, folder: str, read: Callable[[str], str]):
-        self.files = {"": document}
-        self.folder, self.read = folder, read
+    A reference stands for a place in the file that it is written in: the file it names lies beside that one, and a bare #/... is that
+    file's own. Pointers may lead through other references.
+    """
 
-    def target(self, ref: str):
+    def __init__(self, document, path: str, read: Callable[[str], str]):
+        self.root, self.read = os.path.normpath(path), read
+        self.files = {self.root: document}
+
+    def target(self, ref: str, base: str, steps: int = 0) -> tuple[object, str]:
+        """What a reference written in the file base stands for, and the file that this is in."""
+        if steps > 100:
+            raise ValueError(f"{ref} refers to itself")
         name, _, pointer = ref.partition("#")
-        if name not in self.files:
-            self.files[name] = yamlish.load(self.read(os.path.join(self.folder, name)))
-        node = self.files[name]
+        file = os.path.normpath(os.path.join(os.path.dirname(base), unquote(name))) if name else base
+        if file not in self.files:
+            self.files[file] = yamlish.load(self.read(file))
+        node = self.files[file]
         for part in pointer.strip("/").split("/") if pointer.strip("/") else []:
-            part = part.replace("~1", "/").replace("~0", "~")
+            part = unquote(part).replace("~1", "/").replace("~0", "~")
+            if isinstance(node, dict) and part not in node and isinstance(node.get("$ref"), str):
+                node, file = self.target(node["$ref"], file, steps + 1)
             try:
                 node = node[int(part)] if isinstance(node, list) else node[part]
             except (KeyError, IndexError, ValueError, TypeError):
                 raise ValueError(f'Token "{part}" does not exist.') from None
-        return node
+        return node, file
 
-    def deep(self, node, open_refs: tuple[str, ...] = ()):
+    def deep(self, node, base: str | None = None, open_refs: tuple[tuple[str, str], ...] = ()):
+        base = base or self.root
         if isinstance(node, list):
-            return [self.deep(x, open_refs) for x in node]
+            return [self.deep(x, base, open_refs) for x in node]
         if not isinstance(node, dict):
             return node
         ref = node.get("$ref")
         if isinstance(ref, str):
-            if ref in open_refs:
+            name, _, pointer = ref.partition("#")
+            place = (os.path.normpath(os.path.join(os.path.dirname(base), unquote(name))) if name else base, pointer.strip("/"))
+            if place in open_refs:
                 return {}
-            got = self.deep(self.target(ref), (*open_refs, ref))
-            rest = {k: self.deep(v, open_refs) for k, v in node.items() if k != "$ref"}
+            found, file = self.target(ref, base)
+            got = self.deep(found, file, (*open_refs, place))
+            rest = {k: self.deep(v, base, open_refs) for k, v in node.items() if k != "$ref"}
             return {**got, **rest} if isinstance(got, dict) else got
-        return {k: self.deep(v, open_refs) for k, v in node.items()}
+        return {k: self.deep(v, base, open_refs) for k, v in node.items()}
 
 
 def _schema_lines(schema: dict) -> str:
@@ -173,7 +188,7 @@ def parse_openapi_text(text: str, api_id: str, path: str, read: Callable[[str],
         raw = yamlish.load(text)
         if not isinstance(raw, dict):
             raise ValueError(f'"{path}" is not a valid JSON Schema')
-        raw = Resolver(raw, os.path.dirname(path), read or (lambda p: open(p, encoding="utf-8").read())).deep(raw)
+        raw = Resolver(raw, path, read or (lambda p: open(p, encoding="utf-8").read())).deep(raw)
     except Exception as e:
         raise ValueError(f'Failed to parse OpenAPI spec for "{api_id}" at {path}: {e}') from e
     version = raw.get("openapi")

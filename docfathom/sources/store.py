@@ -80,15 +80,23 @@ class IndexStore:
         return self._jvm.Path(f"{self.path}/CURRENT")
 
     def _load(self) -> dict | None:
+        text = self._read_pointer()
+        self._seen = text
+        return json.loads(text) if text is not None else None
+
+    def _read_pointer(self) -> str | None:
         if not self._fs.exists(self._pointer()):
             return None
         stream = self._fs.open(self._pointer())
         try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
 
     def _point(self) -> None:
+        """Make the state current, unless another writer has made his current since this store was read."""
+        if self._read_pointer() != self._seen:
+            raise RuntimeError(f"the index at {self.path} was changed by another writer: refresh() and try again")
         fresh = self._jvm.Path(f"{self.path}/_CURRENT-{uuid.uuid4().hex}")
         out = self._fs.create(fresh, True)
         try:
@@ -99,6 +107,7 @@ class IndexStore:
         options = self.spark.sparkContext._gateway.new_array(self._jvm.Options.Rename, 1)
         options[0] = self._jvm.Options.Rename.OVERWRITE
         context.rename(fresh, self._pointer(), options)
+        self._seen = json.dumps(self.state)
 
     def _write(self, df: DataFrame, name: str) -> str:
         place = f"{self.path}/{name}-{uuid.uuid4().hex}"
@@ -113,7 +122,11 @@ class IndexStore:
         self._fs.delete(self._jvm.Path(place), True)
 
     def commit(self, apis: DataFrame | None = None, chunks: dict[str, DataFrame | None] | None = None) -> None:
-        """Write new contents of the sources table, and of the chunks of some sources (None: no chunks), and make them current together."""
+        """Write new contents of the sources table, and of the chunks of some sources (None: no chunks), and make them current together.
+
+        What this takes out of the state is deleted by the next commit, so that readers of the state before are not disturbed.
+        """
+        before = self.state
         state = {**self.state, **{k: dict(self.state[k]) for k in ("chunks", "postings", "stats")}}
         if apis is not None:
             state["apis"] = self._write(apis.coalesce(1), "apis")
@@ -126,8 +139,22 @@ class IndexStore:
                 sizes = toks.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
                 state["stats"][api] = [sizes["n"], sizes["dl"]]
                 state["postings"][api] = self._write(fts.postings(toks).sortWithinPartitions("term", "id"), "postings")
+        gone = self._places(before) - self._places(state)
+        state["spent"] = sorted(gone)
         self.state = state
-        self._point()
+        try:
+            self._point()
+        except Exception:
+            self.state = before
+            for place in self._places(state) - self._places(before):
+                self.drop(place)
+            raise
+        for place in before.get("spent", []):
+            self.drop(place)
+
+    @staticmethod
+    def _places(state: dict) -> set[str]:
+        return {*state["chunks"].values(), *state["postings"].values(), *([state["apis"]] if state["apis"] else [])}
 
     def refresh(self) -> None:
         self.state = self._load()

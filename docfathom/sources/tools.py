@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from ..operators.hybrid import SearchOptions
 from . import embed
 from .format import format_api_list, format_endpoint_list, format_search_results
-from .store import IndexStore, read_chunk
+from .store import CHUNK_TYPES, IndexStore, read_chunk
 
 
 @dataclass(frozen=True)
@@ -88,36 +88,93 @@ def get_api_spec(store: IndexStore, api_name: str) -> ToolResult:
     return _guarded("Failed to get spec", run)
 
 
-#: Tools by the names a server offers them under, with their arguments.
+@dataclass(frozen=True)
+class Tool:
+    """A tool as a server offers it: its function, and its arguments in order (name, whether required, schema)."""
+
+    run: Callable[..., ToolResult]
+    title: str
+    description: str
+    arguments: tuple[tuple[str, bool, dict], ...] = ()
+
+    def schema(self) -> dict:
+        out: dict = {"type": "object", "properties": {name: kind for name, _, kind in self.arguments}}
+        needed = [name for name, required, _ in self.arguments if required]
+        return out | ({"required": needed} if needed else {})
+
+    def wrong(self, given: dict) -> str | None:
+        """What is wrong with arguments, if anything is."""
+        for name, required, kind in self.arguments:
+            value = given.get(name)
+            if name not in given:
+                if required:
+                    return f"{name} is required"
+            elif kind["type"] == "string" and not isinstance(value, str):
+                return f"{name} must be a string"
+            elif kind["type"] == "array":
+                known = kind["items"]["enum"]
+                if not isinstance(value, list) or any(v not in known for v in value):
+                    return f"{name} must be a list of {', '.join(known)}"
+        return None
+
+
+def _string(text: str) -> dict:
+    return {"type": "string", "description": text}
+
+
+_TYPES = ("types", False, {"type": "array", "items": {"type": "string", "enum": list(CHUNK_TYPES)}, "description": f"Only chunks of these types: {', '.join(CHUNK_TYPES)}"})
+_API = ("apiName", True, _string("The name of the API, as list-apis gives it"))
+
+#: Tools by the names a server offers them under.
 TOOLS = {
-    "list-apis": (list_apis, ()),
-    "search-api-docs": (search_api_docs, ("query", "apiName", "types")),
-    "search-docs": (search_docs, ("query", "name", "types")),
-    "get-api-endpoints": (get_api_endpoints, ("apiName",)),
-    "get-api-spec": (get_api_spec, ("apiName",)),
-}
+    "list-apis": Tool(list_apis, "List APIs", "All sources in the index, with their versions. Ask this first to learn the names that the other tools take."),
+    "search-api-docs": Tool(
+        search_api_docs, "Search API Documentation", "Search what is indexed about APIs: endpoints, schemas, formats of requests and responses, behaviour.",
+        (("query", True, _string("What to look for, in plain words")), ("apiName", False, _string("Only this API")), _TYPES),
+    ),
+    "search-docs": Tool(
+        search_docs, "Search Documentation", "Search documentation that belongs to no API, such as architecture notes and guides.",
+        (("query", True, _string("What to look for, in plain words")), ("name", False, _string("Only this source; all sources without it")), _TYPES),
+    ),
+    "get-api-endpoints": Tool(get_api_endpoints, "Get API Endpoints", "All endpoints of an API, with methods and paths.", (_API,)),
+    "get-api-spec": Tool(get_api_spec, "Get API Spec", "The specification of an API as it was ingested.", (_API,)),
+}
 
 
 def serve(store: IndexStore, lines, write: Callable[[str], None]) -> None:
-    """JSON-RPC over lines: initialize, tools/list and tools/call."""
+    """JSON-RPC over lines: initialize, ping, tools/list and tools/call. Lines that are no requests are answered by errors, notifications not at all."""
     import json
 
+    def fail(ident, code: int, message: str) -> None:
+        write(json.dumps({"jsonrpc": "2.0", "id": ident, "error": {"code": code, "message": message}}))
+
     for line in lines:
         if not line.strip():
             continue
-        asked = json.loads(line)
+        try:
+            asked = json.loads(line)
+        except ValueError as e:
+            fail(None, -32700, f"not JSON: {e}")
+            continue
+        if not isinstance(asked, dict):
+            fail(None, -32600, "not a request")
+            continue
         if "id" not in asked:
             continue
         method, params = asked.get("method"), asked.get("params") or {}
         if method == "initialize":
             result = {"protocolVersion": params.get("protocolVersion", "2024-11-05"), "capabilities": {"tools": {}}, "serverInfo": {"name": "docfathom", "version": "0.1.0"}}
+        elif method == "ping":
+            result = {}
         elif method == "tools/list":
-            result = {"tools": [{"name": n, "inputSchema": {"type": "object", "properties": {a: {"type": "array" if a == "types" else "string"} for a in args}}} for n, (_, args) in TOOLS.items()]}
+            result = {"tools": [{"name": n, "title": t.title, "description": t.description, "inputSchema": t.schema()} for n, t in TOOLS.items()]}
         elif method == "tools/call" and params.get("name") in TOOLS:
-            f, args = TOOLS[params["name"]]
-            given = params.get("arguments") or {}
-            result = f(store, *[given.get(a) for a in args]).message()
+            tool, given = TOOLS[params["name"]], params.get("arguments") or {}
+            if wrong := tool.wrong(given):
+                fail(asked["id"], -32602, f"Invalid arguments for tool {params['name']}: {wrong}")
+                continue
+            result = tool.run(store, *[given.get(name) for name, _, _ in tool.arguments]).message()
         else:
-            write(json.dumps({"jsonrpc": "2.0", "id": asked["id"], "error": {"code": -32601, "message": f"Unknown method or tool: {params.get('name', method)}"}}))
+            fail(asked["id"], -32601, f"Unknown method or tool: {params.get('name', method)}")
             continue
         write(json.dumps({"jsonrpc": "2.0", "id": asked["id"], "result": result}, ensure_ascii=False))

@@ -184,3 +184,20 @@ def test_hashes_and_formats(tmp_path):
     assert source_id("python.org") == "886313e1-3b8a-5372-9b90-0c9aee199e5d"
     assert (format_duration(12.6), format_duration(1500)) == ("13ms", "1.5s")
     assert format_result(IngestResult("a", 5, 3, 1, 1, False, 10)) == "  5 chunks: 3 embedded, 1 skipped, 1 deleted (10ms)"
+
+
+def test_references_over_several_files(tmp_path):
+    """A reference means the file that it is written in; pointers lead through references, folders and loops."""
+    (tmp_path / "parts" / "deep").mkdir(parents=True)
+    (tmp_path / "api.yaml").write_text(
+        'openapi: 3.0.0\ninfo: {title: T, version: "1"}\npaths: {}\ncomponents: {schemas: {A: {$ref: "x.yaml#/A"}, B: {$ref: "parts/b.yaml"}, C: {$ref: "#/components/schemas/A/properties/b"}, D: {$ref: "api.yaml#/components/schemas/A"}}}\n'
+    )
+    (tmp_path / "x.yaml").write_text('A: {type: object, description: of x, properties: {a: {type: string}, b: {$ref: "#/B"}, c: {$ref: "parts/b.yaml#/properties/p"}}}\nB: {type: object, properties: {q: {type: integer}, r: {type: string}, s: {$ref: "#/A"}}}\n')
+    (tmp_path / "parts" / "b.yaml").write_text('type: object\nproperties: {p: {type: boolean}, q: {$ref: "deep/c.yaml#/Z"}, r: {$ref: "../x.yaml#/B/properties/q"}}\n')
+    (tmp_path / "parts" / "deep" / "c.yaml").write_text('Z: {$ref: "#/Y"}\nY: {type: number}\n')
+    got = {c["title"]: c["content"] for c in openapi.parse_openapi_file(str(tmp_path / "api.yaml"), "t")}
+    assert got["A"] == got["D"].replace("# D", "# A") == "# A\n\nof x\n\n## Properties\n\n- **a** (string)\n- **b** (object)\n- **c** (boolean)"
+    assert got["B"].endswith("- **p** (boolean)\n- **q** (number)\n- **r** (integer)") and got["C"].endswith("- **q** (integer)\n- **r** (string)\n- **s** (object) - of x")
+    (tmp_path / "x.yaml").write_text("A: {$ref: '#/Nope'}\n")
+    with pytest.raises(ValueError, match='Token "Nope" does not exist'):
+        openapi.parse_openapi_file(str(tmp_path / "api.yaml"), "t")

@@ -8,7 +8,7 @@ from docfathom import cli
 from docfathom.functions import text as T
 from docfathom.operators import fts
 from docfathom.operators.hybrid import SearchOptions
-from docfathom.sources import embed, ingest, tools
+from docfathom.sources import embed, ingest, openapi, tools
 from docfathom.sources.store import CHUNKS, IndexStore
 
 SPEC = """openapi: 3.0.0
@@ -232,3 +232,78 @@ def test_streaming(spark, hashing, tmp_path):
     (docs / "b.md").write_text("# B\n\ntwo")
     watch_markdown(store, str(docs), api, str(tmp_path / "ck"), make_provider).awaitTermination()
     assert {r.content for r in store.chunks().collect()} == {"one", "two"}
+
+
+def test_nothing_changed_writes_no_chunks(spark):
+    store = IndexStore.temporary(spark, 64)
+    parsed = [openapi.chunk(f"s:{i}", "s", "guide", "t", f"text {i}", None, i) for i in range(5)]
+    make = lambda: embed.HashingProvider(64)
+    ingest.merge_chunks(store, "s", parsed, {"id": "s", "name": "s", "source_hash": "1"}, make)
+    before = {k: dict(store.state[k]) for k in ("chunks", "postings", "stats")}
+    again = ingest.merge_chunks(store, "s", parsed, {"id": "s", "name": "s", "source_hash": "2"}, make)
+    assert (again.total, again.embedded, again.skipped, again.deleted) == (5, 0, 5, 0)
+    assert {k: store.state[k] for k in before} == before and store.source_hash("s") == "2"
+    fewer = ingest.merge_chunks(store, "s", parsed[1:], {"id": "s", "name": "s"}, make)
+    assert fewer.deleted == 1 and store.state["chunks"] != before["chunks"] and store.chunks().count() == 4
+
+
+def test_two_writers_and_spent_snapshots(spark):
+    import os
+
+    one = IndexStore.temporary(spark, 64)
+    two = IndexStore(spark, one.path, 64)
+    one.upsert_api({"id": "a", "name": "a"})
+    with pytest.raises(RuntimeError, match="another writer"):
+        two.upsert_api({"id": "b", "name": "b"})
+    assert two.get_apis() == []
+    two.refresh()
+    two.upsert_api({"id": "b", "name": "b"})
+    assert [a["name"] for a in two.get_apis()] == ["a", "b"]
+    for i in range(4):
+        two.upsert_api({"id": "b", "name": "b", "version": str(i)})
+    assert len([x for x in os.listdir(one.path) if x.startswith("apis-")]) == 2  # the current one, and the one before
+
+
+def test_tool_schemas_and_wrong_arguments(seeded):
+    out = []
+    ask = lambda i, method, **params: json.dumps({"jsonrpc": "2.0", "id": i, "method": method, "params": params})
+    call = lambda i, name, **given: ask(i, "tools/call", name=name, arguments=given)
+    lines = [ask(1, "tools/list"), call(2, "search-api-docs"), call(3, "search-docs", query="x", types=["nope"]), call(4, "get-api-spec", apiName=5), "{odd", "[]", ask(5, "ping"), call(6, "search-api-docs", query="authentication", types=["overview"])]
+    tools.serve(seeded, lines, out.append)
+    got = [json.loads(x) for x in out]
+    listed = {t["name"]: t for t in got[0]["result"]["tools"]}
+    assert all(t["title"] and t["description"] and t["inputSchema"]["type"] == "object" for t in listed.values())
+    assert listed["search-api-docs"]["inputSchema"]["required"] == ["query"] and "required" not in listed["list-apis"]["inputSchema"]
+    assert listed["search-docs"]["inputSchema"]["properties"]["types"]["items"]["enum"] == ["overview", "endpoint", "schema", "glossary", "use-case", "guide"]
+    assert [g["error"]["code"] for g in got[1:6]] == [-32602, -32602, -32602, -32700, -32600] and got[6]["result"] == {} and "result" in got[7]
+
+
+def test_server_program(spark, seeded):
+    from docfathom import server
+
+    out, err = [], []
+    assert server.run(spark, [json.dumps({"id": 1, "method": "initialize"})], out.append, err.append, lambda: seeded) == 0
+    assert json.loads(out[0])["result"]["serverInfo"]["name"] == "docfathom" and not err
+
+    def broken():
+        raise ValueError("no such folder")
+
+    assert server.run(spark, [], out.append, err.append, broken) == 1 and err == ["docfathom startup failed: no such folder\n"]
+
+
+def test_search_batch_in_blocks(spark, monkeypatch):
+    from docfathom.operators import vector
+
+    rng = np.random.default_rng(3)
+    x, q = rng.normal(size=(200, 8)).round(3), rng.normal(size=(23, 8)).round(3)
+    x[50] = x[51]
+    monkeypatch.setattr(vector, "BLOCK_QUERIES", 5)
+    vectors = spark.createDataFrame([(f"c{i:03d}", [float(v) for v in r]) for i, r in enumerate(x)], "id string, embedding array<double>").repartition(3)
+    queries = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(q)], "query_id long, vector array<double>")
+    got = {}
+    for r in vector.search_batch(vectors, queries, 7).collect():
+        got.setdefault(r.query_id, {})[r.vec_rank] = r.id
+    for i, r in enumerate(q):
+        d = np.sqrt(((x - r) ** 2).sum(1)).round(6)
+        want = sorted(range(200), key=lambda j: (d[j], f"c{j:03d}"))[:7]
+        assert [got[i][k] for k in range(1, 8)] == [f"c{j:03d}" for j in want]
