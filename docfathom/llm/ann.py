@@ -69,7 +69,6 @@ class Tree:
 
     def file(self, x: np.ndarray) -> np.ndarray:
         """The leaf of each row of x."""
-        node = np.zeros(len(x), np.int64)
         out = np.full(len(x), -1)
         level = {0: np.arange(len(x))}
         while level:
@@ -83,7 +82,6 @@ class Tree:
                 for c in np.unique(at):
                     after[int(kids[c])] = rows[at == c]
             level = after
-        del node
         return out
 
     def order(self, q: np.ndarray):
@@ -105,15 +103,23 @@ def _matrix(column, d: int) -> np.ndarray:
     return np.asarray(column.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, d)
 
 
-def best(q: np.ndarray, own, x: np.ndarray, ids: np.ndarray, k: int, seen=None):
+def best(q: np.ndarray, own, x: np.ndarray, ids: np.ndarray, k: int, leaves=None):
     """For each query the k rows of x with the largest inner products, ties to smaller ids, without its own: (query row, id, score).
 
-    seen: for each query which rows count.
+    leaves: (the first row of each leaf in x, and the end; for each query which leaves it visits). Only rows of visited leaves are
+    multiplied.
     """
     for at in range(0, len(q), 100):
-        scores = q[at : at + 100] @ x.T
-        if seen is not None:
-            scores[~seen[at : at + 100]] = -np.inf
+        part = q[at : at + 100]
+        if leaves is None:
+            scores = part @ x.T
+        else:
+            scores = np.full((len(part), len(x)), -np.inf)
+            edges, visited = leaves
+            for leaf, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+                who = np.flatnonzero(visited[at : at + 100, leaf])
+                if len(who):
+                    scores[who, a:b] = part[who] @ x[a:b].T
         for i, s in enumerate(scores, at):
             cut = np.partition(s, len(s) - k - 1)[len(s) - k - 1] if len(s) > k + 1 else -np.inf
             take = np.flatnonzero(s >= cut - 1e-9 * (1 + abs(cut)) if np.isfinite(cut) else s > -np.inf)
@@ -144,6 +150,8 @@ def _brute(q: np.ndarray, own: np.ndarray, d: int, k: int):
 
 
 def _file(tree: Tree, d: int):
+    """The leaf of every vector, the vector as it came."""
+
     def run(batches):
         for batch in batches:
             leaf = tree.file(_matrix(batch.column("vec"), d)) if batch.num_rows else np.zeros(0, np.int64)
@@ -195,13 +203,12 @@ def _compare(d: int, k: int):
         v = v[np.unique(ids[v], return_index=True)[1]]
         if not len(q) or not len(v):
             return _FOUND.empty_table()
-        held, leaf = np.unique([leaves[i][0] for i in v], return_inverse=True)
+        leaf = np.array([leaves[i][0] for i in v])
+        order = np.argsort(leaf, kind="stable")  # rows of a leaf lie together
+        v, (held, first) = v[order], np.unique(leaf[order], return_index=True)
         visited = np.array([np.isin(held, leaves[i]) for i in q])
-        found = []
-        for at in range(0, len(q), 100):  # bounds the masks
-            part = q[at : at + 100]
-            found += [(int(ids[part[i]]), j, s) for i, j, s in best(x[part], ids[part], x[v], ids[v], k, visited[at : at + 100][:, leaf])]
-        return _found(found)
+        ways = (np.append(first, len(v)), visited)
+        return _found((int(ids[q[i]]), j, s) for i, j, s in best(x[q], ids[q], x[v], ids[v], k, ways))
 
     return run
 
@@ -217,13 +224,14 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
 
     Ties go to smaller ids; fewer rows come only if there are no more candidates. Vectors that are null, zero, of another length than
     most, or hold null or non-finite components take no part, nor do rows with a null id; rows of one id count once; other columns are
-    not read. The tree is fitted on at most SAMPLE_ROWS vectors (those of least hash), every vector is filed in it.
+    not read. Components are kept as they are (float, else double). The tree is fitted on at most SAMPLE_ROWS vectors (those of least hash), every vector is filed in it.
 
     Returns query_id, rank (from 1), vec_id, score (in double precision), and visits (leaves that were visited).
     """
     spark = vectors.sparkSession
     vec = F.col(vector_col)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), vec.cast("array<float>").alias("vec"), F.size(vec).alias("d")).filter(F.col("id").isNotNull() & usable(vec))
+    kind = "array<float>" if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), vec.cast(kind).alias("vec"), F.size(vec).alias("d")).filter(F.col("id").isNotNull() & usable(vec))
     sizes = rows.groupBy("d").count().orderBy(F.desc("count"), "d").limit(1).collect()
     schema = "query_id long, rank int, vec_id long, score double, visits int"
     if not sizes:
@@ -233,7 +241,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     limit = max(1, min(SAMPLE_ROWS, SAMPLE_BYTES // (4 * d)))
     sample = np.array([r["vec"] for r in rows.orderBy(F.xxhash64("id"), "id").limit(limit).select("vec").collect()], np.float64)
     tree = Tree(sample, max(1, min(total // LEAF_ROWS, len(sample) // 10)))
-    filed = shared.stage(rows.mapInArrow(_file(tree, d), "leaf int, id long, vec array<float>"), "filed")
+    filed = shared.stage(rows.mapInArrow(_file(tree, d), f"leaf int, id long, vec {kind}"), "filed")
     held = np.zeros(tree.leaves, np.int64)
     for r in filed.groupBy("leaf").count().collect():  # a row per leaf
         held[r["leaf"]] = r["count"]
@@ -264,7 +272,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
             in_bin.append(0)
         bin_of[leaf] = len(in_bin) - 1
         in_bin[-1] += n
-    walked = queries.repartition(F.col("id")).mapInArrow(_walk(tree, d, visits, held, k, bin_of), "bin int, id long, vec array<float>, leaves array<int>")
+    walked = queries.repartition(F.col("id")).mapInArrow(_walk(tree, d, visits, held, k, bin_of), f"bin int, id long, vec {kind}, leaves array<int>")
     walked = shared.stage(walked, "walked")
     asked = np.zeros(len(in_bin), np.int64)
     for r in walked.groupBy("bin").count().collect():

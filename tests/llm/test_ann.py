@@ -1,5 +1,4 @@
 import math
-import random
 
 import numpy as np
 
@@ -47,13 +46,47 @@ def test_small_tables(spark):
     assert [(r.query_id, r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(0, 1, 2, 2.0), (0, 2, 1, 0.5)]
 
 
+def test_doubles_stay_doubles(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, rng.normal(size=5).tolist()) for i in range(60)]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20, k=5).collect()
+    of = {i: np.array(v) for i, v in rows}
+    assert len(got) == 15 and all(r.score == (of[r.query_id] * of[r.vec_id]).sum() for r in got)
+
+
+def test_only_visited_leaves_are_multiplied():
+    rng = np.random.default_rng(2)
+    x, q = rng.normal(size=(90, 6)), rng.normal(size=(7, 6))
+    edges, visited = np.array([0, 20, 25, 60, 90]), rng.random((7, 4)) < 0.5
+    visited[0] = False
+    for leaf in range(4):  # a row of a leaf that nobody visits must not be looked at
+        if not visited[:, leaf].any():
+            x[edges[leaf] : edges[leaf + 1]] = np.nan
+    got = list(ann.best(q, [-1] * 7, x, np.arange(90), 4, (edges, visited)))
+    want = []
+    for i in range(7):
+        rows = [j for leaf in range(4) if visited[i, leaf] for j in range(edges[leaf], edges[leaf + 1])]
+        want += [(i, j) for j in sorted(rows, key=lambda j: (-(x[j] * q[i]).sum(), j))[:4]]
+    assert [(i, j) for i, j, _ in got] == want
+
+
 def test_order_is_best_first():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 4))
     tree = ann.Tree(x, 40)
+    parent = {kid: node for node, kids in enumerate(tree.children) for kid in kids}
+    node_of = {leaf: node for node, leaf in enumerate(tree.leaf) if leaf >= 0}
+
+    def path(node):
+        return [node, *path(parent[node])] if node in parent else []  # without the root
+
     for q in x[:5]:
         order = list(tree.order(q))
         assert sorted(order) == list(range(tree.leaves))
+        seen = set()
+        for at, leaf in enumerate(order):  # no leaf that is open, with all that leads to it, is better than the one taken
+            ways = {f: min(float(tree.centers[n] @ q) for n in path(node_of[f]) if n not in seen) for f in order[at:]}
+            assert ways[leaf] >= max(ways.values()) - 1e-9
+            seen.update(path(node_of[leaf]))
     leaf = tree.file(x)
     assert leaf.min() >= 0 and leaf.max() < tree.leaves
-    assert random.Random(0).random() >= 0
