@@ -14,6 +14,28 @@ from ..operators import fts, hybrid, merge, vector
 QUERY, RARE, PHRASE = "und von", "ones", "of_the"
 BATCH = [(0, "und von", 20), (1, "ones", 3), (2, "du", 7), (3, "anat", 11)]
 LOOKUP = ("d3", "d5", "d8", "d999999")
+#: The specification that stands for a supplier in openapi_chunks.
+SPEC = """openapi: 3.0.3
+info: {title: "{name}", version: "1.0", description: Nation {nation}.}
+servers: [{url: https://api.example.com, description: main}, {url: https://test.example.com}]
+paths:
+  /suppliers/{key}/items:
+    get:
+      summary: List items
+      operationId: listItems
+      tags: [items]
+      parameters: [{name: limit, in: query, schema: {type: integer}}]
+      responses: {"200": {description: ok, content: {application/json: {schema: {type: array, items: {$ref: "#/components/schemas/Item"}}}}}}
+    post:
+      requestBody: {content: {application/json: {schema: {$ref: "#/components/schemas/Item"}}}}
+      responses: {"201": {description: made}}
+components:
+  schemas:
+    Item:
+      type: object
+      required: [id]
+      properties: {id: {type: integer}, name: {type: string, description: Shown name}, tag: {type: string}}
+"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -269,12 +291,20 @@ def search_markdown(spark, d):
     return found.join(F.broadcast(names), "api_id", "left").select(F.col("position").cast("long").alias("position"), result_sections().alias("section"))
 
 
+def sanitised_query(spark, d):
+    """Every URL as a full-text query: without the signs that queries may not hold."""
+    return table(spark, d, "pages").select("page_id", F.array_join(T.sanitized(F.coalesce("url", F.lit(""))), " ").alias("query"))
+
+
 def openapi_chunks(spark, d):
-    from ..sources.openapi import SAMPLE, parse_openapi_text
+    """A specification for each supplier, through the parser on the executors."""
+    from ..sources.openapi import split_frame
 
-    del d
-    rows = [(c["id"], c["type"], c["title"], c["content"], c["content_hash"], c["metadata"]) for c in parse_openapi_text(SAMPLE, "sample", "sample.yaml")]
-    return spark.createDataFrame(rows, "id string, type string, title string, content string, content_hash string, metadata string")
+    text = F.lit(SPEC)
+    for sign, column in (("{name}", "s_name"), ("{nation}", "s_nationkey"), ("{key}", "s_suppkey")):
+        text = F.replace(text, F.lit(sign), F.col(column).cast("string"))
+    specs = table(spark, d, "supplier").select(F.concat(F.lit("/specs/"), "s_suppkey", F.lit(".yaml")).alias("path"), text.alias("content"), F.concat(F.lit("supplier-"), "s_suppkey").alias("api_id"))
+    return split_frame(specs).select("id", "api_id", "type", "title", "content", "content_hash", "metadata", "seq")
 
 
 def markdown_chunks(spark, d):
@@ -292,6 +322,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         list_sources, chunks_by_source, chunks_by_source_type, chunk_by_id, chunks_by_ids, content_hash, source_uuid5, slugify, chunk_type_from_name, trim_text, hard_split, paragraph_pack,
         metadata_json_roundtrip, tokenize_counts, postings, doc_freq, corpus_stats, bm25_topk, bm25_rare, bm25_filtered, bm25_phrase, bm25_repeated_term, knn_topk, knn_post_filter, knn_pre_filter,
         rrf_hybrid, rrf_hybrid_filtered, rrf_batch, cdc_classify, cdc_counts, orphans, merge_upsert, delete_by_source, duplicate_names, last_of_each, api_list_markdown, endpoint_listing, search_markdown,
-        openapi_chunks, markdown_chunks,
+        sanitised_query, openapi_chunks, markdown_chunks,
     )
 }

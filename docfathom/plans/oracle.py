@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.text import QUERY_NOISE
 from .catalog import BATCH, LOOKUP, QUERY, RARE
 
 CHUNK = """SELECT 'd' || doc_id AS id, source AS api_id, CASE lang WHEN 'en' THEN 'guide' WHEN 'fr' THEN 'glossary' WHEN 'de' THEN 'use-case' ELSE 'overview' END AS type,
@@ -59,6 +60,18 @@ c AS (SELECT count(*) AS df FROM tf),
 sc AS (SELECT id, round(CASE WHEN ln((nn - df + 0.5) / (df + 0.5)) > 0 THEN ln((nn - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM tf, c, n)
 SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS fts_rank FROM sc QUALIFY fts_rank <= 60"""
 
+
+def _sql(text: str) -> str:
+    """A text as an SQL expression, line ends as chr(10)."""
+    return "(" + " || chr(10) || ".join("'" + line.replace("'", "''") + "'" for line in text.split("\n")) + ")"
+
+
+# What the chunks of catalog.SPEC say besides names, numbers and paths.
+_OVERVIEW = _sql("\n\nVersion: 1.0\n\nNation "), _sql(".\n\n## Servers\n\n- https://api.example.com (main)\n- https://test.example.com")
+_GET = _sql("\n\nList items\n\n## Parameters\n\n- **limit** [query] : integer\n\n## Responses\n\n### 200: ok\n\nContent-Type: application/json\n- type: array of object")
+_POST = _sql("\n\n## Request Body\n\nContent-Type: application/json\n- type: object\n  properties:\n    - id (integer)\n    - name (string) - Shown name\n    - tag (string)\n\n## Responses\n\n### 201: made")
+_ITEM = _sql("# Item\n\n## Properties\n\n- **id** (integer) (required)\n- **name** (string) - Shown name\n- **tag** (string)")
+
 ORACLE_SQL = {
     "list_sources": "SELECT source AS name, count(*) AS n_chunks FROM documents GROUP BY 1 ORDER BY 1",
     "chunks_by_source": f"SELECT id, type, length(content)::BIGINT AS size FROM ({CHUNK}) WHERE api_id = 'src3'",
@@ -111,4 +124,16 @@ SELECT p.id, coalesce(s.api_id, p.api_id), p.content_hash, coalesce(s.created_at
 FROM (SELECT page_id, url, regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS p FROM pages)""",
     "search_markdown": f"""SELECT f.position, '### ' || c.title || chr(10) || '`' || c.type || '` · ' || 'API ' || c.api_id || chr(10) || chr(10) || c.content AS section
 FROM {_fuse(0, _bm25(RARE), _ranked(_knn(3, 60), 60))} f JOIN ({CHUNK}) c USING (id)""",
+    "sanitised_query": f"SELECT page_id, trim(regexp_replace(translate(coalesce(url, ''), {_sql(QUERY_NOISE)}, repeat(' ', {len(QUERY_NOISE)})), '\\s+', ' ', 'g')) AS query FROM pages",
+    "openapi_chunks": f"""WITH c AS (SELECT 'supplier-' || s_suppkey AS api_id, '/suppliers/' || s_suppkey || '/items' AS p, s_name AS name, s_nationkey AS nation FROM supplier),
+x AS (SELECT api_id, 0 AS seq, 'overview' AS type, ':overview' AS part, name AS title, '# ' || name || {_OVERVIEW[0]} || nation || {_OVERVIEW[1]} AS content, NULL AS metadata FROM c
+UNION ALL SELECT api_id, 1, 'endpoint', ':endpoint:get:' || p, 'GET ' || p, '# GET ' || p || {_GET}, '{{"path":"' || p || '","method":"get","tags":["items"],"operationId":"listItems"}}' FROM c
+UNION ALL SELECT api_id, 2, 'endpoint', ':endpoint:post:' || p, 'POST ' || p, '# POST ' || p || {_POST}, '{{"path":"' || p || '","method":"post","tags":[],"operationId":null}}' FROM c
+UNION ALL SELECT api_id, 3, 'schema', ':schema:Item', 'Item', {_ITEM}, '{{"schemaName":"Item","propertyCount":3}}' FROM c)
+SELECT api_id || part AS id, api_id, type, title, content, sha256(content) AS content_hash, metadata, seq FROM x""",
+    "markdown_chunks": """WITH f AS (SELECT row_number() OVER () AS k, doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+s AS (SELECT k, doc_id, source, i, regexp_replace(ls[i], '^[\\s\\x{FEFF}\\x{0B}\\p{Z}]+|[\\s\\x{FEFF}\\x{0B}\\p{Z}]+$', '', 'g') AS c FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM f)),
+p AS (SELECT *, unnest(range(0, (length(c) + 2999) // 3000)) AS j FROM s WHERE c <> '')
+SELECT source || ':doc:doc-' || doc_id || ':doc-' || doc_id || CASE WHEN i > 1 THEN '/section' ELSE '' END || CASE WHEN length(c) > 3000 THEN ':' || j ELSE '' END AS id,
+'guide' AS type, CASE WHEN i > 1 THEN 'Section' ELSE 'Doc ' || doc_id END AS title, sha256(substr(c, 1 + 3000 * j, 3000)) AS content_hash, (row_number() OVER (PARTITION BY k ORDER BY i, j) - 1)::INT AS seq FROM p""",
 }

@@ -17,28 +17,6 @@ METHODS = ("get", "put", "post", "delete", "options", "head", "patch", "trace")
 LEAST_PROPERTIES = 3
 CHUNK_FIELDS = "id string, api_id string, type string, title string, content string, content_hash string, metadata string, seq int"
 
-SAMPLE = """openapi: 3.0.3
-info: {title: Sample, version: "1.0", description: A small API.}
-servers: [{url: https://api.example.com, description: main}, {url: https://test.example.com}]
-paths:
-  /items:
-    get:
-      summary: List items
-      operationId: listItems
-      tags: [items]
-      parameters: [{name: limit, in: query, schema: {type: integer}}]
-      responses: {"200": {description: ok, content: {application/json: {schema: {type: array, items: {$ref: "#/components/schemas/Item"}}}}}}
-    post:
-      requestBody: {content: {application/json: {schema: {$ref: "#/components/schemas/Item"}}}}
-      responses: {"201": {description: made}}
-components:
-  schemas:
-    Item:
-      type: object
-      required: [id]
-      properties: {id: {type: integer}, name: {type: string, description: Shown name}, tag: {type: string}}
-"""
-
 
 def entries(mapping) -> list[tuple[str, object]]:
     """A mapping's items as JavaScript lists them: whole numbers first, ascending, then the others as written."""

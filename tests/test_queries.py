@@ -33,8 +33,8 @@ def test_query(spark, db, name):
     assert rows(got.columns, [tuple(r) for r in got.collect()]) == rows(columns, want.fetchall())
 
 
-def test_all_but_parsers_have_sql():
-    assert set(catalog.QUERIES) - set(oracle.ORACLE_SQL) == {"openapi_chunks", "markdown_chunks"}
+def test_all_have_sql():
+    assert set(catalog.QUERIES) == set(oracle.ORACLE_SQL)
 
 
 def test_entry(spark):
