@@ -80,7 +80,7 @@ def headings(source: str) -> Iterator[tuple[int, str, int, int]]:
         if item and (indent >= item or not blank and not _starts_block(text)):
             blank = False
             continue  # inside the list item, or a lazy line of it
-        was_blank, blank, item = blank, False, 0
+        blank, item = False, 0
         if not paragraph and (indent >= 4 or text.startswith("\t")):
             continue  # indented code
         if m := _FENCE.match(text):
@@ -107,11 +107,10 @@ def headings(source: str) -> Iterator[tuple[int, str, int, int]]:
         if m := _HTML.match(text):
             kind = next(i for i in range(1, 7) if m[i])
             end = "" if kind == 6 else _HTML_END[kind - 1].format((m[1] or "").lower())
-            if not (end and end in text.lower()[m.end() :] or kind == 6 and False):
+            if not (end and end in text.lower()[m.end() :]):
                 html_end = end
             paragraph = []
             continue
-        del was_blank
         paragraph.append((start, text))
 
 
