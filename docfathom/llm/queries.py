@@ -44,7 +44,7 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The leaks: documents that are not listed are clean."""
+    """Every window of a document that is like an item: documents that are not listed are clean, null and short texts too; equal rows count once."""
     from .decontam import leaks
 
     out = leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
@@ -131,17 +131,13 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, d.doc_id
 FROM d JOIN m ON m.v = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
 """,
     "op5_decontamination": r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents),
-b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark),
-ds AS (SELECT doc_id, w, i, md5(array_to_string(w[i + 1:i + 5], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(0, len(w) - 4)) AS i FROM d WHERE len(w) >= 5)),
-bs AS (SELECT item_id, len(w) AS n, i, md5(array_to_string(w[i + 1:i + 5], ' ')) AS h FROM (SELECT item_id, w, unnest(range(0, len(w) - 4)) AS i FROM b WHERE len(w) >= 5)),
-win AS (SELECT DISTINCT doc_id, n, greatest(0, least(ds.i - bs.i, len(w) - n)) AS st, w[greatest(0, least(ds.i - bs.i, len(w) - n)) + 1:greatest(0, least(ds.i - bs.i, len(w) - n)) + n] AS w FROM ds JOIN bs USING (h)),
-ws AS (SELECT doc_id, n, st, md5(array_to_string(w[i + 1:i + 5], ' ')) AS h, count(*) AS c FROM (SELECT doc_id, n, st, w, unnest(range(0, len(w) - 4)) AS i FROM win) GROUP BY ALL),
-wm AS (SELECT doc_id, n, st, sum(c) AS m FROM ws GROUP BY ALL),
-bc AS (SELECT item_id, n, h, count(*) AS c FROM bs GROUP BY ALL),
-bm AS (SELECT item_id, sum(c) AS m FROM bc GROUP BY ALL),
-x AS (SELECT doc_id, st, ws.n, item_id, sum(least(ws.c, bc.c)) AS k FROM ws JOIN bc ON ws.h = bc.h AND ws.n = bc.n GROUP BY ALL),
-y AS (SELECT x.doc_id, x.st, x.item_id, k::DOUBLE / (wm.m + bm.m - k) AS s FROM x JOIN wm ON x.doc_id = wm.doc_id AND x.st = wm.st AND x.n = wm.n JOIN bm ON bm.item_id = x.item_id)
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, w, len(w) AS len FROM (SELECT DISTINCT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w, text FROM documents)),
+b AS (SELECT row_number() OVER () AS j, item_id, w, len(w) AS n FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark) WHERE len(w) >= 5),
+ds AS (SELECT k, doc_id, len, i, md5(array_to_string(w[i + 1:i + 5], ' ')) AS h FROM (SELECT k, doc_id, len, w, unnest(range(0, len - 4)) AS i FROM d WHERE len >= 5)),
+bs AS (SELECT j, item_id, n, h, count(*) AS c FROM (SELECT j, item_id, n, md5(array_to_string(w[i + 1:i + 5], ' ')) AS h FROM (SELECT j, item_id, n, w, unnest(range(0, n - 4)) AS i FROM b)) GROUP BY ALL),
+hit AS (SELECT k, doc_id, len, j, item_id, n, h, c, unnest(range(greatest(0, i - least(n, len) + 5), least(i, greatest(0, len - n)) + 1)) AS st FROM ds JOIN bs USING (h)),
+x AS (SELECT k, doc_id, len, j, item_id, n, st, h, least(count(*), c) AS s FROM hit GROUP BY k, doc_id, len, j, item_id, n, st, h, c),
+y AS (SELECT k, doc_id, j, item_id, st, sum(s)::DOUBLE / (least(n, len) - 4 + n - 4 - sum(s)) AS s FROM x GROUP BY k, doc_id, len, j, item_id, n, st)
 SELECT doc_id, item_id, st::BIGINT AS start, round(s, 6) AS similarity FROM y WHERE s >= 0.8
 """,
     "op6_warc": """

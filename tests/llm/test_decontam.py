@@ -26,7 +26,7 @@ def brute(docs, items, similarity=0.8):
                 ours = bag(w[s : s + n])
                 common = sum(min(c, theirs.get(k, 0)) for k, c in ours.items())
                 if common and common / (sum(ours.values()) + sum(theirs.values()) - common) >= similarity:
-                    found.add((d, item))
+                    found.add((d, item, s))
     return found
 
 
@@ -54,8 +54,8 @@ def test_against_brute_force(spark):
     bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, n int")
     got = decontam.leaks(df, bench).collect()
     want = brute(docs, items)
-    mine = {(r.doc_id, r.item) for r in got}
-    assert mine == want
+    mine = {(r.doc_id, r.item, r.start) for r in got}
+    assert mine == want and len(got) == len(mine)
     rows = decontam.contaminated(df, bench).collect()
     assert len(rows) == len(docs)
     by = {r.doc_id: r for r in rows}
@@ -86,3 +86,23 @@ def test_no_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [r.contaminated for r in decontam.contaminated(docs, none).collect()] == [False]
     assert decontam.contaminated(docs.limit(0), none).count() == 0
+
+
+def test_by_shuffle_and_repeated_rows(spark, monkeypatch):
+    """Without any broadcast the rows are the same; equal rows count once; a text of one word repeated is found at all its starts."""
+    items = [(1, "one two three four five six seven"), (2, "a a a a a a a a a a"), (3, "one two three four five six seven")]
+    docs = [(1, items[0][1] + " and more"), (1, items[0][1] + " and more"), (2, "a " * 14), (None, items[0][1]), (None, items[0][1]), (4, "one two three four five six")]
+    df = spark.createDataFrame([(i, t, "x", 0) for i, t in docs], "doc_id long, text string, w string, k1 int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda: sorted((r.doc_id or 0, r.item, r.start, round(r.similarity, 6)) for r in decontam.leaks(df, bench).collect())
+    want = [(0, 1, 0, 1.0), (0, 3, 0, 1.0), (1, 1, 0, 1.0), (1, 3, 0, 1.0), *[(2, 2, i, 1.0) for i in range(5)]]
+    assert rows() == want
+    monkeypatch.setattr(decontam, "BROADCAST_ROWS", 0)
+    assert rows() == want
+
+
+def test_large_bags(spark):
+    """Counts over 16 bits do not run into each other."""
+    bags = spark.createDataFrame([(1, 1, 70_000), (1, 2, 80_000), (1, 4, 10)], "key long, h long, weight long")
+    row = decontam.simhash(bags, "key").first()
+    assert (row.mass, row.fp) == (150_010, 2)
