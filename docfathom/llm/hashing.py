@@ -79,7 +79,7 @@ def text_buffer(column) -> tuple[np.ndarray, np.ndarray]:
 class Words:
     """The words of a batch: starts, ends (in bytes), first (index of each row's first word, and the end), hash."""
 
-    def __init__(self, column, lower: bool = False, seeds: tuple[int, ...] = (0,)):
+    def __init__(self, column, lower: bool = False):
         data, offs = text_buffer(column)
         n = len(data)
         gap = SPACE[data]
@@ -93,14 +93,19 @@ class Words:
         self.starts = np.flatnonzero(start)
         self.ends = np.flatnonzero(end) + 1
         self.first = np.searchsorted(self.starts, offs)
-        self.hashes = []
-        for seed in seeds:
-            p = sums(_VALUES[seed, lower][data], seed)
-            self.hashes.append(mix((p[self.ends] - p[self.starts]) * powers(max(n, 1), seed)[1][self.starts]) if n else np.zeros(0, np.uint64))
+        self.lower, self._hashes = lower, {}
+
+    def hash_of(self, seed: int) -> np.ndarray:
+        """A hash for each word; seeds 0 and 1 are independent."""
+        if seed not in self._hashes:
+            p = sums(_VALUES[seed, self.lower][self.data], seed)
+            inverse = powers(max(len(self.data), 1), seed)[1]
+            self._hashes[seed] = mix((p[self.ends] - p[self.starts]) * inverse[self.starts])
+        return self._hashes[seed]
 
     @property
     def hash(self) -> np.ndarray:
-        return self.hashes[0]
+        return self.hash_of(0)
 
 
 def byte_values(data: np.ndarray, seed: int = 0) -> np.ndarray:

@@ -3,7 +3,8 @@
 A window of `window` words is a candidate while every level finds it repeated. At a level of length L each window stands for itself
 by the least hash among the L-word windows inside it, which depends on its words alone, so equal windows have equal representatives.
 Lengths double from a quarter of the window up to the window itself; only windows whose representative is repeated at one length are
-looked at with twice that length, until no candidates survive or the whole window has been compared.
+looked at with twice that length, until no candidates survive or the whole window has been compared. What is left is compared once more
+by a second hash of the whole window, independent of the first: 128 bits tell windows apart.
 """
 
 from __future__ import annotations
@@ -28,6 +29,11 @@ def lengths(window: int) -> list[int]:
     return out
 
 
+def steps(window: int) -> list[tuple[int, int]]:
+    """The levels: (length, seed of the hash)."""
+    return [*((n, 0) for n in lengths(window)), (window, 1)]
+
+
 def _runs_within(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """exchange.found(), for values with long runs of equal entries."""
     if not len(values):
@@ -40,29 +46,31 @@ class _Levels:
     """Windows of one slice of a block: which survive the levels whose answers are known, and what the next level sends."""
 
     def __init__(self, window: int, answers: list[str]):
-        self.window, self.steps = window, lengths(window)
+        self.window, self.steps = window, steps(window)
         self.answers = [exchange.Answers(p) for p in answers]
 
-    def alive(self, words: Words, block: int):
+    def alive(self, words: Words, block: int) -> np.ndarray:
         n = len(words.starts)
-        prefix = sums(words.hash)
         count = max(0, n - self.window + 1)
         alive = starts_within(words.first, self.window)[:count]
-        for step, answers in zip(self.steps, self.answers, strict=False):
+        for (step, seed), answers in zip(self.steps, self.answers, strict=False):
             if not alive.any():
                 break
-            least = sliding(window_hash(prefix, step), self.window - step + 1, np.minimum)
+            least = sliding(self._hashes(words, step, seed), self.window - step + 1, np.minimum)
             alive &= _runs_within(np.where(alive, least, np.uint64(0)), answers.of(block))
-        return prefix, alive
+        return alive
+
+    def _hashes(self, words: Words, step: int, seed: int) -> np.ndarray:
+        return window_hash(sums(words.hash_of(seed), seed), step, seed)
 
     def sends(self, words: Words, block: int) -> np.ndarray:
         """Hashes of the next level's representatives, one for each place where one stands."""
-        prefix, alive = self.alive(words, block)
+        alive = self.alive(words, block)
         if not alive.any():
             return np.zeros(0, np.uint64)
-        step = self.steps[len(self.answers)]
+        step, seed = self.steps[len(self.answers)]
         width = self.window - step + 1
-        h = window_hash(prefix, step)
+        h = self._hashes(words, step, seed)
         least = np.where(alive, sliding(h, width, np.minimum), np.uint64(0))
         around = np.concatenate([np.zeros(width - 1, np.uint64), least, np.zeros(width - 1, np.uint64)])
         top = sliding(around, width, np.maximum)
@@ -101,7 +109,7 @@ def _apply(window: int, answers: list[str], schema: pa.Schema):
 
 def _cut(levels: _Levels, block: int, part: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
     words = Words(part.column("text"))
-    _, alive = levels.alive(words, block)
+    alive = levels.alive(words, block)
     hits = np.zeros(len(words.starts), bool)
     hits[: len(alive)] = alive
     gone = covered(hits, levels.window)
@@ -136,7 +144,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A window is `window` consecutive words `[^\\x20\\x09-\\x0D]+` of one text, unchanged; it is repeated if its words also start anywhere
     else, in the same text too. Windows are judged on the input. All texts take part whole; a null text is empty, a null id is one more
-    row, equal rows count as two texts, other columns are not read. Windows are compared by 64-bit hashes of three lengths.
+    row, equal rows count as two texts, other columns are not read. Windows are compared by 64-bit hashes of three lengths
+    and a second hash of the whole window; the passes end when no candidate survives.
 
     Returns id_col, n_words, n_removed, kept (the words left, joined by one space) and spans (removed runs as word positions); with
     carry, instead of id_col the columns named there, unchanged, and columns __removed and __kept.
@@ -146,9 +155,12 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     through, fields = shared.carried(docs, carry)
     base, n = exchange.blocks(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *through), "substring")
     answers: list[str] = []
-    for step in lengths(window):
+    for step, _ in steps(window):
         sent = base.select("block", "text").mapInArrow(_send(window, answers, n), exchange.SENT)
-        answers.append(shared.path_of(exchange.repeated(sent, f"substring-{step}")))
+        left = exchange.repeated(sent, f"substring-{step}")
+        answers.append(shared.path_of(left))
+        if left.isEmpty():
+            break
     schema = T.StructType([base.schema["id"], *fields, *T._parse_datatype_string("n_words long, n_removed long, kept string, spans array<struct<start:int,end:int>>").fields])
     out = base.mapInArrow(_apply(window, answers, to_arrow_schema(schema)), schema)
     if carry:

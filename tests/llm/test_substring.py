@@ -37,6 +37,30 @@ def test_against_brute_force(spark, window):
     assert got == want
 
 
+def test_levels_end_without_candidates(spark, monkeypatch):
+    """With no repeated word sequence one pass is made; with one, all levels and the second hash."""
+    seen = []
+    real = substring.exchange.repeated
+    monkeypatch.setattr(substring.exchange, "repeated", lambda sent, name: seen.append(name) or real(sent, name))
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}-{k}" for k in range(50))) for i in range(4)], "doc_id long, text string")
+    assert substring.drop_repeats(docs).filter("n_removed > 0").count() == 0 and seen == ["substring-9"]
+    seen.clear()
+    assert substring.drop_repeats(docs.union(docs)).filter("n_removed = 50").count() == 8
+    assert seen == ["substring-9", "substring-18", "substring-35", "substring-35"]
+
+
+def test_second_hash(spark, monkeypatch):
+    """Where the first hash of all windows is the same, the second one still tells them apart."""
+    real = substring._Levels._hashes
+    monkeypatch.setattr(substring._Levels, "_hashes", lambda self, words, step, seed: real(self, words, step, seed) if seed else real(self, words, step, seed) * 0 + 7)
+    levels = substring._Levels(5, ["a"] * 3)
+    words = substring.Words(substring.pa.array(["a b c d e f", "g h i j k"]))
+    first, second = substring.np.array([7], "u8"), levels._hashes(words, 5, 1)[:1]
+    for answers, hashes in zip(levels.answers, [first, first, second], strict=True):
+        answers.of = lambda block, h=substring.np.sort(substring.exchange.mix(hashes.copy())): h
+    assert levels.alive(words, 0).tolist() == [True] + [False] * 6
+
+
 def test_empty_and_spans(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert substring.drop_repeats(empty).count() == 0
