@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that a Python worker works on at once.
 SLICE_BYTES = 1 << 19
 _local: dict[str, str] = {}
+_owned: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,7 +38,23 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/docfathom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/docfathom/{name}-{uuid.uuid4().hex}"
+    for made in _owned:
+        made.append(path)
+    return path
+
+
+@contextmanager
+def owner(spark: SparkSession):
+    """Collects the paths made inside, and deletes them at the end but for those taken out of the list: their tables are done with."""
+    made: list[str] = []
+    _owned.append(made)
+    try:
+        yield made
+    finally:
+        _owned[:] = [x for x in _owned if x is not made]
+        for path in made:
+            _delete(spark, path)
 
 
 def stage(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
@@ -59,9 +77,12 @@ def path_of(staged: DataFrame) -> str:
 def discard(*staged: DataFrame) -> None:
     """Delete tables of stage() that nothing reads any more."""
     for df in staged:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(path_of(df))
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(df.sparkSession, path_of(df))
+
+
+def _delete(spark: SparkSession, uri: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

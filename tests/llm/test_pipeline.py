@@ -1,6 +1,8 @@
+import pathlib
 import random
 
 import corpus_pipeline as cp
+from docfathom.llm.shared import owner, shared_dir
 from docfathom.llm.tokens import default_path, encoder
 
 
@@ -54,4 +56,10 @@ def test_stages_on_planted_cases(spark, tmp_path):
 
 def test_run(spark):
     assert cp.ORACLE_SQL is None and [n for n, _ in cp.STAGES] == ["toxicity", "near_dedup", "substring_dedup", "decontamination", "packing"]
-    assert cp.run(spark, "/root/testdata/sf0.001").count() > 0
+    folder = pathlib.Path(shared_dir(spark).removeprefix("file://")) / "docfathom"
+    before = set(folder.glob("*"))
+    with owner(spark) as made:
+        assert cp.run(spark, "/root/testdata/sf0.001").count() > 0
+        left = {p.name.split("-")[0] for p in set(folder.glob("*")) - before}
+        assert len(made) > 30 and 0 < len(left) < 6 and not left & {"pipeline", "sketches", "neardup", "substring", "windows", "leaks"}
+    assert set(folder.glob("*")) == before
