@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from docfathom.llm.decontam import leaks
 from docfathom.llm.neardup import one_of_each
 from docfathom.llm.packing import pack
-from docfathom.llm.shared import discard, stage
+from docfathom.llm.shared import discard, owner, path_of, stage
 from docfathom.llm.substring import drop_repeats
 from docfathom.llm.toxicity import toxicity
 
@@ -76,10 +76,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The packed sequences of documents. A stage may leave nothing: the next ones then have nothing to do."""
+    """The packed sequences of documents. A stage may leave nothing: the next ones then have nothing to do.
+
+    What a stage has staged on its way is deleted as soon as its result is written, and that when the next one's is.
+    """
     docs, done = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        with owner(spark) as made:
+            docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+            made.remove(path_of(docs))
         if done is not None:
             discard(done)
         done = docs
