@@ -29,10 +29,10 @@ def tokenised(chunks: DataFrame) -> DataFrame:
 def postings(toks: DataFrame) -> DataFrame:
     """term, id, api_id, type, dl, tf, positions (column 0 is the title, 1 the content)."""
 
-    def side(name: str, col: int) -> DataFrame:
-        return toks.select("id", "api_id", "type", "dl", F.posexplode(name).alias("pos", "term")).withColumn("col", F.lit(col))
+    def places_of(name: str, col: int) -> Column:
+        return F.transform(name, lambda term, pos: F.struct(term.alias("term"), F.lit(col).alias("col"), pos.alias("pos")))
 
-    both = side("title_toks", 0).unionByName(side("content_toks", 1))
+    both = toks.select("id", "api_id", "type", "dl", F.inline(F.concat(places_of("title_toks", 0), places_of("content_toks", 1))))
     places = F.sort_array(F.collect_list(F.struct("col", "pos")))
     return both.groupBy("term", "id", "api_id", "type", "dl").agg(F.count("*").cast("int").alias("tf"), places.alias("positions"))
 
