@@ -1,4 +1,4 @@
-"""The thin queries op1 to op10, and the DuckDB SQL of those that SQL can express."""
+"""The thin queries op1 to op13, and the DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -92,6 +92,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proof of every row of documents: null fields, ids and sources have a place of their own, equal rows have equal leaves and two places."""
+    from .merkle import manifest
+
+    out = manifest(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_toxicity": op2_toxicity,
@@ -103,9 +111,15 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_html_extraction": op10_html_extraction,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+#: A field of a leaf, and the CRC-32 of a decimal number, bit by bit.
+_FIELD = "coalesce(octet_length(encode({0}))::VARCHAR || ':' || {0}, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(f"{c}::VARCHAR") for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+_BITS = "list_reduce(range(0, 8), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, {0})"
+_CRC32 = "xor(list_reduce(list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT), lambda r, x: xor(r >> 8, " + _BITS.format("xor(r & 255, x)") + "), 4294967295), 4294967295)"
 
 ORACLE_SQL = {
     "op4_substring_dedup": rf"""
@@ -147,5 +161,26 @@ g AS (SELECT payload_digest, payload_bytes, max(page_id) AS first FROM d WHERE p
 SELECT d.page_id, d.payload_bytes, d.payload_digest, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
 CASE WHEN first <> page_id THEN first END AS refers_to
 FROM d LEFT JOIN g ON d.payload_digest = g.payload_digest AND d.payload_bytes = g.payload_bytes
+""",
+    "op11_merkle_manifest": f"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS k, doc_id, source, {_LEAF.format(text="text")} AS leaf,
+CASE WHEN {_CRC32.format("doc_id::VARCHAR")} % 5 = 0 THEN {_LEAF.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} END AS bad FROM documents),
+l AS (SELECT k, doc_id, leaf, coalesce(bad, leaf) AS seen, coalesce('=' || source, '') AS s,
+row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, k) - 1 AS pos, count(*) OVER (PARTITION BY source) AS n FROM d),
+t AS (SELECT 0 AS level, s, pos, n, leaf AS h FROM l UNION ALL
+SELECT level + 1, s, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM t WHERE n > 1 GROUP BY level, s, pos // 16, n),
+r AS (SELECT s, h AS subroot, row_number() OVER (ORDER BY encode(s)) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+u AS (SELECT 0 AS level, pos, n, subroot AS h FROM r UNION ALL
+SELECT level + 1, pos // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY level, pos // 16, n),
+tower AS (SELECT 'in' || s AS tree, level, pos, n, h FROM t UNION ALL SELECT 'top', level, pos, n, h FROM u),
+step AS (SELECT a.tree, a.level, a.pos, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS x, coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS y
+FROM tower a JOIN tower b ON a.tree = b.tree AND a.level = b.level AND a.pos // 16 = b.pos // 16 WHERE a.n > 1 GROUP BY a.tree, a.level, a.pos),
+walk AS (SELECT k, s, 'in' || s AS tree, 0 AS level, pos, n, seen AS h, '' AS proof FROM l UNION ALL
+SELECT w.k, w.s, CASE WHEN w.n > 1 THEN w.tree ELSE 'top' END, CASE WHEN w.n > 1 THEN w.level + 1 ELSE 0 END, CASE WHEN w.n > 1 THEN w.pos // 16 ELSE r.pos END,
+CASE WHEN w.n > 1 THEN (w.n + 15) // 16 ELSE r.n END, CASE WHEN w.n > 1 THEN sha256(x || w.h || y) ELSE w.h END, CASE WHEN w.n > 1 THEN w.proof || x || y ELSE w.proof END
+FROM walk w JOIN r ON r.s = w.s LEFT JOIN step ON step.tree = w.tree AND step.level = w.level AND step.pos = w.pos WHERE w.n > 1 OR w.tree <> 'top'),
+done AS (SELECT k, h, proof FROM walk WHERE n = 1 AND tree = 'top'),
+top AS (SELECT h AS root FROM u WHERE n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, done.h AS folded_root, done.h = root AS verified FROM l JOIN r ON r.s = l.s JOIN done ON done.k = l.k, top
 """,
 }
