@@ -100,6 +100,16 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each usable vector and component: null and unusable vectors are left out, null and repeated ids stay, no rows without vectors."""
+    from .whitening import whiten
+
+    out = whiten(_read(spark, sf_dir, "embeddings"))
+    at = F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "own")
+    out = out.select(F.col("id").alias("vec_id"), "n", "deviation", "identity_error", at)
+    return out.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "own.whitened", "own.explained", "identity_error")
+
+
 QUERIES = {
     "op1_token_shards": op1_token_shards,
     "op2_toxicity": op2_toxicity,
@@ -112,6 +122,7 @@ QUERIES = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_html_extraction": op10_html_extraction,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_embedding_whitening": op13_embedding_whitening,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"

@@ -1,0 +1,92 @@
+import math
+
+import numpy as np
+import pytest
+
+from docfathom.llm import whitening
+
+SCHEMA = "vec_id long, embedding array<float>, n long, x string"
+
+
+def table(spark, rows, schema=SCHEMA, parts=3):
+    return spark.createDataFrame([(i, v, 1, "x") for i, v in rows], schema).repartition(parts)
+
+
+def brute(rows, d, k=32):
+    good = [(i, [float(np.float32(c)) for c in v]) for i, v in rows if v is not None and len(v) == d and all(c is not None and math.isfinite(c) for c in v)]
+    x = [[math.floor(64 * c) + 1_000_000 for c in v] for _, v in good]
+    n = len(x)
+    s = [sum(r[j] for r in x) for j in range(d)]
+    dev = [sum((n * r[j] - s[j]) ** 2 for j in range(d)) for r in x]
+    z = np.array([[(n * r[j] - s[j]) / n for j in range(d)] for r in x])
+    e, v = np.linalg.eigh(z.T @ z / n)
+    e, v = e[::-1], v[:, ::-1]
+    return [i for i, _ in good], dev, e, (z @ v)[:, :k]
+
+
+def test_against_brute_force(spark):
+    rng = np.random.default_rng(0)
+    mix = rng.normal(size=(40, 40))
+    rows = [(i, (rng.normal(size=40) @ mix).astype(np.float32).tolist()) for i in range(900)]
+    rows += [(5, rows[5][1]), (None, rows[7][1]), (1000, None), (1001, [float("nan")] * 40), (1002, [float("-inf")] + [0.0] * 39), (1003, [None] + [1.0] * 39), (1004, [1.0]), (1005, [])]
+    out = whitening.whiten(table(spark, rows)).collect()
+    ids, dev, e, z = brute(rows, 40)
+    assert sorted(map(repr, (r.id for r in out))) == sorted(map(repr, ids)) and {r.n for r in out} == {902}
+    assert sorted(r.deviation for r in out) == sorted(dev)
+    by = dict(zip(ids, range(len(ids)), strict=True))
+    w = np.array([r.whitened for r in out])
+    true = np.array([z[by[r.id]] for r in out]) / np.sqrt(e[:32])
+    for c in range(32):
+        sign = 1 if (w[:, c] * true[:, c]).sum() > 0 else -1
+        assert np.allclose(w[:, c] * sign, true[:, c], atol=1e-7)
+    assert np.allclose(out[0].explained, e[:32] / e.sum(), rtol=1e-9)
+    assert 0 <= out[0].identity_error < 1e-8
+    assert {(r.id, r.deviation) for r in out if r.id == 5} == {(5, dev[5])}
+
+
+def test_few_and_constant(spark):
+    rows = [(i, [float(i), 2.0, -float(i), 0.5 * (i % 2)]) for i in range(3)]
+    out = whitening.whiten(table(spark, rows)).collect()
+    assert len(out) == 3 and all([v is None for v in r.whitened] == [False, False, True, True] for r in out)
+    assert out[0].identity_error < 1e-9 and out[0].explained[2] < 1e-12
+    one = whitening.whiten(table(spark, rows[:1])).collect()
+    assert [(r.n, r.deviation, r.whitened, r.explained, r.identity_error) for r in one] == [(1, 0, [None] * 4, [None] * 4, None)]
+    same = whitening.whiten(table(spark, [(1, [1.0, 2.0])] * 50)).collect()
+    assert len(same) == 50 and {(r.deviation, r.identity_error) for r in same} == {(0, None)}
+
+
+@pytest.mark.parametrize("rows", [[], [(1, None)], [(1, [])], [(1, [float("nan")])]])
+def test_nothing(spark, rows):
+    df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows], SCHEMA)
+    assert whitening.whiten(df).count() == 0
+
+
+def test_doubles_and_large_numbers(spark):
+    rows = [(1, [1e12, 0.1]), (2, [-1e12, 0.2]), (3, [1e300, 0.3])]
+    out = {r.id: r for r in whitening.whiten(table(spark, rows, "vec_id long, embedding array<double>, n long, x string")).collect()}
+    assert len(out) == 3 and all(r.deviation is None for r in out.values())
+    close = [(1, [1 / 64 - 1e-12]), (2, [1 / 64])]
+    out = {r.id: r.deviation for r in whitening.whiten(table(spark, close, "vec_id long, embedding array<double>, n long, x string")).collect()}
+    assert out == {1: 1, 2: 1}  # 0 and 1: as floats both would be 1
+
+
+def test_deviations_at_the_edge_of_a_long():
+    base, rest = np.array([1_000_000]), np.array([0])
+    root = math.isqrt(2**63 - 1)
+    x = np.array([[1_000_000 + root], [1_000_000 - root], [1_000_000 + root + 1], [1_000_000 + 2**40]])
+    assert whitening.deviations(x, base, rest, 1) == [root**2, root**2, None, None]
+
+
+def test_query(spark):
+    from docfathom.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    got = queries.QUERIES["op13_embedding_whitening"](spark, sf).toPandas()
+    rows = [(r[0], r[1]) for r in spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", "embedding").collect()]
+    ids, dev, e, z = brute(rows, 64)
+    assert len(got) == 32 * len(ids) and (got.groupby("vec_id").component.apply(sorted).map(tuple) == tuple(range(1, 33))).all()
+    assert dict(zip(got.vec_id, got.deviation, strict=True)) == dict(zip(ids, dev, strict=True))
+    shares = got.drop_duplicates("component").set_index("component").explained
+    assert np.allclose(shares.sort_index(), e[:32] / e.sum(), rtol=1e-9)
+    w = got.pivot(index="vec_id", columns="component", values="whitened").to_numpy()
+    assert np.abs(w.T @ w / len(w) - np.eye(32)).max() < 1e-8 and got.identity_error.nunique() == 1
