@@ -100,6 +100,26 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+#: Rules of op12: verdict, host/path.
+URL_RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
+
+
+def op12_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page: null URLs have an empty host and path, null ids stay null, equal rows are judged alike.
+
+    A URL is labelled by the document that it names (the number in its last segment): bad if that is of low quality or toxic.
+    """
+    from .urls import judge
+
+    pages = _read(spark, sf_dir, "pages")
+    bad = F.max(F.greatest(1 - F.col("quality"), F.col("toxic")))
+    labels = _read(spark, sf_dir, "labels").groupBy("doc_id").agg(bad.alias("bad"))
+    number = F.expr(r"try_cast(nullif(regexp_extract(url, '^[^?#]*/([0-9]+)[^/?#]*/?([?#]|$)', 1), '') AS bigint)")
+    labelled = pages.select("url", number.alias("doc_id")).filter("doc_id IS NOT NULL").join(labels, "doc_id").select("url", "bad")
+    out = judge(pages, labelled, URL_RULES, carry=("page_id",))
+    return out.select(F.col("carry0").alias("page_id"), "host", "path", "rule", "verdict", "template")
+
+
 def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row for each usable vector and component: null and unusable vectors are left out, null and repeated ids stay, no rows without vectors."""
     from .whitening import whiten
@@ -122,6 +142,7 @@ QUERIES = {
     "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_html_extraction": op10_html_extraction,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_url_filters": op12_url_filters,
     "op13_embedding_whitening": op13_embedding_whitening,
 }
 
@@ -132,6 +153,36 @@ _LEAF = "sha256(" + " || ".join(_FIELD.format(f"{c}::VARCHAR") for c in ("doc_id
 _BITS = "list_reduce(range(0, 8), lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, {0})"
 _CRC32 = "xor(list_reduce(list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT), lambda r, x: xor(r >> 8, " + _BITS.format("xor(r & 255, x)") + "), 4294967295), 4294967295)"
 
+def _template_sql() -> str:
+    """op12 in SQL: each level of the tree as tables of its own."""
+    s = "list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: regexp_replace(x, '[0-9]+', '{n}', 'g'))"
+    part = r"coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', {}), '')"
+    host = f"translate({part.format(1)}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    number = r"try_cast(nullif(regexp_extract(url, '^[^?#]*/([0-9]+)[^/?#]*/?([?#]|$)', 1), '') AS BIGINT)"
+    odd = "(lab >= 5 AND tl > lab AND tb > 0 AND tl > tb AND (bad * (tl - lab) - (tb - bad) * lab)::DOUBLE ** 2 * tl / (lab::DOUBLE * (tl - lab) * tb * (tl - tb)) >= 3.841)"
+    out = [
+        f"p AS (SELECT row_number() OVER () AS k, page_id, url, {host} AS host, {part.format(2)} AS path FROM pages)",
+        f"m AS (SELECT k, max(greatest(1 - quality, toxic)) AS bad FROM p JOIN labels ON doc_id = {number} GROUP BY k)",
+        f"r0 AS (SELECT p.k, host AS node, NULL::VARCHAR AS above, {s} AS segs, (m.bad IS NOT NULL)::BIGINT AS lab, coalesce(m.bad, 0)::BIGINT AS bad FROM p LEFT JOIN m ON m.k = p.k)",
+        "q0 AS (SELECT node, (sum(bad) + 4 * coalesce((SELECT sum(bad) / sum(lab) FROM r0), 0)) / (sum(lab) + 4) AS rate FROM r0 GROUP BY node)",
+    ]
+    for k in range(4):
+        out += [
+            f"c{k} AS (SELECT node, node || '/' || segs[{k + 1}] AS link, count(*)::BIGINT AS n, sum(lab)::BIGINT AS lab, sum(bad)::BIGINT AS bad FROM r{k} WHERE len(segs) > {k} GROUP BY ALL)",
+            f"d{k} AS (SELECT *, count(*) OVER w AS kids, (sum(n) OVER w)::BIGINT AS tn, (sum(lab) OVER w)::BIGINT AS tl, (sum(bad) OVER w)::BIGINT AS tb FROM c{k} WINDOW w AS (PARTITION BY node))",
+            f"e{k} AS (SELECT node, link, lab, bad, CASE WHEN kids = 1 THEN link WHEN kids >= 8 AND 2 * kids > tn OR NOT {odd} THEN node || '/*' WHEN bad * tl > tb * lab THEN node || '/{{+}}' ELSE node || '/{{-}}' END AS next FROM d{k})",
+            f"f{k} AS (SELECT *, count(*) OVER w AS kids, (sum(lab) OVER w)::BIGINT AS tl, (sum(bad) OVER w)::BIGINT AS tb FROM e{k} WINDOW w AS (PARTITION BY next))",
+            f"g{k} AS (SELECT link, CASE WHEN next IN (node || '/{{+}}', node || '/{{-}}') AND (kids = 1 OR {odd}) THEN link ELSE next END AS next FROM f{k})",
+            f"r{k + 1} AS (SELECT k, coalesce(next, node) AS node, CASE WHEN next IS NOT NULL THEN node END AS above, segs, lab, bad FROM r{k} LEFT JOIN g{k} ON link = node || '/' || segs[{k + 1}])",
+            f"q{k + 1} AS (SELECT * FROM q{k} UNION ALL SELECT r.node, (sum(bad) + 4 * any_value(rate)) / (sum(lab) + 4) FROM r{k + 1} r JOIN q{k} q ON q.node = r.above GROUP BY r.node)",
+        ]
+    rules = sorted(URL_RULES, key=lambda r: -len(r[1]))
+    fits = lambda r: f"(host = '{r.partition('/')[0]}' OR host LIKE '%.{r.partition('/')[0]}') AND path LIKE '/{r.partition('/')[2]}%'"
+    rule = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{r}'" for _, r in rules) + " END"
+    verdict = "CASE " + " ".join(f"WHEN {fits(r)} THEN '{v}'" for v, r in rules) + " WHEN 1 - rate < 0.5 THEN 'block' ELSE 'allow' END"
+    return f"WITH {', '.join(out)} SELECT page_id, host, path, {rule} AS rule, {verdict} AS verdict, r4.node || CASE WHEN len(segs) > 4 THEN '/**' ELSE '' END AS template FROM p JOIN r4 ON r4.k = p.k JOIN q4 ON q4.node = r4.node"
+
+
 ORACLE_SQL = {
     "op4_substring_dedup": rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, {_WORDS} AS w FROM documents),
@@ -194,4 +245,5 @@ done AS (SELECT k, h, proof FROM walk WHERE n = 1 AND tree = 'top'),
 top AS (SELECT h AS root FROM u WHERE n = 1)
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, done.h AS folded_root, done.h = root AS verified FROM l JOIN r ON r.s = l.s JOIN done ON done.k = l.k, top
 """,
+    "op12_url_filters": _template_sql(),
 }
