@@ -6,10 +6,9 @@ import argparse
 import os
 import sys
 import time
-import traceback
 
 from .sources import embed
-from .sources.ingest import format_duration, format_result, ingest_api, ingest_docs
+from .sources.ingest import Source, format_duration, format_result, ingest_api, ingest_sources
 from .sources.registry import load_registry
 from .sources.store import IndexStore
 
@@ -20,11 +19,6 @@ class CliError(Exception):
     pass
 
 
-def _fatal(e: Exception) -> bool:
-    """Errors of the program or of storage: they end the run."""
-    return isinstance(e, (TypeError, AttributeError, NameError, IndexError, MemoryError)) or "No space left" in str(e) or "Read-only file system" in str(e)
-
-
 def run(spark, api=None, spec=None, docs=None, all_entries=False, registry=None, force=False, out=print, err=None) -> int:
     """Returns the exit code; CliError for wrong arguments."""
     err = err or (lambda text: print(text, file=sys.stderr))
@@ -34,19 +28,14 @@ def run(spark, api=None, spec=None, docs=None, all_entries=False, registry=None,
             if not os.path.exists(path):
                 raise CliError(f"registry not found: {path}")
             begin, entries = time.perf_counter(), load_registry(path)
-            work = [(e.name, lambda s, e=e: ingest_api(s, e.name, e.spec, e.docs, force)) for e in entries.apis]
-            work += [(e.name, lambda s, e=e: ingest_docs(s, e.name, e.path, force)) for e in entries.docs]
+            work = [Source(e.name, e.spec, e.docs) for e in entries.apis] + [Source(e.name, None, e.path) for e in entries.docs]
             results, failed = [], 0
-            for name, ingest in work:
-                out(f"Ingesting {name}...")
-                try:
-                    r = ingest(IndexStore.open(spark, dimension=embed.get_dimension()))
-                except Exception as e:
-                    if _fatal(e):
-                        raise
+            for r in ingest_sources(IndexStore.open(spark, dimension=embed.get_dimension()), work, force) if work else []:
+                out(f"Ingesting {r.api}...")
+                if r.error:
                     failed += 1
-                    err(f"  Error ingesting {name}: {e}")
-                    err(traceback.format_exc())
+                    err(f"  Error ingesting {r.api}: {r.error}")
+                    err(r.trace)
                     continue
                 results.append(r)
                 out("  unchanged, skipping" if r.unchanged else format_result(r))

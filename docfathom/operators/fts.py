@@ -20,14 +20,25 @@ BROADCAST_TERMS = 200_000
 PUSHED_TERMS = 500
 
 
+def length() -> Column:
+    """The number of terms of a chunk, from its columns title and content."""
+    return sum(F.size(tokens(F.coalesce(c, F.lit("")))) for c in ("title", "content"))
+
+
 def tokenised(chunks: DataFrame) -> DataFrame:
     """id, api_id, type, title_toks, content_toks and dl (their number) of each chunk."""
     toks = chunks.select("id", "api_id", "type", tokens(F.coalesce("title", F.lit(""))).alias("title_toks"), tokens(F.coalesce("content", F.lit(""))).alias("content_toks"))
     return toks.withColumn("dl", F.size("title_toks") + F.size("content_toks"))
 
 
-def postings(toks: DataFrame) -> DataFrame:
-    """term, id, api_id, type, dl, tf, positions (column 0 is the title, 1 the content)."""
+def postings(toks: DataFrame, by_chunk: bool = False) -> DataFrame:
+    """term, id, api_id, type, dl, tf, positions (column 0 is the title, 1 the content).
+
+    by_chunk: chunks are shuffled, and their places grouped where they are made, which is less than all places; for a whole index. Without
+    it a filter on terms goes below the shuffle.
+    """
+    if by_chunk:
+        toks = toks.repartition("id")
 
     def places_of(name: str, col: int) -> Column:
         return F.transform(name, lambda term, pos: F.struct(term.alias("term"), F.lit(col).alias("col"), pos.alias("pos")))

@@ -223,22 +223,39 @@ def embed_query(text: str) -> np.ndarray:
     return get_provider().embed_query(text)
 
 
-def embed_frame(rows: DataFrame, make: Callable[[], EmbeddingProvider] | None = None, text_col: str = "content", batch: int = VOYAGE_BATCH) -> DataFrame:
-    """rows with a column embedding. Each worker makes one provider, or gets a copy of the process's, and sends it up to `batch` texts at a time; no row, no call."""
+def embed_frame(rows: DataFrame, make: Callable[[], EmbeddingProvider] | None = None, text_col: str = "content", batch: int = VOYAGE_BATCH, by: str | None = None) -> DataFrame:
+    """rows with a column embedding. Each worker makes one provider, or gets a copy of the process's, and sends it up to `batch` texts at a time; no row, no call.
+
+    by: texts that differ in this column are not sent together, and what a call raises is told in columns error and trace of its rows.
+    """
     from pyspark.sql import types as T
 
     if make is None:
         held = get_provider()
         make = lambda: held
 
-    schema = T.StructType([*rows.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    told = [T.StructField(c, T.StringType()) for c in ("error", "trace")] if by else []
+    schema = T.StructType([*rows.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType())), *told])
 
     def run(frames):
+        import traceback
+
         provider = None
         for frame in frames:
-            for i in range(0, len(frame), batch):
-                part = frame.iloc[i : i + batch]
-                provider = provider or make()
-                yield part.assign(embedding=[[float(x) for x in v] for v in provider.embed_documents(part[text_col].tolist())])
+            groups = [g for _, g in frame.groupby(by, sort=False)] if by else [frame]
+            for group in groups:
+                for i in range(0, len(group), batch):
+                    part = group.iloc[i : i + batch]
+                    try:
+                        provider = provider or make()
+                        found, said = provider.embed_documents(part[text_col].tolist()), {}
+                        if by:
+                            said = {"error": None, "trace": None}
+                    except Exception as e:
+                        if not by:
+                            raise
+                        found, said = None, {"error": str(e), "trace": traceback.format_exc()}
+                    vectors = [None] * len(part) if found is None else [[float(x) for x in v] for v in found]
+                    yield part.assign(embedding=vectors, **said)
 
     return rows.mapInPandas(run, schema)

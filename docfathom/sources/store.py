@@ -1,29 +1,41 @@
-"""The index store: parquet snapshots behind one pointer file.
-
-A store is a folder with CURRENT (JSON) and immutable folders of parquet. Chunks are kept per source, so a commit writes the sources that
-changed, and the table of sources, and then replaces CURRENT at once. Readers hold the snapshot that they opened. A chunk and its vector
-are one row; the inverted index of a source is written with its chunks, sorted by term, and becomes current in the same step, as do the
-numbers of chunks and terms that ranking needs. A search reads the row groups of its terms, not the chunks.
+"""The index store: segments of chunks and of their inverted index, deletions, and a commit log.
+
+A store is a folder with a log (log.py) and immutable folders of parquet. A commit adds what is new: a segment with the chunks that were
+added or changed, sorted by source and id, the part of the inverted index that they make, sorted by term, and the ids of stored chunks that
+they replace or that are gone. Every row and every deletion carries the number of its commit; a deletion hides the rows of earlier ones.
+Readers read all segments and leave out what is hidden, so a small change costs what is changed. Segments of one order of size are merged
+when there are several, and what is hidden goes then. Corpus statistics are kept with the state, exactly, so ranking is that of a store
+written at once. Readers hold the state that they opened.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import CHUNK_TYPES, sanitize_query, token_list
-from ..operators import fts, hybrid, merge
+from ..operators import fts, hybrid
+from . import log
 
 APIS = "id string, name string, version string, spec_path string, docs_path string, source_hash string, spec_content string, created_at string, updated_at string"
 CHUNKS = "id string, api_id string, type string, title string, content string, content_hash string, metadata string, created_at string, embedding array<float>"
 POSTINGS = "term string, id string, api_id string, type string, dl int, tf int, positions array<struct<col:int,pos:int>>"
+#: What segments have beside those columns: the commit that a row is of, and (chunks) the number of its terms.
+STORED_CHUNKS, STORED_POSTINGS = CHUNKS + ", dl int, seq long", POSTINGS + ", seq long"
+DELETES = "id string, api_id string, dl int, seq long"
+NEW_SOURCE = "id string, name string, version string, spec_path string, docs_path string, source_hash string, spec_content string"
 DEFAULT_DIMENSION = 1024
 #: Environment variable with the store's folder.
 PATH_VARIABLE, DEFAULT_PATH = "DOCFATHOM_DB_PATH", "docfathom-index"
+#: Segments of one order of size (TIER times the rows of the one before) that are merged, and folders of deletions or sources.
+TIER, SEGMENTS_OF_A_TIER, FOLDERS = 8, 4, 8
+#: Deletions that a reader broadcasts, at most (about 100 bytes each); more are joined by a shuffle.
+BROADCAST_DELETES = 200_000
 
 _open: dict[str, IndexStore] = {}
 
@@ -40,12 +52,14 @@ class IndexStore:
     def __init__(self, spark: SparkSession, path: str, dimension: int = DEFAULT_DIMENSION):
         self.spark, self.path = spark, path.rstrip("/")
         dimension = check_dimension(dimension)
-        self._jvm = spark._jvm.org.apache.hadoop.fs
-        self._fs = self._jvm.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self.state = self._load()
+        self.log = log.CommitLog(spark, self.path)
+        self.refresh()
         if self.state is None:
-            self.state = {"embedding_dimension": dimension, "apis": None, "chunks": {}, "postings": {}, "stats": {}}
-            self._point()
+            try:
+                self.log.publish(0, {"state": log.empty(dimension)})
+            except log.Conflict:  # another program has just made it
+                pass
+            self.refresh()
         self.require(dimension)
 
     # --- the process's store
@@ -66,8 +80,11 @@ class IndexStore:
 
     @classmethod
     def temporary(cls, spark: SparkSession, dimension: int = DEFAULT_DIMENSION) -> IndexStore:
+        """A store in a temporary folder of this machine, for a local master: executors elsewhere do not see it."""
         import tempfile
 
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("a temporary store needs a local master: name a shared folder")
         return cls(spark, tempfile.mkdtemp(prefix="docfathom-index-"), dimension)
 
     def require(self, dimension: int) -> None:
@@ -75,95 +92,216 @@ class IndexStore:
         if have != dimension:
             raise ValueError(f"Embedding dimension mismatch: database has {have}d vectors but provider requires {dimension}d. Re-index with: python -m docfathom.cli --all --force")
 
-    # --- snapshots
-    def _pointer(self):
-        return self._jvm.Path(f"{self.path}/CURRENT")
-
-    def _load(self) -> dict | None:
-        text = self._read_pointer()
-        self._seen = text
-        return json.loads(text) if text is not None else None
+    # --- commits
+    def refresh(self) -> None:
+        self.version, self.state, self.layout = self.log.load()
+        if self.layout == 1 and self.state["segments"]:  # that one kept no statistics
+            rows = self._stored(self.state["segments"]).groupBy("api_id").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).collect()
+            self.state["stats"] = {r[0]: [r[1], r[2]] for r in rows}
 
-    def _read_pointer(self) -> str | None:
-        if not self._fs.exists(self._pointer()):
-            return None
-        stream = self._fs.open(self._pointer())
-        try:
-            return self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        finally:
-            stream.close()
-
-    def _point(self) -> None:
-        """Make the state current, unless another writer has made his current since this store was read."""
-        if self._read_pointer() != self._seen:
-            raise RuntimeError(f"the index at {self.path} was changed by another writer: refresh() and try again")
-        fresh = self._jvm.Path(f"{self.path}/_CURRENT-{uuid.uuid4().hex}")
-        out = self._fs.create(fresh, True)
-        try:
-            out.write(json.dumps(self.state).encode())
-        finally:
-            out.close()
-        context = self._jvm.FileContext.getFileContext(self._fs.getUri(), self.spark._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(self._jvm.Options.Rename, 1)
-        options[0] = self._jvm.Options.Rename.OVERWRITE
-        context.rename(fresh, self._pointer(), options)
-        self._seen = json.dumps(self.state)
+    def _place(self, part: dict, key: str = "path") -> str:
+        return part[key] if "/" in part[key] else f"{self.path}/{part[key]}"
 
     def _write(self, df: DataFrame, name: str) -> str:
-        place = f"{self.path}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(place)
-        return place
+        """A new folder, named as the state names it."""
+        name = f"{name}-{uuid.uuid4().hex}"
+        df.write.parquet(f"{self.path}/{name}")
+        return name
 
     def scratch(self, df: DataFrame) -> str:
-        """A folder beside the snapshots with the rows of df, for drop()."""
-        return self._write(df, "_scratch")
+        """A folder beside the segments with the rows of df, for drop()."""
+        return f"{self.path}/{self._write(df, '_scratch')}"
 
     def drop(self, place: str) -> None:
-        self._fs.delete(self._jvm.Path(place), True)
+        self.log.delete(place)
 
-    def commit(self, apis: DataFrame | None = None, chunks: dict[str, DataFrame | None] | None = None) -> None:
-        """Write new contents of the sources table, and of the chunks of some sources (None: no chunks), and make them current together.
+    def commit(self, sources: DataFrame | None = None, fresh: DataFrame | None = None, gone: DataFrame | None = None, dropped: list[str] = ()) -> None:
+        """One commit: rows of the table of sources; chunks that are added or changed (CHUNKS, sorted by source and id if the reader is to
+        skip); stored chunks that they replace or that are gone (id, api_id, dl); sources all of whose chunks go.
 
-        What this takes out of the state is deleted by the next commit, so that readers of the state before are not disturbed.
+        What fails leaves the store as it was. Folders that this takes out of the state are deleted by the next commit, so that readers of
+        the state before are not disturbed.
         """
-        before = self.state
-        state = {**self.state, **{k: dict(self.state[k]) for k in ("chunks", "postings", "stats")}}
-        if apis is not None:
-            state["apis"] = self._write(apis.coalesce(1), "apis")
-        for api, rows in (chunks or {}).items():
-            for part in ("chunks", "postings", "stats"):
-                state[part].pop(api, None)
-            if rows is not None:
-                place = state["chunks"][api] = self._write(rows, "chunks")
-                toks = fts.tokenised(self.spark.read.schema(CHUNKS).parquet(place))
-                sizes = toks.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
-                state["stats"][api] = [sizes["n"], sizes["dl"]]
-                state["postings"][api] = self._write(fts.postings(toks).sortWithinPartitions("term", "id"), "postings")
-        gone = self._places(before) - self._places(state)
-        state["spent"] = sorted(gone)
-        self.state = state
+        seq, made = self.version + 1, []
+        stats = {a: list(v) for a, v in self.state["stats"].items()}
+        commit: dict = {"segments": [], "deletes": [], "sources": [], "dropped": {}, "remove": []}
+
+        def keep(df: DataFrame, name: str) -> str:
+            made.append(self._write(df, name))
+            return made[-1]
+
         try:
-            self._point()
+            for a in dropped:
+                stats.pop(a, None)
+                if any(a in s["apis"] for s in self.state["segments"]):
+                    commit["dropped"][a] = seq
+            if gone is not None:
+                path = keep(gone.select("id", "api_id", F.col("dl").cast("int").alias("dl"), F.lit(seq).cast("long").alias("seq")), "deletes")
+                n = self._count(path, DELETES, stats, -1)
+                commit["deletes"] += [{"seq": seq, "path": path, "rows": sum(n.values())}] if n else []
+            if fresh is not None:
+                commit["segments"] += self._segment(fresh, seq, stats, keep)
+            if sources is not None:
+                commit["sources"].append({"seq": seq, "path": keep(sources.coalesce(1).withColumn("seq", F.lit(seq).cast("long")), "sources")})
+            commit["stats"] = {a: stats.get(a) for a in {*stats, *self.state["stats"]} if stats.get(a) != self.state["stats"].get(a)}
+            self._publish(commit)
         except Exception:
-            self.state = before
-            for place in self._places(state) - self._places(before):
-                self.drop(place)
+            for name in made:
+                self.drop(f"{self.path}/{name}")
             raise
-        for place in before.get("spent", []):
-            self.drop(place)
+        self.compact()
+
+    def _publish(self, commit: dict) -> None:
+        """The next commit; a store of an earlier layout becomes one of this layout with it."""
+        before, gone = self.state, commit.get("remove", [])
+        paths = lambda x: [x[k] for k in ("path", "postings") if x.get(k)]
+        commit["spent"] = [p for part in ("segments", "deletes", "sources") for x in before[part] if x["path"] in gone for p in paths(x)]
+        after = log.applied(before, commit)
+        self.log.publish(self.version + 1, {"state": after} if self.layout < log.LAYOUT else commit)
+        old_layout = self.layout < log.LAYOUT
+        self.state, self.version, self.layout = after, self.version + 1, log.LAYOUT
+        if self.version % log.CHECKPOINT_EVERY == 0:
+            self.log.checkpoint(self.version, after)
+        if old_layout:
+            self.log.delete("CURRENT")
+        for name in before["spent"]:
+            self.drop(self._place({"path": name}))
+
+    def _count(self, path: str, schema: str, stats: dict, sign: int) -> dict[str, int]:
+        """Rows by source of a folder that was just written; adds them and their terms to stats."""
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/{path}").groupBy("api_id").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).collect()
+        for r in rows:  # a row for each source that changed
+            n, dl = stats.get(r["api_id"], [0, 0])
+            stats[r["api_id"]] = [n + sign * r["n"], dl + sign * r["dl"]]
+            if not stats[r["api_id"]][0]:
+                del stats[r["api_id"]]
+        return {r["api_id"]: r["n"] for r in rows}
+
+    def _segment(self, fresh: DataFrame, seq: int, stats: dict, keep) -> list[dict]:
+        """Write chunks and their part of the inverted index."""
+        mark = F.lit(seq).cast("long").alias("seq")
+        path = keep(fresh.select(*[c for c in self._names(CHUNKS)], fts.length().alias("dl"), mark), "chunks")
+        n = self._count(path, STORED_CHUNKS, stats, 1)
+        if not n:
+            return []
+        toks = fts.tokenised(self.spark.read.schema(STORED_CHUNKS).parquet(f"{self.path}/{path}"))
+        index = fts.postings(toks, by_chunk=True).select(*self._names(POSTINGS), mark)
+        return [{"seq": seq, "path": path, "postings": keep(index.sortWithinPartitions("term", "id"), "postings"), "rows": sum(n.values()), "apis": sorted(n)}]
 
     @staticmethod
-    def _places(state: dict) -> set[str]:
-        return {*state["chunks"].values(), *state["postings"].values(), *([state["apis"]] if state["apis"] else [])}
-
-    def refresh(self) -> None:
-        self.state = self._load()
+    def _names(schema: str) -> list[str]:
+        return [f.split()[0] for f in schema.replace("struct<col:int,pos:int>", "x").split(", ")]
+
+    # --- compaction
+    def _due(self) -> list[dict]:
+        """Segments to merge: those of a tier that has several, or that were written without an index; oldest tiers last."""
+        tiers: dict[int, list[dict]] = {}
+        for s in self.state["segments"]:
+            tiers.setdefault(int(math.log(max(1, s["rows"]), TIER)), []).append(s)
+        due = [s for s in self.state["segments"] if not s["postings"]]
+        for _, own in sorted(tiers.items()):
+            if len(own) >= SEGMENTS_OF_A_TIER:
+                due += [s for s in own if s not in due]
+        hidden = sum(d["rows"] for d in self.state["deletes"])
+        if hidden > sum(s["rows"] for s in self.state["segments"]) // 2:
+            due = list(self.state["segments"])
+        return due
+
+    def compact(self, everything: bool = False) -> None:
+        """Merge segments of one order of size, deletions and rows of sources, if there are several, in a commit of its own.
+
+        Each row is rewritten once for each order of size that the store grows through. If another writer is faster, nothing is done.
+        """
+        due = list(self.state["segments"]) if everything else self._due()
+        deletes, sources = self.state["deletes"], self.state["sources"]
+        many = lambda parts: len(parts) >= (2 if everything else FOLDERS)
+        if not (due or many(deletes) or many(sources) or (everything and deletes)):
+            return
+        seq, made, commit = self.version + 1, [], {"segments": [], "deletes": [], "sources": [], "dropped": {}, "remove": []}
+        mark = F.lit(seq).cast("long").alias("seq")
+
+        def keep(df: DataFrame, name: str) -> str:
+            made.append(self._write(df, name))
+            return made[-1]
+
+        if due:
+            rows = self._stored(due).repartitionByRange("api_id", "id").sortWithinPartitions("api_id", "id")
+            path = keep(rows.select(*self._names(CHUNKS), "dl", mark), "chunks")
+            n = self._count(path, STORED_CHUNKS, {}, 1)
+            commit["remove"] += [s["path"] for s in due]
+            if n:
+                index = self._index(due).select(*self._names(POSTINGS), mark)
+                index = index.repartitionByRange("term", "id").sortWithinPartitions("term", "id")
+                commit["segments"].append({"seq": seq, "path": path, "postings": keep(index, "postings"), "rows": sum(n.values()), "apis": sorted(n)})
+            left = [s for s in self.state["segments"] if s not in due]
+            oldest = min((s["seq"] for s in left), default=seq)
+            commit["remove"] += [d["path"] for d in deletes if d["seq"] <= oldest]  # hide nothing any more
+            deletes = [d for d in deletes if d["seq"] > oldest]
+            commit["dropped"] = {a: None for a, at in self.state["dropped"].items() if at <= oldest or not any(a in s["apis"] for s in left)}
+        if many(deletes):
+            rows = self.spark.read.schema(DELETES).parquet(*map(self._place, deletes))
+            commit["remove"] += [d["path"] for d in deletes]
+            commit["deletes"].append({"seq": max(d["seq"] for d in deletes), "path": keep(rows.coalesce(max(1, len(deletes) // FOLDERS)), "deletes"), "rows": sum(d["rows"] for d in deletes)})
+        if many(sources):
+            commit["remove"] += [s["path"] for s in sources]
+            commit["sources"].append({"seq": seq, "path": keep(self._sources().coalesce(1), "sources")})
+        try:
+            self._publish(commit)
+        except Exception as e:
+            for name in made:
+                self.drop(f"{self.path}/{name}")
+            if not isinstance(e, log.Conflict):
+                raise
+            self.refresh()
+
+    # --- what the segments show
+    def _shown(self, rows: DataFrame, segments: list[dict]) -> DataFrame:
+        """Rows of segments that no later commit hides."""
+        oldest = min(s["seq"] for s in segments)
+        for a, at in self.state["dropped"].items():
+            if at > oldest and any(a in s["apis"] for s in segments):
+                rows = rows.filter((F.col("api_id") != a) | (F.coalesce("seq", F.lit(0)) >= at))
+        later = [d for d in self.state["deletes"] if d["seq"] > oldest]
+        if not later:
+            return rows
+        hidden = self.spark.read.schema(DELETES).parquet(*map(self._place, later)).select(F.col("id").alias("_id"), F.col("api_id").alias("_api"), F.col("seq").alias("_seq"))
+        if sum(d["rows"] for d in later) <= BROADCAST_DELETES:
+            hidden = F.broadcast(hidden)
+        return rows.join(hidden, (F.col("id") == F.col("_id")) & (F.col("api_id") == F.col("_api")) & (F.coalesce("seq", F.lit(0)) < F.col("_seq")), "left_anti")
+
+    def _stored(self, segments: list[dict]) -> DataFrame:
+        """The chunks that some segments show, with dl and seq (null in rows of earlier layouts: dl is counted then)."""
+        if not segments:
+            return self.spark.createDataFrame([], STORED_CHUNKS)
+        rows = self.spark.read.schema(STORED_CHUNKS).parquet(*map(self._place, segments))
+        if any(not s["seq"] for s in segments):
+            rows = rows.withColumn("dl", F.coalesce("dl", fts.length()))
+        return self._shown(rows, segments)
+
+    def _index(self, segments: list[dict]) -> DataFrame:
+        """The postings that some segments show; what was written without an index is indexed on the way."""
+        with_index = [s for s in segments if s["postings"]]
+        out = self.spark.createDataFrame([], STORED_POSTINGS)
+        if with_index:
+            out = self._shown(self.spark.read.schema(STORED_POSTINGS).parquet(*[self._place(s, "postings") for s in with_index]), with_index)
+        if bare := [s for s in segments if not s["postings"]]:
+            out = out.unionByName(fts.postings(fts.tokenised(self._stored(bare))).withColumn("seq", F.lit(0).cast("long")).select(*out.columns))
+        return out
+
+    def _sources(self) -> DataFrame:
+        """The latest row of each source, with the commit it is of."""
+        if not self.state["sources"]:
+            return self.spark.createDataFrame([], APIS + ", seq long")
+        rows = self.spark.read.schema(APIS + ", seq long").parquet(*map(self._place, self.state["sources"]))
+        if len(self.state["sources"]) == 1:
+            return rows
+        last = Window.partitionBy("id").orderBy(F.desc(F.coalesce("seq", F.lit(0))))
+        return rows.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
 
     # --- reading
     def apis(self) -> DataFrame:
         """All sources by name."""
-        rows = self.spark.read.schema(APIS).parquet(self.state["apis"]) if self.state["apis"] else self.spark.createDataFrame([], APIS)
-        return rows.orderBy("name")
+        return self._sources().drop("seq").orderBy("name")
 
     def get_apis(self) -> list[dict]:
         return [r.asDict() for r in self.apis().drop("source_hash").collect()]
@@ -176,10 +314,14 @@ class IndexStore:
         row = self.apis().filter(F.col("name") == name).select("spec_content").first()
         return row[0] if row else None
 
+    def stored(self, api_ids=None) -> DataFrame:
+        """The chunks of some sources, or all, with dl (their terms): only segments that hold them are read, and their row groups."""
+        segments = [s for s in self.state["segments"] if not api_ids or any(a in s["apis"] for a in api_ids)]
+        rows = self._stored(segments)
+        return rows.filter(F.col("api_id").isin(*api_ids)) if api_ids else rows
+
     def chunks(self, api_ids=None) -> DataFrame:
-        """The chunks of some sources, or all: only their folders are read."""
-        places = [p for a, p in self.state["chunks"].items() if not api_ids or a in api_ids]
-        return self.spark.read.schema(CHUNKS).parquet(*places) if places else self.spark.createDataFrame([], CHUNKS)
+        return self.stored(api_ids).select(*self._names(CHUNKS))
 
     def chunks_by_api(self, api_id: str, kind: str | None = None) -> DataFrame:
         rows = self.chunks([api_id]).filter(F.col("api_id") == api_id)
@@ -188,7 +330,7 @@ class IndexStore:
     def _sources_of(self, *ids: str) -> list[str] | None:
         """The sources that hold chunks of these ids, if the ids begin with the sources' own, as ingested ones do."""
         known = {i.split(":", 1)[0] for i in ids}
-        return sorted(known) if known <= self.state["chunks"].keys() else None
+        return sorted(known) if known <= self.state["stats"].keys() else None
 
     def chunk_by_id(self, ident: str) -> dict | None:
         row = self.chunks(self._sources_of(ident)).filter(F.col("id") == ident).first()
@@ -201,47 +343,49 @@ class IndexStore:
 
     # --- writing
     def upsert_api(self, api: dict) -> None:
-        self.commit(self._with_api(api))
+        self.commit(self.source_rows([api]))
 
-    def _with_api(self, api: dict) -> DataFrame:
-        row = [(api["id"], api["name"], *[api.get(k) for k in ("version", "spec_path", "docs_path", "source_hash", "spec_content")])]
-        new = self.spark.createDataFrame(row, "id string, name string, version string, spec_path string, docs_path string, source_hash string, spec_content string")
+    def source_rows(self, apis: list[dict] | DataFrame) -> DataFrame:
+        """Rows of the table of sources, checked against those that are stored; a stored source keeps the time of its creation."""
+        fields = self._names(NEW_SOURCE)
+        new = self.spark.createDataFrame([tuple(a.get(k) for k in fields) for a in apis], NEW_SOURCE) if isinstance(apis, list) else apis
         now = F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
-        new = new.withColumn("created_at", now).withColumn("updated_at", now)
-        clash = self.apis().filter((F.col("name") == api["name"]) & (F.col("id") != api["id"])).limit(1).count()
-        if clash:
+        held = self._sources().select("id", "name", "created_at")
+        names = held.select(F.col("id").alias("_id"), "name").unionByName(new.select(F.col("id").alias("_id"), "name"))
+        if new.join(names, "name").filter("id <> _id").limit(1).count():
             raise ValueError("UNIQUE constraint failed: apis.name")
-        return merge.upsert(self.apis(), new)
+        new = new.join(held.select("id", F.col("created_at").alias("_old")), "id", "left")
+        return new.select(*fields, F.coalesce("_old", now).alias("created_at"), now.alias("updated_at"))
 
     def upsert_chunks(self, rows: DataFrame) -> None:
         """Insert or replace chunks (CHUNKS without created_at); a stored chunk keeps its source and the time of its creation."""
-        new = rows.withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")).select(*self.chunks().columns)
-        found = self.chunks().join(new.select("id"), "id", "left_semi").select("id", F.col("api_id").alias("_api"))
-        new = new.join(found, "id", "left").withColumn("api_id", F.coalesce("_api", "api_id")).drop("_api").persist()
-        touched = [r[0] for r in new.select("api_id").distinct().collect()]
-        known = {r[0] for r in self.apis().select("id").collect()}
-        if any(a not in known for a in touched):
-            raise ValueError("FOREIGN KEY constraint failed")
-        self.commit(chunks={a: merge.upsert(self.chunks([a]) if a in self.state["chunks"] else self.spark.createDataFrame([], CHUNKS), new.filter(F.col("api_id") == a)) for a in touched})
-        new.unpersist()
+        new = rows.withColumn("created_at", F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")).select(*self._names(CHUNKS))
+        found = self.stored().join(rows.select("id"), "id", "left_semi").select("id", F.col("api_id").alias("_api"), F.col("created_at").alias("_created"), "dl").persist()
+        new = new.join(found.drop("dl"), "id", "left").withColumn("api_id", F.coalesce("_api", "api_id")).withColumn("created_at", F.coalesce("_created", "created_at"))
+        new = new.select(*self._names(CHUNKS)).persist()
+        try:
+            if new.join(self._sources().select(F.col("id").alias("api_id")), "api_id", "left_anti").limit(1).count():
+                raise ValueError("FOREIGN KEY constraint failed")
+            gone = found.select("id", F.col("_api").alias("api_id"), "dl")
+            self.commit(fresh=new, gone=gone if found.limit(1).count() else None)
+        finally:
+            new.unpersist()
+            found.unpersist()
 
     def delete_chunk(self, ident: str) -> None:
-        found = self.chunks().filter(F.col("id") == ident).select("api_id").first()
-        if found:
-            self.commit(chunks={found[0]: self.chunks([found[0]]).filter(F.col("id") != ident)})
+        """Writes one deletion, whatever the size of the source."""
+        gone = self.stored(self._sources_of(ident)).filter(F.col("id") == ident).select("id", "api_id", "dl").collect()
+        if gone:
+            self.commit(gone=self.spark.createDataFrame(gone, "id string, api_id string, dl int").coalesce(1))
 
     def delete_chunks_by_api(self, api_id: str) -> None:
-        self.commit(chunks={api_id: None})
-
-    def replace(self, api: dict, chunks: DataFrame) -> None:
-        """One commit of a source and all its chunks."""
-        self.commit(self._with_api(api), {api["id"]: chunks})
+        """Writes nothing but the commit."""
+        self.commit(dropped=[api_id])
 
     # --- search
     def index(self, query: str | None = None) -> DataFrame:
         """The inverted index; with a query, its terms only, so that the reader skips other row groups."""
-        places = list(self.state["postings"].values())
-        rows = self.spark.read.schema(POSTINGS).parquet(*places) if places else self.spark.createDataFrame([], POSTINGS)
+        rows = self._index(self.state["segments"]).drop("seq")
         if query is None:
             return rows
         terms = sorted({t for w in sanitize_query(query) for t in token_list(w)})

@@ -9,7 +9,7 @@ from docfathom.functions import text as T
 from docfathom.operators import fts
 from docfathom.operators.hybrid import SearchOptions
 from docfathom.sources import embed, ingest, openapi, tools
-from docfathom.sources.store import CHUNKS, IndexStore
+from docfathom.sources.store import CHUNKS, FOLDERS, IndexStore
 
 SPEC = """openapi: 3.0.0
 info: {title: Pay, version: "1"}
@@ -239,12 +239,12 @@ def test_nothing_changed_writes_no_chunks(spark):
     parsed = [openapi.chunk(f"s:{i}", "s", "guide", "t", f"text {i}", None, i) for i in range(5)]
     make = lambda: embed.HashingProvider(64)
     ingest.merge_chunks(store, "s", parsed, {"id": "s", "name": "s", "source_hash": "1"}, make)
-    before = {k: dict(store.state[k]) for k in ("chunks", "postings", "stats")}
+    before = {k: store.state[k] for k in ("segments", "deletes", "stats")}
     again = ingest.merge_chunks(store, "s", parsed, {"id": "s", "name": "s", "source_hash": "2"}, make)
     assert (again.total, again.embedded, again.skipped, again.deleted) == (5, 0, 5, 0)
     assert {k: store.state[k] for k in before} == before and store.source_hash("s") == "2"
     fewer = ingest.merge_chunks(store, "s", parsed[1:], {"id": "s", "name": "s"}, make)
-    assert fewer.deleted == 1 and store.state["chunks"] != before["chunks"] and store.chunks().count() == 4
+    assert fewer.deleted == 1 and store.state["segments"] == before["segments"] and len(store.state["deletes"]) == 1 and store.chunks().count() == 4
 
 
 def test_two_writers_and_spent_snapshots(spark):
@@ -259,9 +259,10 @@ def test_two_writers_and_spent_snapshots(spark):
     two.refresh()
     two.upsert_api({"id": "b", "name": "b"})
     assert [a["name"] for a in two.get_apis()] == ["a", "b"]
-    for i in range(4):
+    for i in range(20):
         two.upsert_api({"id": "b", "name": "b", "version": str(i)})
-    assert len([x for x in os.listdir(one.path) if x.startswith("apis-")]) == 2  # the current one, and the one before
+    assert [(a["name"], a["version"]) for a in two.get_apis()] == [("a", None), ("b", "19")]
+    assert len([x for x in os.listdir(one.path) if x.startswith("sources-")]) <= 2 * FOLDERS  # the current ones, and those of the state before
 
 
 def test_tool_schemas_and_wrong_arguments(seeded):
