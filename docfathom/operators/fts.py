@@ -86,12 +86,13 @@ def bm25_scores(queries: DataFrame, index: DataFrame, stats: DataFrame, api_ids:
 
     Corpus statistics do not depend on the filters. A phrase of several terms has to stand in one column without a gap.
     """
-    terms = query_terms(queries)
-    known = [r[0] for r in terms.select("term").distinct().limit(PUSHED_TERMS + 1).collect()]
-    if len(known) <= PUSHED_TERMS:  # reaches the scan of a stored index, and goes below the grouping of one that is made on the way
-        index = index.filter(F.col("term").isin(*known)) if known else index.limit(0)
-    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
+    terms, spark = query_terms(queries), queries.sparkSession
+    few = terms.limit(BROADCAST_TERMS + 1).collect()
+    if len(few) <= BROADCAST_TERMS:
+        terms = F.broadcast(spark.createDataFrame(few, terms.schema))  # not made again for each use below
+        known = sorted({r["term"] for r in few})
+        if len(known) <= PUSHED_TERMS:  # reaches the scan of a stored index, and goes below the grouping of one that is made on the way
+            index = index.filter(F.col("term").isin(*known)) if known else index.limit(0)
     hits = index.join(terms, "term")
     keep = ["query_id", "phrase", "n_phrases", "id", "api_id", "type", "dl"]
     single = hits.filter("n_terms = 1").select(*keep, F.col("tf").cast("long").alias("tf"))

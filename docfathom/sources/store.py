@@ -14,7 +14,9 @@ import json
 import math
 import os
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -135,14 +137,23 @@ class IndexStore:
                 stats.pop(a, None)
                 if any(a in s["apis"] for s in self.state["segments"]):
                     commit["dropped"][a] = seq
+            works = {}
             if gone is not None:
-                path = keep(gone.select("id", "api_id", F.col("dl").cast("int").alias("dl"), F.lit(seq).cast("long").alias("seq")), "deletes")
-                n = self._count(path, DELETES, stats, -1)
-                commit["deletes"] += [{"seq": seq, "path": path, "rows": sum(n.values())}] if n else []
-            if fresh is not None:
-                commit["segments"] += self._segment(fresh, seq, stats, keep)
+                works["deletes"] = lambda: keep(gone.select("id", "api_id", F.col("dl").cast("int").alias("dl"), F.lit(seq).cast("long").alias("seq")), "deletes")
             if sources is not None:
-                commit["sources"].append({"seq": seq, "path": keep(sources.coalesce(1).withColumn("seq", F.lit(seq).cast("long")), "sources")})
+                works["sources"] = lambda: keep(sources.coalesce(1).withColumn("seq", F.lit(seq).cast("long")), "sources")
+            if fresh is not None:
+                works["segments"] = lambda: self._segment(fresh, seq, keep)
+            with ThreadPoolExecutor(3) as pool:  # jobs that need nothing of each other
+                found = {k: w.result() for k, w in {k: pool.submit(inheritable_thread_target(w)) for k, w in works.items()}.items()}
+            if "deletes" in found and (n := self._count(found["deletes"], DELETES, stats, -1)):
+                commit["deletes"].append({"seq": seq, "path": found["deletes"], "rows": sum(n.values())})
+            if found.get("segments"):
+                segment, sizes = found["segments"]
+                commit["segments"].append(segment)
+                self._add(stats, sizes, 1)
+            if "sources" in found:
+                commit["sources"].append({"seq": seq, "path": found["sources"]})
             commit["stats"] = {a: stats.get(a) for a in {*stats, *self.state["stats"]} if stats.get(a) != self.state["stats"].get(a)}
             self._publish(commit)
         except Exception:
@@ -167,26 +178,35 @@ class IndexStore:
         for name in before["spent"]:
             self.drop(self._place({"path": name}))
 
+    @staticmethod
+    def _add(stats: dict, sizes: dict, sign: int) -> None:
+        for api, (n, dl) in sizes.items():
+            old = stats.get(api, [0, 0])
+            stats[api] = [old[0] + sign * n, old[1] + sign * dl]
+            if not stats[api][0]:
+                del stats[api]
+
+    def _sizes(self, path: str, schema: str) -> dict[str, list[int]]:
+        """Rows and their terms by source of a folder that was just written: a row for each source that changed."""
+        rows = self.spark.read.schema(schema).parquet(f"{self.path}/{path}").groupBy("api_id").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl"))
+        return {r["api_id"]: [r["n"], r["dl"]] for r in rows.collect()}
+
     def _count(self, path: str, schema: str, stats: dict, sign: int) -> dict[str, int]:
-        """Rows by source of a folder that was just written; adds them and their terms to stats."""
-        rows = self.spark.read.schema(schema).parquet(f"{self.path}/{path}").groupBy("api_id").agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).collect()
-        for r in rows:  # a row for each source that changed
-            n, dl = stats.get(r["api_id"], [0, 0])
-            stats[r["api_id"]] = [n + sign * r["n"], dl + sign * r["dl"]]
-            if not stats[r["api_id"]][0]:
-                del stats[r["api_id"]]
-        return {r["api_id"]: r["n"] for r in rows}
-
-    def _segment(self, fresh: DataFrame, seq: int, stats: dict, keep) -> list[dict]:
-        """Write chunks and their part of the inverted index."""
+        sizes = self._sizes(path, schema)
+        self._add(stats, sizes, sign)
+        return {a: n for a, (n, _) in sizes.items()}
+
+    def _segment(self, fresh: DataFrame, seq: int, keep) -> tuple[dict, dict] | None:
+        """Write chunks and their part of the inverted index: what the state says of them, and their sizes by source."""
         mark = F.lit(seq).cast("long").alias("seq")
         path = keep(fresh.select(*[c for c in self._names(CHUNKS)], fts.length().alias("dl"), mark), "chunks")
-        n = self._count(path, STORED_CHUNKS, stats, 1)
-        if not n:
-            return []
+        sizes = self._sizes(path, STORED_CHUNKS)
+        if not sizes:
+            return None
         toks = fts.tokenised(self.spark.read.schema(STORED_CHUNKS).parquet(f"{self.path}/{path}"))
         index = fts.postings(toks, by_chunk=True).select(*self._names(POSTINGS), mark)
-        return [{"seq": seq, "path": path, "postings": keep(index.sortWithinPartitions("term", "id"), "postings"), "rows": sum(n.values()), "apis": sorted(n)}]
+        rows = sum(n for n, _ in sizes.values())
+        return {"seq": seq, "path": path, "postings": keep(index.sortWithinPartitions("term", "id"), "postings"), "rows": rows, "apis": sorted(sizes)}, sizes
 
     @staticmethod
     def _names(schema: str) -> list[str]:
