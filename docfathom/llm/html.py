@@ -8,20 +8,19 @@ however many pages a host has.
 
 The wrapper decides where the article is: at the part that holds the text in slots, where elements that pages themselves call article or
 main count first. A page is aligned with its host's wrapper, and the article is what falls on that part; a page that has none of it is
-its own wrapper. Texts that the wrapper has at the article's edges, the same on all of five or more pages, are not the article's, headings
-aside. Parts that say by element or class what they are (menus, forms, adverts, comments ...) go, unless they hold the article or over
-half of the page's text; ids of headings and sections say nothing.
+its own wrapper. Parts that say by element or class what they are (menus, forms, adverts, comments ...) go, unless they hold the article or
+over half of the page's text; ids of headings and sections say nothing. A text is never left out for being the same on other pages.
 """
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import html as entities
 import json
 import re
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -58,6 +57,10 @@ _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(\"[^\"]*(?:\"|\Z)|'[^']*(?:'
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+#: Characters of a class beyond which a key has its hash.
+LONG_CLASS = 60
+
+
 class Node:
     """An element of a page: key (element and class without digits), words of its class and id, children (nodes and texts), and whether it holds the article or most of the page's text."""
 
@@ -79,7 +82,8 @@ def _marks(tag: str, attributes: str) -> tuple[str, frozenset[str]]:
             words.update(w.lower() for w in _WORD.findall(value))
             words.update(w.lower().replace("-", "").replace("_", "") for w in value.split())
             if name == "class" and key == tag:
-                key = f"{tag}.{re.sub(r'[0-9]+', '', value)[:60]}"
+                own = re.sub("[0-9]+", "", value)
+                key = f"{tag}.{own if len(own) <= LONG_CLASS else hashlib.blake2b(own.encode(errors='replace'), digest_size=12).hexdigest()}"
     return key, frozenset(words)
 
 
@@ -238,83 +242,123 @@ def fold(root: Node) -> Part:
     return top
 
 
-#: Bits of the table of a longest common subsequence; beyond, elements are matched greedily from the left, in linear time and space.
-TABLE_BITS = 1 << 28
+#: Bits of a table of a longest common subsequence; a larger one is split at the middle of one list first.
+TABLE_BITS = 1 << 22
 
 
-def matches(x: list[str], y: list[str]) -> list[tuple[int, int]]:
-    """A longest common subsequence as ascending pairs of places: equal ends first, then a table with a row of bits for each entry."""
-    n, m, a = len(x), len(y), 0
-    while a < n and a < m and x[a] == y[a]:
-        a += 1
-    z = 0
-    while z < n - a and z < m - a and x[n - 1 - z] == y[m - 1 - z]:
-        z += 1
-    out = [(i, i) for i in range(a)]
-    u, v = x[a : n - z], y[a : m - z]
-    if u and v:
-        places: dict[str, list[int]] = {}
-        for j, k in enumerate(v):
-            places.setdefault(k, []).append(j)
-        if len(u) * len(v) > TABLE_BITS:
-            at = -1
-            for i, k in enumerate(u):
-                own = places.get(k, ())
-                if (p := bisect.bisect_right(own, at)) < len(own):
-                    at = own[p]
-                    out.append((a + i, a + at))
+def _places(v: list[str]) -> dict[str, int]:
+    """For each key a bit at every place that has it."""
+    at: dict[str, list[int]] = {}
+    for j, k in enumerate(v):
+        at.setdefault(k, []).append(j)
+    out = {}
+    for k, js in at.items():
+        if len(js) < 64:
+            out[k] = sum(1 << j for j in js)
         else:
-            has = {k: sum(1 << j for j in js) if len(js) < 64 else int("".join("1" if c == k else "0" for c in reversed(v)), 2) for k, js in places.items()}
-            full = (1 << len(v)) - 1
-            row, rows = full, [full]  # a zero bit: the length of the common subsequence grows at that place
-            for k in u:
-                hit = row & has.get(k, 0)
-                row = (row + hit | row - hit) & full
-                rows.append(row)
-            i, j, got = len(u), len(v), []
-            while i and j:
-                if u[i - 1] == v[j - 1]:
-                    i, j = i - 1, j - 1
-                    got.append((a + i, a + j))
-                elif rows[i] >> (j - 1) & 1:  # no growth at j
-                    j -= 1
-                else:
-                    i -= 1
-            out += reversed(got)
-    return out + [(n - k, m - k) for k in range(z, 0, -1)]
-
-
-def _iterates(gap: list[Part], group: list[Part]) -> bool:
-    """Whether the elements of a gap repeat a group."""
-    return bool(group) and len(gap) % len(group) == 0 and all(g.key == group[i % len(group)].key for i, g in enumerate(gap))
+            bits = bytearray(len(v) // 8 + 1)
+            for j in js:
+                bits[j >> 3] |= 1 << (j & 7)
+            out[k] = int.from_bytes(bits, "little")
+    return out
+
+
+def _rows(u: list[str], v: list[str]):
+    """After each entry of u a row of bits: a zero where the length of the common subsequence with v grows."""
+    has, full = _places(v), (1 << len(v)) - 1
+    row = full
+    for k in u:
+        hit = row & has.get(k, 0)
+        row = (row + hit | row - hit) & full
+        yield row
+
+
+def _lengths(u: list[str], v: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of u and each beginning of v."""
+    row = (1 << len(v)) - 1
+    for row in _rows(u, v):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(v) // 8 + 1, "little"), np.uint8), count=len(v), bitorder="little")
+    return np.concatenate(([0], np.cumsum(1 - bits.astype(np.int64))))
+
+
+def matches(x: list[str], y: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence as ascending pairs of places.
+
+    Equal ends first. Then a table with a row of bits for each entry; one that would be too large is split: where the lengths before and
+    after the middle of one list add up to most, so space is linear and the pairs are as many at every size.
+    """
+    out: list[tuple[int, int]] = []
+    todo = [(0, len(x), 0, len(y))]
+    while todo:
+        a, b, c, d = todo.pop()
+        while a < b and c < d and x[a] == y[c]:
+            out.append((a, c))
+            a, c = a + 1, c + 1
+        while a < b and c < d and x[b - 1] == y[d - 1]:
+            b, d = b - 1, d - 1
+            out.append((b, d))
+        if a == b or c == d:
+            continue
+        u, v = x[a:b], y[c:d]
+        if len(u) * len(v) > TABLE_BITS and len(u) > 1:
+            mid = len(u) // 2
+            best = int(np.argmax(_lengths(u[:mid], v) + _lengths(u[mid:][::-1], v[::-1])[::-1]))
+            todo += [(a, a + mid, c, c + best), (a + mid, b, c + best, d)]
+            continue
+        rows = [(1 << len(v)) - 1, *_rows(u, v)]
+        i, j = len(u), len(v)
+        while i and j:
+            if u[i - 1] == v[j - 1]:
+                i, j = i - 1, j - 1
+                out.append((a + i, c + j))
+            elif rows[i] >> (j - 1) & 1:  # no growth at j
+                j -= 1
+            else:
+                i -= 1
+    return sorted(out)
+
+
+def _period(gap: list[Part]) -> int:
+    """The fewest elements that the gap repeats, its length if it repeats nothing."""
+    border = [0] * len(gap)
+    for i in range(1, len(gap)):
+        k = border[i - 1]
+        while k and gap[i].key != gap[k].key:
+            k = border[k - 1]
+        border[i] = k + (gap[i].key == gap[k].key)
+    p = len(gap) - border[-1]
+    return p if len(gap) % p == 0 else len(gap)
+
+
+def _same(x: list[Part], y: list[Part]) -> bool:
+    return len(x) == len(y) and all(a.key == b.key for a, b in zip(x, y, strict=True))
 
 
 def align(x: list[Part], y: list[Part], total: int) -> list[Part]:
     """Two sequences of elements as one; total: pages that the sequences stand for.
 
-    Elements in common are merged. A mismatch that repeats the one to four elements before or after it makes them a repeated group;
-    other elements that one side lacks are optional. Among neighbours that are all optional or repeated, a key that comes again makes
+    Elements in common are merged. A mismatch that repeats the elements before or after it, however many, makes them a repeated group; other
+    elements that one side lacks are optional. Among neighbours that are all optional or repeated, a key that comes again makes
     what stands from its first to its last place one repeated group, with each key in it once.
     """
-    if len(x) == len(y) and all(a.key == b.key for a, b in zip(x, y, strict=True)):
+    if _same(x, y):
         return [a.take(b, a.n + b.n) for a, b in zip(x, y, strict=True)]
     pairs = [*matches([a.key for a in x], [b.key for b in y]), (len(x), len(y))]
     out: list[Part] = []
     i = j = 0
     for p, (a, b) in enumerate(pairs):
-        ahead = [x[q] for t, (q, r) in enumerate(pairs[p : p + 4]) if q < len(x) and (q, r) == (a + t, b + t)]
         for gap in (x[i:a], y[j:b]):
             if not gap:
                 continue
-            for size in (1, 2, 3, 4):
-                behind = out[-size:] if len(out) >= size else []
-                group = behind if _iterates(gap, behind) else ahead[:size] if len(ahead) >= size and _iterates(gap, ahead[:size]) else None
-                if group:
-                    for k, g in enumerate(gap):
-                        g.optional = False
-                        own = group[k % size]
-                        own.take(g, max(own.n, g.n)).repeated = True
-                    break
+            size = _period(gap)
+            after = [x[q] for t, (q, r) in enumerate(pairs[p : p + size]) if q < len(x) and (q, r) == (a + t, b + t)]
+            group = next((g for g in (out[-size:], after) if _same(g, gap[:size])), None)
+            if group:
+                for k, g in enumerate(gap):
+                    g.optional = False
+                    own = group[k % size]
+                    own.take(g, max(own.n, g.n)).repeated = True
             else:
                 for g in gap:
                     g.optional = True
@@ -450,38 +494,15 @@ def regions(top: Part) -> list[Part]:
     return out
 
 
-def template(region: Part, least: int = 5) -> list[Part]:
-    """Parts whose text belongs to the wrapper, not to the article: the same on all of at least `least` pages, in one place, before the
-    first or after the last text that differs. Headings, and words within a line, are the article's."""
-    order, above = _order(region)
-    slots = [i for i, k in enumerate(order) if k.text is None]
-    if region.n < least or not slots:
-        return []
-    fixed, out = [True] * len(order), []
-    for i, k in enumerate(order):
-        p = above[i]
-        if i:
-            fixed[i] = fixed[p] and not k.optional and not k.repeated and k.n == region.n and _tag(k) not in HEADINGS
-        alone = _tag(k) in BLOCK or i and order[p].text == 0 and all(_tag(c) in BLOCK or c.text is not None for c in order[p].kids)
-        if k.text and fixed[i] and alone and (i < slots[0] or i > slots[-1]):
-            out.append(k)
-    return out
-
-
-#: Marks of a wrapper that extraction reads: the rank of a region (from 1), TEMPLATE for a text of the wrapper's own, WAY on the way there.
-WAY, TEMPLATE = -1, -2
+#: The mark of a part on the way to a region; regions are marked with their ranks, from 1.
+WAY = -1
 
 
 def told(top: Part) -> str:
-    """What extraction needs of a wrapper: the regions, their templates, and beside the way to them the keys of their neighbours."""
+    """What extraction needs of a wrapper: the regions, and beside the way to them the keys of their neighbours."""
     order, above = _order(top)
     place = {id(k): i for i, k in enumerate(order)}
-    marks = {}
-    for rank, k in enumerate(regions(top), 1):
-        marks[id(k)] = rank
-        for t in template(k):
-            if t is not k:
-                marks.setdefault(id(t), TEMPLATE)
+    marks = {id(k): rank for rank, k in enumerate(regions(top), 1)}
     for i in [place[x] for x in marks]:
         while (i := above[i]) >= 0 and id(order[i]) not in marks:
             marks[id(order[i])] = WAY
@@ -492,17 +513,16 @@ def told(top: Part) -> str:
     for k, p in zip(order, above, strict=True):
         if p < 0 or id(order[p]) in needed:
             own = slim[id(k)] = k.copy()
-            own.src, own.chars, own.text = [id(k)], 0, k.text if marks.get(id(k)) == TEMPLATE else 0
+            own.src, own.chars, own.text = [id(k)], 0, 0
             if p >= 0:
                 slim[id(order[p])].kids.append(own)
     return dump(slim[id(top)], lambda k: marks.get(k.src[0], 0))
 
 
-def place(root: Node, wrapper: tuple[Part, dict[int, int]]) -> tuple[Node | None, dict[int, int]]:
-    """Align a page with its host's wrapper: the node of the best region that the page has, and the nodes of the wrapper's own texts (hash by identity)."""
+def place(root: Node, wrapper: tuple[Part, dict[int, int]]) -> Node | None:
+    """Align a page with its host's wrapper: the node of the best region that the page has."""
     top, marks = wrapper
     found: dict[int, list[Node]] = {}
-    own_texts: dict[int, int] = {}
     todo = [(top, root, False)]
     while todo:
         part, node, inside = todo.pop()
@@ -517,14 +537,12 @@ def place(root: Node, wrapper: tuple[Part, dict[int, int]]) -> tuple[Node | None
                 for c in nodes:
                     if mark > 0:
                         found.setdefault(mark, []).append(c)
-                    elif mark == TEMPLATE and known.text:
-                        own_texts[id(c)] = known.text
                     todo.append((known, c, inside or c.tag == "article"))
     for mark in sorted(found):
         size, _, node = max(((text_size(c, True), -i, c) for i, c in enumerate(found[mark])), key=lambda x: x[:2])
         if size:
-            return node, own_texts
-    return None, own_texts
+            return node
+    return None
 
 
 def _body(root: Node) -> Node:
@@ -534,19 +552,16 @@ def _body(root: Node) -> Node:
     return root
 
 
-def article_of(root: Node, wrapper: tuple[Part, dict[int, int]] | None) -> tuple[Node, dict[int, int]]:
+def article_of(root: Node, wrapper: tuple[Part, dict[int, int]] | None) -> Node:
     """The element that holds the article by the host's wrapper, or, where the page has none of its regions, by the page's own."""
-    if wrapper:
-        node, own_texts = place(root, wrapper)
-        if node is not None:
-            return node, own_texts
-    alone = told(fold(root))
-    node = place(root, load(alone))[0] if alone else None
-    return node or _body(root), {}
+    node = place(root, wrapper) if wrapper else None
+    if node is None and (alone := told(fold(root))):
+        node = place(root, load(alone))
+    return node or _body(root)
 
 
-def blocks(article: Node, own_texts: dict[int, int]) -> list[str]:
-    """The article's blocks in page order, white space folded, without texts of the wrapper's own."""
+def blocks(article: Node) -> list[str]:
+    """The article's blocks in page order, white space folded."""
     out, line = [], []
 
     def close() -> None:
@@ -554,12 +569,12 @@ def blocks(article: Node, own_texts: dict[int, int]) -> list[str]:
             out.append(t)
         line.clear()
 
-    todo = [(article, False, iter(article.children), False)]
+    todo = [(article, False, iter(article.children))]
     while todo:
-        node, heading_only, children, skip = todo[-1]
+        node, heading_only, children = todo[-1]
         for c in children:
             if isinstance(c, str):
-                if not heading_only and not skip:
+                if not heading_only:
                     line.append(entities.unescape(c))
                 continue
             if dropped(c, True):
@@ -572,8 +587,7 @@ def blocks(article: Node, own_texts: dict[int, int]) -> list[str]:
             if c.tag in BLOCK:
                 close()
             only = (heading_only or c.tag == "header") and c.tag not in HEADINGS
-            skip_own = id(c) in own_texts and text_hash(own_text(c)) == own_texts[id(c)]
-            todo.append((c, only, iter(c.children), skip_own))
+            todo.append((c, only, iter(c.children)))
             break
         else:
             todo.pop()
@@ -587,7 +601,7 @@ def extract(page: str | None, wrapper: tuple[Part, dict[int, int]] | None = None
     """The main text of a page, by its host's wrapper (load(told(...))) or by its own."""
     if not page:
         return ""
-    return "\n\n".join(blocks(*article_of(parse(page), wrapper)))
+    return "\n\n".join(blocks(article_of(parse(page), wrapper)))
 
 
 #: Pages (or, later, wrappers) that are merged in one go.
