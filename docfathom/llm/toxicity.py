@@ -38,6 +38,8 @@ LOOKALIKE = {
 }
 LOOKALIKE_PAIRS = {"|_|": "u", "()": "o", "[]": "o", "\\/": "v", "/\\": "a", "|<": "k", "vv": "w", "ph": "f"}
 SUBSTITUTED, JOINED, SPLIT, SQUEEZED, LITERAL = 1.0, 0.4, 2.5, 0.6, 6.0
+#: What it costs that stars at a token's start or end are emphasis and no letters; stars in a row that are a drawn line, not letters.
+MARKUP, LINE = 1.0, 24
 
 _SIGN = r"[0-9@$!|+(<€£¢*#%]"
 _ONE = r"(?:[A-Za-z0-9@$!|+€£]|(?<![^\s.\-_~])\*(?![^\s.\-_~]))"
@@ -127,8 +129,6 @@ class Decoder:
         self.costs = costs
         self.flat = costs.reshape(-1, SYMBOLS).astype(float)
         self.prices = self.flat.ravel().tolist()
-        # what paths that go on alike from two states of a place can differ by: the costs of three symbols
-        self.gap = 3 * float(costs.max())
         # by the number of stars that end a stretch, for each state before them: the cheapest cost up to the end, and the edge it takes
         self.ends: list[tuple[np.ndarray, np.ndarray | None]] = [(self.flat[:, 0], None)]
 
@@ -144,6 +144,12 @@ class Decoder:
             run = i
             while run < len(raw) and raw[run] == c:
                 run += 1
+        if c == "*":
+            if run - i > LINE:  # places inside of it are not reached
+                yield " ", run, LITERAL
+                return
+            if i == 0 or run == len(raw):
+                yield "", run, MARKUP
         if c.isalpha():
             yield c, i + 1, 0.0
             if run - i > 1:
@@ -154,20 +160,19 @@ class Decoder:
             yield " ", i + 1, LITERAL
         for letter in LOOKALIKE.get(c, ""):
             yield letter, i + 1, SUBSTITUTED
-            if run - i > 1:
+            if run - i > 1 and c != "*":  # each star is one letter
                 yield letter, run, SUBSTITUTED + SQUEEZED
         for k in (3, 2):
             if (letter := LOOKALIKE_PAIRS.get(raw[i : i + k])) and len(raw) >= i + k:
                 yield letter, i + k, SUBSTITUTED * k
 
     def _end(self, stars: int) -> tuple[np.ndarray, np.ndarray | None]:
-        """What so many stars at a stretch's end cost; edges 0 to 25 read one star, 26 to 51 all of them, 52 is a star that is no letter."""
+        """What so many stars at a stretch's end cost; edges 0 to 25 read one star, 26 takes all as emphasis, 27 is a star that is no letter."""
         while len(self.ends) <= stars:
             code = np.arange(SYMBOLS**3)
             after = (code % SYMBOLS**2 * SYMBOLS)[:, None] + np.arange(1, 27)
             one = SUBSTITUTED + self.flat[:, 1:27] + self.ends[-1][0][after]
-            run = (SUBSTITUTED + SQUEEZED if len(self.ends) > 1 else np.inf) + self.flat[:, 1:27] + self.ends[0][0][after]
-            every = np.concatenate([one, run, (LITERAL + self.flat[:, 0] + self.ends[-1][0][0])[:, None]], 1)
+            every = np.concatenate([one, (MARKUP + self.flat[:, 0])[:, None], (LITERAL + self.flat[:, 0] + self.ends[-1][0][0])[:, None]], 1)
             edge = every.argmin(1)
             self.ends.append((every[code, edge], edge.astype(np.int8)))
         return self.ends[stars]
@@ -205,7 +210,7 @@ class Decoder:
         best: dict[int, dict[int, tuple[float, tuple | None]]] = {0: {0: (0.0, None)}}
         prices = self.prices
         last = len(raw) if apart else len(raw.rstrip("*"))
-        if len(raw) - last > 64:
+        if len(raw) - last > LINE:
             last = len(raw)
         # letters by themselves have one edge each
         single = [e == i + 1 and "a" <= raw[i] <= "z" and raw[i : i + 2] != "ph" for i, e in enumerate(ends)]
@@ -231,9 +236,6 @@ class Decoder:
                 i = n - 1
                 continue
             steps = list(self.edges(raw, i, apart, ends[i]))
-            if raw[i] == "*" and not apart and len(here) > 64 and ends[i] in best:  # all paths go through the run's end: some are too dear already
-                most = min(x[0] for x in best[ends[i]].values()) + self.gap
-                here = {z: x for z, x in here.items() if x[0] <= most}
             if len(here) * len(steps) > 3000:
                 self._many(here, steps, best)
                 continue
@@ -253,8 +255,10 @@ class Decoder:
         _, z, path = min(((cost + after.item(z), z, path) for z, (cost, path) in best[last].items()), key=lambda x: x[0])
         while stars:
             edge = self._end(stars)[1].item(z)
-            path, z = (path, " " if edge == 52 else chr(97 + edge % 26)), 0 if edge == 52 else z % SYMBOLS**2 * SYMBOLS + edge % 26 + 1
-            stars = 0 if 26 <= edge < 52 else stars - 1
+            if edge == 26:
+                break
+            path, z = (path, " " if edge == 27 else chr(97 + edge)), 0 if edge == 27 else z % SYMBOLS**2 * SYMBOLS + edge + 1
+            stars -= 1
         out = []
         while path:
             path, written = path
