@@ -104,11 +104,15 @@ def _matrix(column, d: int) -> np.ndarray:
 
 
 def best(q: np.ndarray, own, x: np.ndarray, ids: np.ndarray, k: int, leaves=None):
-    """For each query the k rows of x with the largest inner products, ties to smaller ids, without its own: (query row, id, score).
+    """For each query the k ids whose rows in x have the largest inner products, ties to smaller ids, without its own: (query row, id, score).
+    An id with several rows counts with the best of them for that query.
 
     leaves: (the first row of each leaf in x, and the end; for each query which leaves it visits). Only rows of visited leaves are
     multiplied.
     """
+    by_id = np.argsort(ids, kind="stable")
+    names, first = np.unique(ids[by_id], return_index=True)
+    repeated = len(names) < len(ids)
     for at in range(0, len(q), 100):
         part = q[at : at + 100]
         if leaves is None:
@@ -120,12 +124,18 @@ def best(q: np.ndarray, own, x: np.ndarray, ids: np.ndarray, k: int, leaves=None
                 who = np.flatnonzero(visited[at : at + 100, leaf])
                 if len(who):
                     scores[who, a:b] = part[who] @ x[a:b].T
-        for i, s in enumerate(scores, at):
+        each = np.maximum.reduceat(scores[:, by_id], first, axis=1) if repeated else scores
+        for i, s in enumerate(each, at):
             cut = np.partition(s, len(s) - k - 1)[len(s) - k - 1] if len(s) > k + 1 else -np.inf
             take = np.flatnonzero(s >= cut - 1e-9 * (1 + abs(cut)) if np.isfinite(cut) else s > -np.inf)
+            if repeated:  # all rows of those ids that the query has seen
+                take = np.flatnonzero(np.isin(ids, names[take]) & np.isfinite(scores[i - at]))
             take = take[ids[take] != own[i]]
             exact = (x[take] * q[i]).sum(axis=1)  # the same order of additions for each row, so that equal vectors tie
-            for j in np.lexsort((ids[take], -exact))[:k]:
+            order = np.lexsort((ids[take], -exact))
+            if repeated:
+                order = order[np.sort(np.unique(ids[take][order], return_index=True)[1])]  # the best row of each id, best first
+            for j in order[:k]:
                 yield i, int(ids[take[j]]), float(exact[j])
 
 
@@ -142,8 +152,6 @@ def _brute(q: np.ndarray, own: np.ndarray, d: int, k: int):
     def run(batches):
         for batch in batches:
             x, ids = _matrix(batch.column("vec"), d), batch.column("id").to_numpy()
-            ids, first = np.unique(ids, return_index=True)
-            x = x[first]
             yield from _found((int(own[i]), j, s) for i, j, s in best(q, own, x, ids, k)).to_batches()
 
     return run
@@ -200,7 +208,6 @@ def _compare(d: int, k: int):
         x = _matrix(table.column("vec"), d)
         role = table.column("role").to_numpy()
         q, v = np.flatnonzero(role == 1), np.flatnonzero(role == 0)
-        v = v[np.unique(ids[v], return_index=True)[1]]
         if not len(q) or not len(v):
             return _FOUND.empty_table()
         leaf = np.array([leaves[i][0] for i in v])
@@ -223,8 +230,8 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     """For each row whose id is divisible by `every`, the k other rows of largest inner product that the tree finds.
 
     Ties go to smaller ids; fewer rows come only if there are no more candidates. Vectors that are null, zero, of another length than
-    most, or hold null or non-finite components take no part, nor do rows with a null id; rows of one id count once; other columns are
-    not read. Components are kept as they are (float, else double). The tree is fitted on at most SAMPLE_ROWS vectors (those of least hash), every vector is filed in it.
+    most, or hold null or non-finite components take no part, nor do rows with a null id; an id with several rows is a candidate
+    with the best of them, and a query with the best of its own; other columns are not read. Components are kept as they are (float, else double). The tree is fitted on at most SAMPLE_ROWS vectors (those of least hash), every vector is filed in it.
 
     Returns query_id, rank (from 1), vec_id, score (in double precision), and visits (leaves that were visited).
     """
@@ -252,7 +259,7 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         return spark.createDataFrame([], schema)
     own, q = np.array([r["id"] for r in probe]), np.array([r["vec"] for r in probe], np.float64)
     first = Window.partitionBy("qid").orderBy(F.desc("score"), "id")
-    true = filed.select("id", "vec").mapInArrow(_brute(q, own, d, k), _FOUND_SQL).distinct().withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k)
+    true = filed.select("id", "vec").mapInArrow(_brute(q, own, d, k), _FOUND_SQL).groupBy("qid", "id").agg(F.max("score").alias("score")).withColumn("r", F.row_number().over(first)).filter(F.col("r") <= k)
     where: dict[int, list[int]] = {}
     for r in true.join(filed.select("id", "leaf"), "id").collect():  # CALIBRATION * k rows
         where.setdefault(r["qid"], []).append(r["leaf"])

@@ -90,3 +90,36 @@ def test_order_is_best_first():
             seen.update(path(node_of[leaf]))
     leaf = tree.file(x)
     assert leaf.min() >= 0 and leaf.max() < tree.leaves
+
+
+def test_repeated_ids_with_different_vectors(spark, monkeypatch):
+    """The order of rows plays no part, and each id counts with the best of its rows."""
+    monkeypatch.setattr(ann, "LEAF_ROWS", 40)
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(400)] + [(i % 60, (2 * rng.normal(size=8)).tolist()) for i in range(300)]
+    pick = lambda rows, parts: sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(parts), every=20, k=5, recall=1.0).collect())
+    got = pick(rows, 3)
+    assert got == pick(rows[::-1], 5)
+    own: dict = {}
+    for i, v in rows:
+        own.setdefault(i, []).append(np.array(v))
+    exact = total = 0
+    for q in (i for i in own if i % 20 == 0):
+        want = sorted((-max(float((a * b).sum()) for a in own[q] for b in vs), j) for j, vs in own.items() if j != q)[:5]
+        mine = [(-s, j) for i, _, j, s in got if i == q]
+        assert len(mine) == len({j for _, j in mine}) == 5
+        exact += sum(abs(s - t) < 1e-12 and i == j for (s, i), (t, j) in zip(mine, want, strict=True))
+        total += 5
+    assert exact >= 0.9 * total
+
+
+def test_best_with_repeated_ids_is_exact():
+    rng = np.random.default_rng(6)
+    x, q = rng.normal(size=(300, 4)), rng.normal(size=(7, 4))
+    ids, own = rng.integers(0, 80, 300), np.arange(7)
+    got: dict = {}
+    for i, j, s in ann.best(q, own, x, ids, 9):
+        got.setdefault(i, []).append((-s, j))
+    for i in range(7):
+        want = sorted((-max(float((x[r] * q[i]).sum()) for r in np.flatnonzero(ids == j)), j) for j in set(ids.tolist()) if j != own[i])[:9]
+        assert [j for _, j in got[i]] == [j for _, j in want] and np.allclose([s for s, _ in got[i]], [s for s, _ in want])
