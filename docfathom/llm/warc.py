@@ -220,16 +220,16 @@ class Captures:
         self.system, self.root = shared.filesystem(folder)
         self.archives = sorted((key.encode(), name) for key, name in archives)
         self.firsts = [key for key, _ in self.archives]
-        self.directory: tuple[str, list] = ("", [])
+        self.directory: tuple[str, list, list] = ("", [], [])
         self.block: tuple[tuple[str, int] | None, list] = (None, [])
 
-    def _blocks(self, name: str) -> list[tuple[bytes, int, int]]:
-        """First key, place and length of each block of an archive."""
+    def _blocks(self, name: str) -> tuple[list[tuple[int, int]], list[bytes]]:
+        """Place and length of each block of an archive, and the first keys: read once for all keys that are looked up in it."""
         if self.directory[0] != name:
             with self.system.open_input_file(f"{self.root}/{name.removesuffix('.warc.gz')}.dir") as f:
                 lines = [x.split("\t") for x in f.read().decode().split("\n")[:-1]]
-            self.directory = (name, [(_unescape(key).encode(), int(at), int(n)) for key, at, n in lines])
-        return self.directory[1]
+            self.directory = (name, [(int(at), int(n)) for _, at, n in lines], [_unescape(key).encode() for key, _, _ in lines])
+        return self.directory[1:]
 
     @staticmethod
     def _span(firsts, want: bytes) -> range:
@@ -241,13 +241,13 @@ class Captures:
         want = key.encode()
         for a in self._span(self.firsts, want):
             name = self.archives[a][1]
-            for b in self._span([x[0] for x in self._blocks(name)], want):
+            for b in self._span(self._blocks(name)[1], want):
                 yield name, b
 
     def lines(self, name: str, block: int, key: str) -> list[tuple[int, int]]:
         """Place and length in the archive of a block's records with a key."""
         if self.block[0] != (name, block):
-            _, at, n = self._blocks(name)[block]
+            at, n = self._blocks(name)[0][block]
             with self.system.open_input_file(f"{self.root}/{name.removesuffix('.warc.gz')}.idx") as f:
                 rows = [x.split("\t") for x in zlib.decompress(f.read_at(n, at)).decode().split("\n")[:-1]]
             self.block = ((name, block), [(_unescape(k).encode(), int(at), int(n)) for k, _, at, n in rows])
