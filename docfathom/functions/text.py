@@ -90,19 +90,34 @@ def valid_type(kind: Column, chunk: Column) -> Column:
     return F.when(kind.isin(*CHUNK_TYPES), kind).otherwise(F.raise_error(told).cast("string"))
 
 
+def utf16_length(text: Column) -> Column:
+    """UTF-16 code units: characters beyond U+FFFF count twice."""
+    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("int")
+
+
+def _from_utf16(units: Column) -> Column:
+    """The text of some UTF-16 code units (big-endian bytes). Half of a character, which a cut leaves at an end, is U+FFFD."""
+    between = lambda at, lo, hi: F.hex(F.substring(units, at, F.lit(1))).between(lo, hi)
+    front, back = between(F.lit(1), "DC", "DF"), between(F.lit(-2), "D8", "DB")
+    whole = F.substring(units, F.when(front, 3).otherwise(1), F.octet_length(units) - F.when(front, 2).otherwise(0) - F.when(back, 2).otherwise(0))
+    half = lambda is_half: F.when(is_half, "\ufffd").otherwise("")
+    return F.concat(half(front), F.decode(whole, "UTF-16BE"), half(back))
+
+
 def hard_split(text: Column, size: int = 3000) -> Column:
-    """Pieces of at most size characters."""
-    n = F.greatest(F.length(text), F.lit(1))
-    return F.transform(F.sequence(F.lit(1), n, F.lit(size)), lambda i: F.substring(text, i, F.lit(size)))
+    """Pieces of at most size UTF-16 code units."""
+    units = F.encode(text, "UTF-16BE")
+    starts = F.sequence(F.lit(0), F.greatest(F.octet_length(units) - 2, F.lit(0)), F.lit(2 * size))
+    return F.transform(starts, lambda i: _from_utf16(F.substring(units, i + 1, F.lit(2 * size))))
 
 
 def pack_paragraphs(text: Column, size: int = 3000, delimiter: str = "\n\n") -> Column:
-    """Greedy packing: paragraphs joined as long as a part has at most size characters; larger single paragraphs are cut hard."""
+    """Greedy packing: paragraphs joined as long as a part has at most size UTF-16 code units; larger single paragraphs are cut hard."""
     first = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def step(acc, part):
         joined = F.when(acc["open"] == "", part).otherwise(F.concat(acc["open"], F.lit(delimiter), part))
-        full = (F.length(joined) > size) & (acc["open"] != "")
+        full = (utf16_length(joined) > size) & (acc["open"] != "")
         return F.struct(F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"]).alias("done"), F.when(full, part).otherwise(joined).alias("open"))
 
     packed = F.aggregate(F.split(text, re.escape(delimiter)), first, step, lambda acc: F.when(acc["open"] == "", acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["open"]))))

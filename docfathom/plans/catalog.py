@@ -124,6 +124,18 @@ def hard_split(spark, d):
     return parts.select("id", F.col("part").cast("long").alias("part"), F.md5("content").alias("digest"), F.length("content").cast("long").alias("size"))
 
 
+def utf16_split(spark, d):
+    """Texts with vowels from beyond U+FFFF: such a letter counts twice, and one that a cut meets is half in either piece."""
+    parts = chunks(spark, d).select("id", F.posexplode(T.hard_split(F.translate("content", "aeo", "𝐚𝐞𝐨"), 101)).alias("part", "content"))
+    return parts.select("id", F.col("part").cast("long").alias("part"), F.md5("content").alias("digest"), F.length("content").cast("long").alias("size"))
+
+
+def utf16_pack(spark, d):
+    """Greedy packing of those texts, by sentences."""
+    parts = chunks(spark, d).select("id", F.posexplode(T.pack_paragraphs(F.translate("content", "aeo", "𝐚𝐞𝐨"), 400, ". ")).alias("part", "content"))
+    return parts.select("id", F.col("part").cast("long").alias("part"), F.md5("content").alias("digest"), T.utf16_length(F.col("content")).cast("long").alias("units"))
+
+
 def paragraph_pack(spark, d):
     parts = chunks(spark, d).select("id", F.posexplode(T.pack_paragraphs(F.col("content"), 3000, "\n")).alias("part", "content"))
     return parts.select("id", F.col("part").cast("long").alias("part"), F.md5("content").alias("digest"), F.length("content").cast("long").alias("size"))
@@ -319,7 +331,7 @@ def markdown_chunks(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        list_sources, chunks_by_source, chunks_by_source_type, chunk_by_id, chunks_by_ids, content_hash, source_uuid5, slugify, chunk_type_from_name, trim_text, hard_split, paragraph_pack,
+        list_sources, chunks_by_source, chunks_by_source_type, chunk_by_id, chunks_by_ids, content_hash, source_uuid5, slugify, chunk_type_from_name, trim_text, hard_split, paragraph_pack, utf16_split, utf16_pack,
         metadata_json_roundtrip, tokenize_counts, postings, doc_freq, corpus_stats, bm25_topk, bm25_rare, bm25_filtered, bm25_phrase, bm25_repeated_term, knn_topk, knn_post_filter, knn_pre_filter,
         rrf_hybrid, rrf_hybrid_filtered, rrf_batch, cdc_classify, cdc_counts, orphans, merge_upsert, delete_by_source, duplicate_names, last_of_each, api_list_markdown, endpoint_listing, search_markdown,
         sanitised_query, openapi_chunks, markdown_chunks,

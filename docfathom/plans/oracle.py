@@ -72,6 +72,28 @@ _GET = _sql("\n\nList items\n\n## Parameters\n\n- **limit** [query] : integer\n\
 _POST = _sql("\n\n## Request Body\n\nContent-Type: application/json\n- type: object\n  properties:\n    - id (integer)\n    - name (string) - Shown name\n    - tag (string)\n\n## Responses\n\n### 201: made")
 _ITEM = _sql("# Item\n\n## Properties\n\n- **id** (integer) (required)\n- **name** (string) - Shown name\n- **tag** (string)")
 
+def _units(x: str) -> str:
+    return rf"(length({x}) + length(regexp_replace({x}, '[^\x{{10000}}-\x{{10FFFF}}]', '', 'g')))"
+
+
+def _cut_sql(table: str, keys: str, text: str, size: int) -> str:
+    """Tables for texts cut after every so many UTF-16 units, character by character; cut: the keys, part (from 0), p."""
+    return f"""chars AS (SELECT {keys}, c, i, 1 + (unicode(c) > 65535)::INT AS u FROM (SELECT {keys}, unnest(string_split({text}, '')) AS c, generate_subscripts(string_split({text}, ''), 1) AS i FROM {table} WHERE {text} <> '')),
+placed AS (SELECT *, sum(u) OVER (PARTITION BY {keys} ORDER BY i)::BIGINT - u AS pos FROM chars),
+halves AS (SELECT {keys}, i, (pos // {size})::BIGINT AS part, CASE WHEN u = 2 AND pos % {size} = {size - 1} THEN chr(65533) ELSE c END AS c FROM placed
+UNION ALL SELECT {keys}, i, (pos // {size})::BIGINT + 1, chr(65533) FROM placed WHERE u = 2 AND pos % {size} = {size - 1}),
+cut AS (SELECT {keys}, part, string_agg(c, '' ORDER BY i) AS p FROM halves GROUP BY {keys}, part UNION ALL SELECT {keys}, 0, '' FROM {table} WHERE {text} = '')"""
+
+
+def _pack_sql(delimiter: str, size: int) -> str:
+    """Tables for the greedy packing of l (id, ps)."""
+    over = f"cur <> '' AND {_units('cur')} + {_units(delimiter)} + {_units('ps[i + 1]')} > {size}"
+    return f"""w AS (SELECT id, ps, 1 AS i, 0 AS piece, ps[1] AS cur FROM l
+UNION ALL SELECT id, ps, i + 1, CASE WHEN {over} THEN piece + 1 ELSE piece END, CASE WHEN cur = '' OR {over} THEN ps[i + 1] ELSE cur || {delimiter} || ps[i + 1] END FROM w WHERE i < len(ps)),
+packed AS (SELECT id, piece, arg_max(cur, i) AS p FROM w GROUP BY id, piece HAVING p <> ''), {_cut_sql("packed", "id, piece", "p", size)}"""
+
+
+
 ORACLE_SQL = {
     "list_sources": "SELECT source AS name, count(*) AS n_chunks FROM documents GROUP BY 1 ORDER BY 1",
     "chunks_by_source": f"SELECT id, type, length(content)::BIGINT AS size FROM ({CHUNK}) WHERE api_id = 'src3'",
@@ -85,15 +107,14 @@ FROM (SELECT name, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(name
     "chunk_type_from_name": f"""SELECT doc_id, CASE WHEN f LIKE '%glossary%' THEN 'glossary' WHEN f LIKE '%use-case%' OR f LIKE '%use\\_case%' ESCAPE '\\' THEN 'use-case' ELSE 'guide' END AS type, file
 FROM (SELECT doc_id, split_part({_NAME}, '/', -1) AS file, lower(file) AS f FROM documents)""",
     "trim_text": "SELECT doc_id, md5(regexp_replace(coalesce(text, ''), '^[\\s\\x{FEFF}\\x{0B}\\p{Z}]+|[\\s\\x{FEFF}\\x{0B}\\p{Z}]+$', '', 'g')) AS trimmed FROM documents",
-    "hard_split": f"""SELECT id, i::BIGINT AS part, md5(p) AS digest, length(p)::BIGINT AS size
-FROM (SELECT id, i, substr(content, 1 + 3000 * i, 3000) AS p FROM (SELECT id, content, unnest(range(0, greatest(1, (length(content) + 2999) // 3000))) AS i FROM ({CHUNK})))""",
-    "paragraph_pack": f"""WITH RECURSIVE l AS (SELECT id, string_split(content, chr(10)) AS ps FROM ({CHUNK})),
-w AS (SELECT id, ps, 1 AS i, 0 AS part, ps[1] AS cur, false AS done FROM l
-UNION ALL SELECT id, ps, i + 1, CASE WHEN cur <> '' AND length(cur) + 1 + length(ps[i + 1]) > 3000 THEN part + 1 ELSE part END,
-CASE WHEN cur = '' THEN ps[i + 1] WHEN length(cur) + 1 + length(ps[i + 1]) > 3000 THEN ps[i + 1] ELSE cur || chr(10) || ps[i + 1] END, false FROM w WHERE i < len(ps)),
-packed AS (SELECT id, part, arg_max(cur, i) AS p FROM w GROUP BY id, part HAVING p <> ''),
-cut AS (SELECT id, part, j, substr(p, 1 + 3000 * j, 3000) AS p FROM (SELECT id, part, p, unnest(range(0, (length(p) + 2999) // 3000)) AS j FROM packed))
-SELECT id, row_number() OVER (PARTITION BY id ORDER BY part, j) - 1 AS part, md5(p) AS digest, length(p)::BIGINT AS size FROM cut""",
+    "hard_split": f"""WITH t AS ({CHUNK}), {_cut_sql("t", "id", "content", 3000)}
+SELECT id, part, md5(p) AS digest, length(p)::BIGINT AS size FROM cut""",
+    "utf16_split": f"""WITH t AS (SELECT id, translate(content, 'aeo', '𝐚𝐞𝐨') AS content FROM ({CHUNK})), {_cut_sql("t", "id", "content", 101)}
+SELECT id, part, md5(p) AS digest, length(p)::BIGINT AS size FROM cut""",
+    "paragraph_pack": f"""WITH RECURSIVE l AS (SELECT id, string_split(content, chr(10)) AS ps FROM ({CHUNK})), {_pack_sql("chr(10)", 3000)}
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY piece, part) - 1 AS part, md5(p) AS digest, length(p)::BIGINT AS size FROM cut""",
+    "utf16_pack": f"""WITH RECURSIVE l AS (SELECT id, string_split(translate(content, 'aeo', '𝐚𝐞𝐨'), '. ') AS ps FROM ({CHUNK})), {_pack_sql("'. '", 400)}
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY piece, part) - 1 AS part, md5(p) AS digest, {_units("p")}::BIGINT AS units FROM cut""",
     "metadata_json_roundtrip": """SELECT event_id, len(k)::BIGINT AS n_keys, coalesce(array_to_string(k, ','), '') AS keys, coalesce(array_to_string(list_transform(k, lambda x: json_extract_string(props, '$.' || x)), ','), '') AS vals
 FROM (SELECT event_id, props, list_sort(json_keys(props)) AS k FROM events)""",
     "tokenize_counts": f"SELECT id, len(toks)::BIGINT AS n_tokens FROM ({TOKS})",

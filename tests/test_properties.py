@@ -69,3 +69,25 @@ def test_batch_neighbours_equal_single_ones(spark):
     for i, q in asked:
         one = [(r.id, r.distance) for r in vector.nearest(vectors, q, 7).collect()]
         assert [(r.id, r.distance) for r in sorted((r for r in batch if r.query_id == i), key=lambda r: r.vec_rank)] == one
+
+
+def test_columns_split_and_pack_as_the_reader_does(spark):
+    """By UTF-16 code units, also where a cut meets a character of two."""
+    import random
+
+    from docfathom.functions import text as T
+
+    rng = random.Random(2)
+    texts = ["", "a", "😀", "😀" * 9, "a" + "😀" * 9, "ab\n\n" + "é😀" * 7 + "\n\n\n\nx"]
+    texts += ["".join(rng.choice(["a", "é", "😀", "𝐞", "\n\n", "漢"]) for _ in range(rng.randrange(60))) for _ in range(150)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+
+    def cut(t, size):
+        raw = t.encode("utf-16-le")
+        return [raw[i : i + 2 * size].decode("utf-16-le", "replace") for i in range(0, max(len(raw), 1), 2 * size)]
+
+    for size in (1, 2, 7, 10):
+        got = df.select("t", T.hard_split(df.t, size), T.pack_paragraphs(df.t, size), T.utf16_length(df.t)).collect()
+        for t, pieces, packed, n in got:
+            assert pieces == cut(t, size) and n == len(t.encode("utf-16-le")) // 2
+            assert packed == markdown.pack(t, size), (t, size)

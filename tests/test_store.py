@@ -299,6 +299,7 @@ def test_search_batch_in_blocks(spark, monkeypatch):
     x, q = rng.normal(size=(200, 8)).round(3), rng.normal(size=(23, 8)).round(3)
     x[50] = x[51]
     monkeypatch.setattr(vector, "BLOCK_QUERIES", 5)
+    monkeypatch.setattr(vector, "BLOCK_ROWS", 30)
     vectors = spark.createDataFrame([(f"c{i:03d}", [float(v) for v in r]) for i, r in enumerate(x)], "id string, embedding array<double>").repartition(3)
     queries = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(q)], "query_id long, vector array<double>")
     got = {}
@@ -308,3 +309,6 @@ def test_search_batch_in_blocks(spark, monkeypatch):
         d = np.sqrt(((x - r) ** 2).sum(1)).round(6)
         want = sorted(range(200), key=lambda j: (d[j], f"c{j:03d}"))[:7]
         assert [got[i][k] for k in range(1, 8)] == [f"c{j:03d}" for j in want]
+    plan = vector.search_batch(vectors, queries, 7)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("FlatMapGroupsInArrow") == 1 and plan.count("Union") == 1  # one pass, whatever the number of blocks
+    assert vector.search_batch(vectors.limit(0), queries, 7).count() == 0 and vector.search_batch(vectors, queries.limit(0), 7).count() == 0
