@@ -172,11 +172,12 @@ def _held(store: IndexStore, ids: list[str]) -> DataFrame:
     return store.stored().join(store.spark.createDataFrame([(i,) for i in ids], "api_id string"), "api_id", "left_semi")
 
 
-def merge_sources(store: IndexStore, rows: DataFrame, ids: list[str], sources: Callable[[list[str]], DataFrame], make: Callable | None = None, order: Sequence[str] = ("seq",), catch: bool = False) -> dict[str, IngestResult]:
+def merge_sources(store: IndexStore, rows: DataFrame, ids: list[str], sources: Callable[[list[str]], DataFrame | None], make: Callable | None = None, order: Sequence[str] = ("seq",), catch: bool = False, held: DataFrame | None = None) -> dict[str, IngestResult]:
     """Compare the chunks of some sources (CHUNK_FIELDS and the columns of order) with what is stored, embed what changed, and commit all.
 
     rows is evaluated once, into the store's folder, and each changed chunk is embedded once. Of chunks with one id the last in order is
-    stored, all are counted. sources gives the rows of the table of sources for the ids that did not fail. catch: an error of the provider
+    stored, all are counted. sources gives the rows of the table of sources for the ids that did not fail. held: the stored chunks that rows
+    stand for (all of the sources', if not given); those that rows do not have are deleted. catch: an error of the provider
     is that of the sources whose chunks it was given, else it is raised and the store is as before.
     """
     spark, scratch = store.spark, []
@@ -189,7 +190,7 @@ def merge_sources(store: IndexStore, rows: DataFrame, ids: list[str], sources: C
         rows = kept(rows.withColumn("_row", F.monotonically_increasing_id()))
         last = Window.partitionBy("api_id", "id").orderBy(*[F.desc(c) for c in order], F.desc("_row"))
         new = rows.select("api_id", "id", F.col("content_hash").alias("new"), "_row", F.row_number().over(last).alias("n"))
-        old = _held(store, ids).select("api_id", "id", F.col("content_hash").alias("old"), "created_at", "dl")
+        old = (_held(store, ids) if held is None else held).select("api_id", "id", F.col("content_hash").alias("old"), "created_at", "dl")
         told = kept(new.join(old, ["api_id", "id"], "full_outer"))
         same = F.coalesce(F.col("new") == F.col("old"), F.lit(False))
         sums = [F.count("new").alias("total"), F.count_if(same).alias("skipped"), F.count_if(F.col("new").isNull()).alias("deleted")]
@@ -213,8 +214,9 @@ def merge_sources(store: IndexStore, rows: DataFrame, ids: list[str], sources: C
             rest = lambda df: None if df is None else df.join(F.broadcast(spark.createDataFrame([(i,) for i in failed], "api_id string")), "api_id", "left_anti")
             changed, gone = rest(changed), rest(gone)
         well = [i for i in ids if i not in failed]
-        if well:
-            store.commit(sources(well), changed, gone)
+        known = sources(well) if well else None
+        if any(x is not None for x in (known, changed, gone)) and well:
+            store.commit(known, changed, gone)
     finally:
         for place in scratch:
             store.drop(place)

@@ -219,21 +219,6 @@ def test_cli(spark, hashing, tmp_path, monkeypatch):
     assert cli.run(spark, api="good", spec=str(tmp_path / "s.yml"), out=out.append) == 0 and out[-2:] == ["  unchanged, skipping", "Done in 0ms."]
 
 
-def test_streaming(spark, hashing, tmp_path):
-    from docfathom.streaming.ingest import watch_markdown
-
-    store = IndexStore.temporary(spark, 16)
-    docs = tmp_path / "docs"
-    docs.mkdir()
-    (docs / "a.md").write_text("# A\n\none")
-    api = {"id": "w", "name": "w"}
-    make_provider = lambda: embed.HashingProvider(16)
-    watch_markdown(store, str(docs), api, str(tmp_path / "ck"), make_provider).awaitTermination()
-    (docs / "b.md").write_text("# B\n\ntwo")
-    watch_markdown(store, str(docs), api, str(tmp_path / "ck"), make_provider).awaitTermination()
-    assert {r.content for r in store.chunks().collect()} == {"one", "two"}
-
-
 def test_nothing_changed_writes_no_chunks(spark):
     store = IndexStore.temporary(spark, 64)
     parsed = [openapi.chunk(f"s:{i}", "s", "guide", "t", f"text {i}", None, i) for i in range(5)]
