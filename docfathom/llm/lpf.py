@@ -6,12 +6,14 @@ representative, to the bucket of that representative, so equal windows meet. A b
 finds for each the previous and next smaller position in suffix order, and from these the longest previous factor: if it is as long as
 a window, the window is a later copy, and the place that it repeats is an earlier one.
 
-A representative in more pieces than a bucket should hold has its windows compared by hash first; those that are repeated are sent one
-by one to the bucket of their own hash.
+A representative in more pieces than a bucket should hold has its windows compared by hash first. Those that are repeated are counted by
+what they are, so that a window in any number of pieces is one row; for equal strings of a window's length no more is to be sorted.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -283,7 +285,7 @@ def _hot_send(window: int, ranges: int):
 
 
 def _hot_windows(window: int, path: str):
-    """The repeated windows of hot pieces, each a piece of its own, filed under its hash."""
+    """The repeated windows of hot pieces, each by the MD5 of its bytes."""
 
     def run(batches):
         answers = exchange.Answers(path)
@@ -298,16 +300,35 @@ def _hot_windows(window: int, path: str):
                 raw = x.data.tobytes()
                 yield pa.record_batch(
                     [
-                        pa.array(np.full(len(at), b, np.int32)), pa.array(h[at].view(np.int64)), rows.column("piece").take(pa.array(row)), rows.column("uid").take(pa.array(row)),
-                        pa.array(rows.column("start").to_numpy()[row] + shift), pa.array(shift.astype(np.int32)), pa.array(np.ones(len(at), np.int32)), rows.column("n").take(pa.array(row)),
-                        pa.array([raw[i : i + window] for i in at], pa.binary()),
+                        pa.array(np.full(len(at), b, np.int32)), rows.column("piece").take(pa.array(row)), rows.column("uid").take(pa.array(row)),
+                        pa.array(rows.column("start").to_numpy()[row] + shift), pa.array(shift.astype(np.int32)), rows.column("n").take(pa.array(row)),
+                        pa.array([hashlib.md5(raw[i : i + window]).hexdigest() for i in at], pa.string()),
                     ],
-                    names=["block", "anchor", "piece", "uid", "start", "shift", "starts", "n", "text"],
+                    names=["block", "piece", "uid", "start", "shift", "n", "same"],
                 )
 
     return run
 
 
+def _same_windows(single: DataFrame) -> DataFrame:
+    """block, piece, again and old: the places in a hot piece of windows that are repeated, and of those that are not the first.
+
+    Equal windows are counted, with partial sums where they lie, and only the count and the first place come together: a window that is in
+    any number of pieces is one row. Its longest previous factor is the window itself for all places but the first.
+    """
+    first = F.struct("uid", "start")
+    sums = single.groupBy("same").agg(F.sum("n").alias("copies"), F.count("*").alias("k"), F.min(first).alias("first")).filter("copies > 1")
+    known = shared.split_join(single, shared.stage(sums, "hot-sums"), "same", "k", single.count())
+    places = lambda c: F.sort_array(F.collect_list(c))
+    return known.groupBy("block", "piece").agg(places("shift").alias("again"), places(F.when(first != F.col("first"), F.col("shift"))).alias("old"))
+
+
+def _packed(batches):
+    for batch in batches:
+        runs = [pa.array([_pack(np.array(x, np.int64)) for x in batch.column(c).to_pylist()], pa.binary()) for c in ("again", "old")]
+        yield pa.record_batch([batch.column("block"), batch.column("piece"), *runs], schema=_RESULT)
+
+
 RESULT = "block int, piece long, repeated binary, later binary"
 _RESULT = pa.schema([("block", pa.int32()), ("piece", pa.int64()), ("repeated", pa.binary()), ("later", pa.binary())])
 
@@ -423,23 +444,21 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     parts = shared.stage(regions.mapInArrow(_pieces(window, small, large, shared.path_of(two)), PARTS), "pieces")
     shared.discard(regions)
 
-    pieces = parts.filter("text IS NOT NULL").withColumn("shift", F.lit(0))
-    size = pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    pieces, hot_told = parts.filter("text IS NOT NULL").withColumn("shift", F.lit(0)), None
     hot = shared.stage(pieces.groupBy("anchor").agg(F.count("*").alias("k")).filter(F.col("k") > HOT_PIECES).select("anchor"), "hot")
     n_hot = hot.count()  # at most a HOT_PIECES-th of the pieces
     if n_hot:
         known = F.broadcast(hot) if n_hot <= 10_000 else hot
-        own = pieces.join(known, "anchor", "left_semi").select("block", "piece", "uid", "start", "starts", "n", "text")
-        own = shared.stage(own, "hot-pieces")
+        own = shared.stage(pieces.join(known, "anchor", "left_semi").select("block", "piece", "uid", "start", "starts", "n", "text"), "hot-pieces")
         three = exchange.repeated(own.mapInArrow(_hot_send(window, ranges), exchange.SENT), "lpf-hot")
-        single = own.mapInArrow(_hot_windows(window, shared.path_of(three)), "block int, anchor long, piece long, uid long, start long, shift int, starts int, n int, text binary")
-        pieces = pieces.join(known, "anchor", "left_anti").unionByName(single)
+        single = own.mapInArrow(_hot_windows(window, shared.path_of(three)), "block int, piece long, uid long, start long, shift int, n int, same string")
+        single = shared.stage(single, "hot-windows")
+        hot_told = _same_windows(single).mapInArrow(_packed, RESULT)
+        pieces = pieces.join(known, "anchor", "left_anti")
+    size = pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    filed = pieces.withColumn("r", F.pmod(F.xxhash64("anchor"), F.lit(buckets)))
-    told = filed.groupBy("r").applyInArrow(_bucket(window), RESULT)
-    # a hot piece has a row for each of its windows; together they are one row again
-    joined = lambda c: F.aggregate(F.collect_list(c), F.lit(b""), lambda a, x: F.concat(a, x)).alias(c)
-    told = shared.stage(told.groupBy("block", "piece").agg(joined("repeated"), joined("later")), "factors")
+    told = pieces.withColumn("r", F.pmod(F.xxhash64("anchor"), F.lit(buckets))).groupBy("r").applyInArrow(_bucket(window), RESULT)
+    told = shared.stage(told if hot_told is None else told.unionByName(hot_told), "factors")
 
     places = parts.select("block", "piece", "uid", "start", F.col("text").isNotNull().alias("first"))
     cuts = places.join(told, ["block", "piece"])

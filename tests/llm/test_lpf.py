@@ -101,3 +101,30 @@ def test_query(spark):
     for d, (n, k, spans, kept) in zip(docs, brute([d.text for d in docs], 200), strict=True):
         r = got[d.doc_id]
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (n, k, spans, hashlib.sha256(kept).hexdigest())
+
+
+def test_a_window_in_very_many_pieces_is_one_row(spark, monkeypatch):
+    """Hot windows are counted, not gathered; results are those of brute force, with and without their first places."""
+    rng = random.Random(9)
+    word = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n)).decode()
+    hot = word(260)
+    texts = [word(40) + hot + word(30) for _ in range(300)] + [hot, hot[:230], hot[20:] + word(50), word(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    results = []
+    for least in (10, 10**9):
+        monkeypatch.setattr(lpf, "HOT_PIECES", least)
+        for keep in (False, True):
+            out = lpf.drop_repeated_bytes(df, window=200, keep_first=keep).collect()
+            results.append(sorted((r.doc_id, r.n_removed, bytes(r.kept)) for r in out))
+    assert results[0] == results[2] and sum(r[1] for r in results[1]) == sum(r[1] for r in results[3])
+    seen = {}
+    for i, t in enumerate(texts):
+        for a in range(len(t) - 199):
+            seen.setdefault(t[a : a + 200], []).append((i, a))
+    for i, n, kept in results[0]:
+        gone = {a + j for s, places in seen.items() if len(places) > 1 for k, a in places if k == i for j in range(200)}
+        assert n == len(gone) and kept == bytes(b for j, b in enumerate(texts[i].encode()) if j not in gone)
+    single = spark.range(100_000).selectExpr("cast(id % 7 as int) block", "id piece", "id uid", "0L start", "3 shift", "1 n", "'same' same")
+    plan = lpf._same_windows(single)
+    sums = [line for line in plan._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(same" in line]
+    assert plan.count() == 100_000 and plan.filter("size(old) = 0").count() == 1 and not sums
