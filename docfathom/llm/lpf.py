@@ -6,8 +6,9 @@ representative, to the bucket of that representative, so equal windows meet. A b
 finds for each the previous and next smaller position in suffix order, and from these the longest previous factor: if it is as long as
 a window, the window is a later copy, and the place that it repeats is an earlier one.
 
-A representative in more pieces than a bucket should hold has its windows compared by hash first. Those that are repeated are counted by
-what they are, so that a window in any number of pieces is one row; for equal strings of a window's length no more is to be sorted.
+A representative in more pieces than a bucket should hold has its windows compared by two independent hashes, which blocks send once each, so
+that a window in any number of pieces is one entry for a block; for equal strings of a window's length no more is to be sorted. Which of
+them is the first is asked with keep_first only: then equal windows are counted, with the first place of each.
 """
 
 from __future__ import annotations
@@ -272,29 +273,56 @@ def _pieces(window: int, small: int, large: int, path: str):
     return run
 
 
-def _hot_send(window: int, ranges: int):
+def _hot_alive(x: _Bytes, window: int, block: int, known: list[exchange.Answers]) -> tuple[np.ndarray, np.ndarray]:
+    """The window starts of hot pieces that are repeated by each hash that is known, and their next hash. The hashes are independent."""
+    at = np.flatnonzero(x.alive)
+    for seed in range(len(known) + 1):
+        prefix = x.prefix if not seed else sums(byte_values(x.data, seed), seed)
+        h = window_hash(prefix, window, seed)
+        if seed == len(known):
+            return at, h[at]
+        at = at[exchange.found(h[at], known[seed].of(block))]
+
+
+def _hot_send(window: int, ranges: int, paths: list[str]):
     def run(batches):
+        known = [exchange.Answers(p) for p in paths]
         for batch in batches:
             for b, rows in exchange.by_block(batch):
                 x = _Bytes(rows.column("text"), window)
-                h = window_hash(x.prefix, window)[x.alive]
-                counts = np.repeat(rows.column("n").to_numpy(), rows.column("starts").to_numpy())
+                at, h = _hot_alive(x, window, b, known)
+                counts = rows.column("n").to_numpy()[np.searchsorted(x.first, at, "right") - 1]
                 yield exchange.sent_rows(b, np.concatenate([h, h[counts > 1]]), ranges)
 
     return run
 
 
-def _hot_windows(window: int, path: str):
+def _hot_told(window: int, paths: list[str]):
+    """RESULT for hot pieces: the windows that are repeated by 128 bits."""
+
+    def run(batches):
+        known = [exchange.Answers(p) for p in paths]
+        for batch in batches:
+            for b, rows in exchange.by_block(batch):
+                x = _Bytes(rows.column("text"), window)
+                at, _ = _hot_alive(x, window, b, known)
+                row = np.searchsorted(x.first, at, "right") - 1
+                which, first = np.unique(row, return_index=True)
+                runs = pa.array([_pack(own) for own in np.split(at - x.first[row], first[1:])] if len(which) else [], pa.binary())
+                yield pa.record_batch([pa.array(np.full(len(which), b, np.int32)), rows.column("piece").take(pa.array(which)), runs, runs], schema=_RESULT)
+
+    return run
+
+
+def _hot_windows(window: int, paths: list[str]):
     """The repeated windows of hot pieces, each by the MD5 of its bytes."""
 
     def run(batches):
-        answers = exchange.Answers(path)
+        known = [exchange.Answers(p) for p in paths]
         for batch in batches:
             for b, rows in exchange.by_block(batch):
                 x = _Bytes(rows.column("text"), window)
-                h = window_hash(x.prefix, window)
-                at = np.flatnonzero(x.alive)
-                at = at[exchange.found(h[at], answers.of(b))]
+                at, _ = _hot_alive(x, window, b, known)
                 row = np.searchsorted(x.first, at, "right") - 1
                 shift = at - x.first[row]
                 raw = x.data.tobytes()
@@ -311,7 +339,8 @@ def _hot_windows(window: int, path: str):
 
 
 def _same_windows(single: DataFrame) -> DataFrame:
-    """block, piece, again and old: the places in a hot piece of windows that are repeated, and of those that are not the first.
+    """block, piece, again and old: the places in a hot piece of windows that are repeated, and of those that are not the first (which hashes
+    do not tell).
 
     Equal windows are counted, with partial sums where they lie, and only the count and the first place come together: a window that is in
     any number of pieces is one row. Its longest previous factor is the window itself for all places but the first.
@@ -450,10 +479,14 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     if n_hot:
         known = F.broadcast(hot) if n_hot <= 10_000 else hot
         own = shared.stage(pieces.join(known, "anchor", "left_semi").select("block", "piece", "uid", "start", "starts", "n", "text"), "hot-pieces")
-        three = exchange.repeated(own.mapInArrow(_hot_send(window, ranges), exchange.SENT), "lpf-hot")
-        single = own.mapInArrow(_hot_windows(window, shared.path_of(three)), "block int, piece long, uid long, start long, shift int, n int, same string")
-        single = shared.stage(single, "hot-windows")
-        hot_told = _same_windows(single).mapInArrow(_packed, RESULT)
+        paths: list[str] = []
+        for name in ("lpf-hot", "lpf-hot-again"):
+            paths.append(shared.path_of(exchange.repeated(own.mapInArrow(_hot_send(window, ranges, paths[:]), exchange.SENT), name)))
+        if keep_first:
+            single = own.mapInArrow(_hot_windows(window, paths), "block int, piece long, uid long, start long, shift int, n int, same string")
+            hot_told = _same_windows(shared.stage(single, "hot-windows")).mapInArrow(_packed, RESULT)
+        else:
+            hot_told = own.mapInArrow(_hot_told(window, paths), RESULT)
         pieces = pieces.join(known, "anchor", "left_anti")
     size = pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
