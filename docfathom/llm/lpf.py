@@ -26,7 +26,7 @@ from .hashing import byte_values, mix, sliding, starts_within, sums, text_buffer
 from .substring import _runs_within
 
 #: Bytes of pieces in a bucket, about, and pieces with one representative beyond which it counts as hot.
-BUCKET_BYTES, HOT_PIECES = 1 << 20, 4000
+BUCKET_BYTES, HOT_PIECES = 1 << 18, 4000
 
 
 class SuffixOrder:
