@@ -273,15 +273,17 @@ def _pieces(window: int, small: int, large: int, path: str):
     return run
 
 
-def _hot_alive(x: _Bytes, window: int, block: int, known: list[exchange.Answers]) -> tuple[np.ndarray, np.ndarray]:
-    """The window starts of hot pieces that are repeated by each hash that is known, and their next hash. The hashes are independent."""
+def _hot_alive(x: _Bytes, window: int, block: int, known: list[exchange.Answers]) -> np.ndarray:
+    """The window starts of hot pieces that are repeated by each hash that is known."""
     at = np.flatnonzero(x.alive)
-    for seed in range(len(known) + 1):
-        prefix = x.prefix if not seed else sums(byte_values(x.data, seed), seed)
-        h = window_hash(prefix, window, seed)
-        if seed == len(known):
-            return at, h[at]
-        at = at[exchange.found(h[at], known[seed].of(block))]
+    for seed, answers in enumerate(known):
+        at = at[exchange.found(_seeded(x, window, seed)[at], answers.of(block))]
+    return at
+
+
+def _seeded(x: _Bytes, window: int, seed: int) -> np.ndarray:
+    """The hash of every window; seeds 0 and 1 are independent."""
+    return window_hash(sums(byte_values(x.data, seed), seed) if seed else x.prefix, window, seed)
 
 
 def _hot_send(window: int, ranges: int, paths: list[str]):
@@ -290,7 +292,8 @@ def _hot_send(window: int, ranges: int, paths: list[str]):
         for batch in batches:
             for b, rows in exchange.by_block(batch):
                 x = _Bytes(rows.column("text"), window)
-                at, h = _hot_alive(x, window, b, known)
+                at = _hot_alive(x, window, b, known)
+                h = _seeded(x, window, len(known))[at]
                 counts = rows.column("n").to_numpy()[np.searchsorted(x.first, at, "right") - 1]
                 yield exchange.sent_rows(b, np.concatenate([h, h[counts > 1]]), ranges)
 
@@ -305,7 +308,7 @@ def _hot_told(window: int, paths: list[str]):
         for batch in batches:
             for b, rows in exchange.by_block(batch):
                 x = _Bytes(rows.column("text"), window)
-                at, _ = _hot_alive(x, window, b, known)
+                at = _hot_alive(x, window, b, known)
                 row = np.searchsorted(x.first, at, "right") - 1
                 which, first = np.unique(row, return_index=True)
                 runs = pa.array([_pack(own) for own in np.split(at - x.first[row], first[1:])] if len(which) else [], pa.binary())
@@ -322,7 +325,7 @@ def _hot_windows(window: int, paths: list[str]):
         for batch in batches:
             for b, rows in exchange.by_block(batch):
                 x = _Bytes(rows.column("text"), window)
-                at, _ = _hot_alive(x, window, b, known)
+                at = _hot_alive(x, window, b, known)
                 row = np.searchsorted(x.first, at, "right") - 1
                 shift = at - x.first[row]
                 raw = x.data.tobytes()
