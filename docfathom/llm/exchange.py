@@ -115,6 +115,7 @@ def read_block(path: str, block: int, columns: list[str]) -> dict[str, list]:
 
 def by_block(batch: pa.RecordBatch):
     """(block, rows) for each run of equal blocks in a batch."""
+    shared.forget_others("exchange")
     ids = batch.column("block").to_numpy()
     cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):

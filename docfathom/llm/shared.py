@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,22 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 19
 _local: dict[str, str] = {}
 _owned: list[list[str]] = []
+#: What operators remember in a Python worker from task to task, by operator: how to forget it.
+_memories: dict[str, Callable[[], None]] = {}
+
+
+def remembers(operator: str, forget: Callable[[], None]) -> None:
+    _memories[operator] = forget
+
+
+def forget_others(operator: str) -> None:
+    """In a worker: give back what other operators remember there. Workers serve one stage of a pipeline after the other."""
+    import pyarrow as pa
+
+    for name, forget in _memories.items():
+        if name != operator:
+            forget()
+    pa.default_memory_pool().release_unused()
 
 
 def shared_dir(spark: SparkSession) -> str:

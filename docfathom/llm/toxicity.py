@@ -106,6 +106,7 @@ def language_model(counts: np.ndarray) -> np.ndarray:
 #: Words remembered by a worker's decoder; beyond that it starts anew, which costs time and changes no result.
 MEMO_WORDS = 800_000
 _decoders: dict[bytes, Decoder] = {}
+shared.remembers("toxicity", _decoders.clear)
 
 
 def decoder_of(costs: np.ndarray) -> Decoder:
