@@ -71,7 +71,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Scores, near-duplicate components and packing are beyond SQL; tests compare the stages with brute force on small tables.
+#: Scores, near-duplicate components and packing are beyond SQL; tests hold the stages against planted cases, and the operators against brute force.
 ORACLE_SQL = None
 
 
