@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from docfathom.sources import embed, markdown, openapi, registry, yamlish
-from docfathom.sources.ingest import IngestResult, format_duration, format_result, source_hash, source_id
+from docfathom.sources.ingest import IngestResult, Source, format_duration, format_result, source_hash, source_id
+from docfathom.sources.store import IndexStore
 
 PETS = """openapi: "3.0.3"
 info: {title: Pets, version: 1.2.0, description: About pets}
@@ -173,14 +174,15 @@ def test_transformers_and_factory(monkeypatch):
     embed.reset_provider()
 
 
-def test_hashes_and_formats(tmp_path):
+def test_hashes_and_formats(spark, tmp_path):
     (tmp_path / "b.md").write_text("B")
     (tmp_path / "a.md").write_text("A")
     (tmp_path / "c.txt").write_text("no")
     import hashlib
 
-    assert source_hash(None, str(tmp_path)) == hashlib.sha256(b"a.mdAb.mdB").hexdigest()
-    assert source_hash(str(tmp_path / "a.md"), str(tmp_path / "none")) == hashlib.sha256(b"A").hexdigest()
+    store = IndexStore.temporary(spark, 8)
+    assert source_hash(store, Source("s", None, str(tmp_path))) == hashlib.sha256(b"a.mdAb.mdB").hexdigest()
+    assert source_hash(store, Source("s", str(tmp_path / "a.md"), str(tmp_path / "none"))) == hashlib.sha256(b"A").hexdigest()
     assert source_id("python.org") == "886313e1-3b8a-5372-9b90-0c9aee199e5d"
     assert (format_duration(12.6), format_duration(1500)) == ("13ms", "1.5s")
     assert format_result(IngestResult("a", 5, 3, 1, 1, False, 10)) == "  5 chunks: 3 embedded, 1 skipped, 1 deleted (10ms)"
