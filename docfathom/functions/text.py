@@ -106,9 +106,9 @@ def _from_utf16(units: Column) -> Column:
 
 def hard_split(text: Column, size: int = 3000) -> Column:
     """Pieces of at most size UTF-16 code units."""
-    units = F.encode(text, "UTF-16BE")
-    starts = F.sequence(F.lit(0), F.greatest(F.octet_length(units) - 2, F.lit(0)), F.lit(2 * size))
-    return F.transform(starts, lambda i: _from_utf16(F.substring(units, i + 1, F.lit(2 * size))))
+    starts = lambda u: F.sequence(F.lit(0), F.greatest(F.octet_length(u) - 2, F.lit(0)), F.lit(2 * size))
+    pieces = lambda u: F.transform(starts(u), lambda i: _from_utf16(F.substring(u, i + 1, F.lit(2 * size))))
+    return F.element_at(F.transform(F.array(F.encode(text, "UTF-16BE")), pieces), 1)  # encoded once, not for each piece
 
 
 def pack_paragraphs(text: Column, size: int = 3000, delimiter: str = "\n\n") -> Column:
