@@ -6,7 +6,7 @@ type), so a search reads the postings of its terms and joins nothing else but th
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,19 +31,41 @@ def tokenised(chunks: DataFrame) -> DataFrame:
     return toks.withColumn("dl", F.size("title_toks") + F.size("content_toks"))
 
 
+def _runs(items: Column, term: Callable[[Column], Column], made: Callable[[Column, Column, Column], Column]) -> Column:
+    """An array sorted by term, a run of one term at a time: made(items, place of the first from 0, number). Null if there is none."""
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), 0)  # noqa: E731: x is made once, not for each element
+
+    def cut(own: Column) -> Column:
+        first = lambda i: (i == 0) | (term(F.get(own, i)) != term(F.get(own, i - 1)))
+        starts = F.filter(F.sequence(F.lit(0), F.size(own) - 1), first)
+        return bound(starts, lambda s: F.transform(s, lambda at, j: made(own, at, F.coalesce(F.get(s, j + 1), F.size(own)) - at)))
+
+    return F.when(F.size(items) > 0, bound(F.sort_array(items), cut))
+
+
+def terms_of_row() -> Column:
+    """The terms of a tokenised chunk with their numbers: an array of (term, tf), grouped inside the row."""
+    words = F.concat("title_toks", "content_toks")
+    return _runs(words, lambda t: t, lambda own, at, n: F.struct(F.get(own, at).alias("term"), n.cast("int").alias("tf")))
+
+
 def postings(toks: DataFrame, by_chunk: bool = False) -> DataFrame:
     """term, id, api_id, type, dl, tf, positions (column 0 is the title, 1 the content).
 
-    by_chunk: chunks are shuffled, and their places grouped where they are made, which is less than all places; for a whole index. Without
-    it a filter on terms goes below the shuffle.
+    by_chunk: terms are grouped inside the row, without a shuffle; for a whole index. Ids have to be keys then. Without it a filter on
+    terms goes below the shuffle.
     """
-    if by_chunk:
-        toks = toks.repartition("id")
 
     def places_of(name: str, col: int) -> Column:
         return F.transform(name, lambda term, pos: F.struct(term.alias("term"), F.lit(col).alias("col"), pos.alias("pos")))
 
-    both = toks.select("id", "api_id", "type", "dl", F.inline(F.concat(places_of("title_toks", 0), places_of("content_toks", 1))))
+    every = F.concat(places_of("title_toks", 0), places_of("content_toks", 1))
+    if by_chunk:
+        place = lambda x: F.struct(x["col"].alias("col"), x["pos"].alias("pos"))
+        made = lambda own, at, n: F.struct(F.get(own, at)["term"].alias("term"), n.cast("int").alias("tf"), F.transform(F.slice(own, at + 1, n), place).alias("positions"))
+        rows = toks.select("id", "api_id", "type", "dl", F.inline(_runs(every, lambda x: x["term"], made)))
+        return rows.select("term", "id", "api_id", "type", "dl", "tf", "positions")
+    both = toks.select("id", "api_id", "type", "dl", F.inline(every))
     places = F.sort_array(F.collect_list(F.struct("col", "pos")))
     return both.groupBy("term", "id", "api_id", "type", "dl").agg(F.count("*").cast("int").alias("tf"), places.alias("positions"))
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import fts, hybrid, merge, vector
+from ..operators import blockmax, fts, hybrid, merge, pivots, vector
 
 #: Query texts, and the vector ids whose embeddings are their query vectors.
 QUERY, RARE, PHRASE = "und von", "ones", "of_the"
@@ -42,6 +44,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new name in the folder that spark.checkpoint.dir tells; on a local master it may be unset."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
+        top = tempfile.mkdtemp(prefix="docfathom-tables-")
+    return f"{top.rstrip('/')}/table-{uuid.uuid4().hex}"
+
+
 def _type() -> F.Column:
     lang = F.col("lang")
     return F.when(lang == "en", "guide").when(lang == "fr", "glossary").when(lang == "de", "use-case").otherwise("overview")
@@ -153,7 +165,7 @@ def tokenize_counts(spark, d):
 
 
 def postings(spark, d):
-    index = fts.postings(fts.tokenised(chunks(spark, d)))
+    index = fts.postings(fts.tokenised(chunks(spark, d)), by_chunk=True)
     return index.select("term", "id", F.col("tf").cast("long").alias("tf"), F.col("positions")[0]["pos"].cast("long").alias("first_pos"))
 
 
@@ -192,6 +204,28 @@ def bm25_repeated_term(spark, d):
     return _lexical(spark, d, "ones the ones")
 
 
+def _written(spark, df):
+    """A table in the shared folder of the cluster, read again."""
+    place = shared_folder(spark)
+    df.write.parquet(place)
+    return spark.read.schema(df.schema).parquet(place)
+
+
+def _blocks(spark, d, text, sources=None, types=None, k=60):
+    toks = fts.tokenised(chunks(spark, d))
+    found = blockmax.search(_asked(spark, text), _written(spark, blockmax.build(toks)), fts.corpus_stats(toks), k, sources, types)
+    return found.select("id", "score", F.col("fts_rank").cast("long").alias("fts_rank"))
+
+
+def bm25_blocks(spark, d):
+    """bm25_topk by blocks with bounds; the ten best."""
+    return _blocks(spark, d, QUERY, k=10)
+
+
+def bm25_blocks_filtered(spark, d):
+    return _blocks(spark, d, QUERY, ["src0", "src3", "src5"], ["use-case", "guide"])
+
+
 # --- vectors
 def _near(found):
     return found.select("id", "distance", F.col("vec_rank").cast("long").alias("vec_rank"))
@@ -201,6 +235,14 @@ def knn_topk(spark, d):
     return _near(vector.search(vectors(spark, d), _vector_of(spark, d, 0), 60))
 
 
+def knn_pivots(spark, d):
+    """The ten nearest to an embedding by distances to pivots."""
+    own = vectors(spark, d)
+    chosen, query = pivots.choose(own), _vector_of(spark, d, 20)
+    order = Window.orderBy("distance", "id")  # of ten rows
+    return _near(pivots.nearest(_written(spark, pivots.build(own, chosen)), chosen, query, 10).withColumn("vec_rank", F.row_number().over(order)))
+
+
 def knn_post_filter(spark, d):
     kept = chunks(spark, d).filter("type = 'use-case'")
     return _near(vector.search(vectors(spark, d), _vector_of(spark, d, 0), 60, kept, "post"))
@@ -332,7 +374,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         list_sources, chunks_by_source, chunks_by_source_type, chunk_by_id, chunks_by_ids, content_hash, source_uuid5, slugify, chunk_type_from_name, trim_text, hard_split, paragraph_pack, utf16_split, utf16_pack,
-        metadata_json_roundtrip, tokenize_counts, postings, doc_freq, corpus_stats, bm25_topk, bm25_rare, bm25_filtered, bm25_phrase, bm25_repeated_term, knn_topk, knn_post_filter, knn_pre_filter,
+        metadata_json_roundtrip, tokenize_counts, postings, doc_freq, corpus_stats, bm25_topk, bm25_rare, bm25_filtered, bm25_phrase, bm25_repeated_term, bm25_blocks, bm25_blocks_filtered, knn_topk, knn_pivots, knn_post_filter, knn_pre_filter,
         rrf_hybrid, rrf_hybrid_filtered, rrf_batch, cdc_classify, cdc_counts, orphans, merge_upsert, delete_by_source, duplicate_names, last_of_each, api_list_markdown, endpoint_listing, search_markdown,
         sanitised_query, openapi_chunks, markdown_chunks,
     )

@@ -125,8 +125,11 @@ FROM (SELECT event_id, props, list_sort(json_keys(props)) AS k FROM events)""",
     "bm25_rare": f"SELECT * FROM {_bm25(RARE)}",
     "bm25_filtered": f"SELECT * FROM {_bm25(QUERY, 'tk.api_id IN (' + repr('src0') + ',' + repr('src3') + ',' + repr('src5') + ') AND tk.type IN (' + repr('use-case') + ',' + repr('guide') + ')')}",
     "bm25_phrase": _PHRASE,
+    "bm25_blocks": f"SELECT * FROM {_bm25(QUERY, k=10)}",
+    "bm25_blocks_filtered": f"SELECT * FROM {_bm25(QUERY, 'tk.api_id IN (' + repr('src0') + ',' + repr('src3') + ',' + repr('src5') + ') AND tk.type IN (' + repr('use-case') + ',' + repr('guide') + ')')}",
     "bm25_repeated_term": f"SELECT * FROM {_bm25('ones the ones')}",
     "knn_topk": f"SELECT * FROM {_ranked(_knn(0, 60), 60)}",
+    "knn_pivots": f"SELECT * FROM {_ranked(_knn(20, 10), 10)}",
     "knn_post_filter": f"SELECT * FROM {_post(0, 'use-case')}",
     "knn_pre_filter": f"SELECT * FROM {_ranked(_knn(0, 60, 'c.type = ' + repr('use-case')), 60)}",
     "rrf_hybrid": _told(_fuse(0, _bm25(QUERY), _ranked(_knn(20, 60), 60))),
