@@ -39,14 +39,6 @@ def build(toks: DataFrame, size: int = SIZE) -> DataFrame:
     return found.withColumn("impacts", best).repartitionByRange("term", "block").sortWithinPartitions("term", "block")
 
 
-def _held(df: DataFrame) -> tuple[DataFrame, list | None]:
-    """A frame that is asked for several times, broadcast if it is small, and its rows then."""
-    few = df.limit(fts.BROADCAST_TERMS + 1).collect()
-    if len(few) > fts.BROADCAST_TERMS:
-        return df, None
-    return F.broadcast(df.sparkSession.createDataFrame(few, df.schema)), few
-
-
 def _saturation(tf: Column, dl: Column) -> Column:
     return tf / (tf + fts.K1 * (1 - fts.B + fts.B * dl / F.col("avgdl")))
 
@@ -59,7 +51,7 @@ class Search:
         terms = fts.query_terms(queries)
         if terms.filter("n_terms > 1").limit(1).count():
             raise ValueError("the blocks do not tell how many chunks hold a phrase of several terms: use fts.search")
-        asked, few = _held(terms.groupBy("query_id", "term").agg(F.count("*").alias("times")))
+        asked, few = fts.held(terms.groupBy("query_id", "term").agg(F.count("*").alias("times")))
         if few is not None and len(known := sorted({r["term"] for r in few})) <= fts.PUSHED_TERMS:
             blocks = blocks.filter(F.col("term").isin(*known)) if known else blocks.limit(0)
         self.blocks = blocks
@@ -68,7 +60,7 @@ class Search:
         idf = F.when(idf > 0, idf).otherwise(F.lit(fts.LEAST_IDF))
         weights = asked.join(df, "term", "left").crossJoin(F.broadcast(stats))
         weights = weights.select("query_id", "term", (F.col("times") * idf * (fts.K1 + 1)).alias("weight"), "avgdl", F.count("*").over(Window.partitionBy("query_id")).alias("n_asked"))
-        self.weights, _ = _held(weights)
+        self.weights, _ = fts.held(weights)
 
     def bounds(self) -> DataFrame:
         """query_id, block, bound, first_id: the blocks that hold all terms of a query, what no rounded score in them exceeds, and an id that
@@ -104,7 +96,7 @@ class Search:
         order = Window.partitionBy("query_id").orderBy(F.desc("bound"), "first_id", "block")
         first = bounds.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= self.limit).select("query_id", "block")
         least = self._best(self._scores(first)).filter(F.col("fts_rank") == self.limit).select("query_id", F.col("score").alias("least"), F.col("id").alias("last_id"))
-        least, _ = _held(least)
+        least, _ = fts.held(least)
         may = F.col("least").isNull() | (F.col("bound") > F.col("least")) | ((F.col("bound") == F.col("least")) & (F.col("first_id") <= F.col("last_id")))
         return bounds.join(least, "query_id", "left").filter(may).select("query_id", "block")
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.text import sanitized, tokens
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
-#: Query terms that are broadcast, at most; more are joined by a shuffle.
+#: Rows (query terms, results) that are broadcast, at most; more are joined by a shuffle.
 BROADCAST_TERMS = 200_000
 #: Terms that a filter of the index lists, at most.
 PUSHED_TERMS = 500
@@ -103,15 +103,21 @@ def _as_filter(api_ids: Sequence[str] | None, types: Sequence[str] | None) -> Co
     return keep
 
 
+def held(df: DataFrame) -> tuple[DataFrame, list | None]:
+    """A frame that is asked for several times, broadcast if it is small, and its rows then."""
+    few = df.limit(BROADCAST_TERMS + 1).collect()
+    if len(few) > BROADCAST_TERMS:
+        return df, None
+    return F.broadcast(df.sparkSession.createDataFrame(few, df.schema)), few
+
+
 def bm25_scores(queries: DataFrame, index: DataFrame, stats: DataFrame, api_ids: Sequence[str] | None = None, types: Sequence[str] | None = None) -> DataFrame:
     """query_id, id, score of every chunk that holds all phrases of the query; a repeated phrase counts again.
 
     Corpus statistics do not depend on the filters. A phrase of several terms has to stand in one column without a gap.
     """
-    terms, spark = query_terms(queries), queries.sparkSession
-    few = terms.limit(BROADCAST_TERMS + 1).collect()
-    if len(few) <= BROADCAST_TERMS:
-        terms = F.broadcast(spark.createDataFrame(few, terms.schema))  # not made again for each use below
+    terms, few = held(query_terms(queries))
+    if few is not None:
         known = sorted({r["term"] for r in few})
         if len(known) <= PUSHED_TERMS:  # reaches the scan of a stored index, and goes below the grouping of one that is made on the way
             index = index.filter(F.col("term").isin(*known)) if known else index.limit(0)

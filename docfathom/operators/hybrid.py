@@ -55,5 +55,5 @@ def search_batch(queries: DataFrame, vectors: DataFrame, index: DataFrame, stats
 
 
 def hydrate(found: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Results with their chunks, in order; ids without a chunk are dropped."""
-    return chunks.join(F.broadcast(found), "id").orderBy("query_id", "position")
+    """Results with their chunks, in order; ids without a chunk are dropped. Results of many queries are joined by a shuffle."""
+    return chunks.join(fts.held(found)[0], "id").orderBy("query_id", "position")

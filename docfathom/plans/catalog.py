@@ -342,7 +342,7 @@ def search_markdown(spark, d):
 
     found = hybrid.hydrate(_hybrid(spark, d, RARE, 3), chunks(spark, d))
     names = table(spark, d, "documents").select(F.col("source").alias("api_id"), F.concat(F.lit("API "), F.col("source")).alias("name")).distinct()
-    return found.join(F.broadcast(names), "api_id", "left").select(F.col("position").cast("long").alias("position"), result_sections().alias("section"))
+    return found.join(fts.held(names)[0], "api_id", "left").select(F.col("position").cast("long").alias("position"), result_sections().alias("section"))
 
 
 def sanitised_query(spark, d):
