@@ -19,24 +19,108 @@ from . import fts
 SIZE = 128
 #: Blocks that a filter lists, at most; more are joined.
 PUSHED_BLOCKS = 500
+#: Words that are grouped at once, about; a block is not divided.
+WORDS_AT_ONCE = 1 << 20
 #: Sums depend on their order: bounds are raised by this before they are rounded as scores are.
 SLACK = 1e-9
 
 
+def placed(chunks: DataFrame, size: int = SIZE) -> DataFrame:
+    """Chunks (any columns beside api_id and id) in the order of source and id, with the number of their block. A block lies in one partition.
+
+    This is the only shuffle of an index: texts are best placed before they are tokenised.
+    """
+    n = max(1, int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return chunks.repartitionByRange(n, "api_id", "id").sortWithinPartitions("api_id", "id").withColumn("block", F.expr(f"monotonically_increasing_id() div {size}"))
+
+
 def build(toks: DataFrame, size: int = SIZE) -> DataFrame:
-    """term, block, n, first_id, impacts (tf, dl), apis, types, postings (id, api_id, type, tf, dl) of tokenised chunks, by term and block; ids are keys.
+    """term, block, n, first_id, impacts (tf, dl), apis, types, postings (id, api_id, type, tf, dl) of tokenised chunks; ids are keys.
 
-    To be written before it is searched. A group has at most `size` chunks, however common its term is. Chunks without terms have no postings.
+    To be written before it is searched. Chunks that are not placed yet are placed. A group has at most `size` chunks, however common its
+    term is, and is made where its block lies; a partition's groups are in the order of term and block, so a filter on terms skips
+    most of each file. Chunks without terms have no postings.
     """
-    placed = toks.repartitionByRange("api_id", "id").sortWithinPartitions("api_id", "id").withColumn("block", F.expr(f"monotonically_increasing_id() div {size}"))
-    rows = placed.select("block", "id", "api_id", "type", "dl", F.inline(fts.terms_of_row()))
-    of_tf = F.struct("tf", "dl")
-    post = F.sort_array(F.collect_list(F.struct("id", "api_id", "type", "tf", "dl")))
-    found = rows.groupBy("term", "block").agg(
-        F.count("*").cast("int").alias("n"), F.min("id").alias("first_id"), F.collect_set(of_tf).alias("impacts"), F.collect_set("api_id").alias("apis"), F.collect_set("type").alias("types"), post.alias("postings")
-    )
-    best = F.filter("impacts", lambda x: ~F.exists("impacts", lambda y: (y["tf"] >= x["tf"]) & (y["dl"] <= x["dl"]) & ((y["tf"] > x["tf"]) | (y["dl"] < x["dl"]))))
-    return found.withColumn("impacts", best).repartitionByRange("term", "block").sortWithinPartitions("term", "block")
+    if "block" not in toks.columns:
+        toks = placed(toks, size)
+    rows = toks.select("block", "id", "api_id", "type", "dl", F.concat("title_toks", "content_toks").alias("words"))
+    of = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    post = "struct<" + ",".join(f"{c}:{of.get(c, 'int')}" for c in ("id", "api_id", "type", "tf", "dl")) + ">"
+    out = f"term string, block bigint, n int, first_id {of['id']}, impacts array<struct<tf:int,dl:int>>, apis array<{of['api_id']}>, types array<{of['type']}>, postings array<{post}>"
+    return rows.mapInArrow(_groups, out).sortWithinPartitions("term", "block")
+
+
+def _groups(batches):
+    """The groups of a partition whose chunks come in the order of blocks; some whole blocks at a time."""
+    import numpy as np
+    import pyarrow as pa
+
+    held: list = []  # the block that may go on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([*held, batch]).combine_chunks()
+        blocks = rows.column("block").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist()]
+        words = np.concatenate(([0], np.cumsum(rows.column("words").combine_chunks().value_lengths().to_numpy(zero_copy_only=False))))
+        begin = 0
+        for i, cut in enumerate(cuts[1:], 2):
+            if i == len(cuts) or words[cuts[i]] - words[begin] > WORDS_AT_ONCE:
+                yield _group(rows.slice(begin, cut - begin))
+                begin = cut
+        held = rows.slice(begin).to_batches()
+    if held:
+        yield _group(pa.Table.from_batches(held))
+
+
+def _group(rows):
+    """The groups of some blocks, as a batch."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rows = rows.combine_chunks()
+    block, dl = (rows.column(c).to_numpy() for c in ("block", "dl"))
+    own = {c: rows.column(c).combine_chunks() for c in ("id", "api_id", "type", "words")}
+    words = own["words"].flatten().dictionary_encode()
+    order = pc.sort_indices(words.dictionary).to_numpy()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    chunk = np.repeat(np.arange(len(rows)), own["words"].value_lengths().to_numpy(zero_copy_only=False))
+    key, tf = np.unique(rank[words.indices.to_numpy()] * len(rows) + chunk, return_counts=True)  # by term, then by chunk, so by block
+    term, chunk = np.divmod(key, max(len(rows), 1))
+    dl, tf = dl[chunk].astype(np.int32), tf.astype(np.int32)
+    start = np.flatnonzero((np.diff(term, prepend=-1) != 0) | (np.diff(block[chunk], prepend=-1) != 0))
+    group = np.repeat(np.arange(len(start)), np.diff(start, append=len(term)))
+    lists = lambda of, values: pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(len(start) + 1)).astype(np.int32)), values)
+
+    by_id = pc.sort_indices(own["id"]).to_numpy()
+    place = np.empty(len(rows), np.int64)
+    place[by_id] = np.arange(len(rows))
+    first = by_id[np.minimum.reduceat(place[chunk], start)] if len(start) else start
+
+    # of the chunks with so many occurrences or more, only those shorter than all with more
+    best = np.lexsort((dl, -tf, group))
+    span = int(dl.max(initial=0)) + 1
+    shortest = np.minimum.accumulate(dl[best] - group[best] * span)  # each group starts below the one before it
+    best = best[np.diff(shortest, prepend=1 + span) < 0]
+    impacts = lists(group[best], pa.StructArray.from_arrays([pa.array(tf[best]), pa.array(dl[best])], ["tf", "dl"]))
+
+    def names(column: str):
+        """The values that a group's chunks have, each once."""
+        codes = own[column].dictionary_encode()
+        code = codes.indices.fill_null(-1).to_numpy()[chunk]
+        n = len(codes.dictionary)
+        of, code = np.divmod(np.unique((group * n + code)[code >= 0]), max(n, 1))
+        return lists(of, codes.dictionary.take(pa.array(code)))
+
+    at = pa.array(chunk)
+    posts = pa.StructArray.from_arrays([*(own[c].take(at) for c in ("id", "api_id", "type")), pa.array(tf), pa.array(dl)], ["id", "api_id", "type", "tf", "dl"])
+    columns = {
+        "term": words.dictionary.take(pa.array(order[term[start]])), "block": pa.array(block[chunk[start]]), "n": pa.array(np.diff(start, append=len(term)).astype(np.int32)),
+        "first_id": own["id"].take(pa.array(first)), "impacts": impacts, "apis": names("api_id"), "types": names("type"), "postings": lists(group, posts),
+    }
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def _saturation(tf: Column, dl: Column) -> Column:

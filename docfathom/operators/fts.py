@@ -25,9 +25,9 @@ def length() -> Column:
     return sum(F.size(tokens(F.coalesce(c, F.lit("")))) for c in ("title", "content"))
 
 
-def tokenised(chunks: DataFrame) -> DataFrame:
-    """id, api_id, type, title_toks, content_toks and dl (their number) of each chunk."""
-    toks = chunks.select("id", "api_id", "type", tokens(F.coalesce("title", F.lit(""))).alias("title_toks"), tokens(F.coalesce("content", F.lit(""))).alias("content_toks"))
+def tokenised(chunks: DataFrame, *more: str) -> DataFrame:
+    """id, api_id, type, title_toks, content_toks and dl (their number) of each chunk, and what more of its columns is named."""
+    toks = chunks.select("id", "api_id", "type", *more, tokens(F.coalesce("title", F.lit(""))).alias("title_toks"), tokens(F.coalesce("content", F.lit(""))).alias("content_toks"))
     return toks.withColumn("dl", F.size("title_toks") + F.size("content_toks"))
 
 

@@ -212,8 +212,9 @@ def _written(spark, df):
 
 
 def _blocks(spark, d, text, sources=None, types=None, k=60):
-    toks = fts.tokenised(chunks(spark, d))
-    found = blockmax.search(_asked(spark, text), _written(spark, blockmax.build(toks)), fts.corpus_stats(toks), k, sources, types)
+    own = chunks(spark, d)
+    stored = _written(spark, blockmax.build(fts.tokenised(blockmax.placed(own), "block")))
+    found = blockmax.search(_asked(spark, text), stored, fts.corpus_stats(fts.tokenised(own)), k, sources, types)
     return found.select("id", "score", F.col("fts_rank").cast("long").alias("fts_rank"))
 
 

@@ -140,3 +140,52 @@ def test_pivots_of_few_rows(spark, filed, tmp_path):
     pivots.build(same, pivots.choose(same)).write.parquet(f"{tmp_path}/same")
     got = pivots.nearest(spark.read.parquet(f"{tmp_path}/same"), pivots.choose(same), [1.0, 2.5], 3).collect()
     assert [tuple(r) for r in got] == [("e0", 0.5), ("e1", 0.5), ("e2", 0.5)]
+
+
+def test_an_index_is_shuffled_once(spark):
+    chunks = spark.createDataFrame(corpus(50), CHUNKS)
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    assert exchanges(blockmax.build(fts.tokenised(chunks), 32)) == 1
+    whole = blockmax.build(fts.tokenised(blockmax.placed(chunks, 32), "block"), 32)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+    assert "regexp_extract_all" not in plan[plan.index("Exchange ") :]  # texts move, not their terms
+
+
+def bare(b):
+    key = lambda x: (x is None, x)
+    return b["term"], b["n"], b["first_id"], sorted(b["apis"]), sorted(b["types"]), sorted((x["tf"], x["dl"]) for x in b["impacts"]), sorted(((p["id"], p["api_id"], p["type"], p["tf"], p["dl"]) for p in b["postings"]), key=lambda p: list(map(key, p)))
+
+
+def groups_of(rows):
+    """The groups of (block, id, api_id, type, words), the plain way."""
+    out = {}
+    for block, ident, api, kind, words in rows:
+        for t in set(words):
+            out.setdefault((t, block), []).append((ident, api, kind, words.count(t), len(words)))
+    told = []
+    for (t, _), posts in sorted(out.items(), key=lambda x: (x[0][0].encode(), x[0][1])):
+        pairs = {p[3:] for p in posts}
+        best = [p for p in pairs if not any(q != p and q[0] >= p[0] and q[1] <= p[1] for q in pairs)]
+        some = lambda c, of=posts: sorted({p[c] for p in of} - {None})
+        told.append(bare({"term": t, "n": len(posts), "first_id": min(p[0] for p in posts), "apis": some(1), "types": some(2), "impacts": [{"tf": a, "dl": b} for a, b in best], "postings": [dict(zip(("id", "api_id", "type", "tf", "dl"), p, strict=True)) for p in posts]}))
+    return told
+
+
+@pytest.mark.parametrize("at_once", [1, 500, 1 << 20])
+@pytest.mark.parametrize("batch", [1, 7, 1000])
+def test_groups_of_blocks(monkeypatch, at_once, batch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(blockmax, "WORDS_AT_ONCE", at_once)
+    rng = np.random.default_rng(3)
+    rows = [(i // 20 + 5, f"k{999 - i * 7 % 101}{i}", None if i % 9 == 4 else f"s{i % 3}", None if i > 90 else f"t{i % 2}", [f"ö{x}" if x % 2 else f"w{x}" for x in rng.geometric(0.15, int(rng.integers(0, 40)) * (i % 5 > 0))]) for i in range(110)]
+    rows += [(99, "empty", "s0", "t0", [])]
+    schema = pa.schema([("block", pa.int64()), ("id", pa.string()), ("api_id", pa.string()), ("type", pa.string()), ("dl", pa.int32()), ("words", pa.list_(pa.string()))])
+    parts = [rows[i : i + batch] for i in range(0, len(rows), batch)]
+    got = list(blockmax._groups(pa.RecordBatch.from_pylist([{"block": r[0], "id": r[1], "api_id": r[2], "type": r[3], "dl": len(r[4]), "words": r[4]} for r in p], schema) for p in parts))
+    blocks = len({r[0] for r in rows})
+    assert len(got) == blocks if at_once == 1 else len(got) <= blocks
+    told = sorted((g for b in got for g in b.to_pylist()), key=lambda g: (g["term"].encode(), g["block"]))
+    assert [bare(g) for g in told] == groups_of(rows)
+    assert not list(blockmax._groups([]))
