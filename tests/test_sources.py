@@ -203,3 +203,18 @@ def test_references_over_several_files(tmp_path):
     (tmp_path / "x.yaml").write_text("A: {$ref: '#/Nope'}\n")
     with pytest.raises(ValueError, match='Token "Nope" does not exist'):
         openapi.parse_openapi_file(str(tmp_path / "api.yaml"), "t")
+
+
+def test_specifications_of_one_partition_are_dealt_out(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(f"/s/{i}.yaml", PETS.replace("title: Pets", f"title: Pets {i}"), f"a{i}") for i in range(64)]
+    specs = spark.createDataFrame(rows, "path string, content string, api_id string").coalesce(1)
+    got = openapi.split_frame(specs).withColumn("task", F.spark_partition_id()).collect()
+    per = {}
+    for r in got:
+        per[r.task] = per.get(r.task, 0) + 1
+    assert len(per) >= 8 and max(per.values()) <= len(got) / 4
+    want = [c for path, text, api in rows for c in openapi.parse_openapi_text(text, api, path)]
+    key = lambda c: (c["api_id"], c["seq"])
+    assert sorted(({k: r[k] for k in want[0]} for r in got), key=key) == sorted(want, key=key)
