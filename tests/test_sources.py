@@ -218,3 +218,33 @@ def test_specifications_of_one_partition_are_dealt_out(spark):
     want = [c for path, text, api in rows for c in openapi.parse_openapi_text(text, api, path)]
     key = lambda c: (c["api_id"], c["seq"])
     assert sorted(({k: r[k] for k in want[0]} for r in got), key=key) == sorted(want, key=key)
+
+
+def test_chunks_leave_before_a_batch_is_read():
+    import pyarrow as pa
+
+    text = "# Doc\n\n" + "".join(f"## Part {i}\n\ntext {i}\n\n" for i in range(20))
+    files = [(f"/d/f{i}.md", text if i % 5 else None, "a") for i in range(1000)]
+    schema = pa.schema([(n, pa.string()) for n in ("path", "content", "api_id")])
+    batch = pa.RecordBatch.from_pylist([dict(zip(schema.names, f, strict=True)) for f in files], schema)
+    read = []
+
+    def parse(content, api_id, path):
+        read.append(path)
+        return markdown.parse_markdown_text(content or "", api_id, path)
+
+    got = openapi.chunk_batches(iter([batch.slice(0, 0), batch]), parse)
+    first = next(got)
+    assert len(read) < 50 and first.num_rows < openapi.CHUNKS_AT_ONCE + 21
+    rest = list(got)
+    assert max(b.num_rows for b in rest) < openapi.CHUNKS_AT_ONCE + 21
+    assert [c for b in (first, *rest) for c in b.to_pylist()] == [c for p, t, a in files for c in markdown.parse_markdown_text(t or "", a, p)]
+
+
+def test_markdown_goes_through_in_small_batches(spark):
+    rows = [(f"/d/f{i}.md", f"# T{i}\n\nbody\n\n## S\n\n" + "word " * 1300, "a") for i in range(20)] + [("/d/none.md", None, "a")]
+    frame = spark.createDataFrame(rows, "path string, content string, api_id string")
+    assert "MapInArrow" in markdown.split_frame(frame)._jdf.queryExecution().executedPlan().toString()
+    want = [c for path, text, api in rows for c in markdown.parse_markdown_text(text or "", api, path)]
+    key = lambda c: (c["id"], c["seq"])
+    assert sorted((r.asDict() for r in markdown.split_frame(frame).collect()), key=key) == sorted(want, key=key)
