@@ -20,7 +20,7 @@ SIZE = 128
 #: Blocks that a filter lists, at most; more are joined.
 PUSHED_BLOCKS = 500
 #: Words that are grouped at once, about; a block is not divided.
-WORDS_AT_ONCE = 1 << 20
+WORDS_AT_ONCE = 1 << 18
 #: Sums depend on their order: bounds are raised by this before they are rounded as scores are.
 SLACK = 1e-9
 
@@ -68,9 +68,12 @@ def _groups(batches):
             if i == len(cuts) or words[cuts[i]] - words[begin] > WORDS_AT_ONCE:
                 yield _group(rows.slice(begin, cut - begin))
                 begin = cut
-        held = rows.slice(begin).to_batches()
+        held = rows.take(np.arange(begin, len(rows))).to_batches()  # a copy: the rest goes
+        del batch, rows
+        pa.default_memory_pool().release_unused()
     if held:
         yield _group(pa.Table.from_batches(held))
+        pa.default_memory_pool().release_unused()
 
 
 def _group(rows):
